@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import licenses, mixing, revisits
 from .runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,8 +20,70 @@ def op5_mix_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select(F.col("key").alias("doc_id"), "size", "source_size", "target", mixing.taken(F.col("spans")).alias("taken"), "source")
 
 
-_QUERIES: dict[str, Query] = {"op5_mix_sainte_lague": op5_mix_sainte_lague}
-_ORACLES: dict[str, str] = {}
+def captures(pages: DataFrame) -> DataFrame:
+    """Capture records of ``pages``: a full response per page, and a later not-modified answer whose validators agree, are stale or absent."""
+    p, tag = F.col("page_id"), F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit(""))), F.lit('"'))
+
+    def header(name: str, value) -> object:
+        return F.struct(F.lit(name).alias("name"), value.cast("string").alias("value"))
+
+    stored_tag = F.when(p % 5 == 4, F.lit(None)).when(p % 3 == 0, F.concat(F.lit("W/"), tag)).otherwise(tag)
+    response = pages.select(
+        (p * 2).alias("record_id"), "url", (p * 10).alias("ts"), F.lit("response").alias("kind"), stored_tag.alias("etag"), p.cast("string").alias("last_modified"),
+        F.array(header("Content-Type", F.lit("text/html")), header("Content-Length", F.length(F.coalesce("html", F.lit("")))), header("Cache-Control", F.lit("max-age=60"))).alias("headers"),
+    )
+    sent_tag = F.when(p % 7 == 0, F.lit(None)).when(p % 11 == 0, F.lit('"stale"')).otherwise(tag)
+    revisit = pages.select(
+        (p * 2 + 1).alias("record_id"), "url", (p * 10 + p * 7919 % 50000).alias("ts"), F.lit("revisit").alias("kind"), sent_tag.alias("etag"), F.when(p % 14 != 0, p.cast("string")).alias("last_modified"),
+        F.array(header("Cache-Control", F.concat(F.lit("max-age="), (p % 100).cast("string"))), header("Content-Length", F.lit("0")), header("Age", p % 9)).alias("headers"),
+    )
+    return response.unionByName(revisit)
+
+
+def op1_resolve_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every not-modified capture of ``pages`` resolved to the latest earlier response; see :mod:`.revisits`."""
+    r = revisits.resolve(captures(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    text = F.array_join(F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"])), "|")
+    return r.select("record_id", "url_key", "ts", "refers_to", "outcome", text.alias("merged_headers"))
+
+
+_CANON = """
+u AS (SELECT page_id, html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u FROM pages),
+h AS (SELECT *, regexp_extract(u, '^([^/?]*)', 1) AS raw FROM u),
+q AS (SELECT *, substring(u, length(raw) + 1) AS rest FROM h),
+k AS (SELECT page_id, html, CASE WHEN u IS NULL THEN NULL ELSE nullif(concat(
+    lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '^.*@', ''), ':(80|443)?$', ''), '\\.$', ''), '^www[0-9]*\\.', '')),
+    regexp_replace(regexp_replace(regexp_extract(rest, '^([^?]*)', 1), ';jsessionid=[^/]*', '', 'g'), '/+$', ''),
+    CASE WHEN len(list_filter(string_split(regexp_extract(rest, '\\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[^=]*|gclid|fbclid|phpsessid|sessionid|sid)(=|$)'))) > 0
+      THEN '?' || array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '\\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[^=]*|gclid|fbclid|phpsessid|sessionid|sid)(=|$)'))), '&') ELSE '' END), '') END AS ukey
+  FROM q)"""
+
+OP1_SQL = f"""WITH {_CANON},
+s AS (SELECT page_id * 2 AS rid, ukey, page_id * 10 AS ts, length(coalesce(html, '')) AS n, CAST(page_id AS VARCHAR) AS lm,
+    CASE WHEN page_id % 5 = 4 THEN NULL ELSE '"' || md5(coalesce(html, '')) || '"' END AS etag FROM k),
+v AS (SELECT page_id, page_id * 2 + 1 AS rid, ukey, page_id * 10 + page_id * 7919 % 50000 AS ts, CASE WHEN page_id % 14 <> 0 THEN CAST(page_id AS VARCHAR) END AS lm,
+    CASE WHEN page_id % 7 = 0 THEN NULL WHEN page_id % 11 = 0 THEN '"stale"' ELSE '"' || md5(coalesce(html, '')) || '"' END AS etag FROM k),
+m AS (SELECT v.rid, max(s.rid * 1) AS any_rid, arg_max(s.rid, s.ts) AS srid FROM v JOIN s ON v.ukey = s.ukey AND s.ts < v.ts GROUP BY v.rid),
+j AS (SELECT v.*, m.srid, s.etag AS setag, s.lm AS slm, s.n AS sn FROM v LEFT JOIN m ON v.rid = m.rid LEFT JOIN s ON s.rid = m.srid),
+o AS (SELECT *, CASE WHEN ukey IS NULL THEN 'no-url' WHEN srid IS NULL THEN 'no-earlier-response' WHEN etag IS NULL AND lm IS NULL THEN 'unvalidated'
+    WHEN CASE WHEN etag IS NOT NULL THEN coalesce(etag = setag, FALSE) ELSE coalesce(lm = slm, FALSE) END THEN 'resolved' ELSE 'validator-mismatch' END AS outcome FROM j)
+SELECT rid AS record_id, ukey AS url_key, ts, CASE WHEN outcome IN ('resolved', 'unvalidated') THEN srid END AS refers_to, outcome,
+  CASE WHEN outcome IN ('resolved', 'unvalidated') THEN 'Content-Type: text/html|Content-Length: ' || sn || '|Cache-Control: max-age=' || (page_id % 100) || '|Age: ' || (page_id % 9)
+    ELSE 'Cache-Control: max-age=' || (page_id % 100) || '|Content-Length: 0|Age: ' || (page_id % 9) END AS merged_headers
+FROM o"""
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and detections of every document; see :mod:`.licenses`."""
+    return licenses.scan(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
+
+
+_QUERIES: dict[str, Query] = {
+    "op1_resolve_revisits": op1_resolve_revisits,
+    "op5_mix_sainte_lague": op5_mix_sainte_lague,
+    "op7_license_scan": op7_license_scan,
+}
+_ORACLES: dict[str, str] = {"op1_resolve_revisits": OP1_SQL}
 
 
 def queries() -> dict[str, Query]:
