@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, revisits
+from . import ann, licenses, mixing, revisits, vector_dedup
 from .runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,10 +78,24 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
 
 
+def op8_ann_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every vec_id divisible by 20; see :mod:`.ann`."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(e, "vec_id", "embedding", F.col("key") % 20 == 0).select(F.col("query_key").alias("query_id"), "rank", F.col("key").alias("vec_id"), "score")
+
+
+def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links at cosine 0.95 and their components over all ``embeddings``; see :mod:`.vector_dedup`."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vector_dedup.link(e, "vec_id", "embedding", 0.95).withColumnRenamed("key", "vec_id")
+
+
 _QUERIES: dict[str, Query] = {
     "op1_resolve_revisits": op1_resolve_revisits,
     "op5_mix_sainte_lague": op5_mix_sainte_lague,
     "op7_license_scan": op7_license_scan,
+    "op8_ann_projections": op8_ann_projections,
+    "op10_vector_dedup": op10_vector_dedup,
 }
 _ORACLES: dict[str, str] = {"op1_resolve_revisits": OP1_SQL}
 
