@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, licenses, mixing, revisits, vector_dedup
-from .runtime import table
+from . import ann, licenses, mixing, quality, revisits, vector_dedup
+from .runtime import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,6 +78,20 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
 
 
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.Model | None:
+    """Learned from ``labels.quality`` of the rows whose fold of 5 is not 0."""
+    lab = table(spark, sf_dir, "labels").select("doc_id", "quality").filter(fold("doc_id", 5) != 0)
+    return quality.train(docs, "doc_id", "text", lab, "doc_id", "quality")
+
+
+def op3_nb_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; see :mod:`.quality`."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = (fold("doc_id", 5) == 0).alias("held_out")
+    s = quality.score(d, "doc_id", "text", quality_model(spark, d, sf_dir), held).withColumnRenamed("quality_score", "score")
+    return s.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op8_ann_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest rows of every vec_id divisible by 20; see :mod:`.ann`."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -92,6 +106,7 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES: dict[str, Query] = {
     "op1_resolve_revisits": op1_resolve_revisits,
+    "op3_nb_svm": op3_nb_svm,
     "op5_mix_sainte_lague": op5_mix_sainte_lague,
     "op7_license_scan": op7_license_scan,
     "op8_ann_projections": op8_ann_projections,
