@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, licenses, mixing, quality, revisits, vector_dedup
+from . import ann, licenses, mixing, quality, revisits, vector_dedup, wfst
 from .runtime import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,6 +98,22 @@ def op8_ann_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(e, "vec_id", "embedding", F.col("key") % 20 == 0).select(F.col("query_key").alias("query_id"), "rank", F.col("key").alias("vec_id"), "score")
 
 
+#: A public vocabulary file; read on the driver.
+MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def read_model(path: str = MODEL_PATH) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def op9_sentencepiece_wfst(spark: SparkSession, sf_dir: str, model_path: str = MODEL_PATH) -> DataFrame:
+    """Ids of every document, and whether decoding gives the text again; see :mod:`.wfst`."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    e = wfst.encode(d, "doc_id", "text", read_model(model_path))
+    return e.select(F.col("key").alias("doc_id"), "n_tokens", "ids", "round_trip")
+
+
 def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links at cosine 0.95 and their components over all ``embeddings``; see :mod:`.vector_dedup`."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -110,6 +126,7 @@ _QUERIES: dict[str, Query] = {
     "op5_mix_sainte_lague": op5_mix_sainte_lague,
     "op7_license_scan": op7_license_scan,
     "op8_ann_projections": op8_ann_projections,
+    "op9_sentencepiece_wfst": op9_sentencepiece_wfst,
     "op10_vector_dedup": op10_vector_dedup,
 }
 _ORACLES: dict[str, str] = {"op1_resolve_revisits": OP1_SQL}
