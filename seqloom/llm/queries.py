@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, licenses, mixing, quality, revisits, vector_dedup, wfst
+from . import ann, licenses, mixing, near_dedup, quality, revisits, vector_dedup, wfst
 from .runtime import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,12 @@ SELECT rid AS record_id, ukey AS url_key, ts, CASE WHEN outcome IN ('resolved',
 FROM o"""
 
 
+def op6_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicate documents (5-word shingles, multiset similarity 0.8); see :mod:`.near_dedup`."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dedup.group(d, "doc_id", "text").select(F.col("key").alias("doc_id"), "class_id", "kept")
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and detections of every document; see :mod:`.licenses`."""
     return licenses.scan(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
@@ -124,6 +130,7 @@ _QUERIES: dict[str, Query] = {
     "op1_resolve_revisits": op1_resolve_revisits,
     "op3_nb_svm": op3_nb_svm,
     "op5_mix_sainte_lague": op5_mix_sainte_lague,
+    "op6_bagminhash": op6_bagminhash,
     "op7_license_scan": op7_license_scan,
     "op8_ann_projections": op8_ann_projections,
     "op9_sentencepiece_wfst": op9_sentencepiece_wfst,
