@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, licenses, mixing, near_dedup, quality, revisits, vector_dedup, wfst
+from . import ann, hmm, licenses, mixing, near_dedup, quality, revisits, vector_dedup, wfst
 from .runtime import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +84,15 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
 
 
+def op2_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likelihood of every document under a hidden Markov model and under its unigram; see :mod:`.hmm`."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = fold("doc_id", 5) == 1
+    model, counts = hmm.train(d, "text", ~held)
+    s = hmm.score(d, "doc_id", "text", held, model, counts)
+    return s.select(F.col("key").alias("doc_id"), F.col("mark").alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.Model | None:
     """Learned from ``labels.quality`` of the rows whose fold of 5 is not 0."""
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality").filter(fold("doc_id", 5) != 0)
@@ -128,6 +137,7 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES: dict[str, Query] = {
     "op1_resolve_revisits": op1_resolve_revisits,
+    "op2_hmm_lm": op2_hmm_lm,
     "op3_nb_svm": op3_nb_svm,
     "op5_mix_sainte_lague": op5_mix_sainte_lague,
     "op6_bagminhash": op6_bagminhash,
