@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, hmm, licenses, mixing, near_dedup, quality, revisits, vector_dedup, wfst
+from . import ann, hmm, licenses, line_dedup, mixing, near_dedup, quality, revisits, vector_dedup, wfst
 from .runtime import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that repeat an earlier one (Jaccard 0.8 of their words); see :mod:`.line_dedup`."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup(d, "doc_id", "text")
+
+
 def op5_mix_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents mixed to source weights 3, 1, 2, ... at 150 % of all words; see :mod:`.mixing`."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.token_count(F.col("text")).alias("size"))
@@ -139,6 +145,7 @@ _QUERIES: dict[str, Query] = {
     "op1_resolve_revisits": op1_resolve_revisits,
     "op2_hmm_lm": op2_hmm_lm,
     "op3_nb_svm": op3_nb_svm,
+    "op4_line_dedup": op4_line_dedup,
     "op5_mix_sainte_lague": op5_mix_sainte_lague,
     "op6_bagminhash": op6_bagminhash,
     "op7_license_scan": op7_license_scan,
