@@ -10,10 +10,12 @@ PLACES*log(PLACES) + shingles and not their product.
 
 *Bands.* ``BANDS`` bands of 4 places make buckets; at similarity 0.8 a pair misses all with probability 2e-4.
 
-*Verification.* Equal texts are one class. In each bucket a leader is compared with the members of other groups, in a
-few rounds with new leaders; what then still is in different groups of a bucket is compared pair by pair. So every pair
-of a bucket is compared unless links join it already, and groups equal those of comparing all pairs. Comparisons are of
-whole multisets, by sums of minima over sums of maxima.
+*Verification.* Equal texts are one class. In each bucket a leader, the member that shares most buckets, is compared with
+all members; in buckets that links have not joined, a second leader with the members of other groups. What then still
+is in different groups of a bucket is compared all with all, in cells of bounded size (chunks of a bucket against
+chunks), which give edges of a spanning forest and never pairs. So every pair of a bucket is compared unless links join
+it already, and groups equal those of comparing all pairs. Comparisons are of whole multisets, by sums of minima over
+sums of maxima.
 
 Bands are dealt by bucket as narrow rows and reduced before they are joined; texts of bucketed classes only are read
 again to be compared. No group of copies is gathered.
@@ -38,6 +40,8 @@ from .runtime import written
 
 WORDS, PLACES, BANDS = 5, 64, 16
 LEAST, LEADER_ROUNDS = 0.8, 2
+#: Rows and elements of a chunk of a bucket that is compared all with all.
+CELL_ROWS, CELL_ELEMENTS = 1024, 1_500_000
 #: Bucketed classes up to which their keys are broadcast to the texts (24 bytes each).
 BROADCAST_ROWS = 500_000
 WORDS_AT_ONCE, CACHE = 200_000, 300_000
@@ -193,7 +197,83 @@ def _verified(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
     j = pairs.join(bags.select(F.col("node").alias("u"), F.col("bag").alias("bu")), "u").filter(F.size("bu") > 0)
     j = j.join(bags.select(F.col("node").alias("v"), F.col("bag").alias("bv")), "v")
     both = F.size(F.array_intersect("bu", "bv"))
-    return j.filter(both >= least * (F.size("bu") + F.size("bv") - both)).select("u", "v")
+    return j.filter(both + 1e-9 >= least * (F.size("bu") + F.size("bv") - both)).select("u", "v")
+
+
+def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest index reached from each of n by the links a-b."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def link_cell(size: np.ndarray, flat: np.ndarray, comp: np.ndarray, chunk: np.ndarray, cross: bool, least: float) -> np.ndarray:
+    """Smallest row that each row of a cell reaches by links between groups; ``flat``: the rows' elements one after the other."""
+    n = len(size)
+    row = np.repeat(np.arange(n), size)
+    order = np.argsort(flat, kind="stable")
+    e, r = flat[order], row[order]
+    first = np.concatenate([[True], e[1:] != e[:-1]]) if len(e) else np.zeros(0, bool)
+    col = np.cumsum(first) - 1
+    often = np.bincount(col, minlength=1)[col] > 1 if len(col) else np.zeros(0, bool)
+    r, col = r[often], col[often]
+    both = np.zeros((n, n), np.float32)
+    wide = max(64, 4_000_000 // max(n, 1))
+    if len(col):
+        col = np.cumsum(np.concatenate([[0], (col[1:] != col[:-1]).astype(np.int64)]))
+        for lo in range(0, int(col[-1]) + 1, wide):
+            a, b = np.searchsorted(col, [lo, lo + wide])
+            m = np.zeros((n, min(wide, int(col[-1]) + 1 - lo)), np.float32)
+            m[r[a:b], col[a:b] - lo] = 1
+            both += m @ m.T
+    ok = (both > 0) & (both + 1e-9 >= least * (size[:, None] + size[None] - both.astype(np.float64))) & (comp[:, None] != comp[None])
+    if cross:
+        ok &= chunk[:, None] != chunk[None]
+    i, j = np.nonzero(ok)
+    return _joined(n, i, j)
+
+
+def _cells(place: DataFrame, bags: DataFrame, least: float) -> DataFrame:
+    """Edges (u, v) that join the groups within buckets, all members compared with all of other groups."""
+    load = place.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / CELL_ROWS), F.ceil(F.sum("size") / CELL_ELEMENTS)).cast("int").alias("chunks"))
+    c = place.select("bucket", "node", F.xxhash64("comp").alias("comp")).join(load, "bucket")
+    c = c.withColumn("chunk", F.pmod(F.xxhash64(F.lit(7), "node"), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    c = c.select("bucket", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "chunk", "comp", "node").join(bags, "node")
+    c = c.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+
+        def done() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            bag, node = t["bag"].combine_chunks(), t["node"].combine_chunks()
+            root = link_cell(np.asarray(bag.value_lengths()), bag.flatten().to_numpy(), t["comp"].to_numpy(), t["chunk"].to_numpy(), last[1] != last[2], least)
+            i = np.flatnonzero(root != np.arange(len(root)))
+            return pa.RecordBatch.from_arrays([node.take(pa.array(i)), node.take(pa.array(root[i]))], ["u", "v"])
+
+        for batch in batches:
+            cell = np.stack([batch.column(x).to_numpy() for x in ("bucket", "a", "b")], 1) if len(batch) else np.zeros((0, 3), np.int64)
+            cuts = [0, *(np.flatnonzero((cell[1:] != cell[:-1]).any(1)) + 1), len(cell)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if hi == lo:
+                    continue
+                if held and last != tuple(cell[lo]):
+                    yield done()
+                    held = []
+                last = tuple(cell[lo])
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield done()
+
+    return c.mapInArrow(run, T.StructType([T.StructField("u", _NODE), T.StructField("v", _NODE)]))
 
 
 def group(docs: DataFrame, key: str, text: str, least: float = LEAST) -> DataFrame:
@@ -203,30 +283,34 @@ def group(docs: DataFrame, key: str, text: str, least: float = LEAST) -> DataFra
     classes = written(sig.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands")), "classes")
     node = F.struct("id", "k1", "k2").alias("node")
     member = classes.filter("size > 0").select(node, "size", F.explode("bands").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    shared = member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     member = written(member.join(shared, "bucket"), "buckets")
-    some = written(member.select("node").distinct(), "bucketed")
+    some = written(member.groupBy("node").agg(F.sum("n").alias("met")), "bucketed")
     few = some.select("node.*", "node")
     few = F.broadcast(few) if some.count() <= BROADCAST_ROWS else few
     chosen = d.join(few, ["id", "k1", "k2"]).dropDuplicates(["id", "k1", "k2"])
     bags = written(_multisets(chosen), "bags")
-    edges = None
+    member = written(member.join(some, "node").select("bucket", "node", "size", "met"), "members")
+    edges = comp = None
     place = member.withColumn("comp", F.col("node"))
     fits = F.least("size", "lsize") >= least * F.greatest("size", "lsize")
     for r in range(LEADER_ROUNDS + 1):
-        if r < LEADER_ROUNDS:  # a leader for each bucket
-            lead = place.groupBy("bucket").agg(F.min_by(F.struct(F.col("node").alias("leader"), F.col("size").alias("lsize"), F.col("comp").alias("lcomp")), F.xxhash64(F.lit(r), "node")).alias("l")).select("bucket", "l.*")
+        if r < LEADER_ROUNDS:  # a leader for each bucket, another in each round
+            rank = F.struct("met", F.xxhash64(F.lit(r), "node")) if r == 0 else F.struct(F.xxhash64(F.lit(r), "node"))
+            lead = place.groupBy("bucket").agg(F.max_by(F.struct(F.col("node").alias("leader"), F.col("size").alias("lsize"), F.col("comp").alias("lcomp")), rank).alias("l")).select("bucket", "l.*")
             pairs = place.join(lead, "bucket").filter((F.col("comp") != F.col("lcomp")) & fits).select(F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v")).distinct()
-        else:  # all pairs of a bucket that no link has joined
-            other = place.select("bucket", F.col("node").alias("leader"), F.col("size").alias("lsize"), F.col("comp").alias("lcomp"))
-            pairs = place.join(other, "bucket").filter((F.col("comp") < F.col("lcomp")) & fits).select(F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v")).distinct()
-        new = written(_verified(pairs, bags, least), "verified")
-        edges = new if edges is None else edges.unionByName(new)
-        comp = written(connected(edges), "groups")
+            new = written(_verified(pairs, bags, least), "verified")
+        else:
+            new = written(_cells(place, bags, least), "verified")
+        if comp is None or new.limit(1).count():
+            edges = new if edges is None else edges.unionByName(new)
+            comp = written(connected(edges), "groups")
         if r < LEADER_ROUNDS:  # buckets with members of more than one group are left
-            place = member.join(comp.withColumnRenamed("id", "node"), "node", "left").select("node", "size", "bucket", F.coalesce("component", "node").alias("comp"))
+            place = member.join(comp.withColumnRenamed("id", "node"), "node", "left").select("node", "size", "met", "bucket", F.coalesce("component", "node").alias("comp"))
             open_ = place.groupBy("bucket").agg((F.min("comp") < F.max("comp")).alias("open")).filter("open").select("bucket")
             place = written(place.join(open_, "bucket"), "open")
+            if not place.limit(1).count():
+                break
     of = classes.select("k1", "k2", node).join(comp.withColumnRenamed("id", "node"), "node", "left").select("k1", "k2", "node", F.coalesce("component", "node").alias("component"))
     out = sig.select("id", "k1", "k2", "size").join(of, ["k1", "k2"])
     alone = F.col("size") == 0
@@ -235,3 +319,21 @@ def group(docs: DataFrame, key: str, text: str, least: float = LEAST) -> DataFra
         own.alias("key"), "k1", "k2", F.when(alone, own).otherwise(F.col("component.id")).alias("class_id"),
         (alone | ((F.col("node") == F.col("component")) & (F.col("id") == F.col("component.id")))).alias("kept"),
     )
+
+
+def keep_one(docs: DataFrame, key: str, text: str, least: float = LEAST) -> DataFrame:
+    """The rows of ``docs`` without all but the first document of each group; of repeated rows one stays."""
+    g = written(group(docs, key, text, least).withColumn("id", F.coalesce("key", F.lit(LAST))), "near")
+    out = g.filter("NOT kept").select("id", "k1", "k2").distinct()
+    again = g.filter("kept AND class_id IS NOT NULL").groupBy("id", "k1", "k2").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    empty = F.trim(F.regexp_replace(F.coalesce(F.col(text).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", "")) == ""
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    names = ["__id", "__k1", "__k2"]
+    d = docs.select("*", F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("__id"), F.xxhash64(t).alias("__k1"), F.xxhash64(F.lit(6), t).alias("__k2"))
+    out, again = (written(x.toDF(*names), "keys") for x in (out, again))
+    rows = d.join(F.broadcast(out) if out.count() <= BROADCAST_ROWS else out, names, "left_anti")
+    if again.limit(1).count():
+        few = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
+        twice = rows.join(few, names, "left_semi")
+        rows = rows.join(few, names, "left_anti").unionByName(twice.filter(empty)).unionByName(twice.filter(~empty).dropDuplicates(names))
+    return rows.drop(*names)
