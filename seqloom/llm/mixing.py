@@ -19,8 +19,11 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -112,10 +115,13 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def mix(docs: DataFrame, key: str, size: str, source: str, *, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: int = 2, block: int = BLOCK, shard: int = SHARD, seed: int = 42) -> DataFrame:
-    """Per row of ``docs``: key, size, source, source_size, target, and ``spans``, the (first, end, times) token ranges that the mix takes."""
+def mix(docs: DataFrame, key: str, size: str, source: str, *, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: int = 2, block: int = BLOCK, shard: int = SHARD, seed: int = 42, carry: list[str] | None = None) -> DataFrame:
+    """Per row of ``docs``: key, size, source, source_size, target, and ``spans``, the (first, end, times) token ranges that the mix takes.
+
+    With ``carry`` also a struct of those columns.
+    """
     spark = docs.sparkSession
-    d = docs.select(F.col(key).alias("key"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"), F.col(source).alias("source"))
+    d = docs.select(F.col(key).alias("key"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"), F.col(source).cast("string").alias("source"), *([F.struct(*carry).alias("carry")] if carry else []))
     d = written(d, "mix")
     totals = d.groupBy("source").agg(F.sum("size").alias("source_size")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
@@ -151,8 +157,59 @@ def mix(docs: DataFrame, key: str, size: str, source: str, *, weights: tuple[flo
     k1 = F.floor((F.col("end") * b - 1) / n).cast("long")
     spans = F.filter(F.transform(F.sequence(k0, k1), span), lambda s: (s["times"] > 0) & (s["first"] < s["end"]))
     none = F.array().cast(T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType()), T.StructField("times", T.IntegerType())])))
-    return d.select("key", "size", "source", "source_size", "target", F.when(F.col("size") > 0, spans).otherwise(none).alias("spans"))
+    return d.select("key", "size", "source", "source_size", "target", F.when(F.col("size") > 0, spans).otherwise(none).alias("spans"), *(["carry"] if carry else []))
 
 
 def taken(spans: Column) -> Column:
     return F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + (s["end"] - s["first"]) * s["times"])
+
+
+_WORD = re.compile(WORD)
+
+
+def cut(text: str, spans: list[dict], size: int, cap: int = 2) -> list[str]:
+    """One text for each time round that takes any of the words; a whole text stays as it is."""
+    out, starts = [], None
+    for turn in range(1, cap + 1):
+        runs: list[list[int]] = []
+        for s in spans:
+            if s["times"] >= turn:
+                if runs and runs[-1][1] == s["first"]:
+                    runs[-1][1] = s["end"]
+                else:
+                    runs.append([s["first"], s["end"]])
+        if not runs:
+            break
+        if runs == [[0, size]]:
+            out.append(text)
+            continue
+        if starts is None:
+            starts = [m.span() for m in _WORD.finditer(text)]
+        out.append("\n".join(text[starts[a][0] : starts[b - 1][1]] for a, b in runs))
+    return out
+
+
+def mixed(docs: DataFrame, key: str, text: str, source: str, length: str | None = None, **how) -> DataFrame:
+    """The mix as rows of ``docs``: a row for each time round, with the words taken; ``length`` follows the text."""
+    names = docs.columns
+    sized = docs.withColumn("__size", token_count(F.col(text)))
+    m = mix(sized, key, "__size", source, carry=names, **how).select("size", "spans", "carry").filter(F.size("spans") > 0)
+    schema, cap = docs.schema, how.get("cap", 2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = b.column("carry")
+            cols = dict(zip(names, rows.flatten(), strict=True))
+            texts, at = [], []
+            for i, (t, s, n) in enumerate(zip(cols[text].to_pylist(), b.column("spans").to_pylist(), b.column("size").to_pylist(), strict=True)):
+                own = cut(t, s, n, cap)
+                texts += own
+                at += [i] * len(own)
+            take = pa.array(at, pa.int64())
+            out = {c: v.take(take) for c, v in cols.items()}
+            out[text] = pa.array(texts, cols[text].type)
+            if length:
+                out[length] = pa.array([len(t) for t in texts], cols[length].type)
+            yield pa.RecordBatch.from_arrays([out[c] for c in names], names)
+
+    return m.mapInArrow(run, schema)
