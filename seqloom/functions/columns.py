@@ -49,17 +49,13 @@ def reverse_complement(seq: Column | str) -> Column:
 
 
 def kmers(seq: Column | str, k: int) -> Column:
-    """Overlapping k-mers, none if the sequence is shorter."""
-    s = col(seq)
-    n = F.length(s)
-    return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(s, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    """Overlapping k-mers, none if the sequence is shorter; one linear scan of the string."""
+    return F.regexp_extract_all(col(seq), F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
 
 
 def chunks(seq: Column | str, size: int) -> Column:
-    """Consecutive pieces, the last partial one kept."""
-    s = col(seq)
-    n = F.length(s)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int")), lambda i: F.substring(s, i * size + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    """Consecutive pieces, the last partial one kept; one linear scan of the string."""
+    return F.regexp_extract_all(col(seq), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
 
 
 # --- coordinates and labels
@@ -105,10 +101,13 @@ def z_cutoff(p: float) -> float:
     return NormalDist().inv_cdf(1 - p / 2)
 
 
-@F.pandas_udf("double")
-def normal_p(z: pd.Series) -> pd.Series:
-    """Two-sided p of a z score (no erfc in the engine; token tables are of vocabulary size)."""
-    return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)) if v == v else float("nan"))
+def normal_p(z: Column | str) -> Column:
+    """Two-sided p of a z score (an Arrow UDF: the engine has no erfc; token tables are of vocabulary size)."""
+
+    def p(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: math.erfc(abs(x) / math.sqrt(2)) if x == x else float("nan"))
+
+    return F.pandas_udf(p, "double")(col(z))
 
 
 def not_nan(c: Column | str) -> Column:

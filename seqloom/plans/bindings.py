@@ -61,11 +61,19 @@ def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select(k.alias("peak_id"), coord.alias("coord"), labels.alias("labels"))
 
 
-# --- token counts: 3-mers of the sequences by language (set) and source (model)
-TOKENS3 = """tok AS (SELECT doc_id, lang, source, unnest([substring(seq, CAST(i AS BIGINT), 3) FOR i IN range(1, length(seq) - 1)]) AS token FROM seqs WHERE length(seq) >= 3)"""
+# --- tokens: 4-mers of the sequences, in sets by language
+TOKENS = """tok AS (SELECT doc_id, lang, source, unnest([substring(seq, CAST(i AS BIGINT), 4) FOR i IN range(1, length(seq) - 2)]) AS token FROM seqs WHERE length(seq) >= 4),
+tc AS (SELECT lang, token, count(*) AS cnt FROM tok GROUP BY ALL)"""
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.columns import kmers
+
+    return seqs(spark, sf_dir).select("doc_id", "lang", "source", F.explode(kmers("seq", 4)).alias("token"))
+
 
 # --- vocabularies: frequent k-mers of three groups of languages
-VOCABS = """km AS (SELECT lang, unnest(flatten([[substring(h, CAST(i AS BIGINT), k) FOR i IN range(1, length(h) - k + 2)] FOR k IN range(1, 7)])) AS token FROM (SELECT lang, substring(seq, 1, 200) AS h FROM seqs)),
+VOCABS = """km AS (SELECT lang, unnest(flatten([[substring(h, CAST(i AS BIGINT), k) FOR i IN range(1, length(h) - k + 2)] FOR k IN range(1, 7)])) AS token FROM (SELECT lang, seq AS h FROM seqs)),
 vc AS (SELECT CASE lang WHEN 'de' THEN 'c' WHEN 'en' THEN 'n' ELSE 'a' END AS pool, token, count(*) AS cnt FROM km WHERE token <> '' AND lang IN ('de', 'en', 'fr', 'es') GROUP BY ALL),
 vocab AS (SELECT pool, token, cnt, row_number() OVER (PARTITION BY pool ORDER BY cnt DESC, token) - 1 AS id FROM vc WHERE cnt >= 20 QUALIFY row_number() OVER (PARTITION BY pool ORDER BY cnt DESC, token) <= 500)"""
 
@@ -74,9 +82,8 @@ def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pool, token, cnt, id): 1- to 6-mers met 20 times or more, the 500 commonest of each pool."""
     from ..functions.columns import kmers
 
-    head = F.substring("seq", 1, 200)
     pool = F.when(F.col("lang") == "de", "c").when(F.col("lang") == "en", "n").otherwise("a")
-    t = seqs(spark, sf_dir).filter(F.col("lang").isin("de", "en", "fr", "es")).select(pool.alias("pool"), head.alias("h"))
+    t = seqs(spark, sf_dir).filter(F.col("lang").isin("de", "en", "fr", "es")).select(pool.alias("pool"), F.col("seq").alias("h"))
     t = t.select("pool", F.explode(F.concat(*(kmers("h", k) for k in range(1, 7)))).alias("token"))
     c = t.groupBy("pool", "token").agg(F.count("*").alias("cnt")).filter("cnt >= 20")
     rank = F.row_number().over(Window.partitionBy("pool").orderBy(F.desc("cnt"), "token"))
