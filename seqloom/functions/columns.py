@@ -81,7 +81,7 @@ def parse_coord(c: Column | str) -> Column:
 
 def split_labels(c: Column | str) -> Column:
     """Comma list, trimmed, empties dropped."""
-    return F.filter(F.transform(F.split(col(c), ",", -1), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(col(c), ",", -1), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def label_from_name(name: Column | str) -> Column:

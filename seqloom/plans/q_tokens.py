@@ -268,13 +268,13 @@ oc AS (SELECT doc_id, lang, i // 4 AS k, substring(seq, CAST(i // 4 * 4 + 1 AS B
 pr AS (SELECT lang, token, avg(m) AS mean_mean, avg(v) AS mean_var, median(round(m, 9)) AS median_mean, median(round(v, 9)) AS median_var, count(*) AS "count" FROM oc GROUP BY ALL)"""
 
 
-@query("token_score_profile", f"WITH {OCC} SELECT lang, token, round(mean_mean, 5) AS mean_mean, round(mean_var, 5) AS mean_var, round(median_mean, 5) AS median_mean, round(median_var, 5) AS median_var, \"count\" FROM pr")
+@query("token_score_profile", f"WITH {OCC} SELECT lang, token, round(mean_mean, 10) AS mean_mean, round(mean_var, 10) AS mean_var, round(median_mean, 10) AS median_mean, round(median_var, 10) AS median_var, \"count\" FROM pr")
 def token_score_profile(spark, sf_dir):
     """Scores under each token's occurrences."""
     o = _occurrences(spark, sf_dir).withColumn("mean_score", F.round("mean_score", 9)).withColumn("var_score", F.round("var_score", 9))
     p = S.score_profile(o, ["lang"])
     for n in ("mean_mean", "mean_var", "median_mean", "median_var"):
-        p = p.withColumn(n, F.round(n, 5))
+        p = p.withColumn(n, F.round(n, 10))
     return p
 
 
