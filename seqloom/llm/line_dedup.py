@@ -3,12 +3,16 @@
 A line is the set of its lower-cased (A-Z) words. Words are ordered by rarity: the power of two of their count over all
 texts, then a hash; lines' word sets are written in that order. Two lines of similarity ``LEAST`` share a word within
 their prefixes, so lines are dealt by their prefix words (words that occur once are left out: nothing shares them), and
-within a word pairs are kept by length, by position (what can still be shared after it) and by a parity sketch of the
-sets (it bounds their difference from below). All three bounds are exact: they drop no similar pair. What is left is
+within a word pairs are kept by length, by position (what can still be shared after it) and by a sketch of the
+sets (32 counts modulo 16, which bound the sets' difference from below). All three bounds are exact: they drop no similar pair. What is left is
 verified on the whole sets. Equal sets are one class and need no join.
 
 A line goes if an earlier line, by (key, text hash, line number), is equal to it or similar. Blank lines stay.
 
+What the bounds leave in a list joins sets to clusters: a list gives a spanning forest of its pairs, never the pairs.
+Sets are then brought together by cluster, once each, and a cluster's sets are verified with each other, in cells of
+bounded size. A cell gives, per set, its number of links and the earliest line among them.
+
 Counts come from all texts. Words are read off whole buffers; lists of a frequent word are cut into cells by line, so
 no list is held whole; each partition deals a set once however often the line occurs.
 
@@ -26,12 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import buffer_of, mix, words
+from .components import connected
 from .runtime import written
 
 LEAST = 0.8
 #: Buckets of the rarity table (one byte each is sent out), level from which lists are cut, most cuts.
 BUCKETS, LONG_LEVEL, MAX_CUTS = 1 << 22, 14, 64
 BROADCAST_ROWS = 500_000
+#: Sets from which a cluster is verified by dense counts; sets and words of a chunk of a cluster.
+DENSE, CELL_SETS, CELL_WORDS = 48, 1024, 1_500_000
 LAST = 2**63 - 1
 _U = np.uint64
 _LEVEL_BITS = 6
@@ -75,50 +82,131 @@ def overlap_needed(a, b, least: float = LEAST):
     return np.ceil(least / (1 + least) * (a + b) - 1e-9)
 
 
+def sketches(line: np.ndarray, w: np.ndarray, lines: int) -> np.ndarray:
+    """32 buckets of words, the words of each counted modulo 16: two 64-bit numbers a line."""
+    bucket = (mix((w & _U((1 << (64 - _LEVEL_BITS)) - 1)) ^ _U(0xABCD)) & _U(31)).astype(np.int64)
+    n = np.bincount(line * 32 + bucket, minlength=lines * 32).reshape(lines, 2, 16) & 15
+    return (n.astype(_U) << (np.arange(16, dtype=_U) * _U(4))).sum(2, dtype=_U)
+
+
+def difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """At least so many words are in one set and not in the other."""
+    out = np.zeros(len(a), np.int64)
+    for shift in range(0, 64, 4):
+        d = ((a >> _U(shift)) - (b >> _U(shift))) & _U(15)
+        out += np.minimum(d, _U(16) - d).astype(np.int64).sum(1)
+    return out
+
+
 def postings(line: np.ndarray, w: np.ndarray, key: np.ndarray, size: np.ndarray, take: np.ndarray, least: float = LEAST) -> tuple[np.ndarray, ...]:
     """(word, set key, size, position, sketch) of the prefix words of the lines in ``take``; sets below 4 words match none but equals."""
     start = np.cumsum(size) - size
     position = np.arange(len(w)) - start[line]
     prefix = size - np.ceil(least * size - 1e-9).astype(np.int64) + 1
-    bit = mix((w & _U((1 << (64 - _LEVEL_BITS)) - 1)) ^ _U(0xABCD)) & _U(63)
-    flips = np.concatenate([np.zeros(1, _U), np.bitwise_xor.accumulate(_U(1) << bit)]) if len(w) else np.zeros(1, _U)
-    sketch = flips[start + size] ^ flips[start]
     level = w >> _U(64 - _LEVEL_BITS)
     on = take[line] & (size[line] >= 4) & (position < prefix[line]) & (level > 0)
     at = line[on]
-    return w[on].view(np.int64), key[at], size[at], position[on], sketch[at].view(np.int64)
+    return w[on], key[at], size[at], position[on], sketches(line, w, len(size))[at]
 
 
-def candidates(word: np.ndarray, key: np.ndarray, size: np.ndarray, position: np.ndarray, sketch: np.ndarray, chunk: np.ndarray, cross: np.ndarray, least: float = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of set keys that the bounds leave, among postings of the same cell (``word``: cell number)."""
-    order = np.lexsort((key, size, word))
-    word, key, size, position, sketch, chunk, cross = (x[order] for x in (word, key, size, position, sketch, chunk, cross))
-    if len(word):
-        new = np.concatenate([[True], (word[1:] != word[:-1]) | (key[1:] != key[:-1])])
-        word, key, size, position, sketch, chunk, cross = (x[new] for x in (word, key, size, position, sketch, chunk, cross))
+def candidates(cell: np.ndarray, key: np.ndarray, size: np.ndarray, position: np.ndarray, sketch: np.ndarray, chunk: np.ndarray, cross: np.ndarray, least: float = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of set keys that the bounds leave, among postings of the same cell."""
+    order = np.lexsort((key, size, cell))
+    cell, key, size, position, sketch, chunk, cross = (x[order] for x in (cell, key, size, position, sketch, chunk, cross))
+    if len(cell):
+        new = np.concatenate([[True], (cell[1:] != cell[:-1]) | (key[1:] != key[:-1])])
+        cell, key, size, position, sketch, chunk, cross = (x[new] for x in (cell, key, size, position, sketch, chunk, cross))
     a_out, b_out = [], []
-    i = np.arange(len(word))
-    sk = sketch.view(_U)
-    d = 0
+    i, d = np.arange(len(cell)), 0
     while len(i):
         d += 1
-        i = i[i + d < len(word)]
+        i = i[i + d < len(cell)]
         j = i + d
-        on = (word[i] == word[j]) & (least * size[j] <= size[i] + 1e-9)
-        i = i[on]
+        i = i[(cell[i] == cell[j]) & (least * size[j] <= size[i] + 1e-9)]
         j = i + d
-        rest = np.minimum(size[i] - position[i], size[j] - position[j])
-        both = size[i] + size[j]
-        ok = (rest >= overlap_needed(size[i], size[j], least)) & (np.bitwise_count(sk[i] ^ sk[j]) <= both * (1 - least) / (1 + least) + 1e-9) & (~cross[i] | (chunk[i] != chunk[j]))
-        if ok.any():
-            x, y = key[i[ok]], key[j[ok]]
-            a_out.append(np.minimum(x, y))
-            b_out.append(np.maximum(x, y))
+        rest, both = np.minimum(size[i] - position[i], size[j] - position[j]), size[i] + size[j]
+        near = np.flatnonzero((rest >= overlap_needed(size[i], size[j], least)) & (~cross[i] | (chunk[i] != chunk[j])))
+        ok = near[difference(sketch[i[near]], sketch[j[near]]) <= both[near] * (1 - least) / (1 + least) + 1e-9]
+        if len(ok):
+            a_out.append(key[i[ok]])
+            b_out.append(key[j[ok]])
     if not a_out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pairs = np.unique(np.stack([np.concatenate(a_out), np.concatenate(b_out)], 1), axis=0)
-    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-    return pairs[:, 0], pairs[:, 1]
+    return np.concatenate(a_out), np.concatenate(b_out)
+
+
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join the same sets as the pairs: each set to the first it reaches."""
+    if not len(u):
+        return u, v
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    root = _joined(len(ids), at[: len(u)], at[len(u) :])
+    on = np.flatnonzero(root != np.arange(len(ids)))
+    return ids[on], ids[root[on]]
+
+
+def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def verified(cell: np.ndarray, size: np.ndarray, flat: np.ndarray, chunk: np.ndarray, cross: np.ndarray, rank: np.ndarray, least: float = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """Per set: its links within its cell, and the least rank among them (or a large number). ``flat``: the sets' words one after the other."""
+    n = len(size)
+    links, lowest = np.zeros(n, np.int64), np.full(n, LAST)
+
+    def add(i: np.ndarray, j: np.ndarray, both: np.ndarray) -> None:
+        ok = (both + 1e-9 >= least * (size[i] + size[j] - both)) & (~cross[i] | (chunk[i] != chunk[j]))
+        i, j = i[ok], j[ok]
+        np.add.at(links, i, 1)
+        np.add.at(links, j, 1)
+        np.minimum.at(lowest, i, rank[j])
+        np.minimum.at(lowest, j, rank[i])
+
+    row = np.repeat(np.arange(n), size)
+    many = np.bincount(cell)
+    big = np.flatnonzero(many > DENSE)
+    small = many[cell[row]] <= DENSE
+    r, e = row[small], flat[small]
+    order = np.lexsort((r, e, cell[r]))
+    r, e = r[order], e[order]
+    i, d, pairs, counts = np.arange(len(r)), 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    while len(i):
+        d += 1
+        i = i[i + d < len(r)]
+        i = i[(e[i] == e[i + d]) & (cell[r[i]] == cell[r[i + d]])]
+        p, c = np.unique(r[i] * n + r[i + d], return_counts=True)
+        pairs, counts = np.concatenate([pairs, p]), np.concatenate([counts, c])
+    if len(pairs):
+        p, at = np.unique(pairs, return_inverse=True)
+        add(p // n, p % n, np.bincount(at, counts).astype(np.int64))
+    for c in big:
+        on = np.flatnonzero(cell == c)
+        mine = np.isin(row, on)
+        e, col = np.unique(flat[mine], return_inverse=True)
+        r = np.searchsorted(on, row[mine])
+        both = np.zeros((len(on), len(on)), np.float32)
+        wide = max(64, 4_000_000 // len(on))
+        order = np.argsort(col, kind="stable")
+        r, col = r[order], col[order]
+        for lo in range(0, len(e), wide):
+            a, b = np.searchsorted(col, [lo, lo + wide])
+            m = np.zeros((len(on), min(wide, len(e) - lo)), np.float32)
+            m[r[a:b], col[a:b] - lo] = 1
+            both += m @ m.T
+        i, j = np.nonzero(np.triu(both, 1) + 0.5 >= least / (1 + least) * (size[on][:, None] + size[on][None]))
+        up = i < j
+        i, j = i[up], j[up]
+        add(on[i], on[j], np.rint(both[i, j]).astype(np.int64))
+    return links, lowest
 
 
 def _docs(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -157,11 +245,11 @@ def _rarity(d: DataFrame) -> np.ndarray:
     return level
 
 
-_POSTING = "word long, line_set long, size int, position int, sketch long, a int, b int, chunk int"
+_POSTING = "cell long, line_set long, meta long, s1 long, s2 long"
 
 
-def similar_sets(d: DataFrame, level: np.ndarray, lines: DataFrame, least: float) -> DataFrame:
-    """(u, v) of all pairs of different sets of similarity ``least`` or more, u < v."""
+def clusters(d: DataFrame, level: np.ndarray, least: float) -> DataFrame:
+    """(id, component) of every set that the bounds leave in a pair; similar sets are in one component."""
     sent = d.sparkSession.sparkContext.broadcast(level)  # BUCKETS bytes
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +266,7 @@ def similar_sets(d: DataFrame, level: np.ndarray, lines: DataFrame, least: float
             take[fresh] = True
             seen.update(key[fresh].tolist())
             w, k, n, p, sk = postings(line, w, key, size, take, least)
-            lv = (w.view(_U) >> _U(64 - _LEVEL_BITS)).astype(np.int64)
+            lv = (w >> _U(64 - _LEVEL_BITS)).astype(np.int64)
             cuts = np.where(lv < LONG_LEVEL, 1, np.minimum(MAX_CUTS, 1 << np.clip(lv - LONG_LEVEL + 1, 0, 30)))
             chunk = (mix(k.view(_U)) % cuts.astype(_U)).astype(np.int64)
             at = np.repeat(np.arange(len(w)), cuts)
@@ -186,57 +274,84 @@ def similar_sets(d: DataFrame, level: np.ndarray, lines: DataFrame, least: float
             for lo in range(0, len(at), 200_000):
                 i, o = at[lo : lo + 200_000], other[lo : lo + 200_000]
                 c = chunk[i]
-                cols = [w[i], k[i], n[i].astype(np.int32), p[i].astype(np.int32), sk[i], np.minimum(c, o).astype(np.int32), np.maximum(c, o).astype(np.int32), c.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], [x.split()[0] for x in _POSTING.split(", ")])
+                pair = (np.minimum(c, o) * MAX_CUTS + np.maximum(c, o)).astype(_U)
+                meta = n[i] << 36 | p[i] << 8 | c << 1 | (c != o)
+                cols = [mix(w[i] + pair * _U(0x9E3779B97F4A7C15)).view(np.int64), k[i], meta, *sk[i].view(np.int64).T]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in cols], [x.split()[0] for x in _POSTING.split(", ")])
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
-
-        def done(t: pa.Table) -> pa.RecordBatch:
+        for t in _whole_cells(batches, ["cell"]):
             c = {x: t[x].to_numpy() for x in t.column_names}
-            _, cell = np.unique(np.stack([c["word"], c["a"].astype(np.int64) * MAX_CUTS + c["b"]], 1), axis=0, return_inverse=True)
-            u, v = candidates(cell.ravel(), c["line_set"], c["size"].astype(np.int64), c["position"].astype(np.int64), c["sketch"], c["chunk"], c["a"] != c["b"], least)
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-
-        for b in batches:  # sorted: a cell's rows stand together
-            if not len(b):
-                continue
-            cell = np.stack([b.column("word").to_numpy(), b.column("a").to_numpy().astype(np.int64) * MAX_CUTS + b.column("b").to_numpy()], 1)
-            new = np.flatnonzero((cell != cell[-1]).any(1))
-            tail = int(new[-1]) + 1 if len(new) else 0
-            if tail or (held and last != tuple(cell[0])):
-                parts = [*held, b.slice(0, tail)] if tail else held
-                yield done(pa.Table.from_batches(parts))
-                held = []
-            held.append(b.slice(tail))
-            last = tuple(cell[-1])
-        if held:
-            yield done(pa.Table.from_batches(held))
-
-    p = d.select("text").mapInArrow(deal, _POSTING).repartition("word", "a", "b").sortWithinPartitions("word", "a", "b")
-    pairs = written(p.mapInArrow(pair, "u long, v long").distinct(), "pairs")
-    # the sets of what is left, from the texts where they first stand
-    ends = pairs.select(F.col("u").alias("line_set")).unionByName(pairs.select(F.col("v").alias("line_set"))).distinct()
-    where = lines.join(ends, "line_set").groupBy("line_set").agg(F.min(F.struct("id", "k1", "number")).alias("at")).select("line_set", "at.id", "at.k1")
+            meta = c["meta"]
+            sk = np.stack([c["s1"], c["s2"]], 1).view(_U)
+            u, v = forest(*candidates(c["cell"], c["line_set"], meta >> 36, meta >> 8 & (1 << 28) - 1, sk, meta >> 1 & 127, (meta & 1).astype(bool), least))
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    p = d.select("text").mapInArrow(deal, _POSTING).repartition("cell").sortWithinPartitions("cell")
+    return connected(p.mapInArrow(pair, "u long, v long"))
+
+
+def _whole_cells(batches: Iterator[pa.RecordBatch], by: list[str], rows: int = 100_000) -> Iterator[pa.Table]:
+    """Sorted rows as tables of at least ``rows`` rows that end where a cell ends."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not len(b):
+            continue
+        held.append(b)
+        if sum(map(len, held)) < rows:
+            continue
+        t = pa.Table.from_batches(held)
+        k = np.stack([t[x].to_numpy() for x in by], 1)
+        new = np.flatnonzero((k != k[-1]).any(1))
+        if len(new):
+            cut = int(new[-1]) + 1
+            yield t.slice(0, cut).combine_chunks()
+            held = t.slice(cut).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def similar_sets(d: DataFrame, level: np.ndarray, lines: DataFrame, least: float) -> DataFrame:
+    """Per set with any: line_set, its number of similar sets (``links``), and the first line among them (``other``)."""
+    c = written(clusters(d, level, least), "clusters")
+    where = lines.join(c.withColumnRenamed("id", "line_set"), "line_set").groupBy("line_set", "component").agg(F.min(F.struct("id", "k1", "number")).alias("at"))
+    where = written(where.select("line_set", "component", "at.id", "at.k1", "at.number"), "where")
     need = written(where.select("id", "k1").distinct(), "need")
-    n = need.count()
-    chosen = d.join(F.broadcast(need) if n <= BROADCAST_ROWS else need, ["id", "k1"])
+    chosen = d.join(F.broadcast(need) if need.count() <= BROADCAST_ROWS else need, ["id", "k1"]).dropDuplicates(["id", "k1"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _merge_runs(batches, 2_000_000):
-            h, line, row, _ = line_words(b.column("text"))
+            h, line, row, no = line_words(b.column("text"))
             line, w = ordered_sets(h, line, None)
-            key, size = set_keys(line, w, len(row))
+            _, size = set_keys(line, w, len(row))
             ends_ = np.concatenate([[0], np.cumsum(size)])
-            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row)), b.column("k1").take(pa.array(row)), pa.array(key), pa.ListArray.from_arrays(pa.array(ends_.astype(np.int32)), pa.array(w.view(np.int64)))], ["id", "k1", "line_set", "set"])
-
-    every = chosen.select("id", "k1", "text").mapInArrow(sets, "id long, k1 long, line_set long, set array<long>")
-    kept = written(every.join(where, ["id", "k1", "line_set"]).dropDuplicates(["id", "k1", "line_set"]).select("line_set", "set"), "sets")
-    j = pairs.join(kept.select(F.col("line_set").alias("u"), F.col("set").alias("su")), "u").filter(F.size("su") > 0)
-    j = j.join(kept.select(F.col("line_set").alias("v"), F.col("set").alias("sv")), "v")
-    both = F.size(F.array_intersect("su", "sv"))
-    return j.filter(both + 1e-9 >= least * (F.size("su") + F.size("sv") - both)).select("u", "v")
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row)), b.column("k1").take(pa.array(row)), pa.array(no.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends_.astype(np.int32)), pa.array(w.view(np.int64)))], ["id", "k1", "number", "set"])
+
+    every = chosen.select("id", "k1", "text").mapInArrow(sets, "id long, k1 long, number int, set array<long>")
+    kept = every.join(where, ["id", "k1", "number"])
+    kept = written(kept.select("component", "line_set", "id", "k1", "number", "set"), "sets")
+    load = kept.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / CELL_SETS), F.ceil(F.sum(F.size("set")) / CELL_WORDS)).cast("int").alias("chunks")).filter("chunks > 1")
+    j = kept.join(written(load, "load"), "component", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    j = j.withColumn("chunk", F.pmod(F.xxhash64(F.lit(7), "line_set"), "chunks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    j = j.select("component", F.least("chunk", "o").alias("a"), F.greatest("chunk", "o").alias("b"), "chunk", "line_set", "id", "k1", "number", "set")
+    j = j.repartition("component", "a", "b").sortWithinPartitions("component", "a", "b")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_cells(batches, ["component", "a", "b"], 2000):
+            k = np.stack([t[x].to_numpy() for x in ("component", "a", "b")], 1)
+            cell = np.cumsum(np.concatenate([[0], (k[1:] != k[:-1]).any(1).astype(np.int64)]))
+            first = [t[x].to_numpy() for x in ("id", "k1", "number")]
+            order = np.lexsort(first[::-1])
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            bag = t["set"].combine_chunks()
+            links, lowest = verified(cell, np.asarray(bag.value_lengths()).astype(np.int64), bag.flatten().to_numpy(), t["chunk"].to_numpy(), k[:, 1] != k[:, 2], rank, least)
+            on = np.flatnonzero(links)
+            to = order[lowest[on]]
+            yield pa.RecordBatch.from_arrays([pa.array(t["line_set"].to_numpy()[on]), pa.array(links[on]), *(pa.array(x[to]) for x in first)], ["line_set", "links", "id", "k1", "number"])
+
+    found = j.mapInArrow(check, "line_set long, links long, id long, k1 long, number int")
+    return found.groupBy("line_set").agg(F.sum("links").alias("links"), F.min(F.struct("id", "k1", "number")).alias("other"))
 
 
 def marks(docs: DataFrame, key: str, text: str, least: float = LEAST) -> DataFrame:
@@ -252,14 +367,10 @@ def marks(docs: DataFrame, key: str, text: str, least: float = LEAST) -> DataFra
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row[on])), b.column("k1").take(pa.array(row[on])), pa.array(no[on].astype(np.int32)), pa.array(k[on])], ["id", "k1", "number", "line_set"])
 
     lines = written(d.mapInArrow(number, "id long, k1 long, number int, line_set long"), "lines")
-    links = written(similar_sets(d, _rarity(d), lines, least), "links")
+    similar = written(similar_sets(d, _rarity(d), lines, least), "similar")
     at = F.struct("id", "k1", "number")
-    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    linked = both.select("u").distinct().withColumnRenamed("u", "line_set")
     classes = lines.groupBy("line_set").agg(F.min(at).alias("first"), F.count("*").alias("n"))
-    firsts = written(classes.join(linked, "line_set", "left_semi").select("line_set", "first"), "firsts")
-    earlier = both.join(firsts.select(F.col("line_set").alias("v"), "first"), "v").groupBy("u").agg(F.min("first").alias("other"), F.count("*").alias("links"))
-    of = classes.join(earlier.withColumnRenamed("u", "line_set"), "line_set", "left").filter("n > 1 OR links IS NOT NULL")
+    of = classes.join(similar, "line_set", "left").filter("n > 1 OR links IS NOT NULL")
     of = written(of.select("line_set", F.least("first", "other").alias("earliest"), F.coalesce("links", F.lit(0)).alias("links")), "earliest")
     hit = lines.join(of, "line_set").withColumn("goes", at > F.col("earliest"))
     return hit.groupBy("id", "k1").agg(F.array_sort(F.collect_set(F.when(F.col("goes"), F.col("number")))).alias("removed"), F.sum("links").alias("n_links"))
