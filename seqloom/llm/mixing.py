@@ -122,25 +122,30 @@ def mix(docs: DataFrame, key: str, size: str, source: str, *, weights: tuple[flo
     """
     spark = docs.sparkSession
     d = docs.select(F.col(key).alias("key"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"), F.col(source).cast("string").alias("source"), *([F.struct(*carry).alias("carry")] if carry else []))
-    d = written(d, "mix")
-    totals = d.groupBy("source").agg(F.sum("size").alias("source_size")).limit(MAX_SOURCES + 1).collect()
+    narrow = written(d.select("key", "size", "source"), "sizes")
+    d = d if carry else narrow  # carried columns are read again rather than written
+    totals = narrow.groupBy("source").agg(F.sum("size").alias("source_size")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     n_of = {r["source"]: min(MAX_SHARDS, max(1, -(-r["source_size"] // shard))) for r in totals}
     skey = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
     per = spark.createDataFrame([("n" if s is None else "s" + s, n) for s, n in n_of.items()], "skey string, n_shards long")
-    d = d.withColumn("skey", skey).withColumn("h", F.xxhash64(F.lit(seed), F.col("key")))
-    d = d.join(F.broadcast(per), "skey", "left")  # at most MAX_SOURCES rows
-    d = d.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "h", "size"), F.coalesce("n_shards", F.lit(1))).cast("long"))
-    sums = [tuple(r) for r in d.groupBy("source", "shard").agg(F.sum("size").alias("n")).collect()]
+
+    def sharded(x: DataFrame) -> DataFrame:
+        x = x.withColumn("skey", skey).withColumn("h", F.xxhash64(F.lit(seed), F.col("key")))
+        x = x.join(F.broadcast(per), "skey", "left")  # at most MAX_SOURCES rows
+        return x.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "h", "size"), F.coalesce("n_shards", F.lit(1))).cast("long")).drop("n_shards")
+
+    d = sharded(d)
+    sums = [tuple(r) for r in sharded(narrow).groupBy("source", "shard").agg(F.sum("size").alias("n")).collect()]
     plan = quotas(sums, weights, share, cap, block, seed)
+    shard_sizes = {(s, k): n for s, k, n in sums}
     q = spark.createDataFrame(
-        [("n" if s is None else "s" + s, *rest) for s, *rest in plan],
-        "skey string, shard long, source_size long, target double, blocks long, quota long, fa long, fb long",
+        [("n" if s is None else "s" + s, *rest, shard_sizes[s, rest[0]]) for s, *rest in plan],
+        "skey string, shard long, source_size long, target double, blocks long, quota long, fa long, fb long, shard_size long",
     )
     at = Window.partitionBy("skey", "shard").orderBy("h", "key", "size")
-    in_shard = Window.partitionBy("skey", "shard")
-    d = d.drop("n_shards").withColumn("end", F.sum("size").over(at.rowsBetween(Window.unboundedPreceding, 0))).withColumn("shard_size", F.sum("size").over(in_shard))
+    d = d.withColumn("end", F.sum("size").over(at.rowsBetween(Window.unboundedPreceding, 0)))
     d = d.join(q, ["skey", "shard"], "left")
     start, n, b = F.col("end") - F.col("size"), F.nullif("shard_size", F.lit(0)), F.col("blocks")
 
