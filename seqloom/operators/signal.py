@@ -106,9 +106,9 @@ def stability(g: DataFrame, a: int, b: int, z: float = 1.645) -> DataFrame:
 def kappa(cells: DataFrame, by: list[str], a: str, b: str, weight: str) -> DataFrame:
     """Agreement and Cohen's kappa of a weighted confusion table."""
     total = cells.groupBy(*by).agg(F.sum(weight).alias("total"), F.sum(F.when(F.col(a) == F.col(b), F.col(weight)).otherwise(0)).alias("same"))
-    ma = cells.groupBy(*by, F.col(a).alias("k")).agg(F.sum(weight).alias("wa"))
-    mb = cells.groupBy(*by, F.col(b).alias("k")).agg(F.sum(weight).alias("wb"))
-    pe = ma.join(mb, [*by, "k"]).groupBy(*by).agg(F.sum(F.col("wa").cast("double") * F.col("wb")).alias("cross"))
+    ma = cells.groupBy(*by, F.col(a).alias("__class")).agg(F.sum(weight).alias("wa"))
+    mb = cells.groupBy(*by, F.col(b).alias("__class")).agg(F.sum(weight).alias("wb"))
+    pe = ma.join(mb, [*by, "__class"]).groupBy(*by).agg(F.sum(F.col("wa").cast("double") * F.col("wb")).alias("cross"))
     j = total.join(pe, by, "left")
     po, e = F.col("same") / F.col("total"), F.coalesce("cross", F.lit(0.0)) / (F.col("total").cast("double") * F.col("total"))
     return j.select(*by, F.col("total").alias("n"), po.alias("agreement"), F.when(e >= 1, F.when(po >= 1, 1.0).otherwise(0.0)).otherwise((po - e) / (1 - e)).alias("kappa"))

@@ -101,7 +101,7 @@ def tokenizer(spark: SparkSession, path: str) -> dict:
     """A tokenizer JSON (a vocabulary is driver-sized)."""
     from ..operators.tokenizers import load_tokenizer
 
-    return load_tokenizer("\n".join(r[0] for r in spark.read.option("wholetext", True).text(path).collect()))
+    return load_tokenizer("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
 
 
 def corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -142,5 +142,5 @@ def manifest(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
 
 def words(spark: SparkSession, path: str) -> DataFrame:
     """A vocabulary file, id = line number from 0; blank lines keep their number."""
-    d = spark.read.option("wholetext", True).text(path)
+    d = spark.read.text(path, wholetext=True)
     return d.select(F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n", -1)).alias("id", "token")).filter("trim(token) <> ''")
