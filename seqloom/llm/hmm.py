@@ -31,7 +31,7 @@ from .runtime import written
 
 HEAD, CLASSES, STATES = 65_536, 64, 8
 PASSES, PIECE, START_ROWS, START_STEPS = 2, 64, 2000, 12
-#: Weight of the unigram in a state's emissions and of the mean in its transitions, in tokens.
+#: Least weight of the unigram in a state's emissions, in tokens.
 PRIOR = 100.0
 CACHE, PIECES_AT_ONCE, TOKENS_AT_ONCE = 400_000, 2048, 1_500_000
 _UNIT = 2.0**16
@@ -187,7 +187,11 @@ class Model:
         self.pi = (start + 1) / (start + 1).sum()
         self.rho = (later + 1) / (later + 1).sum()
         self.a = (trans + 1) / (trans + 1).sum(1, keepdims=True)
-        self.b = (emit + PRIOR * self.unigram[:, None]) / (emit.sum(0) + PRIOR)
+        # Witten-Bell: a state's share for the unigram follows its number of different symbols; unmet symbols keep the unigram's
+        met = emit.sum(1) > 0
+        n, kinds = emit.sum(0), PRIOR + (emit > 0.5).sum(0)
+        u = np.where(met, self.unigram, 0.0)
+        self.b = np.where(met[:, None], u.sum() * (emit + kinds * (u / u.sum())[:, None]) / (n + kinds), self.unigram[:, None])
 
     def empty(self) -> list[np.ndarray]:
         k = self.b.shape[1]
