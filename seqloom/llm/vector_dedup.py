@@ -1,7 +1,7 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
 A vector is described by its ``NEAREST`` nearest reference points in order (pivots: a bounded, hash-chosen set of
-vectors). Inverted lists are kept for pairs of pivots, so two vectors meet in a list exactly when they share two
+vectors that are apart, see :func:`reference_points`). Inverted lists are kept for pairs of pivots, so two vectors meet in a list exactly when they share two
 pivots or more. A pair is verified in the one list of its two smallest shared pivots: cosine in double precision.
 Equal vectors are one class first. Lists longer than ``LIST_ROWS`` are cut into chunks and verified chunk against
 chunk. A list gives, per vector, its number of links and one edge to the smallest id it reaches there, never pairs.
@@ -38,6 +38,23 @@ def describe(vectors: np.ndarray, pivots: np.ndarray, nearest: int) -> np.ndarra
     return np.take_along_axis(part, np.argsort(-np.take_along_axis(s, part, 1), axis=1, kind="stable"), 1)
 
 
+def reference_points(sample: np.ndarray, want: int, apart: float = 0.8) -> np.ndarray:
+    """Vectors of the sample that are no near copies of one another, filled up with random directions.
+
+    So a large group of near copies has one reference point, and its members agree on their nearest others.
+    """
+    kept: list[int] = []
+    near = np.zeros(len(sample), bool)
+    for i in range(len(sample)):
+        if not near[i]:
+            kept.append(i)
+            if len(kept) == want:
+                break
+            near |= sample @ sample[i] >= apart
+    g = np.random.default_rng(10).normal(size=(want - len(kept), sample.shape[1]))
+    return np.concatenate([sample[kept], g / np.linalg.norm(g, axis=1, keepdims=True)])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
@@ -101,7 +118,8 @@ def link(df: DataFrame, key: str, vector: str, least: float = 0.95) -> DataFrame
     want = min(MAX_PIVOTS, max(MIN_PIVOTS, 1 << int(2 * n**0.5).bit_length()))
     member = d.join(classes.select("vector", "id"), "vector").select("key", "id")
     classes = classes.select("id", "size", padded(F.col("vector"), dim).alias("vector"))
-    pivots = _unit(np.array([r[0] for r in classes.orderBy(F.xxhash64(F.lit(10), "id"), "id").limit(want).select("vector").collect()], dtype=np.float64))
+    sample = np.array([r[0] for r in classes.orderBy(F.xxhash64(F.lit(10), "id"), "id").limit(2 * want).select("vector").collect()], dtype=np.float64)
+    pivots = reference_points(_unit(sample), want)
     base = len(pivots)
     sent = spark.sparkContext.broadcast(pivots)  # at most MAX_PIVOTS vectors
 
