@@ -58,7 +58,7 @@ u AS (SELECT page_id, html, regexp_replace(regexp_replace(trim(url), '#.*$', '')
 h AS (SELECT *, regexp_extract(u, '^([^/?]*)', 1) AS raw FROM u),
 q AS (SELECT *, substring(u, length(raw) + 1) AS rest FROM h),
 k AS (SELECT page_id, html, CASE WHEN u IS NULL THEN NULL ELSE nullif(concat(
-    lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '^.*@', ''), ':(80|443)?$', ''), '\\.$', ''), '^www[0-9]*\\.', '')),
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(raw), '^.*@', ''), ':(80|443)?$', ''), '\\.$', ''), '^www[0-9]*\\.', ''),
     regexp_replace(regexp_replace(regexp_extract(rest, '^([^?]*)', 1), ';jsessionid=[^/]*', '', 'g'), '/+$', ''),
     CASE WHEN len(list_filter(string_split(regexp_extract(rest, '\\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[^=]*|gclid|fbclid|phpsessid|sessionid|sid)(=|$)'))) > 0
       THEN '?' || array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '\\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[^=]*|gclid|fbclid|phpsessid|sessionid|sid)(=|$)'))), '&') ELSE '' END), '') END AS ukey

@@ -35,14 +35,14 @@ HEADERS = "array<struct<name:string,value:string>>"
 def canonical_url(url: Column) -> Column:
     """Host and path without scheme, user, default port, www, fragment, tracking parameters, trailing slash; parameters sorted."""
     u = F.regexp_replace(F.regexp_replace(F.trim(url), r"#.*$", ""), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
-    host = F.regexp_extract(u, r"^([^/?]*)", 1)
-    rest = F.substring(u, F.length(host) + 1, F.length(u))
+    raw = F.regexp_extract(u, r"^([^/?]*)", 1)
+    host, rest = F.lower(raw), F.substring(u, F.length(raw) + 1, F.length(u))
     for pattern in (r"^.*@", r":(80|443)?$", r"\.$", r"^www[0-9]*\."):
         host = F.regexp_replace(host, pattern, "")
     path = F.regexp_replace(F.regexp_replace(F.regexp_extract(rest, r"^([^?]*)", 1), r";jsessionid=[^/]*", ""), r"/+$", "")
     query = F.split(F.regexp_extract(rest, r"\?(.*)$", 1), "&")
     query = F.array_join(F.array_sort(F.filter(query, lambda x: (x != "") & ~F.lower(x).rlike(TRACKING))), "&")
-    return F.nullif(F.concat(F.lower(host), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")), F.lit(""))
+    return F.nullif(F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")), F.lit(""))
 
 
 def weak_tag(tag: Column) -> Column:
