@@ -10,8 +10,8 @@ apache-2.0 ; 90 ; apache licen ; licensed under (?:the )?apache licen[cs]e,? ver
 apache-2.0 ; 80 ; apache ; apache (?:software )?licen[cs]e (?:version |v )?v?2(?: 0)?
 apache-2.0 ; 80 ; apache ; apache(?: licen[cs]e)? 2(?: 0)?
 apache-2.0 ; 60 ; apache ; www apache org licenses license 2 0
-apache-1.1 ; 80 ; apache ; apache (?:software )?licen[cs]e (?:version |v )?1 1
-apache-1.0 ; 80 ; apache ; apache (?:software )?licen[cs]e (?:version |v )?1 0
+apache-1.1 ; 80 ; apache ; apache (?:software )?licen[cs]e (?:version |v )?v?1 1
+apache-1.0 ; 80 ; apache ; apache (?:software )?licen[cs]e (?:version |v )?v?1 0
 apache ; 70 ; apache ; apache (?:software )?licen[cs]e
 apache ; 50 ; asl 2 ; asl 2(?: 0)?
 apache ; 50 ; alv2 ; alv2
@@ -43,22 +43,22 @@ gpl-any ; 30 ; warranty of merchantability ; without even the implied warranty o
 gpl-any ; 30 ; general public ; you should have received a copy of the gnu general public licen[cs]e
 gpl-classpath ; 80 ; classpath exception ; (?:gnu |gpl |with )?(?:the )?classpath exception
 gcc-exception ; 80 ; runtime library exception ; gcc runtime library exception
-lgpl-2.1 ; 90 ; lesser general public ; gnu lesser general public licen[cs]e (?:as published by the free software foundation )?(?:either )?(?:version |v )?2 1
-lgpl-3.0 ; 90 ; lesser general public ; gnu lesser general public licen[cs]e (?:as published by the free software foundation )?(?:either )?(?:version |v )?3(?: 0)?
-lgpl-2.0 ; 90 ; library general public ; gnu library general public licen[cs]e (?:version |v )?2(?: 0)?
+lgpl-2.1 ; 90 ; lesser general public ; gnu lesser general public licen[cs]e (?:as published by the free software foundation )?(?:either )?(?:version |v )?v?2 1
+lgpl-3.0 ; 90 ; lesser general public ; gnu lesser general public licen[cs]e (?:as published by the free software foundation )?(?:either )?(?:version |v )?v?3(?: 0)?
+lgpl-2.0 ; 90 ; library general public ; gnu library general public licen[cs]e (?:version |v )?v?2(?: 0)?
 lgpl-any ; 75 ; lesser general public ; (?:gnu )?lesser general public licen[cs]e
 lgpl-any ; 75 ; library general public ; (?:gnu )?library general public licen[cs]e
 lgpl-2.1 ; 70 ; lgpl ; (?:gnu )?lgpl ?(?:version |v )?v?2 1(?: only| or later)?
 lgpl-3.0 ; 70 ; lgpl ; (?:gnu )?lgpl ?(?:version |v )?v?3(?: 0)?(?: only| or later)?
 lgpl-any ; 50 ; lgpl ; (?:gnu )?lgpl
-agpl-3.0 ; 90 ; affero general public ; (?:gnu )?affero general public licen[cs]e (?:as published by the free software foundation )?(?:either )?(?:version |v )?3(?: 0)?
-agpl-1.0 ; 90 ; affero general public ; affero general public licen[cs]e (?:version |v )?1(?: 0)?
+agpl-3.0 ; 90 ; affero general public ; (?:gnu )?affero general public licen[cs]e (?:as published by the free software foundation )?(?:either )?(?:version |v )?v?3(?: 0)?
+agpl-1.0 ; 90 ; affero general public ; affero general public licen[cs]e (?:version |v )?v?1(?: 0)?
 agpl-any ; 75 ; affero general public ; (?:gnu )?affero general public licen[cs]e
 agpl-3.0 ; 70 ; agpl ; (?:gnu )?agpl ?(?:version |v )?v?3(?: 0)?(?: only| or later)?
 agpl-any ; 50 ; agpl ; (?:gnu )?agpl
-gfdl-1.3 ; 80 ; free documentation ; gnu free documentation licen[cs]e (?:version |v )?1 3
-gfdl-1.2 ; 80 ; free documentation ; gnu free documentation licen[cs]e (?:version |v )?1 2
-gfdl-1.1 ; 80 ; free documentation ; gnu free documentation licen[cs]e (?:version |v )?1 1
+gfdl-1.3 ; 80 ; free documentation ; gnu free documentation licen[cs]e (?:version |v )?v?1 3
+gfdl-1.2 ; 80 ; free documentation ; gnu free documentation licen[cs]e (?:version |v )?v?1 2
+gfdl-1.1 ; 80 ; free documentation ; gnu free documentation licen[cs]e (?:version |v )?v?1 1
 gfdl ; 70 ; free documentation ; (?:gnu )?free documentation licen[cs]e
 gfdl ; 50 ; gfdl ; (?:gnu )?gfdl
 bsd-2-clause ; 80 ; bsd ; (?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)(?: licen[cs]e)?
@@ -81,14 +81,14 @@ epl-2.0 ; 80 ; eclipse public ; eclipse public licen[cs]e (?:version |v )?v?2(?:
 epl-1.0 ; 80 ; eclipse public ; eclipse public licen[cs]e (?:version |v )?v?1(?: 0)?
 epl-any ; 70 ; eclipse public ; eclipse public licen[cs]e
 epl-2.0 ; 60 ; epl ; epl ?(?:version |v )?v?2(?: 0)?
-edl-1.0 ; 70 ; eclipse distribution ; eclipse distribution licen[cs]e(?: (?:version |v )?1 0)?
-cpl-1.0 ; 70 ; common public licen ; (?:ibm )?common public licen[cs]e(?: (?:version |v )?1 0)?
-ipl-1.0 ; 70 ; ibm public licen ; ibm public licen[cs]e(?: (?:version |v )?1 0)?
-cddl-1.1 ; 80 ; common development and distribution ; common development and distribution licen[cs]e (?:version |v )?1 1
-cddl-1.0 ; 80 ; common development and distribution ; common development and distribution licen[cs]e (?:version |v )?1 0
+edl-1.0 ; 70 ; eclipse distribution ; eclipse distribution licen[cs]e(?: (?:version |v )?v?1 0)?
+cpl-1.0 ; 70 ; common public licen ; (?:ibm )?common public licen[cs]e(?: (?:version |v )?v?1 0)?
+ipl-1.0 ; 70 ; ibm public licen ; ibm public licen[cs]e(?: (?:version |v )?v?1 0)?
+cddl-1.1 ; 80 ; common development and distribution ; common development and distribution licen[cs]e (?:version |v )?v?1 1
+cddl-1.0 ; 80 ; common development and distribution ; common development and distribution licen[cs]e (?:version |v )?v?1 0
 cddl-any ; 70 ; common development and distribution ; common development and distribution licen[cs]e
 cddl-any ; 50 ; cddl ; cddl(?: 1 [01])?
-cpal-1.0 ; 70 ; common public attribution ; common public attribution licen[cs]e(?: (?:version |v )?1 0)?
+cpal-1.0 ; 70 ; common public attribution ; common public attribution licen[cs]e(?: (?:version |v )?v?1 0)?
 cc-by-nc-nd-4.0 ; 90 ; cc by ; cc by nc nd 4(?: 0)?
 cc-by-nc-nd-3.0 ; 90 ; cc by ; cc by nc nd 3(?: 0)?
 cc-by-nc-nd ; 85 ; cc by ; cc by nc nd(?: 2 5| 2 0| 1 0)?
@@ -111,7 +111,7 @@ cc-by-3.0 ; 78 ; cc by ; cc by 3(?: 0)?
 cc-by-2.0 ; 78 ; cc by ; cc by 2(?: [05])?
 cc-by-any ; 70 ; cc by ; cc by
 cc0-1.0 ; 80 ; cc0 ; cc0(?: 1 0)?(?: universal)?
-cc0-1.0 ; 80 ; creative commons zero ; creative commons zero(?: (?:version |v )?1 0)?(?: universal)?
+cc0-1.0 ; 80 ; creative commons zero ; creative commons zero(?: (?:version |v )?v?1 0)?(?: universal)?
 cc-pdm ; 70 ; public domain mark ; (?:creative commons )?public domain mark(?: 1 0)?
 cc-by-nc-nd ; 85 ; creative commons ; creative commons (?:attribution|by) non ?commercial no ?deriv(?:ative)?s?(?: works)?(?: [1-4] [05])?
 cc-by-nc-sa ; 85 ; creative commons ; creative commons (?:attribution|by) non ?commercial share ?alike(?: [1-4] [05])?
@@ -135,16 +135,16 @@ public-domain ; 60 ; public domain ; (?:placed|dedicated|released|put|is) (?:in|
 public-domain ; 40 ; public domain ; public domain(?: dedication)?
 wtfpl ; 80 ; do what the ; do what the f[a-z]* you want to public licen[cs]e(?: version 2)?
 wtfpl ; 60 ; wtfpl ; wtfpl
-artistic-2.0 ; 80 ; artistic licen ; artistic licen[cs]e (?:version |v )?2(?: 0)?
-artistic-1.0 ; 80 ; artistic licen ; artistic licen[cs]e (?:version |v )?1(?: 0)?
+artistic-2.0 ; 80 ; artistic licen ; artistic licen[cs]e (?:version |v )?v?2(?: 0)?
+artistic-1.0 ; 80 ; artistic licen ; artistic licen[cs]e (?:version |v )?v?1(?: 0)?
 artistic-any ; 70 ; artistic licen ; (?:the )?(?:perl )?artistic licen[cs]e
 perl ; 60 ; perl itself ; under the same terms as perl itself
-psf-2.0 ; 80 ; python software foundation ; python software foundation licen[cs]e(?: (?:version |v )?2)?
+psf-2.0 ; 80 ; python software foundation ; python software foundation licen[cs]e(?: (?:version |v )?v?2)?
 psf-any ; 60 ; psf licen ; psf licen[cs]e
 cnri-python ; 70 ; cnri ; cnri (?:open source )?(?:python )?licen[cs]e
-boost-1.0 ; 80 ; boost software ; boost software licen[cs]e(?: (?:version |v )?1 0)?
+boost-1.0 ; 80 ; boost software ; boost software licen[cs]e(?: (?:version |v )?v?1 0)?
 boost-1.0 ; 60 ; bsl 1 0 ; bsl 1 0
-ofl-1.1 ; 80 ; open font ; (?:sil )?open font licen[cs]e(?: (?:version |v )?1 1)?
+ofl-1.1 ; 80 ; open font ; (?:sil )?open font licen[cs]e(?: (?:version |v )?v?1 1)?
 ofl-1.1 ; 50 ; ofl ; ofl 1 1
 openssl ; 70 ; openssl licen ; openssl licen[cs]e
 ssleay ; 70 ; ssleay ; (?:original )?ssleay licen[cs]e
@@ -152,54 +152,54 @@ postgresql ; 70 ; postgresql licen ; postgresql licen[cs]e
 ms-pl ; 80 ; microsoft public ; microsoft public licen[cs]e(?: ms pl)?
 ms-rl ; 80 ; microsoft reciprocal ; microsoft reciprocal licen[cs]e(?: ms rl)?
 ms-eula ; 60 ; end user ; (?:microsoft )?end user licen[cs]e agreement
-eupl-1.2 ; 80 ; european union public ; european union public licen[cs]e (?:version |v )?1 2
-eupl-1.1 ; 80 ; european union public ; european union public licen[cs]e (?:version |v )?1 1
+eupl-1.2 ; 80 ; european union public ; european union public licen[cs]e (?:version |v )?v?1 2
+eupl-1.1 ; 80 ; european union public ; european union public licen[cs]e (?:version |v )?v?1 1
 eupl-any ; 70 ; european union public ; european union public licen[cs]e
 eupl-any ; 50 ; eupl ; eupl(?: v?1 [12])?
-cecill-2.1 ; 80 ; cecill ; cecill (?:free software )?(?:licen[cs]e )?(?:agreement )?(?:version |v )?2 1
+cecill-2.1 ; 80 ; cecill ; cecill (?:free software )?(?:licen[cs]e )?(?:agreement )?(?:version |v )?v?2 1
 cecill-b ; 80 ; cecill ; cecill b(?: licen[cs]e)?
 cecill-c ; 80 ; cecill ; cecill c(?: licen[cs]e)?
 cecill-any ; 60 ; cecill ; cecill(?: licen[cs]e)?
 licence-ouverte ; 70 ; licence ouverte ; licence ouverte(?: etalab)?(?: 2 0)?
 etalab ; 70 ; etalab ; etalab (?:open )?licen[cs]e(?: 2 0)?
-busl-1.1 ; 80 ; business source ; business source licen[cs]e(?: (?:version |v )?1 1)?
-sspl-1.0 ; 80 ; server side public ; server side public licen[cs]e(?: (?:version |v )?1(?: 0)?)?
-elastic-2.0 ; 80 ; elastic licen ; elastic licen[cs]e(?: (?:version |v )?2 0)?
+busl-1.1 ; 80 ; business source ; business source licen[cs]e(?: (?:version |v )?v?1 1)?
+sspl-1.0 ; 80 ; server side public ; server side public licen[cs]e(?: (?:version |v )?v?1(?: 0)?)?
+elastic-2.0 ; 80 ; elastic licen ; elastic licen[cs]e(?: (?:version |v )?v?2 0)?
 commons-clause ; 80 ; commons clause ; commons clause(?: licen[cs]e)?(?: condition)?
 polyform-nc ; 80 ; polyform ; polyform noncommercial licen[cs]e(?: 1 0 0)?
 polyform-any ; 70 ; polyform ; polyform (?:small business|shield|strict|perimeter|internal use) licen[cs]e
-odbl-1.0 ; 80 ; open database ; (?:odc )?open database licen[cs]e(?: odbl)?(?: (?:version |v )?1 0)?
+odbl-1.0 ; 80 ; open database ; (?:odc )?open database licen[cs]e(?: odbl)?(?: (?:version |v )?v?1 0)?
 odbl-1.0 ; 60 ; odbl ; odbl(?: 1 0)?
-odc-by-1.0 ; 80 ; open data commons ; open data commons (?:by|attribution)(?: licen[cs]e)?(?: (?:version |v )?1 0)?
-odc-by-1.0 ; 80 ; odc ; odc (?:by|attribution)(?: licen[cs]e)?(?: (?:version |v )?1 0)?
+odc-by-1.0 ; 80 ; open data commons ; open data commons (?:by|attribution)(?: licen[cs]e)?(?: (?:version |v )?v?1 0)?
+odc-by-1.0 ; 80 ; odc ; odc (?:by|attribution)(?: licen[cs]e)?(?: (?:version |v )?v?1 0)?
 pddl-1.0 ; 80 ; public domain dedication ; (?:odc )?public domain dedication and licen[cs]e(?: 1 0)?
 cdla-permissive ; 80 ; community data license ; community data license agreement permissive(?: (?:version )?[12] 0)?
 cdla-sharing ; 80 ; community data license ; community data license agreement sharing(?: (?:version )?1 0)?
-ogl-uk-3.0 ; 80 ; open government ; open government licen[cs]e (?:version |v )?3(?: 0)?
-ogl-uk-2.0 ; 80 ; open government ; open government licen[cs]e (?:version |v )?2(?: 0)?
+ogl-uk-3.0 ; 80 ; open government ; open government licen[cs]e (?:version |v )?v?3(?: 0)?
+ogl-uk-2.0 ; 80 ; open government ; open government licen[cs]e (?:version |v )?v?2(?: 0)?
 ogl-any ; 70 ; open government ; open government licen[cs]e
 dl-de-by-2.0 ; 80 ; datenlizenz deutschland ; datenlizenz deutschland namensnennung(?: version)?(?: 2 0)?
 dl-de-zero-2.0 ; 80 ; datenlizenz deutschland ; datenlizenz deutschland zero(?: version)?(?: 2 0)?
 ruby ; 70 ; ruby ; ruby(?: s)? licen[cs]e
-php-3.01 ; 80 ; php licen ; php licen[cs]e (?:version |v )?3 0?1
+php-3.01 ; 80 ; php licen ; php licen[cs]e (?:version |v )?v?3 0?1
 php-any ; 70 ; php licen ; php licen[cs]e
-zend-2.0 ; 70 ; zend ; zend (?:engine )?licen[cs]e(?: (?:version |v )?2 0)?
-lppl-1.3c ; 80 ; project public ; latex project public licen[cs]e (?:version |v )?1 3[abc]?
+zend-2.0 ; 70 ; zend ; zend (?:engine )?licen[cs]e(?: (?:version |v )?v?2 0)?
+lppl-1.3c ; 80 ; project public ; latex project public licen[cs]e (?:version |v )?v?1 3[abc]?
 lppl-any ; 70 ; project public ; latex project public licen[cs]e
-zpl-2.1 ; 70 ; zope public ; zope public licen[cs]e(?: (?:version |v )?2 [01])?
+zpl-2.1 ; 70 ; zope public ; zope public licen[cs]e(?: (?:version |v )?v?2 [01])?
 w3c ; 70 ; w3c ; w3c (?:software (?:notice )?(?:and )?(?:document )?)?licen[cs]e
 ncsa ; 70 ; ncsa ; (?:university of illinois )?ncsa (?:open source )?licen[cs]e
-afl-3.0 ; 80 ; academic free ; academic free licen[cs]e (?:version |v )?3(?: 0)?
+afl-3.0 ; 80 ; academic free ; academic free licen[cs]e (?:version |v )?v?3(?: 0)?
 afl-any ; 70 ; academic free ; academic free licen[cs]e
-osl-3.0 ; 80 ; open software licen ; open software licen[cs]e (?:version |v )?3(?: 0)?
+osl-3.0 ; 80 ; open software licen ; open software licen[cs]e (?:version |v )?v?3(?: 0)?
 osl-any ; 70 ; open software licen ; open software licen[cs]e
-qpl-1.0 ; 70 ; q public ; q public licen[cs]e(?: (?:version |v )?1 0)?
+qpl-1.0 ; 70 ; q public ; q public licen[cs]e(?: (?:version |v )?v?1 0)?
 sleepycat ; 70 ; sleepycat ; sleepycat licen[cs]e
 vim ; 70 ; vim licen ; vim licen[cs]e
 json ; 60 ; for good not evil ; the software shall be used for good not evil
 beerware ; 70 ; beer ; (?:the )?beer ?ware licen[cs]e
 blueoak-1.0.0 ; 80 ; blue oak ; blue oak model licen[cs]e(?: 1 0 0)?
-upl-1.0 ; 80 ; universal permissive ; universal permissive licen[cs]e(?: (?:version |v )?1 0)?
+upl-1.0 ; 80 ; universal permissive ; universal permissive licen[cs]e(?: (?:version |v )?v?1 0)?
 ntp ; 70 ; ntp licen ; ntp licen[cs]e
 icu ; 70 ; icu licen ; icu licen[cs]e
 unicode-3.0 ; 70 ; unicode ; unicode (?:inc )?licen[cs]e (?:agreement|v3|version 3)
@@ -208,9 +208,9 @@ ijg ; 70 ; independent jpeg group ; (?:the )?independent jpeg group(?: s)?(?: li
 ftl ; 70 ; freetype ; freetype (?:project )?licen[cs]e
 bzip2 ; 70 ; bzip2 ; bzip2 licen[cs]e
 info-zip ; 70 ; info zip ; info zip licen[cs]e
-apsl-2.0 ; 80 ; apple public source ; apple public source licen[cs]e(?: (?:version |v )?[12] [012])?
+apsl-2.0 ; 80 ; apple public source ; apple public source licen[cs]e(?: (?:version |v )?v?[12] [012])?
 rpl-1.5 ; 70 ; reciprocal public ; reciprocal public licen[cs]e(?: 1 [15])?
-sgi-b-2.0 ; 70 ; sgi free software ; sgi free software licen[cs]e b(?: (?:version |v )?[12] [01])?
+sgi-b-2.0 ; 70 ; sgi free software ; sgi free software licen[cs]e b(?: (?:version |v )?v?[12] [01])?
 intel ; 70 ; intel ; intel (?:open source|simplified software) licen[cs]e
 nasa-1.3 ; 70 ; nasa open source ; nasa open source agreement(?: 1 3)?
 lal-1.3 ; 70 ; art libre ; (?:licence|license) art libre(?: 1 [23])?
@@ -221,15 +221,15 @@ watcom-1.0 ; 70 ; watcom ; (?:sybase )?open watcom public licen[cs]e(?: 1 0)?
 multics ; 70 ; multics ; multics licen[cs]e
 motosoto ; 70 ; motosoto ; motosoto open source licen[cs]e
 nokia ; 70 ; nokia open source ; nokia open source licen[cs]e
-ecl-2.0 ; 80 ; educational community ; educational community licen[cs]e(?: (?:version |v )?[12] 0)?
+ecl-2.0 ; 80 ; educational community ; educational community licen[cs]e(?: (?:version |v )?v?[12] 0)?
 entessa ; 70 ; entessa ; entessa public licen[cs]e
 frameworx ; 70 ; frameworx ; frameworx open licen[cs]e
 hpnd ; 60 ; historical permission ; historical permission notice and disclaimer
-lpl-1.02 ; 70 ; lucent public ; lucent public licen[cs]e(?: (?:version |v )?1 0?2?)?
+lpl-1.02 ; 70 ; lucent public ; lucent public licen[cs]e(?: (?:version |v )?v?1 0?2?)?
 naumen ; 70 ; naumen ; naumen public licen[cs]e
 ospl ; 70 ; openldap public ; openldap public licen[cs]e(?: 2 8)?
 catosl ; 70 ; computer associates ; computer associates trusted open source licen[cs]e
-spl-1.0 ; 70 ; sun public ; sun public licen[cs]e(?: (?:version |v )?1 0)?
+spl-1.0 ; 70 ; sun public ; sun public licen[cs]e(?: (?:version |v )?v?1 0)?
 sissl ; 70 ; sun industry standards ; sun industry standards source licen[cs]e
 openrail-m ; 80 ; rail ; (?:bigscience |creativeml )?open ?rail(?: m| s| ms)?(?: licen[cs]e)?
 llama-community ; 70 ; community license agreement ; llama [0-9]+(?: [0-9]+)? community license agreement
