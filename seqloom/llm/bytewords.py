@@ -16,7 +16,7 @@ _CODE[0x41:0x5B] = _CODE[0x61:0x7B]  # A-Z as a-z
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C15
-_STEP = 1 << 20
+_STEP = 1 << 15
 
 
 def _powers(base: int, n: int) -> np.ndarray:

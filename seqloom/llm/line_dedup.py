@@ -17,7 +17,7 @@ Counts come from all texts. Words are read off whole buffers; lists of a frequen
 no list is held whole; each partition deals a set once however often the line occurs.
 
 Defined results: null texts are empty (one line, blank, kept); null keys stand after all others; rows of equal key and
-text are one document and get the same result; words are told apart by 64 bits of hash, sets by 64.
+text are one document and get the same result; words are told apart by 40 bits of hash within the join, sets by 64.
 """
 
 from __future__ import annotations
@@ -41,7 +41,8 @@ BROADCAST_ROWS = 500_000
 DENSE, CELL_SETS, CELL_WORDS = 48, 1024, 1_500_000
 LAST = 2**63 - 1
 _U = np.uint64
-_LEVEL_BITS = 6
+_LEVEL_BITS, _WORD_BITS = 6, 40
+_WORD = _U((1 << 40) - 1)
 
 
 def line_words(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -58,19 +59,27 @@ def line_words(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 def ordered_sets(h: np.ndarray, line: np.ndarray, level: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct words of each line, rarest first: (line, word); a word carries its level in its top bits."""
-    w = h >> _U(_LEVEL_BITS)
+    """Distinct words of each line, rarest first: (line, word); a word is 40 bits of hash below its level.
+
+    ``line`` ascends. Line and word share one number, which is sorted by value; runs of more lines than fit sort by keys.
+    """
+    w = h >> _U(64 - _WORD_BITS)
     if level is not None:
-        w = w | (level[(h >> _U(64 - 22)).astype(np.int64)].astype(_U) << _U(64 - _LEVEL_BITS))
-    order = np.lexsort((w, line))
-    w, line = w[order], line[order]
-    new = np.concatenate([[True], (w[1:] != w[:-1]) | (line[1:] != line[:-1])]) if len(w) else np.zeros(0, bool)
-    return line[new], w[new]
+        w = w | (level[(h >> _U(64 - 22)).astype(np.int64)].astype(_U) << _U(_WORD_BITS))
+    if len(line) and int(line[-1]) >= 1 << (64 - _WORD_BITS - _LEVEL_BITS):
+        order = np.lexsort((w, line))
+        w, line = w[order], line[order]
+        new = np.concatenate([[True], (w[1:] != w[:-1]) | (line[1:] != line[:-1])])
+        return line[new], w[new]
+    x = line.astype(_U) << _U(_WORD_BITS + _LEVEL_BITS) | w
+    x.sort()
+    x = x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+    return (x >> _U(_WORD_BITS + _LEVEL_BITS)).astype(np.int64), x & _U((1 << (_WORD_BITS + _LEVEL_BITS)) - 1)
 
 
 def set_keys(line: np.ndarray, w: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray]:
     """Key of each line's set (order does not matter) and its size; size 0: no words."""
-    m = mix(w & _U((1 << (64 - _LEVEL_BITS)) - 1))
+    m = mix(w & _WORD)
     size = np.bincount(line, minlength=lines)
     total = np.concatenate([np.zeros(1, _U), np.cumsum(m, dtype=_U)])
     ends = np.cumsum(size)
@@ -84,7 +93,7 @@ def overlap_needed(a, b, least: float = LEAST):
 
 def sketches(line: np.ndarray, w: np.ndarray, lines: int) -> np.ndarray:
     """32 buckets of words, the words of each counted modulo 16: two 64-bit numbers a line."""
-    bucket = (mix((w & _U((1 << (64 - _LEVEL_BITS)) - 1)) ^ _U(0xABCD)) & _U(31)).astype(np.int64)
+    bucket = (mix((w & _WORD) ^ _U(0xABCD)) & _U(31)).astype(np.int64)
     n = np.bincount(line * 32 + bucket, minlength=lines * 32).reshape(lines, 2, 16) & 15
     return (n.astype(_U) << (np.arange(16, dtype=_U) * _U(4))).sum(2, dtype=_U)
 
@@ -103,14 +112,14 @@ def postings(line: np.ndarray, w: np.ndarray, key: np.ndarray, size: np.ndarray,
     start = np.cumsum(size) - size
     position = np.arange(len(w)) - start[line]
     prefix = size - np.ceil(least * size - 1e-9).astype(np.int64) + 1
-    level = w >> _U(64 - _LEVEL_BITS)
+    level = w >> _U(_WORD_BITS)
     on = take[line] & (size[line] >= 4) & (position < prefix[line]) & (level > 0)
     at = line[on]
     return w[on], key[at], size[at], position[on], sketches(line, w, len(size))[at]
 
 
-def candidates(cell: np.ndarray, key: np.ndarray, size: np.ndarray, position: np.ndarray, sketch: np.ndarray, chunk: np.ndarray, cross: np.ndarray, least: float = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of set keys that the bounds leave, among postings of the same cell."""
+def candidates(cell: np.ndarray, key: np.ndarray, size: np.ndarray, position: np.ndarray, sketch: np.ndarray, chunk: np.ndarray, cross: np.ndarray, least: float = LEAST, forest_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of set keys that the bounds leave, among postings of the same cell; or some that join the same sets."""
     order = np.lexsort((key, size, cell))
     cell, key, size, position, sketch, chunk, cross = (x[order] for x in (cell, key, size, position, sketch, chunk, cross))
     if len(cell):
@@ -130,6 +139,9 @@ def candidates(cell: np.ndarray, key: np.ndarray, size: np.ndarray, position: np
         if len(ok):
             a_out.append(key[i[ok]])
             b_out.append(key[j[ok]])
+            if forest_only and sum(map(len, a_out)) > 300_000:  # a long list's pairs are not held
+                a, b = forest(np.concatenate(a_out), np.concatenate(b_out))
+                a_out, b_out = [a], [b]
     if not a_out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(a_out), np.concatenate(b_out)
@@ -266,7 +278,7 @@ def clusters(d: DataFrame, level: np.ndarray, least: float) -> DataFrame:
             take[fresh] = True
             seen.update(key[fresh].tolist())
             w, k, n, p, sk = postings(line, w, key, size, take, least)
-            lv = (w >> _U(64 - _LEVEL_BITS)).astype(np.int64)
+            lv = (w >> _U(_WORD_BITS)).astype(np.int64)
             cuts = np.where(lv < LONG_LEVEL, 1, np.minimum(MAX_CUTS, 1 << np.clip(lv - LONG_LEVEL + 1, 0, 30)))
             chunk = (mix(k.view(_U)) % cuts.astype(_U)).astype(np.int64)
             at = np.repeat(np.arange(len(w)), cuts)
@@ -284,7 +296,7 @@ def clusters(d: DataFrame, level: np.ndarray, least: float) -> DataFrame:
             c = {x: t[x].to_numpy() for x in t.column_names}
             meta = c["meta"]
             sk = np.stack([c["s1"], c["s2"]], 1).view(_U)
-            u, v = forest(*candidates(c["cell"], c["line_set"], meta >> 36, meta >> 8 & (1 << 28) - 1, sk, meta >> 1 & 127, (meta & 1).astype(bool), least))
+            u, v = forest(*candidates(c["cell"], c["line_set"], meta >> 36, meta >> 8 & (1 << 28) - 1, sk, meta >> 1 & 127, (meta & 1).astype(bool), least, True))
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     p = d.select("text").mapInArrow(deal, _POSTING).repartition("cell").sortWithinPartitions("cell")
@@ -373,7 +385,7 @@ def marks(docs: DataFrame, key: str, text: str, least: float = LEAST) -> DataFra
     of = classes.join(similar, "line_set", "left").filter("n > 1 OR links IS NOT NULL")
     of = written(of.select("line_set", F.least("first", "other").alias("earliest"), F.coalesce("links", F.lit(0)).alias("links")), "earliest")
     hit = lines.join(of, "line_set").withColumn("goes", at > F.col("earliest"))
-    return hit.groupBy("id", "k1").agg(F.array_sort(F.collect_set(F.when(F.col("goes"), F.col("number")))).alias("removed"), F.sum("links").alias("n_links"))
+    return hit.groupBy("id", "k1").agg(F.array_sort(F.collect_set(F.when(F.col("goes"), F.col("number")))).alias("removed"), (F.sum("links") * F.size(F.collect_set("number")) / F.count("*")).cast("long").alias("n_links"))  # of repeated rows one counts
 
 
 def dedup(docs: DataFrame, key: str, text: str, least: float = LEAST) -> DataFrame:
