@@ -9,13 +9,28 @@ from pyspark.sql.window import Window
 from ..functions.columns import canonical_chrom
 
 
-def merge_bed(iv: DataFrame, by: tuple[str, ...] = ("chrom",)) -> DataFrame:
-    """Overlapping and book-ended intervals become one."""
-    w = Window.partitionBy(*by).orderBy("start", "end")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.coalesce((F.col("start") > reach).cast("int"), F.lit(1))
-    d = iv.withColumn("new", new).withColumn("block", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return d.groupBy(*by, "block").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n")).drop("block")
+#: Positions of a tile in which intervals are ordered.
+TILE = 1 << 20
+
+
+def merge_bed(iv: DataFrame, by: tuple[str, ...] = ("chrom",), tile: int = TILE) -> DataFrame:
+    """Overlapping and book-ended intervals become one.
+
+    Intervals are ordered within tiles of their start. What reaches into a tile from before it, the furthest end and the
+    start of the open block, is carried over from the tiles' summaries (a row a tile), so a crowded chrom is many tasks.
+    """
+    d = iv.select(*by, "start", "end").withColumn("tile", F.floor(F.col("start") / tile).cast("long"))
+    along = Window.partitionBy(*by).orderBy("tile").rowsBetween(Window.unboundedPreceding, -1)
+    keys = [*by, "tile"]
+    reach = d.groupBy(*keys).agg(F.max("end").alias("top")).withColumn("far", F.max("top").over(along)).drop("top")
+    w = Window.partitionBy(*keys).orderBy("start", "end")
+    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    d = d.join(reach, keys).withColumn("reach", F.greatest("far", before))  # greatest skips nulls
+    d = d.withColumn("opens", F.when(F.col("reach").isNull() | (F.col("start") > F.col("reach")), F.col("start")))
+    last = d.groupBy(*keys).agg(F.max("opens").alias("m")).withColumn("open_before", F.last("m", ignorenulls=True).over(along)).drop("m")
+    own = F.last("opens", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    d = d.withColumn("own", own).join(last, keys).withColumn("block", F.coalesce("own", "open_before"))
+    return d.groupBy(*by, "block").agg(F.max("end").alias("end"), F.count("*").alias("n")).withColumnRenamed("block", "start").select(*by, "start", "end", "n")
 
 
 def _bucketed(iv: DataFrame, size: int) -> DataFrame:

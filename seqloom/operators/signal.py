@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import not_nan, z_cutoff
 
+#: Bins of a tile in which runs are merged before a track's tiles are joined.
+TILE_BINS = 4096
 CONSERVED, NEUTRAL, ACCELERATED = "conserved", "neutral", "accelerated"
 
 
@@ -35,20 +37,35 @@ def classify(b: DataFrame, p: float = 0.1, z: float | None = None, ddof: int = 1
     return b.join(stats, list(by)).withColumn("category", three_way(F.col("binned_score"), F.col("mu"), F.coalesce("sd", F.lit(0.0)), z_cutoff(p) if z is None else z)).withColumn("is_important", F.col("category") != NEUTRAL)
 
 
-def merge_adjacent(b: DataFrame) -> DataFrame:
-    """Runs of touching bins of one category become one segment."""
-    w = Window.partitionBy("chrom", "category").orderBy("genomic_start")
+def merge_adjacent(b: DataFrame, tile: int | None = None) -> DataFrame:
+    """Runs of touching bins of one category become one segment.
+
+    With ``tile`` (positions) a long track is cut: runs are merged within tiles, and only runs that reach a tile's edge,
+    two a tile at most, are merged along the track. No task orders a track.
+    """
+    if tile is None:
+        return _runs(b, ["chrom", "category"])
+    t = F.floor(F.col("genomic_start") / tile).cast("long")
+    part = _runs(b.select("chrom", "category", "genomic_start", "genomic_end", t.alias("tile")), ["chrom", "category", "tile"])
+    lo = F.col("tile") * tile
+    edge = (F.col("genomic_start") <= lo) | (F.col("genomic_end") >= lo + tile)
+    whole = part.filter(~edge).drop("tile")
+    return whole.unionByName(_runs(part.filter(edge).drop("tile"), ["chrom", "category"]))
+
+
+def _runs(b: DataFrame, by: list[str]) -> DataFrame:
+    w = Window.partitionBy(*by).orderBy("genomic_start")
     new = F.coalesce((F.col("genomic_start") != F.lag("genomic_end").over(w)).cast("int"), F.lit(1))
     return (
         b.withColumn("new", new).withColumn("block", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("chrom", "category", "block").agg(F.min("genomic_start").alias("genomic_start"), F.max("genomic_end").alias("genomic_end"))
-        .select("chrom", "genomic_start", "genomic_end", "category")
+        .groupBy(*by, "block").agg(F.min("genomic_start").alias("genomic_start"), F.max("genomic_end").alias("genomic_end"))
+        .select(*(c for c in by if c != "category"), "genomic_start", "genomic_end", "category")
     )
 
 
 def segments(track: DataFrame, size: int, p: float = 0.1) -> DataFrame:
     """The stratification query: bins, classes, merged segments of all categories."""
-    return merge_adjacent(classify(bins(track, size), p))
+    return merge_adjacent(classify(bins(track, size), p), TILE_BINS * size)
 
 
 # --- window diagnostics

@@ -268,3 +268,17 @@ def test_mask_rates(spark):
     m = d.select(F.explode(K.mask(F.col("ids"), F.col("id"), 4, 5000, [11])).alias("m")).select("m.*").collect()
     hit = [x for x in m if x.label != -100]
     assert abs(len(hit) / len(m) - 0.15) < 0.01 and abs(sum(x.id == 4 for x in hit) / len(hit) - 0.8) < 0.03 and all(x.label != 11 for x in hit)
+
+
+def test_tiles_change_nothing(spark):
+    r = random.Random(9)
+    iv = [(r.choice("ab"), s := r.randrange(400), s + r.choice([1, 3, 10, 150])) for _ in range(120)]
+    d = spark.createDataFrame(iv, "chrom string, start long, end long")
+    want = sorted(map(tuple, I.merge_bed(d, tile=10**6).collect()))
+    assert sum(x[3] for x in want) == 120
+    for t in (1, 7, 64):
+        assert sorted(map(tuple, I.merge_bed(d, tile=t).collect())) == want
+    b = spark.createDataFrame([("c", i * 10, i * 10 + 10, "ab"[(i // 7) % 2]) for i in range(100) if i % 13], "chrom string, genomic_start long, genomic_end long, category string")
+    runs = sorted(map(tuple, S.merge_adjacent(b).collect()))
+    for t in (10, 30, 250):
+        assert sorted(map(tuple, S.merge_adjacent(b, t).collect())) == runs
