@@ -123,7 +123,7 @@ def interval_validation(spark, sf_dir):
 # --- window diagnostics
 SIZES = [3600, 7200, 21_600, 86_400]
 GRIDS = f"""{SIGNAL}, en AS (SELECT chrom, min(s) AS origin, max(e) AS stop FROM signal GROUP BY chrom),
-ev AS (SELECT chrom, origin, w, (stop - origin) // w AS n FROM en, (SELECT unnest({SIZES}) AS w)),
+ev AS (SELECT chrom, origin, w, (stop - origin) // w AS n FROM en, (SELECT unnest(CAST({SIZES} AS BIGINT[])) AS w)),
 sl AS (SELECT chrom, w, unnest(range(0, n)) AS idx FROM ev WHERE n > 0),
 mn AS (SELECT ev.chrom, ev.w, (s - origin) // w AS idx, avg(score) AS mean FROM signal JOIN ev ON signal.chrom = ev.chrom AND (s - origin) // w < n GROUP BY ALL),
 grid AS (SELECT sl.chrom, sl.w AS "window", sl.idx, mean FROM sl LEFT JOIN mn ON sl.chrom = mn.chrom AND sl.w = mn.w AND sl.idx = mn.idx)"""
