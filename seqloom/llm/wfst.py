@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 META = "▁"
 #: Bounds of a worker's memory of runs and of neighbouring pieces; what is beyond is worked out again.
-RUNS, PAIRS = 400_000, 400_000
+RUNS, PAIRS = 600_000, 400_000
 SCHEMA = "key long, ids array<int>, n_tokens int, decoded string, round_trip boolean"
 
 UNIGRAM, BPE = 1, 2
@@ -117,6 +117,9 @@ class Machine:
         self.fallback_cost = 10.0 - min(self.scores, default=0.0)
         raw = {i: b for b, i in self.bytes_of.items()}
         self.text_of = [bytes([raw[i]]) if i in raw else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(META, " ").encode() for i, (p, k) in enumerate(zip(self.pieces, kinds, strict=True))]
+        self.text_size = np.array([len(t) for t in self.text_of])
+        self.text_start = np.cumsum(self.text_size) - self.text_size
+        self.text_bytes = np.frombuffer(b"".join(self.text_of), np.uint8)
         if any(META in p.lstrip(META) for p in self.ids):  # then nothing can be cut
             self.run = re.compile(r"[\s\S]+")
         elif any("\n" in p and len(p) > 1 for p in self.ids):
@@ -200,19 +203,20 @@ class Machine:
         A prefix has one encoding, so a position that was left without success is not entered again: the search is
         linear in the run. Characters without a piece are fallback arcs that join anything.
         """
-        n, pre, joins, longest = len(s), self.prefixes, self.joins, self.longest
+        n, get, joins, longest = len(s), self.prefixes.get, self.joins, self.longest
+        known = self.pairs.new.get
         at, prev, out, ends = 0, -1, [], []
         tried = bytearray(n + 1)
         open_: list[list[tuple[int, int]]] = []  # arcs not yet tried, of each position on the path
         while at < n:
             arcs = []
             for e in range(at + 1, min(n, at + longest) + 1):
-                p = pre.get(s[at:e])
+                p = get(s[at:e])
                 if p is None:
                     break
                 if p >= 0:
                     arcs.append((e, p))
-            if not arcs and pre.get(s[at]) is None:
+            if not arcs and get(s[at]) is None:
                 out.append(-1 - at)
                 ends.append(at + 1)
                 open_.append([])
@@ -221,7 +225,10 @@ class Machine:
             while True:
                 while arcs:
                     e, p = arcs.pop()
-                    if not tried[e] and joins(prev, p):
+                    if tried[e]:
+                        continue
+                    ok = known(prev * 1_048_576 + p)
+                    if ok or ok is None and joins(prev, p):
                         break
                 else:  # dead end: back to the arc before
                     if not out:
@@ -280,7 +287,9 @@ class Machine:
         return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
-        b = b"".join(map(self.text_of.__getitem__, ids.tolist()))
+        n = self.text_size[ids]
+        at = np.repeat(self.text_start[ids] - (np.cumsum(n) - n), n)
+        b = self.text_bytes[at + np.arange(len(at))].tobytes()
         if self.dummy and b[:1] == b" ":
             b = b[1:]
         return b.decode("utf-8", "replace")
@@ -312,7 +321,7 @@ def encode(docs: DataFrame, key: str, text: str, model: bytes) -> DataFrame:
                 back = [m.decode(i) for i in ids]
                 n = np.array([len(i) for i in ids], np.int32)
                 flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(ids) if ids else np.array([], np.int32)))
-                same = [d == (m.normalise(t or "").replace(META, " ")[m.dummy :]) for d, t in zip(back, texts, strict=True)]
+                same = [d == t or d == m.normalise(t or "").replace(META, " ")[m.dummy :] for d, t in zip(back, texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), flat, pa.array(n), pa.array(back, pa.string()), pa.array(same, pa.bool_())], ["key", "ids", "n_tokens", "decoded", "round_trip"])
 
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCHEMA)
