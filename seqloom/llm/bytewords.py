@@ -75,10 +75,10 @@ def words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
             np.cumsum(_CODE[data[lo:hi]] * _POW[: hi - lo], out=total[1:])
             h[at:to] = (total[e[at:to] - lo] - total[s[at:to] - lo]) * _INV[s[at:to] - lo]
         else:  # one word longer than a step
-            v = _U(0)
+            v = np.zeros(1, _U)
             for p in range(lo, hi, _STEP):
                 c = _CODE[data[p : min(hi, p + _STEP)]]
-                v = mix(np.array([v + (c * _POW[: len(c)]).sum(dtype=_U)]))[0]
-            h[at] = v
+                v = mix(v + (c * _POW[: len(c)]).sum(dtype=_U))
+            h[at] = v[0]
         at = to
     return s, e, mix(h)
