@@ -3,8 +3,8 @@
 Features are indicators of word n-grams (1, 2) and of word-shape n-grams (1 to 3; case, last character, length,
 repetition of the word before), hashed to ``2**BITS``. Class log-count ratios r come from all labelled training rows.
 A linear hinge-loss model over the indicators scaled by r (rows of unit length) is fitted by dual coordinate descent
-on at most ``SAMPLE`` rows of each class, those of smallest key hash: the bound of the fit. A logistic curve over the
-margins, weighted to the classes' shares among all training rows, makes a score from 0 to 1.
+on at most ``SAMPLE`` rows of each class, those of smallest key hash: the bound of the fit. Equal rows of a key count
+once there, and a key's second row comes after the first rows of all sampled keys. A logistic curve over the margins, weighted to the classes' shares among all training rows, makes a score from 0 to 1.
 
 Texts are read once to count and once to score, and are not shuffled where the labels fit ``BROADCAST_ROWS``;
 beyond that labels and texts are joined by a shuffle, with the same result.
@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .runtime import written
 
@@ -152,36 +153,45 @@ def train(docs: DataFrame, key: str, text: str, labels: DataFrame, label_key: st
     lab = lab.withColumn("h", F.xxhash64(F.lit(SEED), "k"))
     cut = {}
     for y in (0, 1):
-        rows = lab.filter(F.col("y") == y).select("h").orderBy("h").limit(SAMPLE).agg(F.max("h"), F.count("*")).first()
+        rows = lab.filter(F.col("y") == y).select("h").distinct().orderBy("h").limit(SAMPLE).agg(F.max("h"), F.count("*")).first()
         if not rows[1]:
             return None
         cut[y] = rows[0]
-    lab = lab.withColumn("sampled", F.col("h") <= F.when(F.col("y") == 1, cut[1]).otherwise(cut[0])).drop("h")
+    lab = lab.withColumn("sampled", F.col("h") <= F.when(F.col("y") == 1, cut[1]).otherwise(cut[0]))
     if lab.count() <= BROADCAST_ROWS:
         lab = F.broadcast(lab)
-    d = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).join(lab, "k").select("t", "y", "sampled")
+    d = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).join(lab, "k").select("t", "y", "h", "sampled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, n, rows = _Words(), np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
+        import xxhash
+
+        words, n, rows, met = _Words(), np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64), set()
         for b in batches:
-            y, sampled = b.column("y").to_numpy(), b.column("sampled").to_numpy(zero_copy_only=False)
-            ys, fs = [], []
+            y, h, sampled = b.column("y").to_numpy(), b.column("h").to_numpy(), b.column("sampled").to_numpy(zero_copy_only=False)
+            ys, hs, fs = [], [], []
             for first, many, row, bucket in features(b.column("t").cast(pa.binary()).to_pylist(), words):
                 for c in (0, 1):
                     n[c] += np.bincount(bucket[y[first + row] == c], minlength=1 << BITS)
                 rows += np.bincount(y[first : first + many], minlength=2)
                 cuts = np.searchsorted(row, np.arange(many + 1))
                 for i in np.flatnonzero(sampled[first : first + many]):
-                    ys.append(int(y[first + i]))
-                    fs.append(bucket[cuts[i] : cuts[i + 1]].astype(np.int32).tobytes())
+                    f = bucket[cuts[i] : cuts[i + 1]].astype(np.int32).tobytes()
+                    one = (int(y[first + i]), int(h[first + i]), xxhash.xxh64_intdigest(f))
+                    if one not in met:
+                        if len(met) >= CACHE:
+                            met.clear()
+                        met.add(one)
+                        ys.append(one[0])
+                        hs.append(one[1])
+                        fs.append(f)
             if ys:
                 m = len(ys)
-                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(ys, pa.int32()), pa.array(fs, pa.binary())], ["bucket", "n0", "n1", "y", "f"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(ys, pa.int32()), pa.array(hs, pa.int64()), pa.array(fs, pa.binary())], ["bucket", "n0", "n1", "y", "h", "f"])
         some = np.flatnonzero(n.sum(0))
         cols = [pa.array(np.append(some, -1).astype(np.int32)), *(pa.array(np.append(n[c][some], rows[c])) for c in (0, 1))]
-        yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(some) + 1, pa.int32()), pa.nulls(len(some) + 1, pa.binary())], ["bucket", "n0", "n1", "y", "f"])
+        yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(some) + 1, pa.int32()), pa.nulls(len(some) + 1, pa.int64()), pa.nulls(len(some) + 1, pa.binary())], ["bucket", "n0", "n1", "y", "h", "f"])
 
-    got = written(d.mapInArrow(count, "bucket int, n0 long, n1 long, y int, f binary"), "ngrams")
+    got = written(d.mapInArrow(count, "bucket int, n0 long, n1 long, y int, h long, f binary"), "ngrams")
     sums = got.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()  # 2**BITS rows at most
     n, rows = np.zeros((2, 1 << BITS)), np.zeros(2)
     bucket = sums["bucket"].to_numpy()
@@ -189,7 +199,7 @@ def train(docs: DataFrame, key: str, text: str, labels: DataFrame, label_key: st
         v = sums[f"n{c}"].to_numpy()
         n[c][bucket[bucket >= 0]] = v[bucket >= 0]
         rows[c] = v[bucket == -1].sum()
-    sample = got.filter("y IS NOT NULL").select("y", "f", F.xxhash64("f").alias("h")).orderBy("y", "h").limit(2 * SAMPLE + 1000).toArrow()  # ties on the hash of a key
+    sample = pa.concat_tables(fit_rows(got, c).toArrow() for c in (0, 1))
     y = np.where(sample["y"].to_numpy() == 1, 1.0, -1.0)
     if rows.min() == 0 or len(set(y)) < 2:
         return None
@@ -208,6 +218,13 @@ def train(docs: DataFrame, key: str, text: str, labels: DataFrame, label_key: st
     return Model(w, b, ratio, *logistic(m, (y > 0).astype(float), share / share.sum() * len(y)))
 
 
+def fit_rows(got: DataFrame, y: int) -> DataFrame:
+    """At most ``SAMPLE`` different rows of one class: the first of each key by key hash, then the second ones, and so on."""
+    d = got.filter(F.col("y") == y).groupBy("h", F.xxhash64("f").alias("fh")).agg(F.first("f").alias("f"))
+    turn = F.row_number().over(Window.partitionBy("h").orderBy("fh"))
+    return d.withColumn("turn", turn).orderBy("turn", "h", "fh").limit(SAMPLE).orderBy("fh", "h").select(F.lit(y).alias("y"), "f")
+
+
 def score(docs: DataFrame, key: str, text: str, model: Model | None, *more: str | Column) -> DataFrame:
     """Adds ``quality_score`` to key and ``more`` columns."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # two arrays of 2**BITS doubles

@@ -110,6 +110,19 @@ def test_quality_on_odd_rows(spark, odd_docs, no_docs):
     assert quality.train(no_docs, "doc_id", "text", lab.limit(0), "doc_id", "quality") is None and quality.score(no_docs, "doc_id", "text", m).count() == 0
 
 
+def test_copies_of_one_class_leave_the_other_in_the_fit(spark):
+    """A key of class 0 that occurs 10,000 times, beside 4,000 keys of class 0 and 30 of class 1."""
+    rows = [(i, f"good words number {i}" if i < 30 else f"Bad!! text {i} ***") for i in range(4030)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(i < 30)) for i, _ in rows], "doc_id long, quality int")
+    hot = lab.filter("quality = 0").orderBy(F.xxhash64(F.lit(quality.SEED), "doc_id")).first().doc_id
+    copies = spark.range(10_000).select(F.lit(hot).alias("doc_id"), F.concat(F.lit("Bad!! copy ***"), F.lit(" |"), F.col("id") % 7).alias("text"))
+    m = quality.train(docs.unionByName(copies), "doc_id", "text", lab, "doc_id", "quality")
+    assert m is not None
+    got = {r.doc_id: r.quality_score for r in quality.score(docs, "doc_id", "text", m).collect()}
+    assert min(got[i] for i in range(30)) > max(got[i] for i in range(30, 4030))
+
+
 # --- SentencePiece
 @pytest.fixture(scope="module")
 def piece():
