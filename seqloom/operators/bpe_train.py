@@ -1,18 +1,27 @@
 """BPE training: distributed pair counts, merges chosen on the driver.
 
-A word is its parts joined by blanks, so a merge is one linear, JVM-side replacement and a pair count one aggregate
-that is combined before the shuffle. Only the best pair reaches the driver.
+Equal sequences are counted once and kept as symbol arrays in blocks. A pass over the blocks applies a run of merges and
+gives back only by how much pair counts changed; the driver holds the pair counts (of the vocabulary squared at most).
+A run is as many of the next merges as provably don't meet: no merge of it changes the count of a later one or makes a
+pair that could come before it, so the result is that of one merge after the other.
 """
 
 from __future__ import annotations
 
-import re
+import tempfile
+import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .vocab import SPECIALS
 
+#: Symbols of a block.
+BLOCK = 1 << 19
+BLOCKS = "ids binary, cnt binary, k long, n long"
 
 def as_words(seqs: DataFrame, seq: str) -> DataFrame:
     """(parts, cnt): equal sequences counted once, letters apart."""
@@ -28,10 +37,145 @@ def pair_counts(words: DataFrame) -> DataFrame:
     return words.select(F.explode(pairs).alias("p"), "cnt").groupBy("p.l", "p.r").agg(F.sum("cnt").alias("n"))
 
 
-def merge(words: DataFrame, left: str, right: str) -> DataFrame:
-    """Joins every (left, right), from the left on."""
-    pattern = rf"(?<![^ ]){re.escape(left)} {re.escape(right)}(?![^ ])"
-    return words.withColumn("parts", F.regexp_replace("parts", pattern, left + right))
+def _sum(k: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(k, return_inverse=True)
+    out = np.zeros(len(keys), np.int64)
+    np.add.at(out, at, n)
+    return keys[out != 0], out[out != 0]
+
+
+def _pairs(ids: np.ndarray, cnt: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of the pairs that start ``at``; symbol 0 ends a word."""
+    at = at[(at >= 0) & (at < len(ids) - 1)]
+    at = at[(ids[at] != 0) & (ids[at + 1] != 0)]
+    w = np.ones(len(at), np.int64) if (cnt == 1).all() else cnt[np.searchsorted(np.flatnonzero(ids == 0), at)]
+    return _sum(ids[at].astype(np.int64) * size + ids[at + 1], w)
+
+
+def _merge(ids: np.ndarray, cnt: np.ndarray, keys: np.ndarray, made: np.ndarray, size: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Joins each pair of ``keys`` (sorted, none overlapping another) from the left on: new symbols, changed pair counts."""
+    left = np.zeros(size, bool)
+    left[keys // size] = True
+    at = np.flatnonzero(left[ids[:-1]])
+    k = ids[at].astype(np.int64) * size + ids[at + 1]
+    j = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+    hit = keys[j] == k
+    at, to = at[hit], made[j[hit]]
+    if len(at) and len(keys) == 1 and keys[0] // size == keys[0] % size:  # a symbol with itself: every other place of a run
+        first = np.flatnonzero(np.concatenate([[True], np.diff(at) != 1]))
+        odd = (at - np.repeat(at[first], np.diff(np.append(first, len(at))))) % 2
+        at, to = at[odd == 0], to[odd == 0]
+    if not len(at):
+        return ids, []
+    k, n = _pairs(ids, cnt, np.unique(np.concatenate([at - 1, at, at + 1])), size)
+    keep = np.ones(len(ids), bool)
+    keep[at + 1] = False
+    ids = ids.copy()
+    ids[at] = to
+    ids, at = ids[keep], at - np.arange(len(at))
+    return ids, [(k, -n), _pairs(ids, cnt, np.unique(np.concatenate([at - 1, at])), size)]
+
+
+def _rows(blocks: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    m = len(blocks)
+    return pa.RecordBatch.from_arrays([pa.array([b.tobytes() for b, _ in blocks], pa.binary()), pa.array([c.tobytes() for _, c in blocks], pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], ["ids", "cnt", "k", "n"])
+
+
+def _counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    k, n = _sum(*map(np.concatenate, zip(*parts, strict=True))) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return pa.RecordBatch.from_arrays([pa.nulls(len(k), pa.binary()), pa.nulls(len(k), pa.binary()), pa.array(k), pa.array(n)], ["ids", "cnt", "k", "n"])
+
+
+def encode(words: DataFrame, letters: list[str], first: int, size: int) -> DataFrame:
+    """Blocks of the words (w, cnt), letters as symbols from ``first`` on, and the counts of their pairs."""
+    points = np.array([ord(c) for c in letters], np.uint32)
+    order = np.argsort(points)
+    kind = np.uint16 if size < 1 << 16 else np.uint32
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = []
+        for b in batches:
+            w, cnt, at = b.column("w").to_pylist(), b.column("cnt").to_numpy(), 0
+            while at < len(w):
+                to, total = at, 0
+                while to < len(w) and (total < BLOCK or to == at):
+                    total += len(w[to]) + 1
+                    to += 1
+                codes = np.frombuffer("".join(w[at:to]).encode("utf-32-le", "surrogatepass"), np.uint32)
+                ends = np.cumsum([len(x) for x in w[at:to]])
+                ids = np.insert((order[np.searchsorted(points, codes, sorter=order)] + first).astype(kind), ends, 0)
+                c = cnt[at:to].astype(np.int64)
+                got = [_sum(*map(np.concatenate, zip(*got, _pairs(ids, c, np.arange(len(ids) - 1), size), strict=True)))]
+                yield _rows([(ids, c)])
+                at = to
+        yield _counts(got)
+
+    return words.mapInArrow(run, BLOCKS)
+
+
+def apply(blocks: DataFrame, run: list[tuple[int, int, int]], size: int) -> DataFrame:
+    """Blocks after the merges (left, right, made) of a run, and by how much pair counts changed."""
+    apart = sorted((a * size + b, t) for a, b, t in run if a != b)
+    rounds = [r for r in (apart, [(a * size + b, t) for a, b, t in run if a == b]) if r]
+    kind = np.uint16 if size < 1 << 16 else np.uint32
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = []
+        for b in batches:
+            for i, c in zip(b.column("ids").to_pylist(), b.column("cnt").to_pylist(), strict=True):
+                ids, cnt = np.frombuffer(i, kind), np.frombuffer(c, np.int64)
+                for r in rounds:
+                    ids, more = _merge(ids, cnt, np.array([k for k, _ in r]), np.array([t for _, t in r]).astype(kind), size)
+                    got += more
+                if len(got) > 64:
+                    got = [_sum(*map(np.concatenate, zip(*got, strict=True)))]
+                yield _rows([(ids, cnt)])
+        yield _counts(got)
+
+    return blocks.filter("ids IS NOT NULL").mapInArrow(go, BLOCKS)
+
+
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """Cuts lineage: ``df`` written to the folder that all executors share and read back, and its path."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="seqloom-")
+    path = f"{root.rstrip('/')}/seqloom-bpe-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def next_run(keys: np.ndarray, n: np.ndarray, size: int, tokens: list[str], ids: dict[str, int], room: int, min_frequency: int) -> list[tuple[int, int]]:
+    """The next merges that can be done in one pass, by count, left id and right id.
+
+    A merge (a, b) only lowers the counts of pairs that end in a or begin with b, and the pairs it makes are at most as
+    frequent as those. So a run ends before a pair that meets one of its own, and before a pair that isn't more
+    frequent than all pairs ending in such an a or beginning with such a b. A symbol with itself, or a token that was there, ends it.
+    """
+    at = np.flatnonzero(n >= min_frequency)
+    if len(at) > 4096:
+        at = at[n[at] >= np.partition(n[at], -4096)[-4096]]
+    at = at[np.lexsort((keys[at], -n[at]))]
+    run, lefts, rights, new, bound = [], set(), set(), set(), 0
+    l, r = keys // size, keys % size
+    for k, c in zip(keys[at].tolist(), n[at].tolist(), strict=True):
+        a, b = divmod(k, size)
+        if run and (b in lefts or a in rights or c <= bound):
+            break
+        run.append((a, b))
+        token = tokens[a] + tokens[b]
+        if a == b or token in ids or token in new or len(new) + 1 >= room:
+            break
+        new.add(token)
+        lefts.add(a)
+        rights.add(b)
+        near = ((r == a) | (l == b)) & (keys != k)
+        bound = max(bound, int(n[near].max(initial=0)))
+    return run
 
 
 def train(seqs: DataFrame, seq: str, vocab_size: int, min_frequency: int = 100, alphabet: str = "ACGTN") -> tuple[list[str], list[tuple[str, str]]]:
@@ -39,21 +183,36 @@ def train(seqs: DataFrame, seq: str, vocab_size: int, min_frequency: int = 100,
 
     Stops at the size or when the best pair is rarer than ``min_frequency``; ties go to the smaller left id, then right id.
     """
-    words = as_words(seqs, seq).cache()
-    seen = [r[0] for r in words.select(F.explode(F.split("parts", " ")).alias("c")).distinct().collect()]  # letters
-    vocab = [*SPECIALS, *sorted(set(alphabet) | set(seen))]
+    words = seqs.filter(F.length(seq) > 0).groupBy(F.col(seq).alias("w")).agg(F.count("*").alias("cnt"))
+
+    def chars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = set()
+        for b in batches:
+            for w in b.column(0).to_pylist():
+                met |= set(w or "")
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(met), pa.string())], ["c"])
+
+    seen = [r[0] for r in seqs.select(seq).mapInArrow(chars, "c string").distinct().collect()]  # letters
+    letters = sorted(set(alphabet) | set(seen))
+    vocab = [*SPECIALS, *letters]
     ids, merges = {t: i for i, t in enumerate(vocab)}, []
-    held = words
+    size = max(vocab_size, len(vocab)) + 1  # symbols are ids + 1
+    blocks, path = written(encode(words, letters, len(SPECIALS) + 1, size))
+    keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
     while len(vocab) < vocab_size:
-        order = F.create_map(*[x for t, i in ids.items() for x in (F.lit(t), F.lit(i))])  # vocabulary-sized
-        best = pair_counts(words).orderBy(F.desc("n"), F.element_at(order, F.col("l")), F.element_at(order, F.col("r"))).first()
-        if best is None or best["n"] < min_frequency:
+        d = blocks.filter("k IS NOT NULL").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # the vocabulary squared at most
+        keys, n = _sum(np.concatenate([keys, d["k"].to_numpy()]), np.concatenate([n, d["n"].to_numpy()]))
+        run = []
+        for a, b in next_run(keys, n, size, [None, *vocab], ids, vocab_size - len(vocab), min_frequency):
+            token = vocab[a - 1] + vocab[b - 1]
+            merges.append((vocab[a - 1], vocab[b - 1]))
+            if token not in ids:
+                ids[token] = len(vocab)
+                vocab.append(token)
+            run.append((a, b, ids[token] + 1))
+        if not run or len(vocab) >= vocab_size:
             break
-        merges.append((best["l"], best["r"]))
-        token = best["l"] + best["r"]
-        if token not in ids:
-            ids[token] = len(vocab)
-            vocab.append(token)
-        words = merge(words, best["l"], best["r"])
-    held.unpersist()
+        before, (blocks, path) = path, written(apply(blocks, run, size))
+        removed(seqs.sparkSession, before)
+    removed(seqs.sparkSession, path)
     return vocab, merges

@@ -184,12 +184,19 @@ def bpe_train_pairs(spark, sf_dir):
     return B.pair_counts(B.as_words(seqs(spark, sf_dir), "seq"))
 
 
+#: The smallest of the reference's vocabulary sizes.
+BPE_SIZE = 2048
+
+
 @query("bpe_train")
 def bpe_train(spark, sf_dir):
     """A vocabulary learned from 1,000-letter pieces of all sequences (no oracle: iterative)."""
     d = seqs(spark, sf_dir).select(F.explode(C.chunks("seq", 1000)).alias("seq"))
-    v, m = B.train(d, "seq", 22, 100)
-    return spark.createDataFrame([(i, t, m[i - 10][0] if i >= 10 else None, m[i - 10][1] if i >= 10 else None) for i, t in enumerate(v)], "id int, token string, l string, r string")
+    v, m = B.train(d, "seq", BPE_SIZE, 100)
+    ids = {t: i for i, t in enumerate(v)}
+    made = {l + r for l, r in m}
+    rows = [(i, t, None, None) for i, t in enumerate(v) if t not in made] + [(ids[l + r], l + r, l, r) for l, r in m]
+    return spark.createDataFrame(rows, "id int, token string, l string, r string")
 
 
 @query("motif_tokenizer")

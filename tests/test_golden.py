@@ -128,6 +128,42 @@ def test_bpe_training_equals_library(spark):
     assert v == sorted(t.get_vocab(), key=t.get_vocab().get)
 
 
+def test_bpe_query_trains_to_the_reference_size_or_the_least_frequency(spark, sf):
+    from tokenizers import Tokenizer, models, trainers
+
+    from seqloom.plans import q_tokens as Q
+
+    texts = [r.seq for r in Q.seqs(spark, sf).collect()]
+    pieces = [t[i : i + 1000] for t in texts for i in range(0, len(t or ""), 1000)]
+    t = Tokenizer(models.BPE(unk_token="[UNK]"))
+    t.train_from_iterator(pieces, trainers.BpeTrainer(vocab_size=2048, min_frequency=100, special_tokens=V.SPECIALS, initial_alphabet=list("ACGTN")))
+    assert {r.token: r.id for r in Q.bpe_train(spark, sf).collect()} == t.get_vocab()
+
+
+def test_bpe_training_on_ties_runs_and_copies(spark):
+    """Runs of one letter, equal counts, repeated sequences; every merge against a recount after each."""
+    r = random.Random(5)
+    seqs = ["A" * n for n in range(1, 30)] + ["".join(r.choice("AC") for _ in range(40)) for _ in range(20)] * 3
+    words, vocab, merges = [list(s) for s in seqs], [*V.SPECIALS, *"ACGNT"], []
+    while len(vocab) < 60:
+        n = {}
+        for w in words:
+            for p in zip(w, w[1:], strict=False):
+                n[p] = n.get(p, 0) + 1
+        best = min(n, key=lambda p: (-n[p], vocab.index(p[0]), vocab.index(p[1])), default=None)
+        if best is None or n[best] < 2:
+            break
+        merges.append(best)
+        vocab += [best[0] + best[1]] if best[0] + best[1] not in vocab else []
+        for w in words:
+            i = 0
+            while i < len(w) - 1:
+                if (w[i], w[i + 1]) == best:
+                    w[i : i + 2] = [w[i] + w[i + 1]]
+                i += 1
+    assert B.train(spark.createDataFrame([(s,) for s in seqs], "seq string"), "seq", 60, 2) == (vocab, merges)
+
+
 def test_unk_check(spark):
     f = T.unigram_decoder(spark, {"A": 1.0, "C": 1.0, "G": 1.0, "T": 1.0})
     assert value(one(spark, s="TCCTGCCTCAGCCAAAA"), T.has_unknown(f(F.col("s")))) is False
