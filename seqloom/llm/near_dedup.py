@@ -35,16 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .components import connected
-from .runtime import written
+from .components import connected, joined, numbered
+from .runtime import discard, fresh, lean, small, written
 
 WORDS, PLACES, BANDS = 5, 64, 16
 LEAST, LEADER_ROUNDS = 0.8, 2
 #: Rows and elements of a chunk of a bucket that is compared all with all.
 CELL_ROWS, CELL_ELEMENTS = 1024, 1_500_000
-#: Bucketed classes up to which their keys are broadcast to the texts (24 bytes each).
-BROADCAST_ROWS = 500_000
-WORDS_AT_ONCE, CACHE = 200_000, 300_000
+WORDS_AT_ONCE, CACHE = 200_000, 200_000
 LAST = 2**63 - 1
 
 _U = np.uint64
@@ -177,7 +175,7 @@ def _signed(d: DataFrame) -> DataFrame:
                 part = b.slice(at, n)
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("k1"), part.column("k2"), pa.array(size), flat], ["id", "k1", "k2", "size", "bands"])
 
-    return d.select("id", "k1", "k2", "text").mapInArrow(run, "id long, k1 long, k2 long, size long, bands array<long>")
+    return d.select("id", "k1", "k2", "text").mapInArrow(lean(run), "id long, k1 long, k2 long, size long, bands array<long>")
 
 
 def _multisets(d: DataFrame) -> DataFrame:
@@ -189,29 +187,15 @@ def _multisets(d: DataFrame) -> DataFrame:
                 flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(elements(row, shingle)))
                 yield pa.RecordBatch.from_arrays([b.slice(at, n).column("node"), flat], ["node", "bag"])
 
-    return d.select("node", "text").mapInArrow(run, T.StructType([T.StructField("node", _NODE), T.StructField("bag", T.ArrayType(T.LongType()))]))
+    return d.select("node", "text").mapInArrow(lean(run), T.StructType([T.StructField("node", _NODE), T.StructField("bag", T.ArrayType(T.LongType()))]))
 
 
 def _verified(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
-    """Of the pairs (u, v) those whose multisets are similar."""
+    """Of the pairs (u, v, and their groups cu, cv) those whose multisets are similar, as links (u, v) of groups."""
     j = pairs.join(bags.select(F.col("node").alias("u"), F.col("bag").alias("bu")), "u").filter(F.size("bu") > 0)
     j = j.join(bags.select(F.col("node").alias("v"), F.col("bag").alias("bv")), "v")
     both = F.size(F.array_intersect("bu", "bv"))
-    return j.filter(both + 1e-9 >= least * (F.size("bu") + F.size("bv") - both)).select("u", "v")
-
-
-def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest index reached from each of n by the links a-b."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
+    return j.filter(both + 1e-9 >= least * (F.size("bu") + F.size("bv") - both)).select(F.col("cu").alias("u"), F.col("cv").alias("v"))
 
 
 def link_cell(size: np.ndarray, flat: np.ndarray, comp: np.ndarray, chunk: np.ndarray, cross: bool, least: float) -> np.ndarray:
@@ -237,13 +221,13 @@ def link_cell(size: np.ndarray, flat: np.ndarray, comp: np.ndarray, chunk: np.nd
     if cross:
         ok &= chunk[:, None] != chunk[None]
     i, j = np.nonzero(ok)
-    return _joined(n, i, j)
+    return joined(n, i, j)
 
 
 def _cells(place: DataFrame, bags: DataFrame, least: float) -> DataFrame:
-    """Edges (u, v) that join the groups within buckets, all members compared with all of other groups."""
+    """Links (u, v) of groups within buckets, all members compared with all of other groups."""
     load = place.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / CELL_ROWS), F.ceil(F.sum("size") / CELL_ELEMENTS)).cast("int").alias("chunks"))
-    c = place.select("bucket", "node", F.xxhash64("comp").alias("comp")).join(load, "bucket")
+    c = place.select("bucket", "node", "comp").join(load, "bucket")
     c = c.withColumn("chunk", F.pmod(F.xxhash64(F.lit(7), "node"), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     c = c.select("bucket", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "chunk", "comp", "node").join(bags, "node")
     c = c.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
@@ -254,10 +238,11 @@ def _cells(place: DataFrame, bags: DataFrame, least: float) -> DataFrame:
 
         def done() -> pa.RecordBatch:
             t = pa.Table.from_batches(held).combine_chunks()
-            bag, node = t["bag"].combine_chunks(), t["node"].combine_chunks()
-            root = link_cell(np.asarray(bag.value_lengths()), bag.flatten().to_numpy(), t["comp"].to_numpy(), t["chunk"].to_numpy(), last[1] != last[2], least)
+            bag, comp = t["bag"].combine_chunks(), t["comp"].combine_chunks()
+            group = numbered([comp.field(f).to_numpy() for f in ("id", "k1", "k2")])[1]
+            root = link_cell(np.asarray(bag.value_lengths()), bag.flatten().to_numpy(), group, t["chunk"].to_numpy(), last[1] != last[2], least)
             i = np.flatnonzero(root != np.arange(len(root)))
-            return pa.RecordBatch.from_arrays([node.take(pa.array(i)), node.take(pa.array(root[i]))], ["u", "v"])
+            return pa.RecordBatch.from_arrays([comp.take(pa.array(i)), comp.take(pa.array(root[i]))], ["u", "v"])
 
         for batch in batches:
             cell = np.stack([batch.column(x).to_numpy() for x in ("bucket", "a", "b")], 1) if len(batch) else np.zeros((0, 3), np.int64)
@@ -273,44 +258,50 @@ def _cells(place: DataFrame, bags: DataFrame, least: float) -> DataFrame:
         if held:
             yield done()
 
-    return c.mapInArrow(run, T.StructType([T.StructField("u", _NODE), T.StructField("v", _NODE)]))
+    return c.mapInArrow(lean(run), T.StructType([T.StructField("u", _NODE), T.StructField("v", _NODE)]))
 
 
 def group(docs: DataFrame, key: str, text: str, least: float = LEAST) -> DataFrame:
-    """Per row of ``docs``: key, k1, k2 (hashes of the text), class_id (smallest key of its group), kept (the group's one text stays)."""
+    """Per row of ``docs``: key, k1, k2 (hashes of the text), class_id (smallest key of its group), kept (the group's one text stays).
+
+    Other columns of ``docs`` are not read and may have any name.
+    """
     d = _keyed(docs, key, text)
     sig = written(_signed(d), "signatures")
     classes = written(sig.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands")), "classes")
     node = F.struct("id", "k1", "k2").alias("node")
     member = classes.filter("size > 0").select(node, "size", F.explode("bands").alias("bucket"))
     shared = member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    member = written(member.join(shared, "bucket"), "buckets")
-    some = written(member.groupBy("node").agg(F.sum("n").alias("met")), "bucketed")
-    few = some.select("node.*", "node")
-    few = F.broadcast(few) if some.count() <= BROADCAST_ROWS else few
-    chosen = d.join(few, ["id", "k1", "k2"]).dropDuplicates(["id", "k1", "k2"])
+    buckets = written(member.join(shared, "bucket"), "buckets")
+    some = written(buckets.groupBy("node").agg(F.sum("n").alias("met")), "bucketed")
+    chosen = d.join(small(some.select("node.*"), 24), ["id", "k1", "k2"]).dropDuplicates(["id", "k1", "k2"]).select(node, "text")
     bags = written(_multisets(chosen), "bags")
-    member = written(member.join(some, "node").select("bucket", "node", "size", "met"), "members")
-    edges = comp = None
-    place = member.withColumn("comp", F.col("node"))
+    place = written(buckets.join(some, "node").select("bucket", "node", "size", "met", F.col("node").alias("comp")), "open")
+    discard(buckets, some)
+    moves: list[DataFrame] = []  # of each round: group, the group that it joined
     fits = F.least("size", "lsize") >= least * F.greatest("size", "lsize")
     for r in range(LEADER_ROUNDS + 1):
         if r < LEADER_ROUNDS:  # a leader for each bucket, another in each round
             rank = F.struct("met", F.xxhash64(F.lit(r), "node")) if r == 0 else F.struct(F.xxhash64(F.lit(r), "node"))
             lead = place.groupBy("bucket").agg(F.max_by(F.struct(F.col("node").alias("leader"), F.col("size").alias("lsize"), F.col("comp").alias("lcomp")), rank).alias("l")).select("bucket", "l.*")
-            pairs = place.join(lead, "bucket").filter((F.col("comp") != F.col("lcomp")) & fits).select(F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v")).distinct()
-            new = written(_verified(pairs, bags, least), "verified")
+            pairs = place.join(lead, "bucket").filter((F.col("comp") != F.col("lcomp")) & fits)
+            pairs = pairs.select(F.col("node").alias("u"), F.col("leader").alias("v"), F.col("comp").alias("cu"), F.col("lcomp").alias("cv")).repartition("u").distinct()
+            move = written(connected(_verified(pairs, bags, least)), "moves")
         else:
-            new = written(_cells(place, bags, least), "verified")
-        if comp is None or new.limit(1).count():
-            edges = new if edges is None else edges.unionByName(new)
-            comp = written(connected(edges), "groups")
+            move = written(connected(_cells(place, bags, least)), "moves")
+        moves.append(move)
         if r < LEADER_ROUNDS:  # buckets with members of more than one group are left
-            place = member.join(comp.withColumnRenamed("id", "node"), "node", "left").select("node", "size", "met", "bucket", F.coalesce("component", "node").alias("comp"))
+            before = place
+            place = place.join(move.withColumnRenamed("id", "comp"), "comp", "left").withColumn("comp", F.coalesce("component", "comp")).drop("component")
             open_ = place.groupBy("bucket").agg((F.min("comp") < F.max("comp")).alias("open")).filter("open").select("bucket")
             place = written(place.join(open_, "bucket"), "open")
-            if not place.limit(1).count():
+            discard(before)
+            if place.isEmpty():
                 break
+    steps = moves[0].select(F.col("id").alias("u"), F.col("component").alias("v"))
+    for m in moves[1:]:
+        steps = steps.unionByName(m.select(F.col("id").alias("u"), F.col("component").alias("v")))
+    comp = written(connected(steps), "groups") if len(moves) > 1 else moves[0]
     of = classes.select("k1", "k2", node).join(comp.withColumnRenamed("id", "node"), "node", "left").select("k1", "k2", "node", F.coalesce("component", "node").alias("component"))
     out = sig.select("id", "k1", "k2", "size").join(of, ["k1", "k2"])
     alone = F.col("size") == 0
@@ -322,18 +313,21 @@ def group(docs: DataFrame, key: str, text: str, least: float = LEAST) -> DataFra
 
 
 def keep_one(docs: DataFrame, key: str, text: str, least: float = LEAST) -> DataFrame:
-    """The rows of ``docs`` without all but the first document of each group; of repeated rows one stays."""
+    """The rows of ``docs`` without all but the first document of each group; of repeated rows one stays.
+
+    All columns of ``docs`` are kept, whatever their names.
+    """
     g = written(group(docs, key, text, least).withColumn("id", F.coalesce("key", F.lit(LAST))), "near")
     out = g.filter("NOT kept").select("id", "k1", "k2").distinct()
     again = g.filter("kept AND class_id IS NOT NULL").groupBy("id", "k1", "k2").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    empty = F.trim(F.regexp_replace(F.coalesce(F.col(text).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", "")) == ""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    names = ["__id", "__k1", "__k2"]
-    d = docs.select("*", F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("__id"), F.xxhash64(t).alias("__k1"), F.xxhash64(F.lit(6), t).alias("__k2"))
+    empty = F.trim(F.regexp_replace(t, r"[\x20\x09-\x0D]+", "")) == ""
+    names = fresh(docs.columns, "id", "k1", "k2")
+    d = docs.select("*", F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias(names[0]), F.xxhash64(t).alias(names[1]), F.xxhash64(F.lit(6), t).alias(names[2]))
     out, again = (written(x.toDF(*names), "keys") for x in (out, again))
-    rows = d.join(F.broadcast(out) if out.count() <= BROADCAST_ROWS else out, names, "left_anti")
-    if again.limit(1).count():
-        few = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
+    rows = d.join(small(out, 24), names, "left_anti")
+    if not again.isEmpty():
+        few = small(again, 24)
         twice = rows.join(few, names, "left_semi")
         rows = rows.join(few, names, "left_anti").unionByName(twice.filter(empty)).unionByName(twice.filter(~empty).dropDuplicates(names))
     return rows.drop(*names)
