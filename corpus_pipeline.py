@@ -25,7 +25,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier line go; ``n_chars`` follows the text."""
-    out = line_dedup.dedup(docs, "doc_id", "text").select(*docs.columns)
+    out = line_dedup.dedup(docs, "doc_id", "text", counts=False)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
