@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import label_from_name, parse_coord, slug, split_labels
+from ..functions.columns import chunks, label_from_name, parse_coord, slug, split_labels
 
 
 def peak_rows(peaks: DataFrame) -> DataFrame:
@@ -35,6 +35,18 @@ def allow(df: DataFrame, labels: DataFrame) -> DataFrame:
     return df if labels.limit(1).count() == 0 else df.join(labels, "label", "left_semi")
 
 
+def eval_windows(df: DataFrame, chrom: str, seq: str, scores: str, size: int) -> DataFrame:
+    """(chrom, start, end, length, seq, scores) of consecutive windows of ``size`` letters; windows with an N go.
+
+    Sequence and scores are cut to the shorter of the two; null scores have no window.
+    """
+    n = F.least(F.length(seq), F.size(scores))
+    d = df.filter(F.col(scores).isNotNull()).select(F.col(chrom), F.substring(F.col(seq), F.lit(1), n).alias("__seq"), F.col(scores).alias("__scores"))
+    d = d.select(chrom, "__scores", F.posexplode(chunks("__seq", size)).alias("__i", "seq")).filter(~F.contains("seq", F.lit("N")))
+    start, length = F.col("__i").cast("long") * size, F.length("seq").cast("long")
+    return d.select(chrom, start.alias("start"), (start + length).alias("end"), length.alias("length"), "seq", F.slice("__scores", F.col("__i") * size + 1, F.length("seq")).alias("scores"))
+
+
 def pair_files(files: DataFrame, name: str = "name") -> DataFrame:
     """Positive and negative file of each label; a missing side is null."""
     d = files.withColumn("label", label_from_name(name)).withColumn("side", F.regexp_extract(name, r"_(positive|negative)\.", 1))

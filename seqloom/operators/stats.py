@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-import random
+import hashlib
 from collections.abc import Iterator
+from itertools import product
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.columns import not_nan
+from ..functions.columns import normal_p, not_nan
 
 
 def token_counts(tokens: DataFrame, by: list[str], token: str = "token") -> DataFrame:
@@ -18,6 +22,83 @@ def token_counts(tokens: DataFrame, by: list[str], token: str = "token") -> Data
     return tokens.groupBy(*by, F.col(token).alias("token")).agg(F.count("*").alias("cnt"))
 
 
+_CODE = np.full(256, 4, np.uint8)
+_CODE[[65, 67, 71, 84]] = range(4)  # A, C, G, T
+#: Sets whose counts a worker holds before it sends them on.
+SETS_AT_ONCE = 256
+
+
+def _letters(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a string column and its rows' offsets; nulls are empty."""
+    c = pc.fill_null(col.cast(pa.binary()), b"")
+    ends = np.concatenate([[0], np.cumsum(pc.binary_length(c).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    return np.frombuffer(b"".join(c.to_pylist()), np.uint8), ends
+
+
+def _windows(code: np.ndarray, ends: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(k-mer at each place as a number in base 4, whether it lies in one row and has only A, C, G and T)."""
+    n = max(0, len(code) - k + 1)
+    x, ok = np.zeros(n, np.int64), np.ones(n, bool)
+    for j in range(k):
+        x = x * 4 + code[j : j + n]
+        ok &= code[j : j + n] < 4
+    cuts = ends[(ends > 0) & (ends < len(code))]
+    for j in range(1, k):
+        at = cuts - j
+        ok[at[(at >= 0) & (at < n)]] = False
+    return x, ok
+
+
+def _spelled(k: int) -> list[str]:
+    return ["".join(t) for t in product("ACGT", repeat=k)]
+
+
+def kmer_counts(df: DataFrame, by: list[str], seq: str, ks: list[int]) -> DataFrame:
+    """(by..., token, cnt) of the overlapping k-mers of A, C, G and T, for each k up to 12.
+
+    A worker counts whole buffers and sends a row a (set, token), so what is shuffled follows the sets and not the text.
+    Windows with another letter, and those that would span rows, count nowhere; null sequences are empty.
+    """
+    if max(ks) > 12:
+        raise ValueError("k-mers beyond 12 letters are not counted densely")
+    kinds = [df.schema[c] for c in by]
+    base = np.concatenate([[0], np.cumsum([4**k for k in ks])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = np.array([t for k in ks for t in _spelled(k)], dtype=object)
+        held: dict[tuple, np.ndarray] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for key, n in held.items():
+                on = np.flatnonzero(n)
+                cols = [pa.array([v] * len(on), b_type) for v, b_type in zip(key, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(tokens[on], pa.string()), pa.array(n[on])], [*by, "token", "cnt"])
+            held.clear()
+
+        for b in batches:
+            types = [b.column(i).type for i in range(len(by))]
+            keys = list(zip(*(b.column(i).to_pylist() for i in range(len(by))), strict=True)) if by else [()] * len(b)
+            number: dict[tuple, int] = {}
+            group = np.array([number.setdefault(k, len(number)) for k in keys], np.int64)
+            data, ends = _letters(b.column(len(by)))
+            code = _CODE[data]
+            own = np.repeat(group, np.diff(ends))
+            for key in number:
+                held.setdefault(key, np.zeros(base[-1], np.int64))
+            for k, lo, hi in zip(ks, base[:-1], base[1:], strict=True):
+                x, ok = _windows(code, ends, k)
+                n = np.bincount(own[: len(x)][ok] * 4**k + x[ok], minlength=len(number) * 4**k).reshape(-1, 4**k)
+                for key, g in number.items():
+                    held[key][lo:hi] += n[g]
+            if len(held) > SETS_AT_ONCE:
+                yield from out()
+        if held:
+            yield from out()
+
+    schema = T.StructType([*kinds, T.StructField("token", T.StringType()), T.StructField("cnt", T.LongType())])
+    return df.select(*by, F.col(seq).alias("__seq")).mapInArrow(run, schema).groupBy(*by, "token").agg(F.sum("cnt").alias("cnt"))
+
+
 def two_sets(counts: DataFrame, key: str, a: str, b: str) -> DataFrame:
     """Counts of two sets side by side, absent tokens 0, in one aggregation; totals on each row."""
     d = counts.filter(F.col(key).isin(a, b)).groupBy("token").agg(F.sum(F.when(F.col(key) == a, F.col("cnt")).otherwise(0)).alias("na"), F.sum(F.when(F.col(key) == b, F.col("cnt")).otherwise(0)).alias("nb"))
@@ -26,14 +107,14 @@ def two_sets(counts: DataFrame, key: str, a: str, b: str) -> DataFrame:
 
 
 def enrichment(counts: DataFrame, key: str, a: str, b: str) -> DataFrame:
-    """log2 ratio with half counts, pooled z, and the richer side."""
+    """log2 ratio with half counts, pooled z, its two-sided p, and the richer side."""
     d = two_sets(counts, key, a, b)
     fa, fb = F.col("na") / F.col("ta"), F.col("nb") / F.col("tb")
     lfc = F.log2((fa + 0.5 / F.col("ta")) / (fb + 0.5 / F.col("tb")))
     pool = (F.col("na") + F.col("nb")) / (F.col("ta") + F.col("tb"))
     se = F.sqrt(pool * (1 - pool) * (1 / F.col("ta") + 1 / F.col("tb")))
     z = F.when(se > 0, (fa - fb) / se).otherwise(0.0)
-    return d.select("token", "na", "nb", fa.alias("freq_a"), fb.alias("freq_b"), lfc.alias("log2fc"), z.alias("z")).withColumn("side", F.when(F.col("log2fc") > 0, a).when(F.col("log2fc") < 0, b).otherwise("tie"))
+    return d.select("token", "na", "nb", fa.alias("freq_a"), fb.alias("freq_b"), lfc.alias("log2fc"), z.alias("z")).withColumn("p_value", normal_p("z")).withColumn("side", F.when(F.col("log2fc") > 0, a).when(F.col("log2fc") < 0, b).otherwise("equal"))
 
 
 def bh(df: DataFrame, p: str, key: str, by: list[str] | None = None) -> DataFrame:
@@ -60,12 +141,20 @@ def bh_large(df: DataFrame, p: str, key: str) -> DataFrame:
     return d.join(F.broadcast(lows.select("__part", "later")), "__part").withColumn("q", q).drop("__part", "__rank", "__raw", "n", "off", "total", "later")
 
 
+def enriched(counts: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """Enrichment with the false-discovery rate, by it and the token."""
+    return bh(enrichment(counts, key, a, b), "p_value", "token").withColumnRenamed("q", "fdr_bh").orderBy("fdr_bh", "token")
+
+
 def volcano(counts: DataFrame, key: str, merged: str, baseline: str) -> DataFrame:
-    """Enrichment with p, q and -log10(q)."""
-    from ..functions.columns import normal_p
+    """Enrichment with p, q and -log10(q), by q, then the larger effect, then the token."""
+    d = bh(enrichment(counts, key, merged, baseline), "p_value", "token").withColumnRenamed("q", "fdr_bh")
+    return d.withColumn("neglog10_fdr", -F.log10(F.greatest("fdr_bh", F.lit(1e-300)))).orderBy("fdr_bh", -F.abs("log2fc"), "token")
+
 
-    d = bh(enrichment(counts, key, merged, baseline).withColumn("p_value", normal_p("z")), "p_value", "token").withColumnRenamed("q", "fdr_bh")
-    return d.withColumn("neglog10_fdr", -F.log10(F.greatest("fdr_bh", F.lit(1e-300))))
+def top_labels(rows: DataFrame, n: int = 15, most: float = 0.05) -> DataFrame:
+    """The first ``n`` significant rows of a volcano table."""
+    return rows.filter(F.col("fdr_bh") <= most).orderBy("fdr_bh", -F.abs("log2fc"), "token").limit(n)
 
 
 def mean_log2fc(cells: DataFrame, background: DataFrame, by: list[str]) -> DataFrame:
@@ -113,22 +202,59 @@ def importance(observed: DataFrame, replicates: DataFrame, k: int) -> DataFrame:
     return d.withColumn("important", ((F.col("log2_enrichment") > 0) & (F.col("fdr_bh") <= 0.05)).cast("int"))
 
 
+#: A prime below 2**31 that is not 1 modulo 3, so that cubes modulo it are all different (a fixed value).
+PRIME = 2_147_483_579
+
+
+def _factors(seed: int, rep: int, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers below 2**28 for each key, from md5 of seed, replicate and key."""
+    h = [hashlib.md5(f"{seed}:{rep}:{x}".encode()).hexdigest() for x in keys]
+    return np.array([int(x[:7], 16) for x in h], np.int64), np.array([int(x[7:14], 16) + 1 for x in h], np.int64)
+
+
+def _orders(ends: np.ndarray, seed: int, reps: int, keys: list[str]) -> Iterator[np.ndarray]:
+    """For each replicate the order of all letters: within a row by the cube of place plus a, times b, modulo ``PRIME``; then by place."""
+    size = np.diff(ends)
+    row = np.repeat(np.arange(len(size)), size)
+    place = np.arange(ends[-1]) - np.repeat(ends[:-1], size)
+    for rep in range(reps):
+        a, b = _factors(seed, rep, keys)
+        x = (place + a[row]) % PRIME
+        x = x * x % PRIME * x % PRIME * b[row] % PRIME
+        yield np.lexsort((x, row)) if len(size) >= 1 << 32 else np.argsort(row << 31 | x, kind="stable")
+
+
 def shuffled(df: DataFrame, key: str, seq: str, k: int, seed: int = 0) -> DataFrame:
-    """K letter-shuffled copies of each sequence, seeded by (seed, replicate, key)."""
+    """K letter-shuffled copies of each sequence, seeded by (seed, replicate, key); null sequences are empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for rep in range(k):
-                out = []
-                for x, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    c = list(s or "")
-                    random.Random(f"{seed}:{rep}:{x}").shuffle(c)
-                    out.append("".join(c))
-                yield pa.RecordBatch.from_arrays([pa.array([rep] * len(out), pa.int32()), b.column(0), pa.array(out, pa.string())], ["rep", "key", "seq"])
+            data, ends = _letters(b.column(1))
+            for rep, order in enumerate(_orders(ends, seed, k, b.column(0).to_pylist())):
+                out = pa.Array.from_buffers(pa.binary(), len(b), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[order]))])
+                yield pa.RecordBatch.from_arrays([pa.array([rep] * len(b), pa.int32()), b.column(0), out.cast(pa.string())], ["rep", "key", "seq"])
 
     return df.select(F.col(key).cast("string").alias("key"), F.col(seq).alias("seq")).mapInArrow(run, "rep int, key string, seq string")
 
 
+def shuffled_counts(df: DataFrame, key: str, seq: str, k: int, reps: int, seed: int = 0) -> DataFrame:
+    """(rep, token, cnt) of the k-mers of :func:`shuffled` copies of sequences over A, C, G and T; no shuffled text leaves a worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((reps, 4**k), np.int64)
+        for b in batches:
+            data, ends = _letters(b.column(1))
+            code = _CODE[data]
+            for rep, order in enumerate(_orders(ends, seed, reps, b.column(0).to_pylist())):
+                x, ok = _windows(code[order], ends, k)
+                n[rep] += np.bincount(x[ok], minlength=4**k)
+        rep, token = np.nonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(rep.astype(np.int32)), pa.array(np.array(_spelled(k), dtype=object)[token], pa.string()), pa.array(n[rep, token])], ["rep", "token", "cnt"])
+
+    d = df.select(F.col(key).cast("string").alias("key"), F.col(seq).alias("seq"))
+    return d.mapInArrow(run, "rep int, token string, cnt long").groupBy("rep", "token").agg(F.sum("cnt").alias("cnt"))
+
+
 def js_divergence(p: list[Column], q: list[Column]) -> Column:
     """In bits; terms with a share of 0 or less are left out."""
     out = F.lit(0.0)

@@ -5,9 +5,9 @@ Sequential decoders run as Arrow UDFs over a vocabulary that is sent out once (a
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
-import random
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -95,19 +95,23 @@ def bpe(text: str, ranks: dict[tuple[str, str], int], vocab: set[str] | None = N
     return [(p if vocab is None or p in vocab else UNK, i, i + len(p)) for i, p in enumerate(part) if p is not None]
 
 
-def motif_tokens(text: str, motifs: set[str], triples: set[str], rng: random.Random, short: int = 4, long: int = 12) -> list[str]:
-    """At each place a random dictionary word of 4 to 12 letters, else a known 3-mer, else a letter; a strictly longer word one or two places on is preferred and the letters before it stand alone."""
+def motif_tokens(text: str, motifs: set[str], triples: set[str], choose: Callable[[int, list[str]], str], short: int = 4, long: int = 12) -> list[str]:
+    """At each place one of the dictionary words of 4 to 12 letters that ``choose`` picks, else a known 3-mer, else a letter.
+
+    From a token of more than one letter, a strictly longer one that starts one or two places on is preferred, and the
+    letters before it stand alone; a single letter looks no further.
+    """
 
     def pick(i: int) -> str:
-        found = [w for k in range(short, long + 1) if (w := text[i : i + k]) in motifs]
+        found = [w for k in range(short, long + 1) if i + k <= len(text) and (w := text[i : i + k]) in motifs]
         if found:
-            return rng.choice(found)
+            return found[0] if len(found) == 1 else choose(i, found)
         return text[i : i + 3] if text[i : i + 3] in triples else text[i : i + 1]
 
     out, i = [], 0
     while i < len(text):
         w, at = pick(i), i
-        for ahead in (1, 2):
+        for ahead in (1, 2) if len(w) > 1 else ():
             if i + ahead < len(text) and len(x := pick(i + ahead)) > len(w):
                 w, at = x, i + ahead
         out += list(text[i:at])
@@ -120,9 +124,18 @@ def _udf(spark: SparkSession, state: object, f: Callable[[str, object], list]) -
     sent = spark.sparkContext.broadcast(state)
 
     def run(col: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.list_(pa.struct([("token", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+        state = sent.value
         for c in col:
-            yield pa.array([None if t is None else [{"token": a, "start": b, "end": e} for a, b, e in f(t, sent.value)] for t in c.to_pylist()], kind)
+            ends, names_, starts, stops, nulls = [0], [], [], [], []
+            for t in c.to_pylist():
+                nulls.append(t is None)
+                for a, b, e in f(t, state) if t is not None else ():
+                    names_.append(a)
+                    starts.append(b)
+                    stops.append(e)
+                ends.append(len(names_))
+            flat = pa.StructArray.from_arrays([pa.array(names_, pa.string()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32())], ["token", "start", "end"])
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=pa.array(nulls, pa.bool_()))
 
     return F.arrow_udf(run, TOKENS)
 
@@ -141,18 +154,18 @@ def bpe_encoder(spark: SparkSession, merges: list[tuple[str, str]], vocab: set[s
     return _udf(spark, ({m: i for i, m in enumerate(merges)}, vocab), lambda t, s: bpe(t, *s))
 
 
-def motif_tokenizer(spark: SparkSession, motifs: set[str], seed: int = 0) -> Callable[[Column], Column]:
-    """Seeded by (seed, text): equal texts tokenise alike in any partitioning."""
-    triples = {a + b + c for a in "ATCG" for b in "ATCG" for c in "ATCG"}
+def motif_tokenizer(spark: SparkSession, motifs: set[str], seed: int = 0, triples: set[str] | None = None) -> Callable[[Column], Column]:
+    """Of several words the one of least md5 of (seed, place, word): equal texts tokenise alike in any partitioning."""
+    known = {a + b + c for a in "ATCG" for b in "ATCG" for c in "ATCG"} if triples is None else triples
 
     def f(t: str, s: tuple) -> list:
         out, at = [], 0
-        for w in motif_tokens(t, s[0], s[1], random.Random(f"{s[2]}:{t}")):
+        for w in motif_tokens(t, s[0], s[1], lambda i, found: min(found, key=lambda w: hashlib.md5(f"{s[2]}:{i}:{w}".encode()).hexdigest())):
             out.append((w, at, at + len(w)))
             at += len(w)
         return out
 
-    return _udf(spark, (motifs, triples, seed), f)
+    return _udf(spark, (motifs, known, seed), f)
 
 
 def in_chunks(df: DataFrame, seq: str, size: int, tokenize: Callable[[Column], Column], keep: list[str]) -> DataFrame:

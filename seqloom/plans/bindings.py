@@ -61,30 +61,36 @@ def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select(k.alias("peak_id"), coord.alias("coord"), labels.alias("labels"))
 
 
-# --- tokens: 4-mers of the sequences, in sets by language
+# --- tokens: 4-mers of the sequences, counted in sets
 TOKENS = """tok AS (SELECT doc_id, lang, source, unnest([substring(seq, CAST(i AS BIGINT), 4) FOR i IN range(1, length(seq) - 2)]) AS token FROM seqs WHERE length(seq) >= 4),
 tc AS (SELECT lang, token, count(*) AS cnt FROM tok GROUP BY ALL)"""
 
 
-def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions.columns import kmers
+def token_counts(spark: SparkSession, sf_dir: str, *by: str) -> DataFrame:
+    """(by..., token, cnt) of all 4-mers."""
+    from ..operators.stats import kmer_counts
 
-    return seqs(spark, sf_dir).select("doc_id", "lang", "source", F.explode(kmers("seq", 4)).alias("token"))
+    return kmer_counts(seqs(spark, sf_dir), list(by), "seq", [4])
 
 
-# --- vocabularies: frequent k-mers of three groups of languages
+# --- vocabularies: k-mers of three groups of languages, the commonest first
 VOCABS = """km AS (SELECT lang, unnest(flatten([[substring(h, CAST(i AS BIGINT), k) FOR i IN range(1, length(h) - k + 2)] FOR k IN range(1, 7)])) AS token FROM (SELECT lang, seq AS h FROM seqs)),
-vc AS (SELECT CASE lang WHEN 'de' THEN 'c' WHEN 'en' THEN 'n' ELSE 'a' END AS pool, token, count(*) AS cnt FROM km WHERE token <> '' AND lang IN ('de', 'en', 'fr', 'es') GROUP BY ALL),
-vocab AS (SELECT pool, token, cnt, row_number() OVER (PARTITION BY pool ORDER BY cnt DESC, token) - 1 AS id FROM vc WHERE cnt >= 20 QUALIFY row_number() OVER (PARTITION BY pool ORDER BY cnt DESC, token) <= 500)"""
+vc AS (SELECT CASE lang WHEN 'de' THEN 'c' WHEN 'en' THEN 'n' ELSE 'a' END AS pool, token, count(*) AS cnt FROM km WHERE token <> '' GROUP BY ALL)"""
+POOLS = f"""{VOCABS},
+vocab AS (SELECT pool, token, cnt, row_number() OVER (PARTITION BY pool ORDER BY cnt DESC, token) - 1 AS id FROM vc QUALIFY row_number() OVER (PARTITION BY pool ORDER BY cnt DESC, token) <= 500)"""
+#: Capacity of a pool's vocabulary in the queries that build vocabularies.
+POOL_SIZE = 500
 
 
-def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(pool, token, cnt, id): 1- to 6-mers met 20 times or more, the 500 commonest of each pool."""
-    from ..functions.columns import kmers
+def pool_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pool, token, cnt): every 1- to 6-mer of the pool's sequences and its occurrences."""
+    from ..operators.stats import kmer_counts
 
     pool = F.when(F.col("lang") == "de", "c").when(F.col("lang") == "en", "n").otherwise("a")
-    t = seqs(spark, sf_dir).filter(F.col("lang").isin("de", "en", "fr", "es")).select(pool.alias("pool"), F.col("seq").alias("h"))
-    t = t.select("pool", F.explode(F.concat(*(kmers("h", k) for k in range(1, 7)))).alias("token"))
-    c = t.groupBy("pool", "token").agg(F.count("*").alias("cnt")).filter("cnt >= 20")
-    rank = F.row_number().over(Window.partitionBy("pool").orderBy(F.desc("cnt"), "token"))
-    return c.withColumn("id", (rank - 1).cast("long")).filter("id < 500")
+    return kmer_counts(seqs(spark, sf_dir).select(pool.alias("pool"), "seq"), ["pool"], "seq", list(range(1, 7)))
+
+
+def vocab(spark: SparkSession, sf_dir: str, size: int = POOL_SIZE) -> DataFrame:
+    """(pool, token, cnt, id): the vocabulary of each pool, its ``size`` commonest k-mers by count and token."""
+    rank = F.row_number().over(Window.partitionBy("pool").orderBy(F.desc("cnt"), "token"))  # counted k-mers: 5,460 a pool at most
+    return pool_counts(spark, sf_dir).withColumn("id", (rank - 1).cast("long")).filter(F.col("id") < size)

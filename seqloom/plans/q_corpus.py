@@ -38,22 +38,29 @@ def _coverage(spark, sf_dir):
     return M.coverage(M.sources(_motifs(spark, sf_dir)), f, v)
 
 
-@query("motif_coverage")
+# of 'pairs' the best sum has the most pairs: in each run of their letters every two from the left
+COV = f"""{MOT}, mv AS (SELECT variant, max(motif) AS motif FROM va GROUP BY variant), ct AS (SELECT 'letters' AS tokenizer, motif, variant, CAST(length(variant) AS INTEGER) AS n_tokens FROM mv
+UNION ALL SELECT 'pairs', motif, variant, CAST(length(regexp_replace(variant, '[ACGTNRS][ACGTNRS]', 'x', 'g')) AS INTEGER) FROM mv),
+cov AS (SELECT *, CAST(n_tokens = 1 AS INTEGER) AS perfect, CAST(CASE tokenizer WHEN 'letters' THEN length(variant) = 1 ELSE regexp_full_match(variant, '[ACGTNRS][ACGTNRS]') END AS INTEGER) AS in_vocab, CAST(1.0 / n_tokens AS DOUBLE) AS mean_token_share FROM ct)"""
+
+
+@query("motif_coverage", f"WITH {COV} SELECT tokenizer, motif, variant, n_tokens, perfect, in_vocab, round(mean_token_share, 9) AS mean_token_share FROM cov")
 def motif_coverage(spark, sf_dir):
-    """Tokens, perfect cover and membership of each variant (no oracle: sequential decoding)."""
-    return _coverage(spark, sf_dir)
+    """Tokens, perfect cover and membership of each variant."""
+    return _coverage(spark, sf_dir).withColumn("mean_token_share", F.round("mean_token_share", 9))
 
 
-@query("motif_summary")
+@query("motif_summary", f"WITH {COV} SELECT tokenizer, count(*) AS n, round(avg(n_tokens), 6) AS mean_tokens, round(median(n_tokens), 6) AS median_tokens, round(100 * avg(perfect), 6) AS pct_perfect, round(100 * avg(in_vocab), 6) AS pct_in_vocab FROM cov GROUP BY tokenizer ORDER BY mean_tokens, pct_in_vocab DESC")
 def motif_summary(spark, sf_dir):
     """Coverage summed up per tokenizer."""
-    return M.summary(_coverage(spark, sf_dir))
+    d = M.summary(_coverage(spark, sf_dir))
+    return d.select("tokenizer", "n", *(F.round(c, 6).alias(c) for c in ("mean_tokens", "median_tokens", "pct_perfect", "pct_in_vocab")))
 
 
-@query("motif_consistency")
+@query("motif_consistency", f"WITH {COV} SELECT tokenizer, motif, count(*) AS n, round(coalesce(stddev_samp(n_tokens), 0), 6) AS sd_tokens FROM cov GROUP BY tokenizer, motif")
 def motif_consistency(spark, sf_dir):
     """Spread of the token counts within a motif."""
-    return M.consistency(_coverage(spark, sf_dir))
+    return M.consistency(_coverage(spark, sf_dir)).withColumn("sd_tokens", F.round("sd_tokens", 6))
 
 
 @query("fasta_parse", """WITH f AS (SELECT doc_id, unnest(list_filter(string_split('>d' || doc_id || chr(10) || replace(replace(text, 'ß', 'ss'), '.', chr(10) || '>s' || chr(10)), '>'), lambda x: x <> '')) AS rec FROM documents)
@@ -134,12 +141,12 @@ def n_window_filter(spark, sf_dir):
     return t.withColumn("n_share", F.round(K.n_share(F.col("w")), 6)).filter("n_share < 0.5").drop("w")
 
 
-@query("pack_tokens", f"""WITH {SEQS}, d AS (SELECT doc_id, regexp_extract_all(seq, '.{{1,3}}') AS a, (row_number() OVER (ORDER BY doc_id) - 1) // 100 AS batch FROM seqs),
+@query("pack_tokens", f"""WITH {SEQS}, d AS (SELECT doc_id, regexp_extract_all(seq, '.{{1,3}}') AS a, (row_number() OVER (ORDER BY doc_id) - 1) // 1000 AS batch FROM seqs),
 o AS (SELECT batch, a, doc_id, sum(len(a)) OVER (PARTITION BY batch ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - len(a) AS off FROM d), e AS (SELECT batch, off + i - 1 AS p, a[i] AS token FROM (SELECT batch, off, a, unnest(range(1, len(a) + 1)) AS i FROM o)),
 b AS (SELECT batch, p // 256 AS block, count(*) AS n, md5(string_agg(token, ' ' ORDER BY p)) AS digest FROM e GROUP BY ALL) SELECT batch, CAST(block AS BIGINT) AS block, digest FROM b WHERE n = 256""")
 def pack_tokens(spark, sf_dir):
-    """Tokens of runs of 100 rows packed into blocks of 256."""
-    p = K.pack(_toks(seqs(spark, sf_dir)), "doc_id", "tokens", 256, 100)
+    """Tokens of runs of 1,000 rows packed into blocks of 256."""
+    p = K.pack(_toks(seqs(spark, sf_dir)), "doc_id", "tokens", 256)
     return p.select("batch", "block", F.md5(F.array_join("tokens", " ")).alias("digest"))
 
 
@@ -152,12 +159,26 @@ def pad_truncate(spark, sf_dir):
     return p.select("doc_id", F.array_join("p", " ").alias("ids"), F.aggregate(K.attention(F.col("p"), 0), F.lit(0), lambda a, x: a + x).cast("long").alias("attended"))
 
 
-@query("mlm_mask")
+@query("mlm_mask", f"""WITH {SEQS}, t AS (SELECT doc_id, list_transform(regexp_extract_all(seq, '.{{1,3}}'), lambda x: length(x) + ascii(x)) AS a FROM seqs), e AS (SELECT doc_id, a[i + 1] AS x, i, md5(concat('42:', doc_id, ':', i)) AS h FROM (SELECT doc_id, a, unnest(range(len(a))) AS i FROM t)),
+u AS (SELECT doc_id, x, i, CAST('0x' || substring(h, 1, 7) AS BIGINT) < {int(0.15 * (1 << 28))} AND x NOT IN (0, 1, 2, 3, 4) AS hit, CAST('0x' || substring(h, 8, 7) AS BIGINT) AS v, CAST('0x' || substring(h, 15, 7) AS BIGINT) % 5120 AS r FROM e),
+m AS (SELECT doc_id, string_agg(CASE WHEN NOT hit THEN x WHEN v < {int(0.8 * (1 << 28))} THEN 4 WHEN v < {int(0.9 * (1 << 28))} THEN r ELSE x END, ' ' ORDER BY i) AS ids, string_agg(CASE WHEN hit THEN x ELSE -100 END, ' ' ORDER BY i) AS labels FROM u GROUP BY doc_id)
+SELECT t.doc_id, coalesce(ids, '') AS ids, coalesce(labels, '') AS labels FROM t LEFT JOIN m ON t.doc_id = m.doc_id""")
 def mlm_mask(spark, sf_dir):
-    """Masked ids and labels, seeded by row and position (no oracle: the engine's hash)."""
+    """Masked ids and labels, seeded by row and position."""
     t = _toks(seqs(spark, sf_dir)).withColumn("ids", F.transform("tokens", lambda x: F.length(x) + F.ascii(x)))
     m = t.select("doc_id", K.mask(F.col("ids"), F.col("doc_id"), 4, 5120, [0, 1, 2, 3, 4]).alias("m"))
-    return m.select("doc_id", F.transform("m", lambda s: s["id"]).alias("ids"), F.transform("m", lambda s: s["label"]).alias("labels"))
+    return m.select("doc_id", F.array_join(F.transform("m", lambda s: s["id"]), " ").alias("ids"), F.array_join(F.transform("m", lambda s: s["label"]), " ").alias("labels"))
+
+
+@query("eval_windows", f"""WITH {SEQS_N}, l AS (SELECT doc_id, seq, least(length(seq), length(seq) - doc_id % 3) AS n FROM seqs_n), w AS (SELECT doc_id, substring(seq, 1, CAST(n AS BIGINT)) AS seq, n, unnest(range(CAST(n + 3 AS BIGINT) // 4)) * 4 AS s FROM l WHERE n > 0),
+x AS (SELECT doc_id, s, substring(seq, CAST(s + 1 AS BIGINT), 4) AS seq FROM w) SELECT doc_id, s AS "start", s + length(seq) AS "end", CAST(length(seq) AS BIGINT) AS length, seq, round(list_avg([((i * 7 + doc_id) % 11 - 5) / 5.0 FOR i IN range(s, s + length(seq))]), 6) AS mean_score FROM x WHERE NOT contains(seq, 'N')""")
+def eval_windows(spark, sf_dir):
+    """Windows with their place and the scores under them; windows with N go, the longer of sequence and scores is cut."""
+    d = seqs_n(spark, sf_dir)
+    n = F.length("seq") - F.col("doc_id") % 3
+    scores = F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: ((i * 7 + F.col("doc_id")) % 11 - 5) / F.lit(5.0)))
+    w = D.eval_windows(d.withColumn("scores", scores), "doc_id", "seq", "scores", 4)
+    return w.withColumn("mean_score", F.round(F.aggregate("scores", F.lit(0.0), lambda a, x: a + x) / F.col("length"), 6)).drop("scores")
 
 
 @query("chat_messages", """SELECT item_id, '{"messages":[{"role":"system","content":"Classify."},{"role":"user","content":' || CAST(to_json(text) AS VARCHAR) || '},{"role":"assistant","content":"' || (item_id % 2) || '"}]}' AS json FROM benchmark""")

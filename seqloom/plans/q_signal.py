@@ -87,13 +87,15 @@ def interval_anti_semi(spark, sf_dir):
     return yes.unionByName(I.overlap_join(r, g, 86_400, "left_anti").select("event_id", F.lit(False).alias("touches")))
 
 
-@query("interval_fetch", f"""WITH {SEQS}, q AS (SELECT doc_id, seq, (doc_id * 37) % 500 AS s, (doc_id * 37) % 500 + 20 + doc_id % 300 AS e FROM seqs)
+@query("interval_fetch", f"""WITH {SEQS}, q AS (SELECT doc_id, seq, s, s + 20 + doc_id % 300 AS e FROM (SELECT doc_id, seq, (doc_id * 7919 + j * length(seq) // 3) % length(seq) AS s FROM seqs, (SELECT unnest(range(3)) AS j) WHERE length(seq) > 0))
 SELECT doc_id, s AS "start", e AS "end", substring(seq, CAST(s + 1 AS BIGINT), CAST(e - s AS BIGINT)) AS seq FROM q WHERE e <= length(seq)""")
 def interval_fetch(spark, sf_dir):
-    """Intervals read out of a chunked reference."""
+    """Intervals, spread over all of each sequence, read out of a chunked reference."""
     ref = seqs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("chrom"), "seq")
-    s = F.col("doc_id") * 37 % 500
-    iv = read(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("chrom"), s.alias("start"), (s + 20 + F.col("doc_id") % 300).alias("end"))
+    n = F.length("seq").cast("long")
+    at = seqs(spark, sf_dir).filter(n > 0).select("doc_id", n.alias("n"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("j"))
+    s = (F.col("doc_id") * 7919 + F.floor(F.col("j") * F.col("n") / 3)) % F.col("n")
+    iv = at.select("doc_id", F.col("doc_id").cast("string").alias("chrom"), s.alias("start"), (s + 20 + F.col("doc_id") % 300).alias("end"))
     return I.fetch(iv, I.chunked(ref, 128), 128, ["doc_id"]).select("doc_id", "start", "end", "seq")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,7 +12,7 @@ from ..operators import bpe_train as B
 from ..operators import stats as S
 from ..operators import tokenizers as T
 from ..operators import vocab as V
-from .bindings import SEQS, SEQS_N, TOKENS, VOCABS, read, seqs, seqs_n, tokens, vocab
+from .bindings import POOLS, SEQS, SEQS_N, TOKENS, VOCABS, pool_counts, read, seqs, seqs_n, token_counts, vocab
 from .registry import query
 
 
@@ -21,7 +23,7 @@ def _r(df, *names):
 
 
 def _counts(spark, sf_dir):
-    return S.token_counts(tokens(spark, sf_dir), ["lang"])
+    return token_counts(spark, sf_dir, "lang")
 
 
 @query("kmer_tokens", f"WITH {SEQS} SELECT doc_id, CASE WHEN length(seq) >= 5 THEN array_to_string([substring(seq, CAST(i AS BIGINT), 5) FOR i IN range(1, length(seq) - 3)], ' ') ELSE '' END AS kmers FROM seqs")
@@ -39,7 +41,7 @@ def kmer_counts(spark, sf_dir):
 @query("kmer_top200", f"WITH {SEQS}, {TOKENS}, t AS (SELECT token, CAST(sum(cnt) AS BIGINT) AS cnt FROM tc GROUP BY token) SELECT token, cnt, round(cnt * 1.0 / sum(cnt) OVER (), 10) AS freq FROM t ORDER BY cnt DESC, token LIMIT 200")
 def kmer_top200(spark, sf_dir):
     """The 200 commonest tokens (ties by token) and their share."""
-    t = tokens(spark, sf_dir).groupBy("token").agg(F.count("*").alias("cnt"))
+    t = token_counts(spark, sf_dir)
     total = t.agg(F.sum("cnt").alias("n"))
     return t.crossJoin(F.broadcast(total)).select("token", "cnt", F.round(F.col("cnt") / F.col("n"), 10).alias("freq")).orderBy(F.desc("cnt"), "token").limit(200)  # one row of totals
 
@@ -59,19 +61,19 @@ def gc_profile(spark, sf_dir):
     return _r(g.groupBy("lang").agg(F.count("*").alias("n"), F.avg("gc").alias("mean_gc"), F.median("gc").alias("median_gc")), "mean_gc", "median_gc")
 
 
-@query("token_length_profile", f"""WITH {SEQS}, {VOCABS}, o AS (SELECT pool, length(token) AS len, CAST(length(regexp_replace(token, '[^GC]', '', 'g')) AS DOUBLE) / length(token) AS gc, unnest(range(cnt)) AS i FROM vocab)
-SELECT pool, count(*) AS total_tokens, (SELECT count(*) FROM vocab v WHERE v.pool = o.pool) AS unique_tokens, round(avg(len), 6) AS mean_len, round(median(len), 6) AS median_len, round(avg(gc), 6) AS mean_gc, round(median(gc), 6) AS median_gc FROM o GROUP BY pool""")
+@query("token_length_profile", f"""WITH {SEQS}, {VOCABS}, o AS (SELECT pool, length(token) AS len, CAST(length(regexp_replace(token, '[^GC]', '', 'g')) AS DOUBLE) / length(token) AS gc, unnest(range(cnt)) AS i FROM vc)
+SELECT pool, count(*) AS total_tokens, (SELECT count(*) FROM vc v WHERE v.pool = o.pool) AS unique_tokens, round(avg(len), 6) AS mean_len, round(median(len), 6) AS median_len, round(avg(gc), 6) AS mean_gc, round(median(gc), 6) AS median_gc FROM o GROUP BY pool""")
 def token_length_profile(spark, sf_dir):
     """Lengths and GC of tokens over their occurrences."""
-    return _r(S.token_profile(vocab(spark, sf_dir), ["pool"]), "mean_len", "median_len", "mean_gc", "median_gc")
+    return _r(S.token_profile(pool_counts(spark, sf_dir), ["pool"]), "mean_len", "median_len", "mean_gc", "median_gc")
 
 
 LB = f"""{SEQS}, {VOCABS}, lb AS (SELECT pool, sum(cnt) AS t, 100.0 * sum(CASE WHEN length(token) <= 2 THEN cnt ELSE 0 END) / sum(cnt) AS a, 100.0 * sum(CASE WHEN length(token) BETWEEN 3 AND 5 THEN cnt ELSE 0 END) / sum(cnt) AS b,
- 100.0 * sum(CASE WHEN length(token) BETWEEN 6 AND 8 THEN cnt ELSE 0 END) / sum(cnt) AS c, 100.0 * sum(CASE WHEN length(token) >= 9 THEN cnt ELSE 0 END) / sum(cnt) AS d FROM vocab GROUP BY pool)"""
+ 100.0 * sum(CASE WHEN length(token) BETWEEN 6 AND 8 THEN cnt ELSE 0 END) / sum(cnt) AS c, 100.0 * sum(CASE WHEN length(token) >= 9 THEN cnt ELSE 0 END) / sum(cnt) AS d FROM vc GROUP BY pool)"""
 
 
 def _bins(spark, sf_dir):
-    return S.length_bins(vocab(spark, sf_dir), ["pool"])
+    return S.length_bins(pool_counts(spark, sf_dir), ["pool"])
 
 
 PCT = ["pct_len1_2", "pct_len3_5", "pct_len6_8", "pct_len9plus"]
@@ -115,14 +117,14 @@ def entropy_compression(spark, sf_dir):
     return _r(S.entropy(_counts(spark, sf_dir), ["lang"], bases), "bp_per_token", "tokens_per_kb", "shannon_h_bits", "h_normalized")
 
 
-@query("vocab_jaccard", f"""WITH {SEQS}, {VOCABS}, n AS (SELECT pool, count(*) AS n FROM vocab GROUP BY pool), m AS (SELECT a.pool AS pa, b.pool AS pb, count(*) AS m FROM vocab a JOIN vocab b ON a.token = b.token AND a.pool < b.pool GROUP BY ALL)
+@query("vocab_jaccard", f"""WITH {SEQS}, {VOCABS}, n AS (SELECT pool, count(*) AS n FROM vc GROUP BY pool), m AS (SELECT a.pool AS pa, b.pool AS pb, count(*) AS m FROM vc a JOIN vc b ON a.token = b.token AND a.pool < b.pool GROUP BY ALL)
 SELECT x.pool AS pool_a, y.pool AS pool_b, coalesce(m, 0) AS intersection, x.n + y.n - coalesce(m, 0) AS "union", round(coalesce(m, 0) / CAST(x.n + y.n - coalesce(m, 0) AS DOUBLE), 4) AS jaccard FROM n x JOIN n y ON x.pool < y.pool LEFT JOIN m ON pa = x.pool AND pb = y.pool""")
 def vocab_jaccard(spark, sf_dir):
     """Overlap of the pools' vocabularies."""
-    return V.jaccard_pairs(vocab(spark, sf_dir))
+    return V.jaccard_pairs(pool_counts(spark, sf_dir))
 
 
-PARTS = f"""{SEQS}, {VOCABS}, parts AS (SELECT token, CAST(sum(CASE pool WHEN 'c' THEN 1 WHEN 'n' THEN 2 ELSE 4 END) AS INTEGER) AS mask, min(id) FILTER (pool = 'n') AS neutral_id FROM vocab GROUP BY token)"""
+PARTS = f"""{SEQS}, {POOLS}, parts AS (SELECT token, CAST(sum(CASE pool WHEN 'c' THEN 1 WHEN 'n' THEN 2 ELSE 4 END) AS INTEGER) AS mask, min(id) FILTER (pool = 'n') AS neutral_id FROM vocab GROUP BY token)"""
 RANKED = f"""{PARTS}, tr AS (SELECT *, CASE mask WHEN 7 THEN 1 WHEN 1 THEN 2 WHEN 3 THEN 3 WHEN 2 THEN 4 END AS tier FROM parts),
 ranked AS (SELECT token, tier, row_number() OVER (ORDER BY tier, CASE WHEN tier = 4 THEN neutral_id ELSE 0 END, token) - 1 AS "rank" FROM tr WHERE tier IS NOT NULL QUALIFY "rank" < 300)"""
 CAP = 300
@@ -140,23 +142,32 @@ def vocab_priority_merge(spark, sf_dir):
     return V.priority_merge(V.partition(vocab(spark, sf_dir)), CAP)
 
 
-@query("vocab_essentials", f"""WITH {RANKED}, x AS (SELECT t, i FROM (SELECT unnest(['[PAD]', '[UNK]', '[CLS]', '[SEP]', '[MASK]', 'A', 'T', 'C', 'G', 'N']) AS t, generate_subscripts(['[PAD]', '[UNK]', '[CLS]', '[SEP]', '[MASK]', 'A', 'T', 'C', 'G', 'N'], 1) AS i) WHERE t NOT IN (SELECT token FROM ranked)),
-a AS (SELECT token, 0 AS g, "rank" AS o FROM ranked UNION ALL SELECT t, 1, i FROM x) SELECT token, row_number() OVER (ORDER BY g, o) - 1 AS id FROM a QUALIFY id < 305""")
+def _essentials(ranked, cap):
+    """SQL: the essentials that ``ranked`` (token, rank) lacks, behind it, within the capacity, as (token, id)."""
+    names = "['[UNK]', '[CLS]', '[SEP]', '[PAD]', '[MASK]', 'A', 'T', 'C', 'G', 'N']"
+    return f"""(SELECT token, row_number() OVER (ORDER BY g, o) - 1 AS id FROM (SELECT token, 0 AS g, "rank" AS o FROM {ranked}
+UNION ALL SELECT t, 1, i FROM (SELECT unnest({names}) AS t, generate_subscripts({names}, 1) AS i) WHERE t NOT IN (SELECT token FROM {ranked})) QUALIFY id < {cap})"""
+
+
+@query("vocab_essentials", f"WITH {RANKED} SELECT token, id FROM {_essentials('ranked', CAP + 5)}")
 def vocab_essentials(spark, sf_dir):
     """U8: specials and bases behind the merged tokens, within the capacity."""
     return V.with_essentials(V.priority_merge(V.partition(vocab(spark, sf_dir)), CAP), CAP + 5)
 
 
-@query("vocab_scores", f"""WITH {RANKED}, rnd AS (SELECT token, row_number() OVER (ORDER BY md5('42:' || token), token) - 1 AS "rank" FROM parts QUALIFY "rank" < 300)
-SELECT 'merge' AS model, token, "rank" AS id, CAST(length(token) * length(token) AS DOUBLE) AS score FROM ranked UNION ALL SELECT 'no_length', token, "rank", CAST(length(token) AS DOUBLE) FROM ranked UNION ALL SELECT 'no_priority', token, "rank", CAST(length(token) * length(token) AS DOUBLE) FROM rnd
-UNION ALL SELECT 'no_partition', token, id, CAST(length(token) * length(token) AS DOUBLE) FROM vocab WHERE pool = 'n'""")
+_LEN2 = "CAST(length(token) * length(token) AS DOUBLE) AS score"
+
+
+@query("vocab_scores", f"""WITH {RANKED}, rnd AS (SELECT token, row_number() OVER (ORDER BY md5('42:' || token), token) - 1 AS "rank" FROM parts QUALIFY "rank" < 300), base AS (SELECT token, id AS "rank" FROM vocab WHERE pool = 'n')
+SELECT 'merge' AS model, token, id, {_LEN2} FROM {_essentials('ranked', CAP + 5)} UNION ALL SELECT 'no_length', token, id, CAST(length(token) AS DOUBLE) FROM {_essentials('ranked', CAP + 5)}
+UNION ALL SELECT 'no_priority', token, id, {_LEN2} FROM {_essentials('rnd', CAP + 5)} UNION ALL SELECT 'no_partition', token, id, {_LEN2} FROM {_essentials('base', CAP + 205)}""")
 def vocab_scores(spark, sf_dir):
-    """The merged vocabulary and its three ablations with their scores."""
+    """The merged vocabulary and its three ablations, essentials included, with their scores."""
     v = vocab(spark, sf_dir)
     p = V.partition(v)
-    m, r = V.priority_merge(p, CAP), V.random_merge(p, CAP)
-    part = lambda d, name, kind, i="rank": d.select(F.lit(name).alias("model"), "token", F.col(i).alias("id"), V.score(kind).alias("score"))
-    return part(m, "merge", "len2").unionByName(part(m, "no_length", "length")).unionByName(part(r, "no_priority", "len2")).unionByName(part(v.filter("pool = 'n'"), "no_partition", "len2", "id"))
+    m, r, n = V.priority_merge(p, CAP), V.random_merge(p, CAP), v.filter("pool = 'n'").select("token", F.col("id").alias("rank"))
+    part = lambda d, name, kind, cap=CAP + 5: V.with_essentials(d, cap).select(F.lit(name).alias("model"), "token", "id", V.score(kind).alias("score"))
+    return part(m, "merge", "len2").unionByName(part(m, "no_length", "length")).unionByName(part(r, "no_priority", "len2")).unionByName(part(n, "no_partition", "len2", CAP + 205))
 
 
 #: A fixed additive vocabulary for the decoding queries.
@@ -164,16 +175,49 @@ STATIC = ["A", "C", "G", "T", "AC", "CA", "GT", "TG", "ACG", "CGT", "GTA", "TAC"
 MERGES = [("A", "C"), ("G", "T"), ("AC", "GT"), ("T", "A"), ("C", "A"), ("G", "A"), ("TA", "C"), ("CA", "GT")]
 
 
-@query("unigram_decode")
+#: Letters of a piece that is decoded alone.
+PIECE = 500
+PIECES = f"""{SEQS}, pc AS (SELECT doc_id * 100000 + i AS id, doc_id, CAST(i AS INTEGER) AS piece, substring(seq, CAST(i * {PIECE} + 1 AS BIGINT), {PIECE}) AS p FROM (SELECT doc_id, seq, unnest(range((length(seq) + {PIECE - 1}) // {PIECE})) AS i FROM seqs))"""
+
+
+def _pieces(spark, sf_dir, tokenize):
+    d = T.in_chunks(seqs(spark, sf_dir), "seq", PIECE, tokenize, ["doc_id"])
+    return d.select("doc_id", "piece", F.array_join(T.names("tokens"), " ").alias("tokens"))
+
+
+def _best(words, scores):
+    """SQL: of s0..s4, the best sums 1 to 5 letters back, the greatest sum that a word ending at place i gives, and the word's length; the longer on ties."""
+    ends = lambda k: f"substring(p, i - {k - 2}, {k}) IN ({', '.join(repr(w) for w in words if len(w) == k)})"
+    arms = [(k, f"CASE WHEN i >= {k - 1} AND {ends(k)} THEN s{k - 1} + {scores(k)} ELSE -1e9 END") for k in range(1, 6)]
+    best = f"greatest({', '.join(e for _, e in arms)})"
+    return best, "CASE " + " ".join(f"WHEN {e} >= {best} THEN {k}" for k, e in reversed(arms)) + " END"
+
+
+_SUM, _BACK = _best(STATIC, lambda k: float(k * k))
+
+
+@query("unigram_decode", f"""WITH RECURSIVE {PIECES},
+f AS (SELECT id, 0 AS i, CAST(0 AS DOUBLE) AS s0, CAST(-1e9 AS DOUBLE) AS s1, CAST(-1e9 AS DOUBLE) AS s2, CAST(-1e9 AS DOUBLE) AS s3, CAST(-1e9 AS DOUBLE) AS s4, 0 AS b FROM pc
+  UNION ALL SELECT f.id, i + 1, CAST({_SUM} AS DOUBLE), s0, s1, s2, s3, CAST({_BACK} AS INTEGER) FROM f JOIN pc ON f.id = pc.id WHERE i < length(p)),
+l AS (SELECT id, list(b ORDER BY i) AS bs FROM f WHERE i > 0 GROUP BY id),
+g AS (SELECT id, length(p) AS i FROM pc UNION ALL SELECT g.id, i - bs[i] FROM g JOIN l ON g.id = l.id WHERE i > 0)
+SELECT doc_id, piece, string_agg(substring(p, i - bs[i] + 1, bs[i]), ' ' ORDER BY i) AS tokens FROM g JOIN l ON g.id = l.id JOIN pc ON pc.id = g.id WHERE i > 0 GROUP BY doc_id, piece""")
 def unigram_decode(spark, sf_dir):
-    """Additive-score decoding of whole sequences (no oracle: sequential)."""
-    f = T.unigram_decoder(spark, {t: float(len(t) ** 2) for t in STATIC}, unk=-100.0)
-    return seqs(spark, sf_dir).select("doc_id", F.array_join(T.names(f(F.col("seq"))), " ").alias("tokens"))
+    """Additive-score decoding of whole sequences, piece by piece."""
+    return _pieces(spark, sf_dir, T.unigram_decoder(spark, {t: float(len(t) ** 2) for t in STATIC}, unk=-100.0))
+
 
+def _merged(expr):
+    """SQL: letters of ``expr`` as tokens in brackets, merged in the order of rank; a merge's own pairs come later in it, so each rank is one pass."""
+    out = f"regexp_replace({expr}, '(.)', '<\\1>', 'g')"
+    for a, b in MERGES:
+        out = f"replace({out}, '<{a}><{b}>', '<{a}{b}>')"
+    return out
 
-@query("bpe_encode")
+
+@query("bpe_encode", f"WITH {SEQS} SELECT doc_id, replace(trim({_merged('seq')}, '<>'), '><', ' ') AS tokens FROM seqs")
 def bpe_encode(spark, sf_dir):
-    """Rank merging of whole sequences (no oracle: sequential)."""
+    """Rank merging of whole sequences."""
     f = T.bpe_encoder(spark, MERGES)
     return seqs(spark, sf_dir).select("doc_id", F.array_join(T.names(f(F.col("seq"))), " ").alias("tokens"))
 
@@ -199,11 +243,32 @@ def bpe_train(spark, sf_dir):
     return spark.createDataFrame(rows, "id int, token string, l string, r string")
 
 
-@query("motif_tokenizer")
+MOTIF_WORDS = ["ACGT", "GATTACA", "CCGG", "TTTA", "CAGTCA", "GGCC", "ACGTAC", "TACG", "TACGGA", "AAAAA", "GTACGT"]
+#: Known 3-mers; other places fall to one letter.
+TRIPLES = ["ACG", "CAT", "GGA", "TTC", "AAT", "TGA"]
+_WORDS = f"(SELECT unnest({MOTIF_WORDS}) AS w)"
+
+
+def _reached(steps, rounds):
+    """SQL: places that the steps (id, i, nxt) reach from place 0, as the last of some CTEs, ``r<rounds>``: of each round twice as many steps are added."""
+    out = [f"j0 AS MATERIALIZED (SELECT id, i, nxt FROM {steps})", "r0 AS MATERIALIZED (SELECT id, 0 AS i FROM pc)"]
+    for k in range(rounds):
+        out.append(f"r{k + 1} AS MATERIALIZED (SELECT id, i FROM r{k} UNION SELECT r.id, j.nxt FROM r{k} r JOIN j{k} j ON r.id = j.id AND r.i = j.i)")
+        out.append(f"j{k + 1} AS MATERIALIZED (SELECT x.id, x.i, y.nxt FROM j{k} x JOIN j{k} y ON x.id = y.id AND x.nxt = y.i)")
+    return ",\n".join(out)
+
+
+@query("motif_tokenizer", f"""WITH {PIECES}, ix AS (SELECT id, p, unnest(range(length(p))) AS i FROM pc),
+hit AS (SELECT id, i, arg_min(length(w), md5(concat('7:', i, ':', w))) AS n FROM ix, {_WORDS} WHERE substring(p, CAST(i + 1 AS BIGINT), length(w)) = w GROUP BY id, i),
+pick AS (SELECT ix.id, ix.i, coalesce(n, CASE WHEN substring(p, CAST(ix.i + 1 AS BIGINT), 3) IN ({', '.join(map(repr, TRIPLES))}) THEN 3 ELSE 1 END) AS n FROM ix LEFT JOIN hit ON ix.id = hit.id AND ix.i = hit.i),
+three AS (SELECT id, i, n, coalesce(lead(n, 1) OVER w, 0) AS n1, coalesce(lead(n, 2) OVER w, 0) AS n2 FROM pick WINDOW w AS (PARTITION BY id ORDER BY i)),
+st AS MATERIALIZED (SELECT id, i, skip, CASE skip WHEN 0 THEN n WHEN 1 THEN n1 ELSE n2 END AS n, i + skip + CASE skip WHEN 0 THEN n WHEN 1 THEN n1 ELSE n2 END AS nxt FROM (SELECT *, CASE WHEN n = 1 THEN 0 WHEN n2 > greatest(n, n1) THEN 2 WHEN n1 > n THEN 1 ELSE 0 END AS skip FROM three)),
+{_reached("st", 9)}
+SELECT doc_id, piece, string_agg(concat(CASE WHEN skip > 0 THEN substring(p, CAST(i + 1 AS BIGINT), 1) || ' ' ELSE '' END, CASE WHEN skip > 1 THEN substring(p, CAST(i + 2 AS BIGINT), 1) || ' ' ELSE '' END, substring(p, CAST(i + skip + 1 AS BIGINT), n)), ' ' ORDER BY i) AS tokens
+FROM r9 JOIN st USING (id, i) JOIN pc USING (id) GROUP BY doc_id, piece""")
 def motif_tokenizer(spark, sf_dir):
-    """Random dictionary words with look-ahead, seeded by text (no oracle: random)."""
-    f = T.motif_tokenizer(spark, {"ACGT", "GATTACA", "CCGG", "TTTA", "CAGTCA", "GGCC"}, 7)
-    return seqs(spark, sf_dir).select("doc_id", F.array_join(T.names(f(F.col("seq"))), " ").alias("tokens"))
+    """Dictionary words with look-ahead; of several at a place the one of least seeded md5."""
+    return _pieces(spark, sf_dir, T.motif_tokenizer(spark, set(MOTIF_WORDS), 7, set(TRIPLES)))
 
 
 ENR = f"""{SEQS}, {TOKENS}, en AS (SELECT token, coalesce(sum(cnt) FILTER (lang = 'en'), 0) AS na, coalesce(sum(cnt) FILTER (lang = 'de'), 0) AS nb FROM tc WHERE lang IN ('en', 'de') GROUP BY token),
@@ -211,16 +276,51 @@ tt AS (SELECT sum(na) AS ta, sum(nb) AS tb FROM en), ez AS (SELECT token, na, nb
  (na / ta - nb / tb) / sqrt((na + nb) / (ta + tb) * (1 - (na + nb) / (ta + tb)) * (1 / ta + 1 / tb)) AS z FROM en, tt)"""
 
 
-@query("token_enrichment", f"WITH {ENR} SELECT token, CAST(na AS BIGINT) AS na, CAST(nb AS BIGINT) AS nb, round(fa, 6) AS freq_a, round(fb, 6) AS freq_b, round(lfc, 6) AS log2fc, round(z, 6) AS z, CASE WHEN lfc > 0 THEN 'en' WHEN lfc < 0 THEN 'de' ELSE 'tie' END AS side FROM ez")
+def _horner(c, x):
+    out = repr(c[-1])
+    for v in c[-2::-1]:
+        out = f"({out} * {x} + {v!r})"
+    return out
+
+
+def _erfc(x):
+    """SQL: the complementary error function of a number from 0 up, by the approximations of :mod:`..functions.columns`."""
+    q = lambda p, v: f"({_horner(p[0], v)} / {_horner(p[1], v)})"
+    w = f"({x} * {x})"
+    return f"""CASE WHEN {x} <= 0.46875 THEN 1 - {x} * {q(C.ERF_LOW, w)} WHEN {x} <= 4 THEN exp(-{w}) * {q(C.ERFC_MID, x)} ELSE exp(-{w}) / {x} * ({1 / math.sqrt(math.pi)!r} - {q(C.ERFC_HIGH, f"(1.0 / {w})")} / {w}) END"""
+
+
+FDR = f"""{ENR}, ep AS (SELECT *, {_erfc("v")} AS p FROM (SELECT *, CAST(abs(z) / {math.sqrt(2)!r} AS DOUBLE) AS v FROM ez)), ek AS (SELECT *, row_number() OVER (ORDER BY p, token) AS k, count(*) OVER () AS m FROM ep),
+eq AS (SELECT *, least(1.0, min(p * m / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING)) AS q, CASE WHEN lfc > 0 THEN 'en' WHEN lfc < 0 THEN 'de' ELSE 'equal' END AS side FROM ek)"""
+
+
+@query("token_enrichment", f"WITH {FDR} SELECT token, CAST(na AS BIGINT) AS na, CAST(nb AS BIGINT) AS nb, round(fa, 6) AS freq_a, round(fb, 6) AS freq_b, round(lfc, 6) AS log2fc, round(z, 6) AS z, round(p, 9) AS p_value, round(q, 9) AS fdr_bh, side FROM eq ORDER BY q, token")
 def token_enrichment(spark, sf_dir):
-    """Two sets of tokens compared (p-values: tests)."""
-    return _r(S.enrichment(_counts(spark, sf_dir), "lang", "en", "de"), "freq_a", "freq_b", "log2fc", "z")
+    """Two sets of tokens compared, with p and false-discovery rate, by it and the token."""
+    return _r(_r9(S.enriched(_counts(spark, sf_dir), "lang", "en", "de")), "freq_a", "freq_b", "log2fc", "z")
+
 
+def _r9(df):
+    return df.withColumn("p_value", F.round("p_value", 9)).withColumn("fdr_bh", F.round("fdr_bh", 9))
 
-@query("token_volcano", f"WITH {ENR} SELECT token, round(lfc, 6) AS log2fc, round(z, 6) AS z FROM ez")
+
+VOLCANO = "token, round(lfc, 6) AS log2fc, round(z, 6) AS z, round(p, 9) AS p_value, round(q, 9) AS fdr_bh, round(-log10(greatest(q, 1e-300)), 6) AS neglog10_fdr"
+
+
+def _volcano(df):
+    return _r(_r9(df.select("token", "log2fc", "z", "p_value", "fdr_bh", "neglog10_fdr")), "log2fc", "z", "neglog10_fdr")
+
+
+@query("token_volcano", f"WITH {FDR} SELECT {VOLCANO} FROM eq ORDER BY q, -abs(lfc), token")
 def token_volcano(spark, sf_dir):
-    """The volcano rows without p, which DuckDB lacks; with it: tests."""
-    return _r(S.volcano(_counts(spark, sf_dir), "lang", "en", "de").select("token", "log2fc", "z"), "log2fc", "z")
+    """The volcano rows by false-discovery rate, larger effects first."""
+    return _volcano(S.volcano(_counts(spark, sf_dir), "lang", "en", "de"))
+
+
+@query("volcano_top_labels", f"WITH {FDR} SELECT {VOLCANO} FROM eq WHERE q <= 0.05 ORDER BY q, -abs(lfc), token LIMIT 15")
+def volcano_top_labels(spark, sf_dir):
+    """The first 15 significant tokens."""
+    return _volcano(S.top_labels(S.volcano(_counts(spark, sf_dir), "lang", "en", "de")))
 
 
 @query("bh_fdr", "WITH p AS (SELECT o_orderkey, o_totalprice / max(o_totalprice) OVER () AS p FROM orders), r AS (SELECT *, row_number() OVER (ORDER BY p, o_orderkey) AS k, count(*) OVER () AS n FROM p) SELECT o_orderkey, round(p, 9) AS p, round(least(1.0, min(p * n / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING)), 6) AS q FROM r")
@@ -241,26 +341,57 @@ SELECT side, round(max(m) FILTER (lang = 'de'), 6) AS de, round(max(m) FILTER (l
 def mean_log2fc_matrix(spark, sf_dir):
     """Mean log2 ratio of each cell to a background cell, as a matrix."""
     side = F.when(F.substring(F.md5("source"), 1, 1).isin("0", "1", "2", "3", "4"), "left").otherwise("right")
-    c = tokens(spark, sf_dir).groupBy(side.alias("side"), "lang", "token").agg(F.count("*").alias("cnt"))
+    c = S.kmer_counts(seqs(spark, sf_dir).select(side.alias("side"), "lang", "seq"), ["side", "lang"], "seq", [4])
     m = S.mean_log2fc(c, c.filter("side = 'left' AND lang = 'de'").select("token", "cnt"), ["side", "lang"])
     return _r(m.groupBy("side").pivot("lang", ["de", "en", "es", "fr"]).agg(F.first("mean_log2fc")), "de", "en", "es", "fr")
 
 
-@query("shuffle_importance")
+#: Shuffled replicates of each sequence.
+SHUFFLES = 10
+
+
+@query("shuffle_importance", f"""WITH {SEQS}, {TOKENS}, rs AS (SELECT doc_id, seq, CAST('0x' || substring(h, 1, 7) AS BIGINT) AS a, CAST('0x' || substring(h, 8, 7) AS BIGINT) + 1 AS b, rep FROM (SELECT doc_id, seq, rep, md5(concat('1:', rep, ':', doc_id)) AS h FROM seqs, (SELECT unnest(range({SHUFFLES})) AS rep))),
+sl AS (SELECT rep, doc_id, seq, a, b, unnest(range(length(seq))) AS i FROM rs), sx AS (SELECT rep, doc_id, i, substring(seq, CAST(i + 1 AS BIGINT), 1) AS c, (i + a) % {S.PRIME} AS x, b FROM sl),
+sw AS (SELECT rep, c || lead(c, 1) OVER w || lead(c, 2) OVER w || lead(c, 3) OVER w AS token FROM sx WINDOW w AS (PARTITION BY rep, doc_id ORDER BY x * x % {S.PRIME} * x % {S.PRIME} * b % {S.PRIME}, i)),
+rt AS (SELECT rep, token, count(*) AS cnt FROM sw WHERE token IS NOT NULL GROUP BY ALL),
+ob AS (SELECT token, sum(cnt) AS n FROM tc GROUP BY token), tt AS (SELECT sum(n) AS t FROM ob), tr AS (SELECT rep, sum(cnt) AS tr FROM rt GROUP BY rep), tb AS (SELECT sum(tr) / {SHUFFLES}.0 AS tb FROM tr),
+every AS (SELECT token FROM ob UNION SELECT token FROM rt), al AS (SELECT e.token, coalesce(n, 0) AS n, coalesce(n, 0) / t AS f, tr.rep, coalesce(cnt, 0) AS c, coalesce(cnt, 0) / tr.tr AS fr FROM every e LEFT JOIN ob ON ob.token = e.token, tt, tr LEFT JOIN rt ON rt.rep = tr.rep AND rt.token = e.token),
+st AS (SELECT token, max(n) AS n, max(f) AS f, avg(c) AS cm, coalesce(stddev_samp(c), 0) AS cs, avg(fr) AS fm, coalesce(stddev_samp(fr), 0) AS fs, count(*) FILTER (fr >= f) AS ge FROM al GROUP BY token),
+sp AS (SELECT *, log2((f + 0.5 / t) / (fm + 0.5 / greatest(1.0, tb))) AS lfc, (ge + 1) / {SHUFFLES + 1}.0 AS p FROM st, tt, tb), sk AS (SELECT *, row_number() OVER (ORDER BY p, token) AS k, count(*) OVER () AS m FROM sp),
+sq AS (SELECT *, least(1.0, min(p * m / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING)) AS q FROM sk)
+SELECT token, CAST(n AS BIGINT) AS count_observed, round(cm, 6) AS count_bg_mean, round(cs, 4) AS count_bg_sd, round(f, 9) AS freq_observed, round(fm, 9) AS freq_bg_mean, round(lfc, 6) AS log2_enrichment, round(p, 6) AS p_ge, round(q, 6) AS fdr_bh,
+CASE WHEN lfc > 0 AND q <= 0.05 THEN 1 ELSE 0 END AS important FROM sq ORDER BY q, -lfc, token""")
 def shuffle_importance(spark, sf_dir):
-    """Tokens against 19 shuffled replicates (no oracle: random)."""
-    s = seqs(spark, sf_dir)
-    obs = tokens(spark, sf_dir).groupBy("token").agg(F.count("*").alias("cnt"))
-    rep = S.shuffled(s, "doc_id", "seq", 19, 1).select("rep", F.explode(C.kmers("seq", 4)).alias("token")).groupBy("rep", "token").agg(F.count("*").alias("cnt"))
-    return S.importance(obs, rep, 19).orderBy("fdr_bh", F.desc("log2_enrichment"), "token")
+    """Tokens against ten shuffled replicates, by false-discovery rate."""
+    rep = S.shuffled_counts(seqs(spark, sf_dir), "doc_id", "seq", 4, SHUFFLES, 1)
+    d = S.importance(token_counts(spark, sf_dir), rep, SHUFFLES).orderBy("fdr_bh", F.desc("log2_enrichment"), "token")
+    r = lambda c, n: F.round(c, n).alias(c)
+    return d.select("token", F.col("count_observed").cast("long"), r("count_bg_mean", 6), r("count_bg_sd", 4), r("freq_observed", 9), r("freq_bg_mean", 9), r("log2_enrichment", 6), r("p_ge", 6), r("fdr_bh", 6), "important")
 
 
-@query("best_tokens", f"""WITH {ENR}, q AS (SELECT token, lfc, CASE WHEN lfc > 0 THEN 'en' ELSE 'de' END AS side, round(exp(-abs(z)), 9) AS q FROM ez)
-SELECT side, count(*) FILTER (q <= 0.05) AS n_significant, arg_min(token, (q, -abs(round(lfc, 9)), token)) AS best_token FROM q GROUP BY side""")
+@query("best_tokens", f"""WITH {FDR} SELECT side, count(*) FILTER (q <= 0.05) AS n_significant, arg_min(token, (round(q, 9), -abs(round(lfc, 6)), token)) AS best_token FROM eq GROUP BY side""")
 def best_tokens(spark, sf_dir):
-    """Significant tokens and the best of each side (q: a stand-in that both engines have)."""
-    e = S.enrichment(_counts(spark, sf_dir), "lang", "en", "de").withColumn("q", F.round(F.exp(-F.abs("z")), 9)).withColumn("log2fc", F.round("log2fc", 9))
-    return S.best_tokens(e.withColumn("side", F.when(F.col("log2fc") > 0, "en").otherwise("de")), ["side"])
+    """Significant tokens and the best of each side, by false-discovery rate, effect and token."""
+    e = S.enriched(_counts(spark, sf_dir), "lang", "en", "de").withColumn("q", F.round("fdr_bh", 9)).withColumn("log2fc", F.round("log2fc", 6))
+    return S.best_tokens(e, ["side"])
+
+
+#: Vocabulary sizes that a sweep may ask for (fixed values).
+VOCAB_SIZES = ("2048", "3072", "4096", "5120")
+
+
+@query("vocab_sweep", f"""WITH {SEQS}, {VOCABS}, rk AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY cnt DESC, token) - 1 AS id FROM vc), cfg AS (SELECT pool AS model, v AS vocab FROM (SELECT DISTINCT pool FROM vc), (SELECT unnest([2048, 3072, 4096]) AS v)),
+t AS (SELECT pool AS region, sum(cnt) AS total FROM vc GROUP BY pool)
+SELECT model || '_' || vocab AS config, region, count(r.token) AS n_tokens, CAST(coalesce(sum(r.cnt), 0) AS BIGINT) AS n_met, round(coalesce(sum(r.cnt), 0) / max(total), 6) AS share, arg_max(r.token, (r.cnt, r.token)) AS top_token
+FROM cfg JOIN rk ON rk.pool = model AND rk.id < vocab JOIN vc r ON r.token = rk.token JOIN t ON t.region = r.pool WHERE config LIKE '%2048' OR config LIKE '%4096' GROUP BY model, vocab, region""")
+def vocab_sweep(spark, sf_dir):
+    """Every (model, vocabulary size, region) of a sweep in one plan: the region's occurrences that the vocabulary has."""
+    c = pool_counts(spark, sf_dir)
+    names = [f"{m}_{v}" for m in ("a", "c", "n") for v in V.vocab_sizes("2048, 3072,4096", VOCAB_SIZES)]
+    config = V.configurations(spark, V.with_suffix(names, ["2048", "4096"]))
+    rank = F.row_number().over(Window.partitionBy("pool").orderBy(F.desc("cnt"), "token")) - 1
+    ranked = c.withColumn("id", rank).select(F.col("pool").alias("model"), "token", "id")
+    return V.sweep(config, ranked, c.withColumnRenamed("pool", "region")).withColumn("share", F.round("share", 6))
 
 
 def _occurrences(spark, sf_dir):

@@ -11,20 +11,34 @@ BEDGRAPH = "chrom string, start bigint, end bigint, score double"
 SEGMENT_COLUMNS = ["chrom", "genomic_start", "genomic_end", "category"]
 
 
+_MALFORMED = "n <> 4 OR (start IS NULL AND start_text <> '') OR (end IS NULL AND end_text <> '') OR (score IS NULL AND score_text <> '')"
+
+
+def _fields(spark: SparkSession, path: str) -> DataFrame:
+    """Lines that are not blank: their number of fields, and the four typed columns beside their texts; a field that is no number is null."""
+    d = spark.read.text(path).filter("trim(value) <> ''").withColumn("p", F.split("value", "\t"))
+    d = d.select(F.size("p").alias("n"), F.nullif(F.get("p", F.lit(0)), F.lit("")).alias("chrom"), *(F.trim(F.coalesce(F.get("p", F.lit(i)), F.lit(""))).alias(f"{c}_text") for i, c in ((1, "start"), (2, "end"), (3, "score"))))
+    return d.withColumns({c: F.expr(f"try_cast({c}_text AS {t})") for c, t in (("start", "bigint"), ("end", "bigint"), ("score", "double"))})
+
+
+def bigwig(spark: SparkSession, path: str, chrom: str | None = None) -> DataFrame:
+    """bigWig files are a binary index that Spark can't split; they are read as the bedGraph text of the same track."""
+    raise ValueError(f"{path}: convert the bigWig file to bedGraph and read it with bedgraph()")
+
+
 def bedgraph(spark: SparkSession, path: str, strict: bool = False, chrom: str | None = None) -> DataFrame:
     """One file or a glob of them; malformed rows are dropped, or fail the read if ``strict``."""
-    r = spark.read.schema(BEDGRAPH + ("" if strict else ", _bad string")).option("sep", "\t").option("mode", "FAILFAST" if strict else "PERMISSIVE")
-    d = (r if strict else r.option("columnNameOfCorruptRecord", "_bad")).csv(path)
-    if not strict:
-        d = d.cache().filter("_bad IS NULL").drop("_bad")  # the corrupt column can't be read alone
+    if strict:
+        d = spark.read.schema(BEDGRAPH).option("sep", "\t").option("mode", "FAILFAST").csv(path)
+    else:
+        d = _fields(spark, path).filter(f"NOT ({_MALFORMED})").select("chrom", "start", "end", "score")
     d = d.filter("chrom IS NOT NULL")
     return d if chrom is None else d.filter(F.col("chrom") == chrom)
 
 
 def skipped(spark: SparkSession, path: str) -> int:
     """How many rows of a bedGraph are malformed."""
-    d = spark.read.schema(BEDGRAPH + ", _bad string").option("sep", "\t").option("columnNameOfCorruptRecord", "_bad").csv(path)
-    return d.cache().filter("_bad IS NOT NULL").count()
+    return _fields(spark, path).filter(_MALFORMED).count()
 
 
 def parse_fasta(df: DataFrame, text: str, keep: list[str]) -> DataFrame:

@@ -32,8 +32,22 @@ def csv(df: DataFrame, path: str, columns: list[str] | None = None, sep: str = "
     df.select(*(columns or df.columns)).write.mode(mode).option("header", True).option("sep", sep).option("escape", '"').csv(path)
 
 
+def unquoted_csv(df: DataFrame, path: str, columns: list[str] | None = None, sep: str = ",", mode: str = "error") -> None:
+    """K5: values joined as they are, never quoted, nulls empty; the header is a folder ``header`` beside the part files."""
+    names = columns or df.columns
+    rows = df.select(F.concat_ws(sep, *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names)).alias("value"))
+    head = df.sparkSession.createDataFrame([(sep.join(names),)], "value string")
+    rows.write.mode(mode).text(path)
+    head.coalesce(1).write.mode("append").text(f"{path}/header")
+
+
+def json_once(df: DataFrame, path: str) -> None:
+    """A JSON record a line, left alone where it is there already."""
+    df.write.mode("ignore").json(path)
+
+
 def once(df: DataFrame, path: str) -> None:
-    """Parquet, left alone where it is there already."""
+    """K9: Parquet, left alone where it is there already."""
     df.write.mode("ignore").parquet(path)
 
 

@@ -221,7 +221,7 @@ def test_vocab_tiers(spark):
     m = V.priority_merge(V.partition(v), 10)
     assert [r.token for r in m.orderBy("rank").collect()] == ["x", "z", "y", "v"]
     e = V.with_essentials(m, 8)
-    assert [r.token for r in e.orderBy("id").collect()] == ["x", "z", "y", "v", "[PAD]", "[UNK]", "[CLS]", "[SEP]"]
+    assert [r.token for r in e.orderBy("id").collect()] == ["x", "z", "y", "v", "[UNK]", "[CLS]", "[SEP]", "[PAD]"]
     assert [r.jaccard for r in V.jaccard_pairs(v).collect() if (r.pool_a, r.pool_b) == ("c", "n")] == [round(2 / 6, 4)]
 
 
@@ -318,3 +318,76 @@ def test_tiles_change_nothing(spark):
     runs = sorted(map(tuple, S.merge_adjacent(b).collect()))
     for t in (10, 30, 250):
         assert sorted(map(tuple, S.merge_adjacent(b, t).collect())) == runs
+
+
+# --- motif tokenizer
+def test_motif_tokens_with_one_word_choices():
+    """No choice is left: golden vectors of the look-ahead."""
+    never = lambda i, found: pytest.fail("a choice")
+    t = lambda text, words, triples=(): T.motif_tokens(text, set(words), set(triples), never)
+    assert t("NACGTTAG", ["ACGT", "GTTAG"]) == ["N", "A", "C", "GTTAG"]  # a letter looks no further, a word does
+    assert t("ACGTACG", ["ACGT", "CGTACG"]) == ["A", "CGTACG"]
+    assert t("ACGTTTTTT", ["ACGT", "GTTTTTT"]) == ["A", "C", "GTTTTTT"]
+    assert t("AACG", ["ACGT"], ["AAC"]) == ["AAC", "G"] and t("AAC", [], []) == ["A", "A", "C"] and t("", ["ACGT"]) == []
+    assert t("ACACGT", ["ACGT"], ["ACA"]) == ["A", "C", "ACGT"]
+
+
+def test_motif_choice_is_seeded(spark):
+    d = spark.createDataFrame([(1, "ACGTACGT"), (2, "ACGTACGT"), (3, None)], "id long, s string")
+    f = lambda seed: T.motif_tokenizer(spark, {"ACGT", "ACGTA", "ACGTAC"}, seed)
+    got = [{r.id: r.t for r in d.repartition(n).select("id", T.names(f(1)(F.col("s"))).alias("t")).collect()} for n in (1, 3)]
+    assert got[0] == got[1] and got[0][1] == got[0][2] and got[0][3] is None and "".join(got[0][1]) == "ACGTACGT"
+    assert len({tuple(d.filter("id = 1").select(T.names(f(k)(F.col("s")))).first()[0]) for k in range(12)}) > 1
+
+
+# --- counts and shuffles
+def test_kmer_counts_against_counting(spark):
+    from collections import Counter
+
+    rows = [("a", "ACGTNACG"), ("a", "AC"), ("b", ""), ("b", None), (None, "acgTT"), ("c", "A" * 30)]
+    d = spark.createDataFrame(rows, "k string, s string").repartition(3)
+    want = Counter((k, s[i : i + n]) for k, s in rows if s for n in (1, 3) for i in range(len(s) - n + 1) if set(s[i : i + n]) <= set("ACGT"))
+    assert {(r.k, r.token): r.cnt for r in A.kmer_counts(d, ["k"], "s", [1, 3]).collect()} == dict(want)
+    assert A.kmer_counts(d.limit(0), [], "s", [2]).count() == 0
+    with pytest.raises(ValueError):
+        A.kmer_counts(d, [], "s", [13])
+
+
+def test_shuffles_keep_letters_and_counts_agree(spark):
+    from collections import Counter
+
+    rows = [(1, "ACGTACGGTTAACC" * 3), (2, "AC"), (3, ""), (4, None)]
+    d = spark.createDataFrame(rows, "id long, s string")
+    got = {(r.rep, r.key): r.seq for r in A.shuffled(d, "id", "s", 4, 9).collect()}
+    again = {(r.rep, r.key): r.seq for r in A.shuffled(d.repartition(4), "id", "s", 4, 9).collect()}
+    assert got == again and all(sorted(got[k, str(i)]) == sorted(s or "") for k in range(4) for i, s in rows)
+    assert len({got[k, "1"] for k in range(4)}) == 4
+    want = Counter((k, s[i : i + 3]) for (k, _), s in got.items() for i in range(len(s) - 2))
+    assert {(r.rep, r.token): r.cnt for r in A.shuffled_counts(d, "id", "s", 3, 4, 9).collect()} == dict(want)
+
+
+def test_normal_p_is_the_exact_one(spark):
+    z = [0.0, 0.3, -0.7, 1.96, 5.5, -9.0, 30.0, float("nan"), None]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(z)], "i int, z double").orderBy("i").select(C.normal_p("z")).collect()]
+    assert got[:7] == pytest.approx([math.erfc(abs(x) / math.sqrt(2)) for x in z[:7]], rel=1e-12) and math.isnan(got[7]) and got[8] is None
+
+
+# --- sweeps and windows
+def test_sweep_arguments():
+    assert V.vocab_sizes("2048, 4096,", ("2048", "4096")) == ["2048", "4096"] and V.with_suffix(["a_1", "b_2"], ["2"]) == ["b_2"]
+    with pytest.raises(ValueError):
+        V.vocab_sizes("2048,1", ("2048",))
+    with pytest.raises(ValueError):
+        V.with_suffix(["a_1"], ["2"])
+
+
+def test_eval_windows(spark):
+    from seqloom.operators import datasets as D
+
+    d = spark.createDataFrame([("c1", "ACGTNACGTA", [float(i) for i in range(9)]), ("c2", "AC", None)], "chrom string, seq string, scores array<double>")
+    assert sorted((r.start, r.end, r.length, r.seq, r.scores) for r in D.eval_windows(d, "chrom", "seq", "scores", 4).collect()) == [(0, 4, 4, "ACGT", [0.0, 1.0, 2.0, 3.0]), (8, 9, 1, "T", [8.0])]
+
+
+def test_equal_shares_have_no_side(spark):
+    c = spark.createDataFrame([("a", "x", 5), ("b", "x", 5), ("a", "y", 1), ("b", "y", 1)], "set string, token string, cnt long")
+    assert {r.side for r in A.enrichment(c, "set", "a", "b").collect()} == {"equal"}

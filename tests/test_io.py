@@ -73,6 +73,24 @@ def test_writers(spark, tmp_path):
     assert R.bed(spark, str(tmp_path / "b" / "kind=k")).count() == 1
 
 
+def test_unquoted_csv(spark, tmp_path):
+    d = spark.createDataFrame([("a,b", 1), (None, 2)], "text string, n int")
+    W.unquoted_csv(d, str(tmp_path / "u"), ["text", "n"])
+    assert sorted(r.value for r in spark.read.option("recursiveFileLookup", True).text(str(tmp_path / "u")).collect()) == [",2", "a,b,1", "text,n"]
+
+
+def test_json_once(spark, tmp_path):
+    d = spark.createDataFrame([("k", 0.5)], "name string, value double")
+    W.json_once(d, str(tmp_path / "m"))
+    W.json_once(d.limit(0), str(tmp_path / "m"))
+    assert spark.read.json(str(tmp_path / "m")).first().value == 0.5
+
+
+def test_bigwig_is_refused(spark):
+    with pytest.raises(ValueError, match="bedGraph"):
+        R.bigwig(spark, "a.bw")
+
+
 def test_stream_equals_batch(spark, sf, tmp_path):
     src = str(tmp_path / "events")
     spark.read.parquet(f"{sf}/events.parquet").write.parquet(src)
