@@ -45,9 +45,8 @@ def overlap_join(a: DataFrame, b: DataFrame, bucket: int, how: str = "inner") ->
     where its overlap begins. Columns of b get the prefix b_. ``left_semi`` and ``left_anti`` keep rows of a.
     """
     if how in ("left_semi", "left_anti"):
-        keyed = a.withColumn("__row", F.monotonically_increasing_id())
-        hit = overlap_join(keyed, b, bucket).select("__row").distinct()
-        return keyed.join(hit, "__row", how).drop("__row")
+        place = ["chrom", "start", "end"]  # all that an overlap hangs on
+        return a.join(overlap_join(a.select(*place).distinct(), b, bucket).select(*place).distinct(), place, how).select(*a.columns)
     right = _bucketed(b, bucket).select(*(F.col(c).alias(c if c in ("chrom", "bucket") else f"b_{c}") for c in [*b.columns, "bucket"]))
     j = _bucketed(a, bucket).join(right, ["chrom", "bucket"])
     lo, hi = F.greatest("start", "b_start"), F.least("end", "b_end")
@@ -87,12 +86,22 @@ def fetch(iv: DataFrame, chunks: DataFrame, size: int, key: list[str]) -> DataFr
     return g.filter(F.length("seq") == F.col("end") - F.col("start"))
 
 
-def nearest_impute(points: DataFrame, by: str = "chrom", pos: str = "pos", value: str = "value") -> DataFrame:
-    """Missing values take the nearest known one by position, the lower on ties; edges beyond the known stay missing."""
-    w = Window.partitionBy(by).orderBy(pos)
+def nearest_impute(points: DataFrame, by: str = "chrom", pos: str = "pos", value: str = "value", tile: int = TILE) -> DataFrame:
+    """Missing values take the nearest known one by position, the lower on ties; edges beyond the known stay missing.
+
+    Points are ordered within tiles of their position; the nearest known points before and behind a tile come from the
+    tiles' summaries (a row a tile), so a long track is many tasks.
+    """
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(pos).alias("p"), F.col(value).alias("v")))
-    back = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    d = points.withColumn("back", back).withColumn("ahead", ahead)
-    nearer = F.when(F.col("back").isNull() | F.col("ahead").isNull(), F.lit(None)).when(F.col(pos) - F.col("back.p") <= F.col("ahead.p") - F.col(pos), F.col("back.v")).otherwise(F.col("ahead.v"))
-    return d.withColumn("imputed", F.coalesce(F.col(value), nearer)).drop("back", "ahead")
+    d = points.withColumn("__tile", F.floor(F.col(pos) / tile).cast("long")).withColumn("__known", known)
+    along = Window.partitionBy(by).orderBy("__tile")
+    ends = d.groupBy(by, "__tile").agg(F.min("__known").alias("low"), F.max("__known").alias("high"))
+    ends = ends.select(
+        by, "__tile", F.last("high", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"), F.first("low", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("__behind")
+    )
+    w = Window.partitionBy(by, "__tile").orderBy(pos)
+    back = F.coalesce(F.last("__known", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("__before"))
+    ahead = F.coalesce(F.first("__known", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)), F.col("__behind"))
+    d = d.join(ends, [by, "__tile"]).withColumn("__back", back).withColumn("__ahead", ahead)
+    nearer = F.when(F.col("__back").isNull() | F.col("__ahead").isNull(), F.lit(None)).when(F.col(pos) - F.col("__back.p") <= F.col("__ahead.p") - F.col(pos), F.col("__back.v")).otherwise(F.col("__ahead.v"))
+    return d.withColumn("imputed", F.coalesce(F.col(value), nearer)).select(*points.columns, "imputed")

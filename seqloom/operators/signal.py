@@ -73,7 +73,9 @@ def grid(track: DataFrame, sizes: list[int]) -> DataFrame:
     """Full windows of each size over each track from its first position, with their means; windows without rows have a null mean."""
     ends = track.groupBy("chrom").agg(F.min("start").alias("origin"), F.max("end").alias("stop"))
     every = ends.withColumn("window", F.explode(F.array(*(F.lit(s).cast("long") for s in sizes)))).withColumn("n", F.floor((F.col("stop") - F.col("origin")) / F.col("window")).cast("long"))
-    slots = every.filter("n > 0").withColumn("idx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).select("chrom", "window", "idx")
+    # tiles first, dealt out, then their windows: no row holds a track's numbers
+    tiles = every.filter("n > 0").select("chrom", "window", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / TILE_BINS).cast("long"))).alias("tile")).repartition("chrom", "window", "tile")
+    slots = tiles.select("chrom", "window", F.explode(F.sequence(F.col("tile") * TILE_BINS, F.least(F.col("n"), (F.col("tile") + 1) * TILE_BINS) - 1)).alias("idx"))
     means = track.join(every, "chrom").withColumn("idx", F.floor((F.col("start") - F.col("origin")) / F.col("window")).cast("long")).filter("idx < n")
     means = means.groupBy("chrom", "window", "idx").agg(F.avg(not_nan("score")).alias("mean"))
     return slots.join(means, ["chrom", "window", "idx"], "left")
@@ -92,16 +94,24 @@ def sweep(g: DataFrame, z: float = 1.645) -> DataFrame:
     )
 
 
+def _with_previous(g: DataFrame, tile: int | None = None) -> DataFrame:
+    """The grid with ``prev``, the mean of the window before; ordered within tiles, the last window of each standing in the next one, too."""
+    tile = TILE_BINS if tile is None else tile
+    own = F.floor(F.col("idx") / tile).cast("long")
+    ends = F.when(F.col("idx") % tile == tile - 1, F.array(own, own + 1)).otherwise(F.array(own))
+    d = g.withColumn("tile", F.explode(ends))
+    w = Window.partitionBy("chrom", "window", "tile").orderBy("idx")
+    return d.withColumn("prev", F.lag("mean").over(w)).filter(own == F.col("tile")).drop("tile")
+
+
 def adjacent_change(g: DataFrame) -> DataFrame:
     """Median absolute difference of neighbouring windows; a missing window breaks the pair."""
-    w = Window.partitionBy("chrom", "window").orderBy("idx")
-    return g.withColumn("d", F.abs(F.col("mean") - F.lag("mean").over(w))).groupBy("chrom", "window").agg(F.count("d").alias("n_pairs"), F.median("d").alias("median_abs_change"))
+    return _with_previous(g).withColumn("d", F.abs(F.col("mean") - F.col("prev"))).groupBy("chrom", "window").agg(F.count("d").alias("n_pairs"), F.median("d").alias("median_abs_change"))
 
 
 def lag1_autocorrelation(g: DataFrame) -> DataFrame:
     """Pearson correlation of neighbouring windows; null below three pairs."""
-    w = Window.partitionBy("chrom", "window").orderBy("idx")
-    p = g.withColumn("prev", F.lag("mean").over(w)).filter("mean IS NOT NULL AND prev IS NOT NULL")
+    p = _with_previous(g).filter("mean IS NOT NULL AND prev IS NOT NULL")
     return p.groupBy("chrom", "window").agg(F.count("*").alias("n_pairs"), F.corr("prev", "mean").alias("r")).withColumn("lag1_r", F.when(F.col("n_pairs") >= 3, not_nan("r"))).drop("r")
 
 

@@ -391,3 +391,29 @@ def test_eval_windows(spark):
 def test_equal_shares_have_no_side(spark):
     c = spark.createDataFrame([("a", "x", 5), ("b", "x", 5), ("a", "y", 1), ("b", "y", 1)], "set string, token string, cnt long")
     assert {r.side for r in A.enrichment(c, "set", "a", "b").collect()} == {"equal"}
+
+
+# --- tiles
+def test_neighbours_across_tiles(spark):
+    r = random.Random(3)
+    g = spark.createDataFrame([("c", 5, i, None if r.random() < 0.2 else r.random()) for i in range(50)], "chrom string, window long, idx long, mean double")
+    rows = lambda n: sorted((x.idx, x.prev) for x in S._with_previous(g, n).collect())
+    want = {x.idx: x["mean"] for x in g.collect()}
+    assert repr(rows(7)) == repr(rows(1000)) == repr(sorted((i, want.get(i - 1)) for i in range(50)))
+
+
+@pytest.mark.parametrize("tile", [3, 10, 1000])
+def test_imputation_across_tiles(spark, tile):
+    r = random.Random(tile)
+    rows = [(c, p, None if r.random() < 0.7 else float(p)) for c in "ab" for p in sorted(r.sample(range(200), 60))]
+    got = {(x.chrom, x.pos): x.imputed for x in I.nearest_impute(spark.createDataFrame(rows, "chrom string, pos long, value double"), tile=tile).collect()}
+    for c, p, v in rows:
+        k = [q for d, q, w in rows if d == c and w is not None]
+        want = v if v is not None else float(min(k, key=lambda q: (abs(q - p), q))) if k and min(k) <= p <= max(k) else None
+        assert got[c, p] == want
+
+
+def test_semi_and_anti_overlap_split_the_rows(spark):
+    a = spark.createDataFrame([("c", 0, 5, 1), ("c", 0, 5, 1), ("c", 9, 10, 2), ("d", 0, 5, 3), (None, 0, 5, 4)], "chrom string, start long, end long, k int")
+    b = spark.createDataFrame([("c", 4, 6)], "chrom string, start long, end long")
+    assert sorted(x.k for x in I.overlap_join(a, b, 4, "left_semi").collect()) == [1, 1] and sorted(x.k for x in I.overlap_join(a, b, 4, "left_anti").collect()) == [2, 3, 4]
