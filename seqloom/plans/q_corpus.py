@@ -173,7 +173,7 @@ def mlm_mask(spark, sf_dir):
 @query("eval_windows", f"""WITH {SEQS_N}, l AS (SELECT doc_id, seq, least(length(seq), length(seq) - doc_id % 3) AS n FROM seqs_n), w AS (SELECT doc_id, substring(seq, 1, CAST(n AS BIGINT)) AS seq, n, unnest(range(CAST(n + 3 AS BIGINT) // 4)) * 4 AS s FROM l WHERE n > 0),
 x AS (SELECT doc_id, s, substring(seq, CAST(s + 1 AS BIGINT), 4) AS seq FROM w) SELECT doc_id, s AS "start", s + length(seq) AS "end", CAST(length(seq) AS BIGINT) AS length, seq, round(list_avg([((i * 7 + doc_id) % 11 - 5) / 5.0 FOR i IN range(s, s + length(seq))]), 6) AS mean_score FROM x WHERE NOT contains(seq, 'N')""")
 def eval_windows(spark, sf_dir):
-    """Windows with their place and the scores under them; windows with N go, the longer of sequence and scores is cut."""
+    """Windows with their place and the scores under them; windows with N go, the longer of sequence and scores is cut."""
     d = seqs_n(spark, sf_dir)
     n = F.length("seq") - F.col("doc_id") % 3
     scores = F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: ((i * 7 + F.col("doc_id")) % 11 - 5) / F.lit(5.0)))

@@ -304,6 +304,23 @@ def _r9(df):
     return df.withColumn("p_value", F.round("p_value", 9)).withColumn("fdr_bh", F.round("fdr_bh", 9))
 
 
+def _fdr_of(counts):
+    """SQL: the same comparison over other counts (lang, token, cnt)."""
+    return FDR.replace(TOKENS, "").replace(f"{SEQS}, ,", f"{SEQS}, {counts},")
+
+
+BPE_COUNTS = f"bt AS (SELECT lang, unnest(string_split(replace(trim({_merged('seq')}, '<>'), '><', ' '), ' ')) AS token FROM seqs WHERE seq <> ''), tc AS (SELECT lang, token, count(*) AS cnt FROM bt GROUP BY ALL)"
+
+
+@query("encoded_enrichment", f"WITH {_fdr_of(BPE_COUNTS)} SELECT token, CAST(na AS BIGINT) AS na, CAST(nb AS BIGINT) AS nb, round(lfc, 6) AS log2fc, round(z, 5) AS z, round(p, 9) AS p_value, round(q, 9) AS fdr_bh, side FROM eq ORDER BY q, token")
+def encoded_enrichment(spark, sf_dir):
+    """The tokens of a merge tokenizer, counted in two sets and compared."""
+    f = T.bpe_encoder(spark, MERGES)
+    d = seqs(spark, sf_dir).filter("seq <> ''").select("lang", F.explode(T.names(f(F.col("seq")))).alias("token"))
+    e = _r9(S.enriched(S.token_counts(d, ["lang"]), "lang", "en", "de")).withColumn("z", F.round("z", 5))
+    return _r(e.select("token", "na", "nb", "log2fc", "z", "p_value", "fdr_bh", "side"), "log2fc")
+
+
 VOLCANO = "token, round(lfc, 6) AS log2fc, round(z, 6) AS z, round(p, 9) AS p_value, round(q, 9) AS fdr_bh, round(-log10(greatest(q, 1e-300)), 6) AS neglog10_fdr"
 
 

@@ -41,6 +41,11 @@ def unquoted_csv(df: DataFrame, path: str, columns: list[str] | None = None, sep
     head.coalesce(1).write.mode("append").text(f"{path}/header")
 
 
+def fasta_once(df: DataFrame, path: str, header: str = "header", seq: str = "seq") -> None:
+    """Fetched sequences as FASTA records, left alone where they are there already."""
+    df.select(F.concat(F.lit(">"), header, F.lit("\n"), seq).alias("value")).write.mode("ignore").text(path)
+
+
 def json_once(df: DataFrame, path: str) -> None:
     """A JSON record a line, left alone where it is there already."""
     df.write.mode("ignore").json(path)

@@ -86,6 +86,13 @@ def test_json_once(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "m")).first().value == 0.5
 
 
+def test_fasta_once(spark, tmp_path):
+    d = spark.createDataFrame([("a 1", "ACG"), ("b", "T")], "header string, seq string")
+    W.fasta_once(d, str(tmp_path / "f"))
+    W.fasta_once(d.limit(0), str(tmp_path / "f"))
+    assert sorted((r.header, r.seq) for r in R.fasta(spark, str(tmp_path / "f")).collect()) == [("a 1", "ACG"), ("b", "T")]
+
+
 def test_bigwig_is_refused(spark):
     with pytest.raises(ValueError, match="bedGraph"):
         R.bigwig(spark, "a.bw")
