@@ -40,8 +40,8 @@ from .runtime import BROADCAST_BYTES, discard, fresh, lean, written
 LEAST = 0.8
 #: Buckets of the rarity table (one byte each is sent out), buckets that are summed together, level from which lists are cut.
 BUCKET_BITS, SLICE, LONG_LEVEL = 22, 4096, 14
-#: Postings of a shard, about; postings that a task packs at once.
-SHARD, PACKED = 400_000, 400_000
+#: Postings of a shard, about; postings that a task packs at once; pairs of postings that are looked at at once.
+SHARD, PACKED, PAIRED = 400_000, 200_000, 300_000
 #: Sets from which a cluster is verified by dense counts; sets and words of a chunk of a cluster.
 DENSE, CELL_SETS, CELL_WORDS = 48, 1024, 1_500_000
 LAST = 2**63 - 1
@@ -157,29 +157,32 @@ def candidates(p: np.ndarray, least: float = LEAST, forest_only: bool = False) -
     order, cell, key = order[new], cell[new], key[new]
     size, position, s1, s2 = p["size"][order].astype(np.int64), p["position"][order].astype(np.int64), p["s1"][order], p["s2"][order]
     chunk, cross = p["chunk"][order] >> 1, (p["chunk"][order] & 1).astype(bool)
-    a_out, b_out, held = [], [], 0
     # a set can only be the smaller of a pair if enough of it is left for a set of its own size
-    i, d = np.flatnonzero(size - position >= overlap_needed(size, size, least)), 0
-    while len(i):
-        d += 1
-        i = i[i + d < len(cell)]
-        j = i + d
-        i = i[(cell[i] == cell[j]) & (least * size[j] <= size[i] + 1e-9)]
-        j = i + d
-        rest, both = np.minimum(size[i] - position[i], size[j] - position[j]), size[i] + size[j]
-        near = (rest >= overlap_needed(size[i], size[j], least)) & (~cross[i] | (chunk[i] != chunk[j]))
+    i = np.flatnonzero(size - position >= overlap_needed(size, size, least))
+    # partners follow it within the cell, up to the greatest size
+    place = (np.cumsum(np.concatenate([[0], cell[1:] != cell[:-1]])) if len(cell) else cell.astype(np.int64)) << 32
+    many = np.searchsorted(place + size, place[i] + np.floor(size[i] / least + 1e-9).astype(np.int64), side="right") - i - 1
+    i, many = i[many > 0], many[many > 0]
+    turn = np.cumsum(many) // PAIRED
+    a_out, b_out, held = [], [], 0
+    for k in np.flatnonzero(np.bincount(turn)) if len(i) else ():
+        lo, hi = np.searchsorted(turn, [k, k + 1])
+        x = np.repeat(i[lo:hi], many[lo:hi])
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(many[lo:hi]) - many[lo:hi], many[lo:hi])
+        both = size[x] + size[y]
         most = both * (1 - least) / (1 + least) + 1e-9
-        near &= np.bitwise_count((s1[i] ^ s1[j]) & _ODD) + np.bitwise_count((s2[i] ^ s2[j]) & _ODD) <= most
-        near = np.flatnonzero(near)
-        x, y = i[near], j[near]
-        ok = difference(np.stack([s1[x], s2[x]], 1), np.stack([s1[y], s2[y]], 1)) <= most[near]
+        near = np.flatnonzero(np.bitwise_count((s1[x] ^ s1[y]) & _ODD) + np.bitwise_count((s2[x] ^ s2[y]) & _ODD) <= most)
+        x, y, both, most = x[near], y[near], both[near], most[near]
+        near = (np.minimum(size[x] - position[x], size[y] - position[y]) >= overlap_needed(size[x], size[y], least)) & (~cross[x] | (chunk[x] != chunk[y]))
+        x, y, most = x[near], y[near], most[near]
+        ok = difference(np.stack([s1[x], s2[x]], 1), np.stack([s1[y], s2[y]], 1)) <= most
         if ok.any():
             a_out.append(key[x[ok]])
             b_out.append(key[y[ok]])
             held += len(a_out[-1])
             if forest_only and held > 300_000:  # a long list's pairs are not held
-                a, b = forest(np.concatenate(a_out), np.concatenate(b_out))
-                a_out, b_out, held = [a], [b], 0
+                u, v = forest(np.concatenate(a_out), np.concatenate(b_out))
+                a_out, b_out, held = [u], [v], 0
     if not a_out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(a_out), np.concatenate(b_out)
@@ -251,7 +254,7 @@ def _docs(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(t).alias("k1"), t.alias("text"))
 
 
-def _merge_runs(batches: Iterator[pa.RecordBatch], most: int = 6_000_000) -> Iterator[pa.RecordBatch]:
+def _merge_runs(batches: Iterator[pa.RecordBatch], most: int = 3_000_000) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
     for b in batches:
         held.append(b)
@@ -274,7 +277,7 @@ def _numbered(d: DataFrame) -> DataFrame:
         counts = np.zeros(1 << BUCKET_BITS, np.uint32)
         for b in _merge_runs(batches):
             h, line, row, no = line_words(b.column("text"))
-            counts += np.bincount((h >> _U(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
+            np.add.at(counts, (h >> _U(64 - BUCKET_BITS)).astype(np.int64), np.uint32(1))
             line, w, _ = ordered_sets(h, line)
             k, size = set_keys(line, w, len(row))
             on = np.flatnonzero(size)
