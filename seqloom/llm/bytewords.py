@@ -6,12 +6,15 @@ A word is a run of bytes outside 0x20 and 0x09-0x0D. Its hash is a polynomial ov
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 
 _U = np.uint64
 _RNG = np.random.default_rng(4)
 _CODE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
+_CASED = _CODE.copy()
 _CODE[0x41:0x5B] = _CODE[0x61:0x7B]  # A-Z as a-z
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -19,6 +22,24 @@ _BASE = 0x9E3779B97F4A7C15
 _STEP = 1 << 15
 
 
+class Remembered(dict):
+    """What ``make`` gives for a word: two generations of at most ``most`` words, so that common ones stay."""
+
+    def __init__(self, make: Callable[[bytes], int], most: int) -> None:
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, w: bytes) -> int:
+        v = self.old.get(w)
+        if v is None:
+            v = self.make(w)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[w] = v
+        return v
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.ones(n, _U)
     k = 1
@@ -49,8 +70,20 @@ def buffer_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, hash) of each word; words also end at ``cuts`` (row starts and ends)."""
+def counts(col: pa.Array) -> np.ndarray:
+    """Number of words of each row; null: 0."""
+    data, offsets = buffer_of(col)
+    ink = np.concatenate([[False], ~_BLANK[data]])
+    begins = ink[1:] & ~ink[:-1]
+    inner = offsets[:-1][offsets[:-1] < len(data)]
+    begins[inner] = ink[inner + 1]
+    total = np.concatenate([[0], np.cumsum(begins)])
+    return total[offsets[1:]] - total[offsets[:-1]]
+
+
+def words(data: np.ndarray, cuts: np.ndarray, cased: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash) of each word; words also end at ``cuts`` (row starts and ends). A-Z hash as a-z unless ``cased``."""
+    code = _CASED if cased else _CODE
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
@@ -72,13 +105,47 @@ def words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         hi = int(e[to - 1])
         if hi - lo <= _STEP:
             total = np.zeros(hi - lo + 1, _U)
-            np.cumsum(_CODE[data[lo:hi]] * _POW[: hi - lo], out=total[1:])
+            np.cumsum(code[data[lo:hi]] * _POW[: hi - lo], out=total[1:])
             h[at:to] = (total[e[at:to] - lo] - total[s[at:to] - lo]) * _INV[s[at:to] - lo]
         else:  # one word longer than a step
             v = np.zeros(1, _U)
             for p in range(lo, hi, _STEP):
-                c = _CODE[data[p : min(hi, p + _STEP)]]
+                c = code[data[p : min(hi, p + _STEP)]]
                 v = mix(v + (c * _POW[: len(c)]).sum(dtype=_U))
             h[at] = v[0]
         at = to
     return s, e, mix(h)
+
+
+class Lookup:
+    """64-bit keys to numbers, for many look-ups at once: open addressing, at most a quarter full. Key 0 is not for use."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.shift, self.mask = _U(64 - bits), np.int64((1 << bits) - 1)
+        self.keys, self.values = np.zeros(1 << bits, _U), np.full(1 << bits, -2, np.int32)
+        h, v = keys, np.asarray(values, np.int32)
+        i = self._slot(h)
+        while len(h):
+            first = np.zeros(len(h), bool)
+            first[np.unique(i, return_index=True)[1]] = True
+            first &= self.keys[i] == 0
+            self.keys[i[first]], self.values[i[first]] = h[first], v[first]
+            h, v, i = h[~first], v[~first], (i[~first] + 1) & self.mask
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return ((h * _U(0xD6E8FEB86659FD93)) >> self.shift).astype(np.int64)
+
+    def get(self, h: np.ndarray) -> np.ndarray:
+        """The numbers; -2 for keys that are not there."""
+        i = self._slot(h)
+        k = self.keys[i]
+        out = np.where(k == h, self.values[i], np.int32(-2))
+        on = np.flatnonzero((k != h) & (k != 0))
+        while len(on):
+            i[on] = (i[on] + 1) & self.mask
+            k = self.keys[i[on]]
+            hit = k == h[on]
+            out[on[hit]] = self.values[i[on[hit]]]
+            on = on[~hit & (k != 0)]
+        return out
