@@ -31,10 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bytewords import Remembered
 from .components import connected, joined, numbered
 from .runtime import discard, fresh, lean, small, written
 
@@ -42,7 +44,7 @@ WORDS, PLACES, BANDS = 5, 64, 16
 LEAST, LEADER_ROUNDS = 0.8, 2
 #: Rows and elements of a chunk of a bucket that is compared all with all.
 CELL_ROWS, CELL_ELEMENTS = 1024, 1_500_000
-WORDS_AT_ONCE, CACHE = 200_000, 200_000
+WORDS_AT_ONCE, CACHE = 100_000, 60_000
 LAST = 2**63 - 1
 
 _U = np.uint64
@@ -57,16 +59,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class _Hashes(dict):
-    def __missing__(self, w: bytes) -> int:
-        import xxhash
-
-        if len(self) >= CACHE:
-            self.clear()
-        v = self[w] = xxhash.xxh64_intdigest(w)
-        return v
-
-
 def shingle_runs(texts: list[bytes | None], words: dict[bytes, int]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, row from the first, shingle) in runs of bounded size: all shingles, sorted by row and hash."""
     at = 0
@@ -166,7 +158,7 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def _signed(d: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Hashes()
+        words = Remembered(xxhash.xxh64_intdigest, CACHE)
         for b in batches:
             for at, n, row, shingle in shingle_runs(b.column("text").cast(pa.binary()).to_pylist(), words):
                 size = np.bincount(row, minlength=n)
@@ -180,7 +172,7 @@ def _signed(d: DataFrame) -> DataFrame:
 
 def _multisets(d: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Hashes()
+        words = Remembered(xxhash.xxh64_intdigest, CACHE)
         for b in batches:
             for at, n, row, shingle in shingle_runs(b.column("text").cast(pa.binary()).to_pylist(), words):
                 ends = np.searchsorted(row, np.arange(n + 1))
