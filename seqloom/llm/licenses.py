@@ -12,9 +12,11 @@ no places, no labels and score 0; rows are independent, so repeated rows repeat
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,21 +58,34 @@ def places(padded: bytes, phrase: bytes) -> list[int]:
 
 
 def suppress(found: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
-    """(first, end, priority, label): by priority, length, place and label; drops what a kept one contains."""
+    """(first, end, priority, label): by priority, length, place and label; drops what a kept one contains.
+
+    Kept intervals that no other kept one contains have ascending starts and ends, so the last that starts by a
+    place reaches furthest.
+    """
     kept: list[tuple[int, int, int, str]] = []
+    starts: list[int] = []
+    ends: list[int] = []
     for d in sorted(set(found), key=lambda d: (-d[2], d[0] - d[1], d[0], d[3])):
-        if not any(k[0] <= d[0] and d[1] <= k[1] for k in kept):
-            kept.append(d)
+        i = bisect_right(starts, d[0])
+        if i and ends[i - 1] >= d[1]:
+            continue
+        kept.append(d)
+        lo = bisect_left(starts, d[0])
+        hi = max(lo, bisect_right(ends, d[1]))
+        starts[lo:hi], ends[lo:hi] = [d[0]], [d[1]]
     return sorted(kept)
 
 
 def detect(padded: bytes) -> list[tuple[int, int, int, str]]:
-    found = []
+    found, blanks = [], None
     for gate, rules in compiled():
         if gate in padded:
             for label, priority, rx in rules:
                 for m in rx.finditer(padded):
-                    first = padded.count(b" ", 0, m.start()) - 1
+                    if blanks is None:
+                        blanks = np.flatnonzero(np.frombuffer(padded, np.uint8) == 32)
+                    first = int(np.searchsorted(blanks, m.start())) - 1
                     found.append((first, first + 1 + m.group().count(b" "), priority, label))
     return suppress(found) if found else found
 
