@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected
-from .runtime import written
-from .vectors import matrix, padded, take_part, usable
+from .components import connected, joined
+from .runtime import lean, written
+from .vectors import kind, matrix, padded, take_part, usable
 
-NEAREST, MIN_PIVOTS, MAX_PIVOTS, LIST_ROWS = 7, 512, 4096, 4096
+NEAREST, MIN_PIVOTS, MAX_PIVOTS, LIST_ROWS = 7, 512, 32_768, 4096
 SCHEMA = "id long, links long, root long"
 
 
@@ -60,20 +60,6 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest index reached by the links a-b."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def verify_list(ids: np.ndarray, sizes: np.ndarray, unit: np.ndarray, perm: np.ndarray, chunk: np.ndarray, cross: bool, shared: int, base: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """Links of one list (or of two chunks of it): per linked id the rows linked and the smallest id reached."""
     order = np.argsort(ids, kind="stable")
@@ -96,12 +82,12 @@ def verify_list(ids: np.ndarray, sizes: np.ndarray, unit: np.ndarray, perm: np.n
             if len(a):
                 np.add.at(links, a, sizes[b])
                 np.add.at(links, b, sizes[a])
-                r = _roots(len(ids), a, b)
+                r = joined(len(ids), a, b)
                 ends.append(np.stack([np.arange(len(ids)), r], 1)[r != np.arange(len(ids))])
     if not ends:
         return None
     e = np.concatenate(ends)
-    r = _roots(len(ids), e[:, 0], e[:, 1])
+    r = joined(len(ids), e[:, 0], e[:, 1])
     on = links > 0
     return ids[on], links[on], ids[r[on]]
 
@@ -130,7 +116,7 @@ def link(df: DataFrame, key: str, vector: str, least: float = 0.95) -> DataFrame
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32()), pa.array(p.ravel(), pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("size"), b.column("vector"), flat], ["id", "size", "vector", "perm"])
 
-    a = written(classes.mapInArrow(assign, "id long, size long, vector array<float>, perm array<int>"), "permutations")
+    a = written(classes.mapInArrow(lean(assign), f"id long, size long, vector {kind(df, vector)}, perm array<int>"), "permutations")
     # pairs of the vector's pivots, as smaller * base + larger
     up = F.array_sort("perm").alias("up")
     pairs = F.flatten(F.transform(F.col("up"), lambda p, i: F.transform(F.slice(F.col("up"), i + 2, F.size("up")), lambda q: p.cast("long") * base + q)))
@@ -178,12 +164,12 @@ def link(df: DataFrame, key: str, vector: str, least: float = 0.95) -> DataFrame
         if held:
             yield done(pa.Table.from_batches(held))
 
-    found = written(cells.mapInArrow(verify, SCHEMA), "links")
+    found = written(cells.mapInArrow(lean(verify), SCHEMA), "links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     comp = connected(found.select(F.col("id").alias("u"), F.col("root").alias("v")))
     of = classes.select("id", "size").join(links, "id", "left").join(comp, "id", "left")
     of = of.select("id", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     part = member.join(of, "id").select("key", "n_links", "component_id")
-    rest = df.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<float>").alias("vector"))
+    rest = df.select(F.col(key).cast("long").alias("key"), F.col(vector).cast(kind(df, vector)).alias("vector"))
     rest = rest.filter(~(F.col("key").isNotNull() & usable(F.col("vector")))).select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"))
     return part.unionByName(rest).withColumn("kept", F.coalesce(F.col("key") == F.col("component_id"), F.lit(True)))

@@ -16,7 +16,7 @@ def usable(v: Column) -> Column:
 
 def padded(v: Column, dim: int) -> Column:
     """Shorter vectors count as followed by zeros."""
-    return F.when(F.size(v) == dim, v).otherwise(F.concat(v, F.array_repeat(F.lit(0.0).cast("float"), F.greatest(F.lit(0), F.lit(dim) - F.size(v)))))
+    return F.when(F.size(v) == dim, v).otherwise(F.concat(v, F.array_repeat(F.get(v, F.lit(0)) * F.lit(0.0).cast("float"), F.greatest(F.lit(0), F.lit(dim) - F.size(v)))))
 
 
 def matrix(col: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -26,7 +26,12 @@ def matrix(col: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return np.asarray(col.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(col), dim)
 
 
+def kind(df: DataFrame, vector: str) -> str:
+    """Arrays of floats stay so; any other numbers are doubles."""
+    return "array<float>" if df.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+
+
 def take_part(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """key, vector (array<float>) of the rows that take part; rows without a key don't."""
-    d = df.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<float>").alias("vector"))
+    """key, vector (as of :func:`kind`) of the rows that take part; rows without a key don't."""
+    d = df.select(F.col(key).cast("long").alias("key"), F.col(vector).cast(kind(df, vector)).alias("vector"))
     return d.filter(F.col("key").isNotNull() & usable(F.col("vector")))
