@@ -297,11 +297,22 @@ def token_profile(counts: DataFrame, by: list[str]) -> DataFrame:
 
 
 def span_moments(occ: DataFrame, span: str) -> DataFrame:
-    """Mean and variance (ddof 0) of the scores under a token; NaN are skipped."""
-    ok = F.filter(span, lambda x: x.isNotNull() & ~F.isnan(x))
-    n = F.nullif(F.size(ok), F.lit(0))
-    d = occ.withColumn("mean_score", F.aggregate(ok, F.lit(0.0), lambda a, x: a + x) / n)
-    return d.withColumn("var_score", F.aggregate(ok, F.lit(0.0), lambda a, x: a + (x - F.col("mean_score")) * (x - F.col("mean_score"))) / n)
+    """Mean and variance (ddof 0) of the scores under a token; nulls and NaN are skipped, none left gives null."""
+
+    def run(col: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for c in col:
+            n = pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False)
+            x = np.asarray(c.flatten().to_numpy(zero_copy_only=False), float)
+            row = np.repeat(np.arange(len(c)), n)
+            row, x = row[~np.isnan(x)], x[~np.isnan(x)]
+            many = np.bincount(row, minlength=len(c))
+            none = many == 0
+            mean = np.bincount(row, x, len(c)) / np.maximum(many, 1)
+            var = np.bincount(row, (x - mean[row]) ** 2, len(c)) / np.maximum(many, 1)
+            yield pa.StructArray.from_arrays([pa.array(mean, mask=none), pa.array(var, mask=none)], ["mean_score", "var_score"])
+
+    moments = F.arrow_udf(run, "mean_score double, var_score double")(F.col(span).cast("array<double>"))
+    return occ.withColumn("__m", moments).withColumns({"mean_score": F.col("__m.mean_score"), "var_score": F.col("__m.var_score")}).drop("__m")
 
 
 def score_profile(occ: DataFrame, by: list[str]) -> DataFrame:

@@ -10,6 +10,7 @@ import heapq
 import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,52 +121,262 @@ def motif_tokens(text: str, motifs: set[str], triples: set[str], choose: Callabl
     return out
 
 
-def _udf(spark: SparkSession, state: object, f: Callable[[str, object], list]) -> Callable[[Column], Column]:
+# --- many sequences at once
+_B = np.uint64(0x9E3779B97F4A7C15)
+#: Letters that are decoded side by side; sequences below which a single one is decoded by itself.
+LETTERS, SIDE_BY_SIDE = 400_000, 16
+#: Merges up to which each is one pass over all sequences.
+PASSES = 256
+
+
+class Letters:
+    """Sequences one after the other: code points, and where each begins and ends."""
+
+    def __init__(self, texts: list[str]) -> None:
+        self.text = "".join(texts)
+        self.codes = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.end = np.cumsum(size)
+        self.start = self.end - size
+        self.row = np.repeat(np.arange(len(texts)), size)
+        self.sums = np.zeros(len(self.codes) + 1, np.uint64)  # of code * B ** place
+        self.power = np.ones(len(self.codes) + 1, np.uint64)
+        if len(self.codes):
+            self.power[1:] = np.multiply.accumulate(np.full(len(self.codes), _B))
+            np.cumsum((self.codes + np.uint64(1)) * self.power[:-1], out=self.sums[1:])
+
+    def found(self, words: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarray:
+        """For each place the number of the word of ``k`` letters that begins there within its sequence, or -1."""
+        out = np.full(len(self.codes), -1, np.int64)
+        n = len(self.codes) - k + 1
+        if n <= 0 or k not in words:
+            return out
+        keys, numbers = words[k]
+        at = np.flatnonzero(np.arange(n) + k <= self.end[self.row[:n]])
+        h = self.sums[at + k] - self.sums[at]
+        # keys are of words at place 0; a word at a place has its key times B ** place
+        want = h * _inverse(self.power[at])
+        i = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+        hit = keys[i] == want
+        out[at[hit]] = numbers[i[hit]]
+        return out
+
+
+def _inverse(x: np.ndarray) -> np.ndarray:
+    """Of odd numbers modulo 2**64, by Newton's steps."""
+    y = x.copy()
+    for _ in range(5):
+        y = y * (np.uint64(2) - x * y)
+    return y
+
+
+def hashed_words(words: list[str]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length: sorted hashes of the words and the words' numbers."""
+    out = {}
+    for k in {len(w) for w in words if w}:
+        own = [i for i, w in enumerate(words) if len(w) == k]
+        c = np.array([[ord(x) + 1 for x in words[i]] for i in own], np.uint64)
+        h = (c * np.array([pow(int(_B), j, 2**64) for j in range(k)], np.uint64)).sum(1, dtype=np.uint64)
+        order = np.argsort(h)
+        out[k] = (h[order], np.array(own)[order])
+    return out
+
+
+def viterbi_all(t: Letters, words: dict, scores: np.ndarray, longest: int, unk: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`viterbi` of many sequences, a place of all of them at a time: (first letter of each token, whether it is known)."""
+    n = len(t.codes)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    gain = np.full((longest + 1, n), -np.inf)  # by last letter; the longest first, an unknown letter last
+    for k in range(1, longest + 1):
+        w = t.found(words, k)
+        on = np.flatnonzero(w >= 0)
+        gain[longest - k, on + k - 1] = scores[w[on]]
+    if unk is not None:
+        gain[longest, ~np.isfinite(gain[longest - 1])] = unk
+    back = np.array([*range(longest, 0, -1), 1])
+    size = t.end - t.start
+    order = np.argsort(-size, kind="stable")
+    live = np.searchsorted(-size[order], -np.arange(1, size.max() + 1), side="right")
+    slot = (t.start + np.arange(len(size)))[order]  # a sequence has a place more than letters
+    best = np.full(n + len(size) + longest, -np.inf)[: n + len(size)]
+    arc = np.zeros(len(best), np.int64)
+    best[slot] = 0.0
+    for i in range(1, int(size.max()) + 1):
+        at = slot[: live[i - 1]] + i
+        total = best[at - back[:, None]] + gain[:, t.start[order[: len(at)]] + i - 1]
+        arm = total.argmax(0)
+        best[at], arc[at] = total[arm, np.arange(len(at))], arm
+    ends = t.end + np.arange(len(size))
+    if not np.isfinite(best[ends]).all():
+        raise ValueError("unknown letter")
+    first, known = np.zeros(n, bool), np.zeros(n, bool)
+    own = np.flatnonzero(size)
+    at = ends[own]
+    while len(own):
+        arm = arc[at]
+        at = at - back[arm]
+        place = at - own
+        first[place], known[place] = True, arm < longest
+        on = place > t.start[own]
+        own, at = own[on], at[on]
+    start = np.flatnonzero(first)
+    known = known[start]
+    again = np.zeros(len(start), bool)  # an unknown letter behind another
+    again[1:] = ~known[1:] & ~known[:-1] & (t.row[start[1:]] == t.row[start[:-1]])
+    return start[~again], known[~again]
+
+
+def bpe_all(t: Letters, merges: list[tuple[str, str]]) -> np.ndarray:
+    """:func:`bpe` of many sequences, a pass for each merge: first letter of each token.
+
+    Exact where no merge makes a token that an earlier merge takes (:func:`in_order`).
+    """
+    number: dict[str, int] = {c: i + 1 for i, c in enumerate(sorted(set(t.text)))}
+    for a, b in merges:
+        number.setdefault(a + b, len(number) + 1)
+    letters = np.array(sorted(ord(c) for c in set(t.text)), np.uint64)
+    ids = np.insert((np.searchsorted(letters, t.codes) + 1).astype(np.int32), t.end, 0)  # 0 ends a sequence
+    start = np.insert(np.arange(len(t.codes)), t.end, -1)
+    for a, b in merges:
+        x, y = number.get(a), number.get(b)
+        if x is None or y is None:
+            continue
+        at = np.flatnonzero((ids[:-1] == x) & (ids[1:] == y))
+        if not len(at):
+            continue
+        if x == y:  # every other place of a run
+            head = np.flatnonzero(np.concatenate([[True], np.diff(at) != 1]))
+            at = at[(at - np.repeat(at[head], np.diff(np.append(head, len(at))))) % 2 == 0]
+        ids[at] = number[a + b]
+        keep = np.ones(len(ids), bool)
+        keep[at + 1] = False
+        ids, start = ids[keep], start[keep]
+    return start[start >= 0]
+
+
+def in_order(merges: list[tuple[str, str]]) -> bool:
+    """Whether each merge's token is taken by later merges only."""
+    made = {}
+    for i, (a, b) in enumerate(merges):
+        made[a + b] = i
+    return all(made.get(x, -1) < i for i, m in enumerate(merges) for x in m)
+
+
+def motif_starts(t: Letters, words: list[str], hashed: dict, triples: dict, seed: int) -> np.ndarray:
+    """:func:`motif_tokens` of many sequences, of several words the one of least md5 of (seed, place, word): first letter of each token."""
+    n = len(t.codes)
+    pick = np.where(t.found(triples, 3) >= 0, 3, 1) if triples else np.ones(n, np.int64)
+    many = np.zeros(n, np.int64)
+    by = {}
+    for k in sorted(hashed):
+        by[k] = t.found(hashed, k)
+        hit = by[k] >= 0
+        pick[hit] = k
+        many += hit
+    place = np.arange(n) - t.start[t.row]
+    for i in np.flatnonzero(many > 1).tolist():
+        found = [words[by[k][i]] for k in by if by[k][i] >= 0]
+        pick[i] = len(min(found, key=lambda w: hashlib.md5(f"{seed}:{place[i]}:{w}".encode()).hexdigest()))
+    size = pick.tolist()
+    out = []
+    for i, end in zip(t.start.tolist(), t.end.tolist(), strict=True):
+        while i < end:
+            w, at = size[i], i
+            if w > 1:
+                if i + 1 < end and size[i + 1] > w:
+                    w, at = size[i + 1], i + 1
+                if i + 2 < end and size[i + 2] > w:
+                    w, at = size[i + 2], i + 2
+                out.extend(range(i, at))
+            out.append(at)
+            i = at + w
+    return np.array(out, np.int64)
+
+
+def _arrays(t: Letters, start: np.ndarray, offsets: bool) -> tuple[pa.Array, np.ndarray]:
+    """Tokens that begin at ``start`` and go on to the next, as strings (or structs with their offsets), and their number in each sequence."""
+    c = t.codes
+    at = np.concatenate([[0], np.cumsum(1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000))])
+    ends = np.append(start, len(c)).astype(np.int64)
+    names_ = pa.StringArray.from_buffers(len(start), pa.py_buffer(at[ends].astype(np.int32)), pa.py_buffer(t.text.encode("utf-8", "surrogatepass")))
+    row = t.row[start] if len(start) else np.zeros(0, np.int64)
+    many = np.bincount(row, minlength=len(t.start))
+    if not offsets:
+        return names_, many
+    first = t.start[row]
+    return pa.StructArray.from_arrays([names_, pa.array((start - first).astype(np.int32)), pa.array((ends[1:] - first).astype(np.int32))], ["token", "start", "end"]), many
+
+
+def _udf(spark: SparkSession, state: object, f: Callable[[Letters, object], np.ndarray], offsets: bool) -> Callable[[Column], Column]:
     sent = spark.sparkContext.broadcast(state)
 
     def run(col: Iterator[pa.Array]) -> Iterator[pa.Array]:
         state = sent.value
         for c in col:
-            ends, names_, starts, stops, nulls = [0], [], [], [], []
-            for t in c.to_pylist():
-                nulls.append(t is None)
-                for a, b, e in f(t, state) if t is not None else ():
-                    names_.append(a)
-                    starts.append(b)
-                    stops.append(e)
-                ends.append(len(names_))
-            flat = pa.StructArray.from_arrays([pa.array(names_, pa.string()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32())], ["token", "start", "end"])
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=pa.array(nulls, pa.bool_()))
-
-    return F.arrow_udf(run, TOKENS)
-
-
-def unigram_decoder(spark: SparkSession, scores: dict[str, float], unk: float | None = None) -> Callable[[Column], Column]:
-    """Column function: sequence -> tokens with offsets."""
+            texts, parts, many = c.fill_null("").to_pylist(), [], []
+            at = 0
+            while at < len(texts):
+                to, total = at, 0
+                while to < len(texts) and (total < LETTERS or to == at):
+                    total += len(texts[to])
+                    to += 1
+                t = Letters(texts[at:to])
+                part, n = _arrays(t, f(t, state), offsets)
+                parts.append(part)
+                many.append(n)
+                at = to
+            if not parts:
+                yield pa.array([], pa.list_(pa.struct([("token", pa.string()), ("start", pa.int32()), ("end", pa.int32())]) if offsets else pa.string()))
+                continue
+            ends = np.concatenate([[0], np.cumsum(np.concatenate(many))]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.concat_arrays(parts), mask=c.is_null())
+
+    return F.arrow_udf(run, TOKENS if offsets else "array<string>")
+
+
+def unigram_decoder(spark: SparkSession, scores: dict[str, float], unk: float | None = None, offsets: bool = True) -> Callable[[Column], Column]:
+    """Column function: sequence -> tokens with offsets, or as strings."""
     if len(scores) > MAX_VOCAB:
         raise ValueError("vocabulary too large to send out")
     longest = max(map(len, scores), default=1)
-    return _udf(spark, (scores, longest, unk), lambda t, s: viterbi(t, *s))
 
+    def f(t: Letters, s: tuple) -> np.ndarray:
+        words, values, plain = s
+        if len(t.start) >= SIDE_BY_SIDE:
+            return viterbi_all(t, words, values, longest, unk)[0]
+        return np.array([a + int(x) for a, b in zip(t.start, t.end, strict=True) for _, x, _ in viterbi(t.text[a:b], plain, longest, unk)], np.int64)
+
+    return _udf(spark, (hashed_words(list(scores)), np.array(list(scores.values()), float), scores), f, offsets)
 
-def bpe_encoder(spark: SparkSession, merges: list[tuple[str, str]], vocab: set[str] | None = None) -> Callable[[Column], Column]:
+
+def bpe_encoder(spark: SparkSession, merges: list[tuple[str, str]], vocab: set[str] | None = None, offsets: bool = True) -> Callable[[Column], Column]:
+    """Column function: sequence -> tokens with offsets, or as strings; letters outside ``vocab`` are [UNK]."""
     if len(merges) > MAX_VOCAB:
         raise ValueError("too many merges to send out")
-    return _udf(spark, ({m: i for i, m in enumerate(merges)}, vocab), lambda t, s: bpe(t, *s))
+    ranks = {m: i for i, m in enumerate(merges)}
+    passes = len(merges) <= PASSES and len(ranks) == len(merges) and in_order(merges)
 
+    def f(t: Letters, s: tuple) -> np.ndarray:
+        if passes:
+            return bpe_all(t, s[0])
+        return np.array([a + x for a, b in zip(t.start.tolist(), t.end.tolist(), strict=True) for _, x, _ in bpe(t.text[a:b], s[1])], np.int64)
 
-def motif_tokenizer(spark: SparkSession, motifs: set[str], seed: int = 0, triples: set[str] | None = None) -> Callable[[Column], Column]:
-    """Of several words the one of least md5 of (seed, place, word): equal texts tokenise alike in any partitioning."""
-    known = {a + b + c for a in "ATCG" for b in "ATCG" for c in "ATCG"} if triples is None else triples
+    own = _udf(spark, (merges, ranks), f, offsets)
+    if vocab is None:
+        return own
+    known = F.array(*(F.lit(v) for v in sorted(vocab)))
+    name = lambda x: F.when(F.array_contains(known, x), x).otherwise(UNK)
+    if offsets:
+        return lambda c: F.transform(own(c), lambda x: F.struct(name(x["token"]).alias("token"), x["start"].alias("start"), x["end"].alias("end")))
+    return lambda c: F.transform(own(c), name)
 
-    def f(t: str, s: tuple) -> list:
-        out, at = [], 0
-        for w in motif_tokens(t, s[0], s[1], lambda i, found: min(found, key=lambda w: hashlib.md5(f"{s[2]}:{i}:{w}".encode()).hexdigest())):
-            out.append((w, at, at + len(w)))
-            at += len(w)
-        return out
 
-    return _udf(spark, (motifs, known, seed), f)
+def motif_tokenizer(spark: SparkSession, motifs: set[str], seed: int = 0, triples: set[str] | None = None, offsets: bool = True) -> Callable[[Column], Column]:
+    """Of several words the one of least md5 of (seed, place, word): equal texts tokenise alike in any partitioning."""
+    known = {a + b + c for a in "ATCG" for b in "ATCG" for c in "ATCG"} if triples is None else triples
+    words = sorted(w for w in motifs if 4 <= len(w) <= 12)
+    return _udf(spark, (words, hashed_words(words), hashed_words(sorted(known))), lambda t, s: motif_starts(t, *s, seed), offsets)
 
 
 def in_chunks(df: DataFrame, seq: str, size: int, tokenize: Callable[[Column], Column], keep: list[str]) -> DataFrame:

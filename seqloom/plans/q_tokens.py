@@ -182,7 +182,7 @@ PIECES = f"""{SEQS}, pc AS (SELECT doc_id * 100000 + i AS id, doc_id, CAST(i AS
 
 def _pieces(spark, sf_dir, tokenize):
     d = T.in_chunks(seqs(spark, sf_dir), "seq", PIECE, tokenize, ["doc_id"])
-    return d.select("doc_id", "piece", F.array_join(T.names("tokens"), " ").alias("tokens"))
+    return d.select("doc_id", "piece", F.array_join("tokens", " ").alias("tokens"))
 
 
 def _best(words, scores):
@@ -204,7 +204,7 @@ g AS (SELECT id, length(p) AS i FROM pc UNION ALL SELECT g.id, i - bs[i] FROM g
 SELECT doc_id, piece, string_agg(substring(p, i - bs[i] + 1, bs[i]), ' ' ORDER BY i) AS tokens FROM g JOIN l ON g.id = l.id JOIN pc ON pc.id = g.id WHERE i > 0 GROUP BY doc_id, piece""")
 def unigram_decode(spark, sf_dir):
     """Additive-score decoding of whole sequences, piece by piece."""
-    return _pieces(spark, sf_dir, T.unigram_decoder(spark, {t: float(len(t) ** 2) for t in STATIC}, unk=-100.0))
+    return _pieces(spark, sf_dir, T.unigram_decoder(spark, {t: float(len(t) ** 2) for t in STATIC}, unk=-100.0, offsets=False))
 
 
 def _merged(expr):
@@ -218,8 +218,8 @@ def _merged(expr):
 @query("bpe_encode", f"WITH {SEQS} SELECT doc_id, replace(trim({_merged('seq')}, '<>'), '><', ' ') AS tokens FROM seqs")
 def bpe_encode(spark, sf_dir):
     """Rank merging of whole sequences."""
-    f = T.bpe_encoder(spark, MERGES)
-    return seqs(spark, sf_dir).select("doc_id", F.array_join(T.names(f(F.col("seq"))), " ").alias("tokens"))
+    f = T.bpe_encoder(spark, MERGES, offsets=False)
+    return seqs(spark, sf_dir).select("doc_id", F.array_join(f(F.col("seq")), " ").alias("tokens"))
 
 
 @query("bpe_train_pairs", f"WITH {SEQS}, p AS (SELECT unnest([substring(seq, CAST(i AS BIGINT), 2) FOR i IN range(1, length(seq))]) AS p FROM seqs WHERE length(seq) > 1) SELECT p[1] AS l, p[2] AS r, count(*) AS n FROM p GROUP BY ALL")
@@ -268,7 +268,7 @@ SELECT doc_id, piece, string_agg(concat(CASE WHEN skip > 0 THEN substring(p, CAS
 FROM r9 JOIN st USING (id, i) JOIN pc USING (id) GROUP BY doc_id, piece""")
 def motif_tokenizer(spark, sf_dir):
     """Dictionary words with look-ahead; of several at a place the one of least seeded md5."""
-    return _pieces(spark, sf_dir, T.motif_tokenizer(spark, set(MOTIF_WORDS), 7, set(TRIPLES)))
+    return _pieces(spark, sf_dir, T.motif_tokenizer(spark, set(MOTIF_WORDS), 7, set(TRIPLES), offsets=False))
 
 
 ENR = f"""{SEQS}, {TOKENS}, en AS (SELECT token, coalesce(sum(cnt) FILTER (lang = 'en'), 0) AS na, coalesce(sum(cnt) FILTER (lang = 'de'), 0) AS nb FROM tc WHERE lang IN ('en', 'de') GROUP BY token),
@@ -315,8 +315,8 @@ BPE_COUNTS = f"bt AS (SELECT lang, unnest(string_split(replace(trim({_merged('se
 @query("encoded_enrichment", f"WITH {_fdr_of(BPE_COUNTS)} SELECT token, CAST(na AS BIGINT) AS na, CAST(nb AS BIGINT) AS nb, round(lfc, 6) AS log2fc, round(z, 5) AS z, round(p, 9) AS p_value, round(q, 9) AS fdr_bh, side FROM eq ORDER BY q, token")
 def encoded_enrichment(spark, sf_dir):
     """The tokens of a merge tokenizer, counted in two sets and compared."""
-    f = T.bpe_encoder(spark, MERGES)
-    d = seqs(spark, sf_dir).filter("seq <> ''").select("lang", F.explode(T.names(f(F.col("seq")))).alias("token"))
+    f = T.bpe_encoder(spark, MERGES, offsets=False)
+    d = seqs(spark, sf_dir).filter("seq <> ''").select("lang", F.explode(f(F.col("seq"))).alias("token"))
     e = _r9(S.enriched(S.token_counts(d, ["lang"]), "lang", "en", "de")).withColumn("z", F.round("z", 5))
     return _r(e.select("token", "na", "nb", "log2fc", "z", "p_value", "fdr_bh", "side"), "log2fc")
 

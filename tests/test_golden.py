@@ -417,3 +417,59 @@ def test_semi_and_anti_overlap_split_the_rows(spark):
     a = spark.createDataFrame([("c", 0, 5, 1), ("c", 0, 5, 1), ("c", 9, 10, 2), ("d", 0, 5, 3), (None, 0, 5, 4)], "chrom string, start long, end long, k int")
     b = spark.createDataFrame([("c", 4, 6)], "chrom string, start long, end long")
     assert sorted(x.k for x in I.overlap_join(a, b, 4, "left_semi").collect()) == [1, 1] and sorted(x.k for x in I.overlap_join(a, b, 4, "left_anti").collect()) == [2, 3, 4]
+
+
+# --- many sequences at once
+def _texts(seed, n, letters):
+    r = random.Random(seed)
+    return ["".join(r.choice(letters) for _ in range(r.randrange(40))) for _ in range(n)] + ["", "A", letters * 9]
+
+
+def _tokens(spark, f, texts):
+    d = spark.createDataFrame(list(enumerate(texts)), "id long, s string")
+    return [r.t for r in d.select("id", f(F.col("s")).alias("t")).orderBy("id").collect()]
+
+
+@pytest.mark.parametrize("unk", [-3.0, None])
+def test_viterbi_side_by_side(spark, unk):
+    scores = {"A": 1.0, "C": 1.0, "G": 0.5, "T": 1.0, "AC": 2.0, "CA": 2.5, "ACG": 3.5, "TTTT": 4.0, "GT": -1.0}
+    texts = _texts(1, 300, "ACGT" if unk is None else "ACGTN☃é")
+    got = _tokens(spark, T.unigram_decoder(spark, scores, unk), [*texts, None])
+    assert got[-1] is None
+    for t, x in zip(texts, got, strict=False):
+        assert [tuple(y) for y in x] == T.viterbi(t, scores, 4, unk)
+    assert _tokens(spark, T.unigram_decoder(spark, scores, unk, offsets=False), texts) == [[y.token for y in x] for x in got[:-1]]
+
+
+def test_viterbi_refuses_unknown_letters(spark):
+    with pytest.raises(Exception, match="unknown letter"):
+        _tokens(spark, T.unigram_decoder(spark, {"A": 1.0}), ["AXA"] * 20)
+
+
+def test_merges_side_by_side(spark):
+    sound = [("A", "A"), ("C", "G"), ("AA", "CG"), ("T", "T"), ("TT", "TT"), ("AA", "A"), ("é", "A")]
+    tangled = [("B", "C"), ("A", "BC"), ("ABC", "D"), ("A", "B"), ("AB", "C")]
+    assert T.in_order(sound) and not T.in_order(tangled)
+    for merges, letters in ((sound, "ACGTé"), (tangled, "ABCD")):
+        ranks = {m: i for i, m in enumerate(merges)}
+        texts = _texts(2, 300, letters)
+        for t, x in zip(texts, _tokens(spark, T.bpe_encoder(spark, merges), texts), strict=True):
+            assert [tuple(y) for y in x] == T.bpe(t, ranks)
+    texts = _texts(3, 40, "ACX")
+    got = _tokens(spark, T.bpe_encoder(spark, [("A", "C")], {"A", "C", "AC"}), texts)
+    assert [[tuple(y) for y in x] for x in got] == [T.bpe(t, {("A", "C"): 0}, {"A", "C", "AC"}) for t in texts]
+
+
+def test_motifs_side_by_side(spark):
+    import hashlib
+
+    words, triples = {"ACGT", "ACGTA", "GTAC", "GTACGT", "TTTTT", "CGTTTT"}, {"ACG", "TTT"}
+    texts = _texts(4, 300, "ACGTN")
+    for t, x in zip(texts, _tokens(spark, T.motif_tokenizer(spark, words, 5, triples, offsets=False), texts), strict=True):
+        assert x == T.motif_tokens(t, words, triples, lambda i, found: min(found, key=lambda w: hashlib.md5(f"5:{i}:{w}".encode()).hexdigest()))
+
+
+def test_span_moments(spark):
+    d = spark.createDataFrame([(1, [1.0, float("nan"), 3.0, None]), (2, []), (3, None), (4, [float("nan")]), (5, [2.0])], "id int, s array<double>")
+    got = {r.id: (r.mean_score, r.var_score) for r in A.span_moments(d, "s").collect()}
+    assert got == {1: (2.0, 1.0), 2: (None, None), 3: (None, None), 4: (None, None), 5: (2.0, 0.0)}
