@@ -5,10 +5,12 @@
 share of 0.5 is for words never seen. States emit symbols, so the model is one distribution over all texts while its
 tables stay bounded.
 
-*Training.* Word counts come from all training texts. A start is fitted on at most ``START_ROWS`` texts; it only breaks
-the symmetry of the states. Then each of ``PASSES`` passes runs forward and backward over every training text, in
-pieces of ``PIECE`` tokens, and sums the expected counts over all partitions; the driver gets the summed tables, whose
-size is fixed. Counts are summed as integers, so sums don't depend on their order.
+*Training.* Word counts come from all training texts, which are then written once as symbols. Each of ``PASSES`` passes
+runs forward and backward over every training text and sums the expected counts over all partitions; the driver gets the
+summed tables, whose size is fixed. The first pass starts from seeded noise. Long texts are worked off in pieces of
+``PIECE`` tokens that also read ``CONTEXT`` tokens before and behind them, over which the messages at their borders are
+made: every token, and every transition into it, counts once, in its own piece, and texts of up to ``PIECE`` tokens are
+whole. Counts are summed as integers, so sums don't depend on their order.
 
 *Scores.* The forward recursion runs over whole texts, however long. Words outside the head need their counts, of
 which there are as many as distinct words: they are joined by word, as narrow rows (a hash of the word, the text's
@@ -27,61 +29,60 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import written
+from .bytewords import Lookup, buffer_of, words
+from .runtime import discard, lean, written
 
 HEAD, CLASSES, STATES = 65_536, 64, 8
-PASSES, PIECE, START_ROWS, START_STEPS = 2, 64, 2000, 12
+PASSES, PIECE, CONTEXT = 4, 256, 32
 #: Least weight of the unigram in a state's emissions, in tokens.
 PRIOR = 100.0
-CACHE, PIECES_AT_ONCE, TOKENS_AT_ONCE = 400_000, 2048, 1_500_000
+PIECES_AT_ONCE = 512
+_U = np.uint64
 _UNIT = 2.0**16
 END_KEY = -1  # as a signed word key; no word has it
 
 
-def spelling(w: bytes) -> int:
-    """Class of a word below 64: its last character, and the first that isn't ASCII."""
-    last = w[-1]
-    end = 1 if last == 0x2E else 2 if last == 0x2C else 3 if last < 0x80 and not (0x30 <= last <= 0x39 or 0x61 <= last <= 0x7A) else 0
-    if w.isascii():
-        return end * 16
-    c = next((ord(x) for x in w.decode("utf-8", "replace") if ord(x) > 127), 0)
-    return end * 16 + 1 + c % 15
+def spelling(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Class of each word below 64: its last character, and the first that isn't ASCII (its code point)."""
+    last = data[end - 1]
+    kind = np.where(last == 0x2E, 1, np.where(last == 0x2C, 2, np.where((last < 0x80) & ~_ALNUM[last], 3, 0))) * 16
+    lead = np.flatnonzero(data >= 0xC0)
+    at = np.searchsorted(lead, start)
+    on = np.flatnonzero(at < np.searchsorted(lead, end))
+    if len(on):
+        p = lead[at[on]]
+        b = np.stack([data[np.minimum(p + j, len(data) - 1)] for j in range(4)]).astype(np.int64)
+        low = b & 63
+        point = np.where(b[0] < 0xE0, (b[0] & 31) << 6 | low[1], np.where(b[0] < 0xF0, (b[0] & 15) << 12 | low[1] << 6 | low[2], (b[0] & 7) << 18 | low[1] << 12 | low[2] << 6 | low[3]))
+        kind[on] += 1 + point % 15
+    return kind
 
 
-class _Keys(dict):
-    """word -> symbol of a head word, else its key (top bit set, class in the low bits)."""
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
-    def __init__(self, head: dict[int, int] | None = None) -> None:
-        super().__init__()
-        self.head = head or {}
 
-    def __missing__(self, w: bytes) -> int:
-        import xxhash
+def tokens(col: pa.Array, head: Lookup | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all words, and the number of words of each text (null: none).
 
-        if len(self) >= CACHE:
-            self.clear()
-        k = 1 << 63 | (xxhash.xxh64_intdigest(w) >> 7 << 6) & (2**63 - 1) | spelling(w)
-        k -= (k == 2**64 - 1) << 6
-        v = self[w] = self.head.get(k, k)
-        return v
-
-
-def tokens(texts: list[bytes | None], keys: _Keys) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all words, and the number of words of each text."""
-    n, out = np.zeros(len(texts), np.int64), []
-    for i, t in enumerate(texts):
-        if t:
-            w = t.lower().split()
-            n[i] = len(w)
-            out.append(np.fromiter(map(keys.__getitem__, w), np.uint64, len(w)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64), n
+    A code is the symbol of a head word, else the word's key: top bit set, hash, class in the low bits.
+    """
+    data, offsets = buffer_of(col)
+    start, end, h = words(data, offsets)
+    n = np.bincount(np.searchsorted(offsets, start, side="right") - 1, minlength=len(offsets) - 1)
+    key = _U(1 << 63) | (h >> _U(7) << _U(6)) & _U(2**63 - 1) | spelling(data, start, end).astype(_U)
+    key -= (key == _U(2**64 - 1)).astype(_U) << _U(6)
+    if head is not None:
+        symbol = head.get(key)
+        key = np.where(symbol >= 0, symbol.astype(np.int64).view(_U), key)
+    return key, n
 
 
 def _count_words(docs: DataFrame) -> DataFrame:
     """(key, c) over all texts, the end too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, held, size, ends = _Keys(), [], 0, 0
+        held, size, ends = [], 0, 0
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
             k, c = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
@@ -94,7 +95,7 @@ def _count_words(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c)], ["key", "c"])
 
         for b in batches:
-            code, n = tokens(b.column(0).cast(pa.binary()).to_pylist(), keys)
+            code, n = tokens(b.column(0))
             ends += len(n)
             k, c = np.unique(code, return_counts=True)
             held.append((k, c.astype(np.int64)))
@@ -111,14 +112,14 @@ def _count_words(docs: DataFrame) -> DataFrame:
         if ends:
             yield out(np.array([END_KEY]), np.array([ends]))
 
-    return docs.select("text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(lean(run), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
 class Model:
     """Start, transition and emission tables (symbols x states), head symbols, and the unigram's parts."""
 
     def __init__(self, head: np.ndarray, head_c: np.ndarray, end_c: int, mass: np.ndarray, total: int, distinct: int, states: int = STATES) -> None:
-        self.head = {int(k): i for i, k in enumerate(head.view(np.uint64))}
+        self.head = Lookup(head.view(np.uint64), np.arange(len(head)))
         self.n_head, self.end = len(head), len(head)
         self.total, self.distinct = total, distinct
         self.norm = total + 0.5 * (distinct + 1)
@@ -129,7 +130,7 @@ class Model:
         self.unigram = c / c.sum()
         self.a = np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
         self.pi = np.full(states, 1 / states)
-        self.rho = np.full(states, 1 / states)
+        self.share = np.full(states, 1 / states)  # of the states among all tokens: what a piece starts from within a text
         noise = np.exp(np.random.default_rng(2).normal(scale=0.5, size=(len(c), states)))
         b = self.unigram[:, None] * noise
         self.b = b / b.sum(0)
@@ -142,60 +143,58 @@ class Model:
         out[np.arange(len(code)) + np.repeat(np.arange(len(n)), n)] = sym
         return out
 
-    def expected(self, sym: np.ndarray, n: np.ndarray, into: list[np.ndarray]) -> float:
-        """Adds expected counts of texts (symbols in a row, lengths n) to [start, later start, transitions, emissions]."""
+    def expected(self, sym: np.ndarray, n: np.ndarray, into: list[np.ndarray]) -> None:
+        """Adds expected counts of texts (symbols in a row, lengths n, none empty) to [start, transitions, emissions]."""
         pieces = -(-n // PIECE)
-        first = np.repeat(np.cumsum(n) - n, pieces) + (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * PIECE
-        stop = np.minimum(first + PIECE, np.repeat(np.cumsum(n), pieces))
-        opens = np.concatenate([[0], np.cumsum(pieces)[:-1]]) if len(n) else np.zeros(0, np.int64)
-        is_open = np.zeros(len(first), bool)
-        is_open[opens] = True
+        opens = np.repeat(np.cumsum(n) - n, pieces)
+        ends = np.repeat(np.cumsum(n), pieces)
+        core = opens + (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * PIECE
+        core_end = np.minimum(core + PIECE, ends)
+        first, stop = np.maximum(core - CONTEXT, opens), np.minimum(core_end + CONTEXT, ends)
         b = np.vstack([self.b, np.ones(self.b.shape[1])])  # the last row is padding
-        loglik, k = 0.0, self.b.shape[1]
+        k = self.b.shape[1]
         for at in range(0, len(first), PIECES_AT_ONCE):
-            f, s, o = first[at : at + PIECES_AT_ONCE], stop[at : at + PIECES_AT_ONCE], is_open[at : at + PIECES_AT_ONCE]
+            own = slice(at, at + PIECES_AT_ONCE)
+            f, s, whole = first[own], stop[own], first[own] == opens[own]
             pos = f + np.arange(int((s - f).max()))[:, None]
-            real = pos < s
-            x = np.where(real, sym[np.minimum(pos, len(sym) - 1)], len(b) - 1)
+            x = np.where(pos < s, sym[np.minimum(pos, len(sym) - 1)], len(b) - 1)
+            counts = (pos >= core[own]) & (pos < core_end[own])
             e = b[x]
             alpha, scale = np.empty_like(e), np.empty(x.shape)
-            cur = np.where(o[:, None], self.pi, self.rho) * e[0]
+            cur = np.where(whole[:, None], self.pi, self.share) * e[0]
             for t in range(len(x)):
                 if t:
                     cur = (cur @ self.a) * e[t]
                 scale[t] = cur.sum(1)
                 cur = cur / scale[t][:, None]
                 alpha[t] = cur
-            loglik += np.log(scale).sum()
             beta = np.ones(alpha.shape[1:])
             for t in range(len(x) - 1, 0, -1):
                 eb = e[t] * beta / scale[t][:, None]
-                alpha_t, w = alpha[t], real[t][:, None]
-                alpha[t] = alpha_t * beta  # from here on the posterior of t
-                into[2] += self.a * (alpha[t - 1].T @ (eb * w))
+                alpha[t] *= beta  # from here on the posterior of t
+                into[1] += self.a * (alpha[t - 1].T @ (eb * counts[t][:, None]))
                 beta = eb @ self.a.T
             alpha[0] *= beta
-            into[0] += alpha[0][o].sum(0)
-            into[1] += alpha[0][~o].sum(0)
-            flat = x.ravel()
+            into[0] += alpha[0][whole & counts[0]].sum(0)
+            on = counts.ravel()
+            flat, post = x.ravel()[on], alpha.reshape(-1, k)[on]
             for i in range(k):
-                into[3][:, i] += np.bincount(flat, alpha[:, :, i].ravel(), len(b))[:-1]
-        return loglik
+                into[2][:, i] += np.bincount(flat, post[:, i], len(b))[:-1]
 
     def update(self, got: list[np.ndarray]) -> None:
-        start, later, trans, emit = got
+        start, trans, emit = got
         self.pi = (start + 1) / (start + 1).sum()
-        self.rho = (later + 1) / (later + 1).sum()
         self.a = (trans + 1) / (trans + 1).sum(1, keepdims=True)
         # Witten-Bell: a state's share for the unigram follows its number of different symbols; unmet symbols keep the unigram's
         met = emit.sum(1) > 0
         n, kinds = emit.sum(0), PRIOR + (emit > 0.5).sum(0)
+        self.share = (n + 1) / (n + 1).sum()
         u = np.where(met, self.unigram, 0.0)
         self.b = np.where(met[:, None], u.sum() * (emit + kinds * (u / u.sum())[:, None]) / (n + kinds), self.unigram[:, None])
 
     def empty(self) -> list[np.ndarray]:
         k = self.b.shape[1]
-        return [np.zeros(k), np.zeros(k), np.zeros((k, k)), np.zeros_like(self.b)]
+        return [np.zeros(k), np.zeros((k, k)), np.zeros_like(self.b)]
 
     def forward(self, sym: np.ndarray, n: np.ndarray) -> np.ndarray:
         """log10 likelihood of each text: the scaled forward recursion over all its symbols."""
@@ -221,7 +220,7 @@ class Model:
         return out
 
 
-def _batched(batches: Iterator[pa.RecordBatch], bytes_at_once: int = 6_000_000) -> Iterator[list[pa.RecordBatch]]:
+def _batched(batches: Iterator[pa.RecordBatch], bytes_at_once: int = 4_000_000) -> Iterator[list[pa.RecordBatch]]:
     held, size = [], 0
     for b in batches:
         held.append(b)
@@ -241,64 +240,56 @@ def train(docs: DataFrame, text: str, learn: Column) -> tuple[Model, DataFrame]:
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     word = F.col("key") != END_KEY
     head = counts.filter(word).orderBy(F.desc("c"), "key").limit(HEAD).toArrow()
-    keys, c = head["key"].to_numpy(), head["c"].to_numpy().astype(float)
+    top, c = head["key"].to_numpy(), head["c"].to_numpy().astype(float)
     end_c = sum(r["c"] for r in counts.filter(~word).collect())
     by_class = counts.filter(word).groupBy(F.col("key").bitwiseAND(F.lit(63)).alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()
     mass = np.full(CLASSES, 0.5)
     for r in by_class:
         mass[r["k"]] += r["c"] + 0.5 * r["n"]
-    np.subtract.at(mass, keys & 63, c + 0.5)
-    model = Model(keys, c, end_c, np.maximum(mass, 0.5), total, distinct)
+    np.subtract.at(mass, top & 63, c + 0.5)
+    model = Model(top, c, end_c, np.maximum(mass, 0.5), total, distinct)
     if not total:
         return model, counts
 
-    # a start for the states, from a bounded sample of whole texts
-    share = min(1.0, 1.2 * START_ROWS / max(1, end_c))
-    chosen = d.filter(F.pmod(F.xxhash64(F.lit(2), "text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     sent = spark.sparkContext.broadcast(model)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys_ = _Keys(sent.value.head)
         for b in batches:
-            code, n = tokens(b.column(0).cast(pa.binary()).to_pylist(), keys_)
-            sym, n = sent.value.symbols(code, n), n + 1
-            ends = np.cumsum(n)
-            yield pa.RecordBatch.from_arrays([pa.array([sym[e - k : e].astype(np.int32).tobytes() for e, k in zip(ends, n, strict=True)], pa.binary())], ["s"])
-
-    texts = [np.frombuffer(r[0], np.int32).astype(np.int64) for r in chosen.mapInArrow(encode, "s binary").limit(2 * START_ROWS).collect()]
-    if texts:
-        sym, n = np.concatenate(texts), np.array([len(t) for t in texts])
-        for _ in range(START_STEPS):
-            got = model.empty()
-            model.expected(sym, n, got)
-            model.update(got)
+            code, n = tokens(b.column(0), sent.value.head)
+            sym, n = sent.value.symbols(code, n).astype(np.int32), n + 1
+            ends = np.concatenate([[0], np.cumsum(n)])
+            blobs = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends * 4), pa.py_buffer(sym)])
+            yield pa.RecordBatch.from_arrays([pa.array(n), blobs.cast(pa.binary())], ["n", "s"])
 
+    coded = written(d.select("text").mapInArrow(lean(encode), "n long, s binary"), "symbols")
     for _ in range(PASSES):
-        model.update(_pass(d, model))
+        model.update(_pass(coded, model))
+    discard(coded)
     return model, counts
 
 
-def _pass(d: DataFrame, model: Model) -> list[np.ndarray]:
+def _pass(coded: DataFrame, model: Model) -> list[np.ndarray]:
     """Expected counts over all texts, summed over partitions."""
     k, n_sym = model.b.shape[1], len(model.b)
-    sent = d.sparkSession.sparkContext.broadcast(model)  # HEAD + CLASSES + 1 rows of STATES doubles
+    sent = coded.sparkSession.sparkContext.broadcast(model)  # HEAD + CLASSES + 1 rows of STATES doubles
     names = [f"s{i}" for i in range(k)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        keys, got = _Keys(m.head), m.empty()
-        for held in _batched(batches):
-            code, n = tokens([t for b in held for t in b.column(0).cast(pa.binary()).to_pylist()], keys)
-            m.expected(m.symbols(code, n), n + 1, got)
-        rows = np.vstack([got[3], got[2], got[0][None], got[1][None]])
+        got = m.empty()
+        for held in _batched(batches, 3_000_000):
+            t = pa.Table.from_batches(held)
+            m.expected(np.frombuffer(b"".join(t["s"].to_pylist()), np.int32).astype(np.int64), t["n"].to_numpy(), got)
+        rows = np.vstack([got[2], got[1], got[0][None]])
         some = np.flatnonzero(rows.any(1))
         units = np.rint(rows[some] * _UNIT).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(np.ascontiguousarray(units[:, i])) for i in range(k))], ["row", *names])
 
-    summed = d.select("text").mapInArrow(run, "row int, " + ", ".join(f"{x} long" for x in names)).groupBy("row").agg(*(F.sum(x).alias(x) for x in names)).toArrow()
-    table = np.zeros((n_sym + k + 2, k))
+    summed = coded.mapInArrow(lean(run), "row int, " + ", ".join(f"{x} long" for x in names)).groupBy("row").agg(*(F.sum(x).alias(x) for x in names)).toArrow()
+    sent.unpersist()
+    table = np.zeros((n_sym + k + 1, k))
     table[summed["row"].to_numpy()] = np.stack([summed[x].to_numpy() for x in names], 1) / _UNIT
-    return [table[n_sym + k], table[n_sym + k + 1], table[n_sym : n_sym + k], table[:n_sym]]
+    return [table[n_sym + k], table[n_sym : n_sym + k], table[:n_sym]]
 
 
 SCORED = "rid long, doc_key long, mark boolean, word long, whole boolean, n_tokens long, n_known long, base double, score double"
@@ -311,11 +302,10 @@ def score(docs: DataFrame, key: str, text: str, mark: Column, model: Model, coun
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        keys = _Keys(m.head)
         for held in _batched(batches):
             t = pa.Table.from_batches(held)
             rid = t["rid"].to_numpy()
-            code, n = tokens(t["text"].combine_chunks().cast(pa.binary()).to_pylist(), keys)
+            code, n = tokens(t["text"].combine_chunks(), m.head)
             row = np.repeat(np.arange(len(n)), n)
             raw = code >= np.uint64(1 << 63)
             fwd = m.forward(m.symbols(code, n), n + 1)
@@ -323,13 +313,13 @@ def score(docs: DataFrame, key: str, text: str, mark: Column, model: Model, coun
             known = np.bincount(row[~raw], minlength=len(n)) + int(m.end_known)
             full = len(n)
             yield pa.RecordBatch.from_arrays([pa.array(rid), t["doc_key"].combine_chunks(), t["mark"].combine_chunks(), pa.array(rid * 64 % 2**62), pa.array(np.ones(full, bool)), pa.array(n + 1), pa.array(known), pa.array(base), pa.array(fwd)], _NAMES)
-            words, at = code[raw].view(np.int64), rid[row[raw]]
-            for lo in range(0, len(words), 200_000):
-                w, r = words[lo : lo + 200_000], at[lo : lo + 200_000]
+            tail, at = code[raw].view(np.int64), rid[row[raw]]
+            for lo in range(0, len(tail), 200_000):
+                w, r = tail[lo : lo + 200_000], at[lo : lo + 200_000]
                 null = [pa.nulls(len(w), x) for x in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
                 yield pa.RecordBatch.from_arrays([pa.array(r), null[0], null[1], pa.array(w), pa.array(np.zeros(len(w), bool)), *null[2:]], _NAMES)
 
-    e = d.mapInArrow(run, SCORED)
+    e = d.mapInArrow(lean(run), SCORED)
     c = F.coalesce("c", F.lit(0)) + 0.5
     mass = F.element_at(F.array(*(F.lit(float(x)) for x in model.mass)), F.col("word").bitwiseAND(F.lit(63)).cast("int") + 1)
     # a whole text's row has a key of its own that stands for no word
