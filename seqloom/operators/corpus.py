@@ -95,13 +95,14 @@ def attention(ids: Column, pad_id: int) -> Column:
 def mask(ids: Column, key: Column, mask_id: int, vocab: int, special: list[int], rate: float = 0.15, salt: str = "42") -> Column:
     """Struct of masked ids and labels; 15 % chosen by md5 of (key, position), of them 80 % mask, 10 % random, 10 % kept; -100 elsewhere."""
 
-    def number(i: Column, at: int) -> Column:  # 28 bits of the place's md5
-        return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(salt), key.cast("string"), i.cast("string"))), at, 7), 16, 10).cast("long")
+    def below(h: Column, at: int, share: float) -> Column:  # 28 bits of the place's md5, as hexadecimal digits
+        return F.substring(h, at, 7) < f"{int(share * (1 << 28)):07x}"
 
-    def one(x: Column, i: Column) -> Column:
-        hit = (number(i, 1) < int(rate * (1 << 28))) & ~x.isin(*special)
-        u = number(i, 8)
-        new = F.when(u < int(0.8 * (1 << 28)), F.lit(mask_id)).when(u < int(0.9 * (1 << 28)), (number(i, 15) % vocab).cast("int")).otherwise(x)
+    def one(x: Column, h: Column) -> Column:
+        hit = below(h, 1, rate) & ~x.isin(*special)
+        drawn = (F.conv(F.substring(h, 15, 7), 16, 10).cast("long") % vocab).cast("int")
+        new = F.when(below(h, 8, 0.8), F.lit(mask_id)).when(below(h, 8, 0.9), drawn).otherwise(x)
         return F.struct(F.when(hit, new).otherwise(x).alias("id"), F.when(hit, x).otherwise(F.lit(-100)).alias("label"))
 
-    return F.transform(ids, one)
+    hashes = F.transform(ids, lambda x, i: F.md5(F.concat_ws(":", F.lit(salt), key.cast("string"), i.cast("string"))))
+    return F.zip_with(ids, hashes, one)
