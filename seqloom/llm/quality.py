@@ -6,8 +6,9 @@ A linear hinge-loss model over the indicators scaled by r (rows of unit length)
 on at most ``SAMPLE`` rows of each class, those of smallest key hash: the bound of the fit. Equal rows of a key count
 once there, and a key's second row comes after the first rows of all sampled keys. A logistic curve over the margins, weighted to the classes' shares among all training rows, makes a score from 0 to 1.
 
-Texts are read once to count and once to score, and are not shuffled where the labels fit ``BROADCAST_ROWS``;
-beyond that labels and texts are joined by a shuffle, with the same result.
+Texts are read once to count and once to score, and are not shuffled where the labels' bytes allow a broadcast;
+beyond that labels and texts are joined by a shuffle, with the same result. A task's counts travel as packed slices of
+the buckets.
 
 Defined results: null and empty texts have no feature and score as the bias; labels other than 0 and 1 (null too) are
 no labels; a key with several labels counts for each; without training rows of both classes every score is 0.5.
@@ -16,19 +17,22 @@ no labels; a key with several labels counts for each; without training rows of b
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .runtime import written
+from .bytewords import buffer_of, words
+from .runtime import BROADCAST_BYTES, discard, lean, written
 
-BITS, SAMPLE, BROADCAST_ROWS = 18, 4000, 2_000_000
+BITS, SAMPLE, SLICE = 20, 4000, 4096
 C, EPOCHS, BETA, SEED = 1.0, 12, 0.25, 3
-#: Words that are turned into features at once, words kept in a worker's cache.
-WORDS_AT_ONCE, CACHE = 200_000, 400_000
+#: Bytes of texts that are turned into features at once; rows of the fit that a task remembers.
+BYTES_AT_ONCE, MET = 600_000, 60_000
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -51,32 +55,42 @@ def shape(word: bytes) -> int:
     return (min(case, 7) * 8 + end) * 4 + size
 
 
-class _Words(dict):
-    """word -> hash << 8 | shape, kept for ``CACHE`` words."""
+_LAST = np.full(128, 6)
+_LAST[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = 0
+for _k, _chars in ((1, b"."), (2, b","), (3, b"!?"), (4, b"|<>{}[]()/\\=_"), (5, b"*#$%&@^~+")):
+    _LAST[list(_chars)] = _k
 
-    def __missing__(self, w: bytes) -> int:
-        import xxhash
 
-        if len(self) >= CACHE:
-            self.clear()
-        v = (xxhash.xxh64_intdigest(w) >> 12 << 8) | shape(w)
-        self[w] = v
-        return v
+def shapes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """:func:`shape` of each word: off the buffer for words of ASCII only, one by one for others."""
 
+    def count(on: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(on)])
+        return total[end] - total[start]
 
-def features(texts: list[bytes | None], words: dict[bytes, int]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    upper = (data >= 0x41) & (data <= 0x5A)
+    letter = upper | (data >= 0x61) & (data <= 0x7A)
+    caps, letters, digits = count(upper), count(letter), count((data >= 0x30) & (data <= 0x39))
+    first = np.append(np.flatnonzero(letter), 0)[np.searchsorted(np.flatnonzero(letter), start)]
+    case = np.where(letters == 0, 0, np.where(caps == 0, 1, np.where((caps == letters) & (letters > 1), 2, np.where((caps == 1) & upper[first], 3, 4)))) if len(data) else letters
+    case = np.minimum(np.where((digits > 0) & (case < 3), case + 5, case), 7)
+    size = np.searchsorted([3, 7, 16], end - start, side="right")
+    out = (case * 8 + _LAST[data[end - 1] & 127]) * 4 + size
+    for i in np.flatnonzero(count(data >= 0x80)):
+        out[i] = shape(data[start[i] : end[i]].tobytes())
+    return out
+
+
+def features(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, row of each feature from the first, bucket): distinct features, by row, in runs of bounded size."""
+    data, offsets = buffer_of(texts)
     at = 0
-    while at < len(texts):
-        codes, n, total = [], [], 0
-        while at + len(n) < len(texts) and (total < WORDS_AT_ONCE or not n):
-            w = (texts[at + len(n)] or b"").split()
-            codes += map(words.__getitem__, w)
-            n.append(len(w))
-            total += len(w)
-        v = np.array(codes, dtype=np.uint64)
-        row = np.repeat(np.arange(len(n)), n)
-        h, s = v >> np.uint64(8), v & np.uint64(255)
+    while at < len(offsets) - 1:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BYTES_AT_ONCE, side="right")) - 1)
+        own, cuts = data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
+        start, end, h = words(own, cuts, True)
+        row = np.searchsorted(cuts, start, side="right") - 1
+        h, s = h >> np.uint64(8), shapes(own, start, end).astype(np.uint64)
         same = row[1:] == row[:-1]
         s = s * np.uint64(2)
         s[1:] += (same & (h[1:] == h[:-1])).astype(np.uint64)
@@ -91,8 +105,8 @@ def features(texts: list[bytes | None], words: dict[bytes, int]) -> Iterator[tup
         key = np.concatenate([(r.astype(np.uint64) << np.uint64(BITS)) | (x >> np.uint64(64 - BITS)) for r, x in parts])
         key.sort()
         key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
-        yield at, len(n), (key >> np.uint64(BITS)).astype(np.int64), (key & np.uint64((1 << BITS) - 1)).astype(np.int64)
-        at += len(n)
+        yield at, to - at, (key >> np.uint64(BITS)).astype(np.int64), (key & np.uint64((1 << BITS) - 1)).astype(np.int64)
+        at = to
 
 
 def dual_coordinate_descent(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, dim: int, c: float = C, epochs: int = EPOCHS, seed: int = SEED) -> tuple[np.ndarray, float]:
@@ -137,11 +151,12 @@ class Model:
 
     def __init__(self, weight: np.ndarray, bias: float, ratio: np.ndarray, a: float, b: float) -> None:
         self.weight, self.bias, self.ratio, self.a, self.b = weight, bias, ratio, a, b
+        self.scaled = weight * ratio
 
     def margins(self, rows: int, row: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         r = self.ratio[bucket]
         norm = np.sqrt(np.bincount(row, r * r, rows))
-        return np.bincount(row, self.weight[bucket] * r, rows) / np.maximum(norm, 1e-12) + self.bias
+        return np.bincount(row, self.scaled[bucket], rows) / np.maximum(norm, 1e-12) + self.bias
 
     def scores(self, m: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.a * m + self.b, -35, 35)))
@@ -158,27 +173,24 @@ def train(docs: DataFrame, key: str, text: str, labels: DataFrame, label_key: st
             return None
         cut[y] = rows[0]
     lab = lab.withColumn("sampled", F.col("h") <= F.when(F.col("y") == 1, cut[1]).otherwise(cut[0]))
-    if lab.count() <= BROADCAST_ROWS:
+    if lab.count() * 40 <= BROADCAST_BYTES:
         lab = F.broadcast(lab)
     d = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).join(lab, "k").select("t", "y", "h", "sampled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        words, n, rows, met = _Words(), np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64), set()
+        n, rows, met = np.zeros((2, 1 << BITS), np.uint32), np.zeros(2, np.int64), set()
         for b in batches:
             y, h, sampled = b.column("y").to_numpy(), b.column("h").to_numpy(), b.column("sampled").to_numpy(zero_copy_only=False)
             ys, hs, fs = [], [], []
-            for first, many, row, bucket in features(b.column("t").cast(pa.binary()).to_pylist(), words):
-                for c in (0, 1):
-                    n[c] += np.bincount(bucket[y[first + row] == c], minlength=1 << BITS)
+            for first, many, row, bucket in features(b.column("t")):
+                np.add.at(n, (y[first + row], bucket), np.uint32(1))
                 rows += np.bincount(y[first : first + many], minlength=2)
                 cuts = np.searchsorted(row, np.arange(many + 1))
                 for i in np.flatnonzero(sampled[first : first + many]):
                     f = bucket[cuts[i] : cuts[i + 1]].astype(np.int32).tobytes()
                     one = (int(y[first + i]), int(h[first + i]), xxhash.xxh64_intdigest(f))
                     if one not in met:
-                        if len(met) >= CACHE:
+                        if len(met) >= MET:
                             met.clear()
                         met.add(one)
                         ys.append(one[0])
@@ -186,20 +198,27 @@ def train(docs: DataFrame, key: str, text: str, labels: DataFrame, label_key: st
                         fs.append(f)
             if ys:
                 m = len(ys)
-                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(ys, pa.int32()), pa.array(hs, pa.int64()), pa.array(fs, pa.binary())], ["bucket", "n0", "n1", "y", "h", "f"])
-        some = np.flatnonzero(n.sum(0))
-        cols = [pa.array(np.append(some, -1).astype(np.int32)), *(pa.array(np.append(n[c][some], rows[c])) for c in (0, 1))]
-        yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(some) + 1, pa.int32()), pa.nulls(len(some) + 1, pa.int64()), pa.nulls(len(some) + 1, pa.binary())], ["bucket", "n0", "n1", "y", "h", "f"])
-
-    got = written(d.mapInArrow(count, "bucket int, n0 long, n1 long, y int, h long, f binary"), "ngrams")
-    sums = got.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()  # 2**BITS rows at most
+                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), pa.array(fs, pa.binary()), pa.array(ys, pa.int32()), pa.array(hs, pa.int64())], ["slice", "f", "y", "h"])
+        some = np.flatnonzero(n.any(0))
+        packed = np.empty(len(some), _COUNT)
+        packed["bucket"], packed["n"] = some % SLICE, n[:, some].T
+        slices = np.unique(some // SLICE)
+        ends = np.searchsorted(some, np.append(slices, (1 << BITS) // SLICE) * SLICE)
+        blobs = [packed[lo:hi].tobytes() for lo, hi in pairwise(ends)] + [rows.tobytes()]  # the last: rows of each class
+        m = len(blobs)
+        yield pa.RecordBatch.from_arrays([pa.array([*slices.tolist(), -1], pa.int32()), pa.array(blobs, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())], ["slice", "f", "y", "h"])
+
+    got = written(d.mapInArrow(lean(count), "slice int, f binary, y int, h long"), "ngrams")
+    sums = got.filter("slice IS NOT NULL").select("slice", "f").repartition("slice").sortWithinPartitions("slice").mapInArrow(lean(_summed), "slice int, f binary").toArrow()  # 2**BITS pairs at most
     n, rows = np.zeros((2, 1 << BITS)), np.zeros(2)
-    bucket = sums["bucket"].to_numpy()
-    for c in (0, 1):
-        v = sums[f"n{c}"].to_numpy()
-        n[c][bucket[bucket >= 0]] = v[bucket >= 0]
-        rows[c] = v[bucket == -1].sum()
+    for k, f in zip(sums["slice"].to_pylist(), sums["f"].to_pylist(), strict=True):
+        v = np.frombuffer(f, np.int64).reshape(2, -1)
+        if k < 0:
+            rows += v[:, 0]
+        else:
+            n[:, k * SLICE : (k + 1) * SLICE] = v
     sample = pa.concat_tables(fit_rows(got, c).toArrow() for c in (0, 1))
+    discard(got)
     y = np.where(sample["y"].to_numpy() == 1, 1.0, -1.0)
     if rows.min() == 0 or len(set(y)) < 2:
         return None
@@ -218,6 +237,31 @@ def train(docs: DataFrame, key: str, text: str, labels: DataFrame, label_key: st
     return Model(w, b, ratio, *logistic(m, (y > 0).astype(float), share / share.sum() * len(y)))
 
 
+_COUNT = np.dtype([("bucket", "u2"), ("n", "u4", 2)])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed counts of each slice (rows sorted by it), as its counts for class 0, then for class 1."""
+    last, n = None, np.zeros((2, SLICE), np.int64)
+
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([n.tobytes()], pa.binary())], ["slice", "f"])
+
+    for b in batches:
+        for k, f in zip(b.column("slice").to_pylist(), b.column("f").to_pylist(), strict=True):
+            if k != last:
+                if last is not None:
+                    yield done()
+                last, n = k, np.zeros((2, SLICE), np.int64)
+            if k < 0:
+                n[:, 0] += np.frombuffer(f, np.int64)
+            else:
+                c = np.frombuffer(f, _COUNT)
+                n[:, c["bucket"]] += c["n"].T
+    if last is not None:
+        yield done()
+
+
 def fit_rows(got: DataFrame, y: int) -> DataFrame:
     """At most ``SAMPLE`` different rows of one class: the first of each key by key hash, then the second ones, and so on."""
     d = got.filter(F.col("y") == y).groupBy("h", F.xxhash64("f").alias("fh")).agg(F.first("f").alias("f"))
@@ -225,18 +269,18 @@ def fit_rows(got: DataFrame, y: int) -> DataFrame:
     return d.withColumn("turn", turn).orderBy("turn", "h", "fh").limit(SAMPLE).orderBy("fh", "h").select(F.lit(y).alias("y"), "f")
 
 
-def score(docs: DataFrame, key: str, text: str, model: Model | None, *more: str | Column) -> DataFrame:
-    """Adds ``quality_score`` to key and ``more`` columns."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # two arrays of 2**BITS doubles
+def score(docs: DataFrame, key: str, text: str, model: Model | None, *more: str | Column, name: str = "quality_score") -> DataFrame:
+    """Key, ``more`` columns and the score, called ``name``, which none of them should be called (:func:`.runtime.fresh` gives a free one)."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # two arrays of 2**BITS numbers
 
     def run(col: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words, m = _Words(), sent.value
+        m = sent.value
         for t in col:
             out = np.full(len(t), 0.5)
             if m is not None:
-                for first, many, row, bucket in features(t.cast(pa.binary()).to_pylist(), words):
+                for first, many, row, bucket in features(t):
                     out[first : first + many] = m.scores(m.margins(many, row, bucket))
             yield pa.array(out)
 
     udf = F.arrow_udf(run, "double")
-    return docs.select(F.col(key), *more, udf(F.col(text).cast("string")).alias("quality_score"))
+    return docs.select(F.col(key), *more, udf(F.col(text).cast("string")).alias(name))
