@@ -6,8 +6,6 @@ A word is a run of bytes outside 0x20 and 0x09-0x0D. Its hash is a polynomial ov
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 
@@ -22,24 +20,6 @@ _BASE = 0x9E3779B97F4A7C15
 _STEP = 1 << 15
 
 
-class Remembered(dict):
-    """What ``make`` gives for a word: two generations of at most ``most`` words, so that common ones stay."""
-
-    def __init__(self, make: Callable[[bytes], int], most: int) -> None:
-        super().__init__()
-        self.make, self.most, self.old = make, most, {}
-
-    def __missing__(self, w: bytes) -> int:
-        v = self.old.get(w)
-        if v is None:
-            v = self.make(w)
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[w] = v
-        return v
-
-
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.ones(n, _U)
     k = 1
