@@ -135,6 +135,13 @@ def op9_sentencepiece_wfst(spark: SparkSession, sf_dir: str, model_path: str = M
     return e.select(F.col("key").alias("doc_id"), "n_tokens", "ids", "round_trip")
 
 
+#: Links of all pairs, then the least id that they reach, link by link.
+OP10_SQL = """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), u AS (SELECT vec_id, e FROM v WHERE vec_id IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95), n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+r AS (SELECT vec_id AS a, vec_id AS b FROM u UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a), c AS (SELECT a, min(b) AS c FROM r GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(c, vec_id) AS component_id, coalesce(vec_id = coalesce(c, vec_id), TRUE) AS kept FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id"""
+
+
 def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links at cosine 0.95 and their components over all ``embeddings``; see :mod:`.vector_dedup`."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -153,7 +160,7 @@ _QUERIES: dict[str, Query] = {
     "op9_sentencepiece_wfst": op9_sentencepiece_wfst,
     "op10_vector_dedup": op10_vector_dedup,
 }
-_ORACLES: dict[str, str] = {"op1_resolve_revisits": OP1_SQL}
+_ORACLES: dict[str, str] = {"op1_resolve_revisits": OP1_SQL, "op10_vector_dedup": OP10_SQL}
 
 
 def queries() -> dict[str, Query]:
