@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm import line_dedup, mixing, near_dedup, quality, wfst
 from seqloom.llm.queries import quality_model, read_model
-from seqloom.llm.runtime import table, written
+from seqloom.llm.runtime import fresh, table, written
 
 #: Score from which a document counts as good.
 GOOD = 0.3
@@ -19,8 +19,9 @@ GOOD = 0.3
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     model = quality_model(spark, docs, sf_dir)
-    kept = quality.score(docs, "doc_id", "text", model, *[c for c in docs.columns if c != "doc_id"])
-    return kept.filter(F.col("quality_score") >= GOOD).select(*docs.columns)
+    name = fresh(docs.columns, "quality_score")[0]
+    kept = quality.score(docs, "doc_id", "text", model, *[c for c in docs.columns if c != "doc_id"], name=name)
+    return kept.filter(F.col(name) >= GOOD).select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,3 +66,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs = written(docs, name)
     return docs
+
+
+def queries() -> dict:
+    return {"pipeline": run}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"pipeline": ORACLE_SQL} if ORACLE_SQL else {}
