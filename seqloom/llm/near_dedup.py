@@ -31,12 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytewords import Remembered
+from .bytewords import buffer_of, words
 from .components import connected, joined, numbered
 from .runtime import discard, fresh, lean, small, written
 
@@ -44,7 +43,8 @@ WORDS, PLACES, BANDS = 5, 64, 16
 LEAST, LEADER_ROUNDS = 0.8, 2
 #: Rows and elements of a chunk of a bucket that is compared all with all.
 CELL_ROWS, CELL_ELEMENTS = 1024, 1_500_000
-WORDS_AT_ONCE, CACHE = 100_000, 60_000
+#: Bytes of texts that are turned into shingles at once.
+BYTES_AT_ONCE = 600_000
 LAST = 2**63 - 1
 
 _U = np.uint64
@@ -59,19 +59,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def shingle_runs(texts: list[bytes | None], words: dict[bytes, int]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def shingle_runs(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, row from the first, shingle) in runs of bounded size: all shingles, sorted by row and hash."""
+    data, offsets = buffer_of(texts)
     at = 0
-    while at < len(texts):
-        codes, n, total = [], [], 0
-        while at + len(n) < len(texts) and (total < WORDS_AT_ONCE or not n) and len(n) < 1 << (64 - _KEEP):
-            w = (texts[at + len(n)] or b"").lower().split()
-            codes += map(words.__getitem__, w)
-            n.append(len(w))
-            total += len(w)
-        h, count = np.array(codes, dtype=_U), np.array(n)
+    while at < len(offsets) - 1:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BYTES_AT_ONCE, side="right")) - 1)
+        to = min(to, at + (1 << (64 - _KEEP)) - 1)
+        cuts = offsets[at : to + 1] - offsets[at]
+        start, _, h = words(data[offsets[at] : offsets[to]], cuts)
+        row = np.searchsorted(cuts, start, side="right") - 1
+        count = np.bincount(row, minlength=to - at)
         ends = np.cumsum(count)
-        row = np.repeat(np.arange(len(n)), count)
         s = h[: max(0, len(h) - WORDS + 1)].copy()
         for k in range(1, WORDS):
             s = _mix(s * _A + h[k : k + len(s)])
@@ -85,8 +84,8 @@ def shingle_runs(texts: list[bytes | None], words: dict[bytes, int]) -> Iterator
             vals.append(v)
         key = (np.concatenate(rows).astype(_U) << _U(_KEEP)) | (np.concatenate(vals) >> _U(64 - _KEEP))
         key.sort()
-        yield at, len(n), (key >> _U(_KEEP)).astype(np.int64), key & _U((1 << _KEEP) - 1)
-        at += len(n)
+        yield at, to - at, (key >> _U(_KEEP)).astype(np.int64), key & _U((1 << _KEEP) - 1)
+        at = to
 
 
 def signatures(rows: int, row: np.ndarray, shingle: np.ndarray, places: int = PLACES) -> np.ndarray:
@@ -158,9 +157,8 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def _signed(d: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Remembered(xxhash.xxh64_intdigest, CACHE)
         for b in batches:
-            for at, n, row, shingle in shingle_runs(b.column("text").cast(pa.binary()).to_pylist(), words):
+            for at, n, row, shingle in shingle_runs(b.column("text")):
                 size = np.bincount(row, minlength=n)
                 k = bands(signatures(n, row, shingle))
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(k.ravel()))
@@ -172,9 +170,8 @@ def _signed(d: DataFrame) -> DataFrame:
 
 def _multisets(d: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Remembered(xxhash.xxh64_intdigest, CACHE)
         for b in batches:
-            for at, n, row, shingle in shingle_runs(b.column("text").cast(pa.binary()).to_pylist(), words):
+            for at, n, row, shingle in shingle_runs(b.column("text")):
                 ends = np.searchsorted(row, np.arange(n + 1))
                 flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(elements(row, shingle)))
                 yield pa.RecordBatch.from_arrays([b.slice(at, n).column("node"), flat], ["node", "bag"])
