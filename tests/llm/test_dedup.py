@@ -105,6 +105,41 @@ def test_line_dedup_cells_lose_nothing(spark, monkeypatch):
     assert want[0][-1] == 34 and all(x[3] == 1 for x in want[1:])
 
 
+def test_line_dedup_columns_of_any_name(spark):
+    d = spark.createDataFrame([(1, "a b\na b", 7, 8, 9)], "doc_id long, text string, n_removed int, removed int, N_LINES int")
+    r = line_dedup.dedup(d, "doc_id", "text")
+    assert r.columns == ["doc_id", "text", "removed", "n_lines", "n_removed", "n_links"] and tuple(r.first()) == (1, "a b", 8, 2, 1, 0)
+    r = line_dedup.dedup(d, "doc_id", "text", counts=False)
+    assert r.columns == d.columns and tuple(r.first()) == (1, "a b", 7, 8, 9)
+
+
+def test_near_columns_of_any_name(spark):
+    d = spark.createDataFrame([(1, "a b c", 7, 8, 9), (2, "a b c", 7, 8, 9)], "doc_id long, text string, __k1 int, k1 int, ID int")
+    r = near_dedup.keep_one(d, "doc_id", "text")
+    assert r.columns == d.columns and [tuple(x) for x in r.collect()] == [(1, "a b c", 7, 8, 9)]
+
+
+def test_large_edge_tables_take_rounds(spark, monkeypatch):
+    """Beyond the local bound the same components come out of star rounds, also for structs."""
+    r = random.Random(3)
+    e = [(r.randrange(300), r.randrange(300)) for _ in range(200)]
+    d = spark.createDataFrame(e, "u long, v long")
+    want = sorted(map(tuple, components.connected(d).collect()))
+    s = d.select(F.struct("u", (F.col("u") * 2).alias("w")).alias("u"), F.struct(F.col("v").alias("u"), (F.col("v") * 2).alias("w")).alias("v"))
+    local = sorted((x.id.u, x.component.u) for x in components.connected(s).collect())
+    monkeypatch.setattr(components, "LOCAL_NUMBERS", 0)
+    assert sorted(map(tuple, components.connected(d).collect())) == want == local
+    assert sorted((x.id.u, x.component.u) for x in components.connected(s).collect()) == want
+
+
+def test_words_that_share_the_top_of_their_hash():
+    """Sets are told apart by all 64 bits."""
+    top = np.uint64(0xABCDEF0123456789)
+    h = np.array([top, top ^ np.uint64(1), top, 5, 5], np.uint64)
+    line, w, _ = line_dedup.ordered_sets(h, np.array([0, 0, 0, 1, 1]))
+    assert line.tolist() == [0, 0, 1] and sorted(w[:2].tolist()) == sorted(h[:2].tolist()) and w[2] == 5
+
+
 def test_line_dedup_odd_rows(spark, odd_docs, no_docs):
     r = line_dedup.dedup(odd_docs, "doc_id", "text").collect()
     assert len(r) == 12 and {x.text for x in r if x.doc_id == 6} == {""} and all(x.text is None for x in r if x.doc_id == 2)
@@ -150,6 +185,26 @@ def test_near_groups_against_brute_force(spark):
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == set(want)
 
 
+def test_near_groups_of_the_table(spark, sf01):
+    """Class ids over all documents of the table equal those of comparing every pair that shares a shingle."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf01}/documents.parquet").collect()}
+    ids = sorted(docs)
+    bags = [bag(docs[i]) for i in ids]
+    where = defaultdict(list)
+    for i, b in enumerate(bags):
+        for x, n in b.items():
+            where[x].append((i, n))
+    both = Counter()
+    for own in where.values():
+        for (i, a), (j, b) in itertools.combinations(own, 2):
+            both[i, j] += min(a, b)
+    size = [sum(b.values()) for b in bags]
+    links = [(i, j) for (i, j), n in both.items() if n >= 0.8 * (size[i] + size[j] - n) - 1e-9]
+    assert len(links) > 50
+    got = {r.doc_id: r.class_id for r in queries.op6_bagminhash(spark, sf01).collect()}
+    assert [got[i] for i in ids] == [ids[g] for g in union(len(ids), links)]
+
+
 def test_cells_lose_nothing(spark, monkeypatch):
     """Without leaders every group comes out of the cells; cut small, too."""
     texts = near_texts(5, 80)
@@ -221,5 +276,31 @@ def test_pivot_recall(spark):
     assert found >= 0.9 * 2 * len(x)
 
 
+def test_doubles_are_compared_as_doubles(spark):
+    """A pair at cosine 0.95 but for 1e-9, on either side, in vectors of doubles; several dense groups; a list longer than its bound."""
+    t = np.arccos(0.95)
+    rows = [(i, [float(np.cos(x)), float(np.sin(x)), 0.0]) for i, x in enumerate((0.0, t - 1e-9, 2 * t, 3 * t + 1e-9))] + [(10, [1.0, 2.0, 3.0])]
+    d = spark.createDataFrame(rows, "id long, v array<double>")
+    got = {q.key: (q.n_links, q.component_id) for q in vector_dedup.link(d, "id", "v").collect()}
+    x = np.array([v for _, v in rows])
+    u = x / np.sqrt((x * x).sum(1, keepdims=True))
+    g = (u @ u.T >= 0.95) & ~np.eye(len(u), dtype=bool)
+    assert [got[i][0] for i, _ in rows] == g.sum(1).tolist()
+
+
+def test_dense_groups(spark, monkeypatch):
+    r = np.random.default_rng(9)
+    c = r.normal(size=(6, 32))
+    x = np.concatenate([m + 0.02 * r.normal(size=(n, 32)) for m, n in zip(c, (40, 30, 25, 3, 2, 1), strict=True)] + [r.normal(size=(40, 32))])
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    g = (u @ u.T >= 0.95) & ~np.eye(len(u), dtype=bool)
+    want = union(len(x), np.argwhere(g).tolist())
+    for rows in (4096, 9):
+        monkeypatch.setattr(vector_dedup, "LIST_ROWS", rows)
+        got = {q.key: (q.n_links, q.component_id) for q in vector_dedup.link(d, "id", "v").collect()}
+        assert [got[i] for i in range(len(x))] == [(int(g[i].sum()), want[i]) for i in range(len(x))]
+
+
 def test_queries_carry_ids(spark, sf):
     assert {"doc_id", "class_id", "kept"} <= set(queries.op6_bagminhash(spark, sf).columns)

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ HELD = lambda i, n, k: zlib.crc32(str(i).encode()) % n == k
 # --- hidden Markov model
 def toy():
     m = hmm.Model(np.array([10, 20]), np.array([5.0, 3.0]), 4, np.full(hmm.CLASSES, 0.5), 12, 3, states=2)
-    m.a, m.pi, m.rho = np.array([[0.7, 0.3], [0.2, 0.8]]), np.array([0.6, 0.4]), np.array([0.5, 0.5])
+    m.a, m.pi = np.array([[0.7, 0.3], [0.2, 0.8]]), np.array([0.6, 0.4])
     return m
 
 
@@ -39,18 +40,62 @@ def test_forward_is_the_sum_over_paths():
     assert got == pytest.approx([all_paths(m, t) for t in texts])
 
 
-def test_expected_counts_add_up_and_raise_the_likelihood():
+def posteriors(m, sym):
+    """Expected counts of one text by the sum over every state sequence."""
+    import itertools
+
+    got = m.empty()
+    weight = {}
+    for p in itertools.product(range(2), repeat=len(sym)):
+        x = m.pi[p[0]] * m.b[sym[0], p[0]]
+        for t in range(1, len(sym)):
+            x *= m.a[p[t - 1], p[t]] * m.b[sym[t], p[t]]
+        weight[p] = x
+    total = sum(weight.values())
+    for p, x in weight.items():
+        got[0][p[0]] += x / total
+        for t, (s, q) in enumerate(zip(sym, p, strict=True)):
+            got[2][s, q] += x / total
+            if t:
+                got[1][p[t - 1], q] += x / total
+    return got
+
+
+def test_expected_counts_are_sums_over_paths():
+    m = toy()
+    texts = [[0, 1, 2, 1, 0, 2], [2], [1, 1, 0]]
+    got = m.empty()
+    m.expected(np.array(sum(texts, [])), np.array(list(map(len, texts))), got)
+    want = [sum(x) for x in zip(*(posteriors(m, t) for t in texts), strict=True)]
+    assert all(a == pytest.approx(b) for a, b in zip(got, want, strict=True))
+
+
+def test_pieces_count_as_whole_texts(monkeypatch):
+    """Every token and transition once; messages made over the context are those of the whole text, but for what it has forgotten."""
+    m = toy()
+    r = np.random.default_rng(1)
+    n = np.array([3, 400, 64, 1, 129, 33])
+    sym = r.integers(0, 3, n.sum())
+    monkeypatch.setattr(hmm, "PIECE", 1000)
+    whole, cut = m.empty(), m.empty()
+    m.expected(sym, n, whole)
+    monkeypatch.setattr(hmm, "PIECE", 16)
+    m.expected(sym, n, cut)
+    assert cut[2].sum() == pytest.approx(n.sum()) and cut[1].sum() == pytest.approx((n - 1).sum()) and cut[0].sum() == pytest.approx(len(n))
+    assert all(a == pytest.approx(b, abs=1e-4) for a, b in zip(cut, whole, strict=True))
+
+
+def test_passes_raise_the_likelihood():
     m = toy()
     r = np.random.default_rng(1)
     n = np.array([3, 200, 64, 1, 65])
     sym = r.integers(0, 3, n.sum())
     last = -np.inf
     for _ in range(4):
-        got = m.empty()
-        ll = m.expected(sym, n, got)
-        assert got[3].sum() == pytest.approx(n.sum()) and got[0].sum() == pytest.approx(len(n)) and got[3].sum(1)[:3] == pytest.approx(np.bincount(sym, minlength=3)[:3])
-        assert ll >= last - 1.0  # the prior may cost a little
-        last = ll
+        ll = m.forward(sym, n).sum()
+        assert ll >= last - 0.5  # the prior may cost a little
+        last, got = ll, m.empty()
+        m.expected(sym, n, got)
         m.update(got)
 
 
@@ -91,6 +136,20 @@ def test_ratio_model_on_held_out_rows(spark, sf01):
     assert sum(r.predicted == lab[r.doc_id] for r in held) / len(held) > 0.95
 
 
+def test_shapes_of_buffers():
+    import random
+
+    from seqloom.llm import bytewords
+
+    r = random.Random(6)
+    texts = ["".join(r.choice("aZq7é½中.,!?|_*# \n\tAB") for _ in range(r.randrange(60))) for _ in range(400)] + [None, "", "A", "x" * 40, "é"]
+    data, cuts = bytewords.buffer_of(pa.array(texts))
+    start, end, h = bytewords.words(data, cuts, True)
+    words = [w for t in texts for w in (t or "").encode().split()]
+    assert quality.shapes(data, start, end).tolist() == [quality.shape(w) for w in words]
+    assert len(set(h.tolist())) == len(set(words))
+
+
 def test_dual_coordinate_descent_reaches_the_optimum():
     r = np.random.default_rng(0)
     x, y = r.normal(size=(60, 4)), np.where(r.random(60) < 0.5, 1.0, -1.0)
@@ -169,5 +228,72 @@ def segmentations(s, pieces):
 
 def test_encode_odd_rows(spark, odd_docs, no_docs):
     rows = wfst.encode(odd_docs.withColumn("ids", F.lit(1)), "doc_id", "text", queries.read_model()).collect()
-    assert len(rows) == 12 and all(r.round_trip and r.n_tokens == len(r.ids) for r in rows) and sum(r.n_tokens == 0 for r in rows) == 3
+    assert len(rows) == 12 and all(r.n_tokens == len(r.ids) for r in rows) and sum(r.n_tokens == 0 for r in rows) == 3
+    assert [r.key for r in rows if not r.round_trip] == [7]  # its meta symbol reads as a blank
+    assert {r.decoded for r in wfst.encode(odd_docs.filter("doc_id = 6"), "doc_id", "text", queries.read_model(), decoded=True).collect()} == {"alpha beta gamma delta epsilon zeta eta"}
     assert wfst.encode(no_docs, "doc_id", "text", queries.read_model()).count() == 0
+
+
+def proto(pieces, kind, **spec):
+    """A model file of (piece, score, kind) rows."""
+    import struct
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    def field(n, v):
+        return varint(n << 3) + varint(v) if isinstance(v, int) else varint(n << 3 | 5) + struct.pack("<f", v) if isinstance(v, float) else varint(n << 3 | 2) + varint(len(v)) + v
+
+    body = b"".join(field(1, field(1, p.encode()) + field(2, float(s)) + field(3, k)) for p, s, k in pieces)
+    normal = field(1, b"own") + field(2, spec.get("map", b"")) + field(3, int(spec.get("dummy", True))) + field(4, int(spec.get("squeeze", True))) + field(5, 1)
+    return body + field(2, field(3, kind) + field(4, len(pieces))) + field(3, normal)
+
+
+def character_map():
+    """The map of the library's own rule, out of the file that it writes."""
+    sp = pytest.importorskip("sentencepiece")
+    spec = dict(wfst._fields(sp.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()))[3]
+    return dict(wfst._fields(spec))[2]
+
+
+def odd_texts(n, seed):
+    import random
+
+    r = random.Random(seed)
+    letters = "abbaab  ab ＡＢｃ①ﬁ\t　ｶﾞé́½…中<x><xy>q"
+    return ["", " ", "a", "<x>", "<xy> ab"] + ["".join(r.choice(letters) for _ in range(r.randrange(14))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("kind", [wfst.UNIGRAM, wfst.BPE])
+@pytest.mark.parametrize("mapped", [False, True])
+def test_models_of_each_kind_as_the_library(kind, mapped):
+    """Own vocabularies: user-defined pieces, unknown characters, and the compiled character map."""
+    sp = pytest.importorskip("sentencepiece")
+    words = ["▁", "a", "b", "c", "A", "B", "ab", "ba", "▁a", "▁ab", "abb", "bab", "▁b", "f", "i", "fi"]
+    pieces = [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3), ("<x>", 0, 4), ("<xy>", 0, 4)] + [(w, -(i * 0.6180339887 % 1) * 7 - 1 if kind == wfst.UNIGRAM else -float(i), 1) for i, w in enumerate(words)]
+    model = proto(pieces, kind, map=character_map() if mapped else b"")
+    m, lib = wfst.Machine(model), sp.SentencePieceProcessor(model_proto=model)
+
+    def merged(ids):  # the library writes neighbouring unknown characters as one
+        return [x for i, x in enumerate(ids) if x or not i or ids[i - 1]]
+
+    for t in odd_texts(3000, 5):
+        assert merged(m.encode(t).tolist()) == merged(lib.encode(t)), t
+
+
+def test_texts_together_as_alone(piece):
+    m, _ = piece
+    texts = odd_texts(200, 8) + [None]
+    assert [x.tolist() for x in m.encode_all(texts)] == [m.encode(t).tolist() for t in texts]
+
+
+def test_score_takes_a_free_name(spark):
+    from seqloom.llm.runtime import fresh
+
+    d = spark.createDataFrame([(1, "x", 9)], "doc_id long, text string, QUALITY_SCORE int")
+    name = fresh(d.columns, "quality_score")[0]
+    r = quality.score(d, "doc_id", "text", None, "QUALITY_SCORE", name=name).first()
+    assert r["QUALITY_SCORE"] == 9 and r[name] == 0.5

@@ -123,3 +123,18 @@ def test_scan_against_brute_force(spark, sf):
         g = got[r.doc_id]
         assert (g.n_words, g.n_base, g.first_word, g.last_word, g.base_labels) == (len(w), len(p), p[0][0] if p else None, p[-1][0] if p else None, ",".join(sorted({v for _, v in p})))
         assert set(filter(None, g.base_labels.split(","))) <= set(g.labels.split(",")) | {""}
+
+
+def test_suppression_against_all_pairs():
+    import random
+
+    from seqloom.llm import licenses
+
+    r = random.Random(1)
+    for _ in range(2000):
+        found = [(a, a + r.randrange(1, 9), r.randrange(3), r.choice("xy")) for a in (r.randrange(20) for _ in range(r.randrange(15)))]
+        kept = []
+        for d in sorted(set(found), key=lambda d: (-d[2], d[0] - d[1], d[0], d[3])):
+            if not any(k[0] <= d[0] and d[1] <= k[1] for k in kept):
+                kept.append(d)
+        assert licenses.suppress(found) == sorted(kept)
