@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tokenizers import names
+from .tokenizers import Tokenizer, names
 
 #: Letters a motif may hold (fixed values of the file format).
 ALLOWED = "ACGTNRYWSMKBDHV*"
@@ -48,6 +48,11 @@ def coverage(variants: DataFrame, tokenize: dict[str, Callable[[Column], Column]
     return out
 
 
+def coverage_of(variants: DataFrame, tokenizers: dict[str, Tokenizer]) -> DataFrame:
+    """:func:`coverage` by tokenizer objects."""
+    return coverage(variants, {n: t.tokenize for n, t in tokenizers.items()}, {n: t.vocab for n, t in tokenizers.items()})
+
+
 def summary(rows: DataFrame) -> DataFrame:
     """Means, medians and shares per tokenizer."""
     pct = lambda c: (F.avg(F.col(c).cast("double")) * 100).alias(f"pct_{c}")

@@ -9,6 +9,7 @@ import hashlib
 import heapq
 import json
 from collections.abc import Callable, Iterator
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -379,6 +380,28 @@ def motif_tokenizer(spark: SparkSession, motifs: set[str], seed: int = 0, triple
     return _udf(spark, (words, hashed_words(words), hashed_words(sorted(known))), lambda t, s: motif_starts(t, *s, seed), offsets)
 
 
+class Tokenizer(Protocol):
+    """Anything that turns a sequence column into a column of tokens (with offsets) and knows its vocabulary."""
+
+    vocab: set[str]
+
+    def tokenize(self, seq: Column) -> Column: ...
+
+
+class LoadedTokenizer:
+    """The tokenizer of :func:`load_tokenizer`'s result; unknown letters cost ``unk`` in a unigram model."""
+
+    def __init__(self, spark: SparkSession, model: dict, unk: float = -100.0) -> None:
+        self.vocab = {t for t, _, _ in model["vocab"]}
+        if model["kind"] == "unigram":
+            self._column = unigram_decoder(spark, {t: s for t, _, s in model["vocab"] if t}, unk if model["unk_id"] is not None else None)
+        else:
+            self._column = bpe_encoder(spark, model["merges"], self.vocab)
+
+    def tokenize(self, seq: Column) -> Column:
+        return self._column(seq)
+
+
 def in_chunks(df: DataFrame, seq: str, size: int, tokenize: Callable[[Column], Column], keep: list[str]) -> DataFrame:
     """Pieces of ``size`` letters tokenised alone; no token spans a piece's edge."""
     d = df.select(*keep, F.posexplode(chunks(seq, size)).alias("piece", "part"))

@@ -473,3 +473,13 @@ def test_span_moments(spark):
     d = spark.createDataFrame([(1, [1.0, float("nan"), 3.0, None]), (2, []), (3, None), (4, [float("nan")]), (5, [2.0])], "id int, s array<double>")
     got = {r.id: (r.mean_score, r.var_score) for r in A.span_moments(d, "s").collect()}
     assert got == {1: (2.0, 1.0), 2: (None, None), 3: (None, None), 4: (None, None), 5: (2.0, 0.0)}
+
+
+def test_loaded_tokenizers_cover_motifs(spark):
+    uni = T.load_tokenizer(T.dump_tokenizer("unigram", [("[UNK]", 0.0), ("A", 1.0), ("C", 1.0), ("AC", 4.0)], unk_id=0))
+    bpe = T.load_tokenizer(T.dump_tokenizer("bpe", [("[UNK]", 0.0), ("A", 0.0), ("C", 0.0), ("AC", 0.0)], [("A", "C")]))
+    v = spark.createDataFrame([("AC", "m"), ("ACA", "m"), ("AXC", "m")], "variant string, motif string")
+    rows = M.coverage_of(v, {"u": T.LoadedTokenizer(spark, uni), "b": T.LoadedTokenizer(spark, bpe)}).collect()
+    assert sorted((r.tokenizer, r.variant, r.n_tokens, r.perfect, r.in_vocab) for r in rows) == [
+        ("b", "AC", 1, 1, 1), ("b", "ACA", 2, 0, 0), ("b", "AXC", 3, 0, 0), ("u", "AC", 1, 1, 1), ("u", "ACA", 2, 0, 0), ("u", "AXC", 3, 0, 0),
+    ]
