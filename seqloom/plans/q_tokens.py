@@ -414,7 +414,7 @@ def vocab_sweep(spark, sf_dir):
 def _occurrences(spark, sf_dir):
     """Pieces of four letters of sequences of 100 or more, with mean and variance of the scores under them."""
     d = seqs(spark, sf_dir).filter(F.length("seq") >= 100).select("doc_id", "lang", F.posexplode(C.chunks("seq", 4)).alias("i", "token"))
-    span = F.transform(F.sequence(F.lit(0), F.length("token") - 1), lambda j: (((F.col("i") * 4 + j) * 7 + F.col("doc_id")) % 11 - 5) / F.lit(5.0))
+    span = F.slice(F.array(*((((F.col("i") * 4 + j) * 7 + F.col("doc_id")) % 11 - 5) / F.lit(5.0) for j in range(4))), 1, F.length("token"))
     return S.span_moments(d.withColumn("span", span), "span").select("lang", "token", "mean_score", "var_score")
 
 
