@@ -57,8 +57,7 @@ def counts(col: pa.Array) -> np.ndarray:
     begins = ink[1:] & ~ink[:-1]
     inner = offsets[:-1][offsets[:-1] < len(data)]
     begins[inner] = ink[inner + 1]
-    total = np.concatenate([[0], np.cumsum(begins)])
-    return total[offsets[1:]] - total[offsets[:-1]]
+    return np.diff(np.searchsorted(np.flatnonzero(begins), offsets))
 
 
 def words(data: np.ndarray, cuts: np.ndarray, cased: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

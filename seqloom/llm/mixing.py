@@ -116,7 +116,12 @@ def quotas(shards: list[tuple[str | None, int, int]], weights: tuple[float, ...]
 
 def token_count(text: Column) -> Column:
     """Number of words of a text, off whole buffers; null: 0."""
-    return F.arrow_udf(lambda t: pa.array(counts(t)), "long")(text.cast("string"))
+
+    def run(col: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for t in col:
+            yield pa.array(counts(t))
+
+    return F.arrow_udf(lean(run), "long")(text.cast("string"))
 
 
 def mix(docs: DataFrame, key: str, size: str, source: str, *, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: int = 2, block: int = BLOCK, shard: int = SHARD, seed: int = 42, carry: list[str] | None = None) -> DataFrame:
@@ -229,7 +234,7 @@ def mixed(docs: DataFrame, key: str, text: str, source: str, length: str | None
                 texts += own
                 at += [i] * len(own)
             take = pa.array(at, pa.int64())
-            out = {c: v.take(take) for c, v in cols.items()}
+            out = {c: v.take(take) for c, v in cols.items() if c != text}
             out[text] = pa.array(texts, cols[text].type)
             if length:
                 out[length] = pa.array([len(t) for t in texts], cols[length].type)

@@ -153,6 +153,10 @@ class Model:
         self.weight, self.bias, self.ratio, self.a, self.b = weight, bias, ratio, a, b
         self.scaled = weight * ratio
 
+    def __getstate__(self) -> dict:
+        """What scoring needs: the weights stay on the driver."""
+        return {k: v for k, v in self.__dict__.items() if k != "weight"}
+
     def margins(self, rows: int, row: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         r = self.ratio[bucket]
         norm = np.sqrt(np.bincount(row, r * r, rows))
@@ -282,5 +286,5 @@ def score(docs: DataFrame, key: str, text: str, model: Model | None, *more: str
                     out[first : first + many] = m.scores(m.margins(many, row, bucket))
             yield pa.array(out)
 
-    udf = F.arrow_udf(run, "double")
+    udf = F.arrow_udf(lean(run), "double")
     return docs.select(F.col(key), *more, udf(F.col(text).cast("string")).alias(name))

@@ -75,6 +75,8 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
         finally:
             give_back()
 
+    # by the types Spark tells the kind of an Arrow function
+    own.__annotations__ = dict(zip(("batches", "return"), run.__annotations__.values(), strict=True))
     return own
 
 
