@@ -41,7 +41,7 @@ LEAST = 0.8
 #: Buckets of the rarity table (one byte each is sent out), buckets that are summed together, level from which lists are cut.
 BUCKET_BITS, SLICE, LONG_LEVEL = 22, 4096, 14
 #: Postings of a shard, about; postings that a task packs at once; pairs of postings that are looked at at once.
-SHARD, PACKED, PAIRED = 400_000, 200_000, 300_000
+SHARD, PACKED, PAIRED = 400_000, 100_000, 300_000
 #: Sets from which a cluster is verified by dense counts; sets and words of a chunk of a cluster.
 DENSE, CELL_SETS, CELL_WORDS = 48, 1024, 1_500_000
 LAST = 2**63 - 1
@@ -332,7 +332,7 @@ def clusters(d: DataFrame, level: np.ndarray, total: int, least: float) -> DataF
     sent = spark.sparkContext.broadcast(level)  # one byte a bucket
     shards = max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // (5 * SHARD) + 1)
 
-    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+    def packed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         p = np.concatenate(held)
         shard = (p["cell"] % _U(shards)).astype(np.uint16 if shards < 1 << 16 else np.int64)
         p = p[np.argsort(shard, kind="stable")]
@@ -340,7 +340,8 @@ def clusters(d: DataFrame, level: np.ndarray, total: int, least: float) -> DataF
         own = np.flatnonzero(many)
         offsets = np.concatenate([[0], np.cumsum(many[own])]) * POSTING.itemsize
         blobs = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(p)])
-        return pa.RecordBatch.from_arrays([pa.array(own), blobs], ["shard", "blob"])
+        b, some = pa.RecordBatch.from_arrays([pa.array(own), blobs], ["shard", "blob"]), max(1, len(own) * 1_000_000 // (len(p) * POSTING.itemsize))
+        yield from (b.slice(i, some) for i in range(0, len(own), some))  # some 1 MB each, so that the engine's buffers stay small
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -359,10 +360,10 @@ def clusters(d: DataFrame, level: np.ndarray, total: int, least: float) -> DataF
             for p in postings(line, w, lv, key, size, take, least, LONG_LEVEL):
                 held.append(p)
                 if sum(map(len, held)) >= PACKED:
-                    yield packed(held)
+                    yield from packed(held)
                     held = []
         if held:
-            yield packed(held)
+            yield from packed(held)
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = -1, []

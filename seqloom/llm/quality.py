@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bytewords import buffer_of, words
-from .runtime import BROADCAST_BYTES, discard, lean, written
+from .runtime import BROADCAST_BYTES, discard, give_back, lean, written
 
 BITS, SAMPLE, SLICE = 20, 4000, 4096
 C, EPOCHS, BETA, SEED = 1.0, 12, 0.25, 3
@@ -168,6 +168,12 @@ class Model:
 
 def train(docs: DataFrame, key: str, text: str, labels: DataFrame, label_key: str, label: str) -> Model | None:
     """Fits on the rows of ``labels`` (already those to learn from); None without rows of both classes."""
+    model = _train(docs, key, text, labels, label_key, label)
+    give_back()  # the driver's memory of the sample
+    return model
+
+
+def _train(docs: DataFrame, key: str, text: str, labels: DataFrame, label_key: str, label: str) -> Model | None:
     lab = labels.select(F.col(label_key).alias("k"), F.col(label).cast("int").alias("y")).filter(F.col("k").isNotNull() & F.col("y").isin(0, 1))
     lab = lab.withColumn("h", F.xxhash64(F.lit(SEED), "k"))
     cut = {}
@@ -229,8 +235,8 @@ def train(docs: DataFrame, key: str, text: str, labels: DataFrame, label_key: st
     ratio = np.log((n[1] + 1) / (n[1] + 1).sum()) - np.log((n[0] + 1) / (n[0] + 1).sum())
     ratio[n.sum(0) == 0] = 0.0
     x = []
-    for f in sample["f"].to_pylist():
-        cols = np.frombuffer(f, np.int32)
+    for f in sample["f"]:
+        cols = np.frombuffer(f.as_buffer(), np.int32)
         v = ratio[cols]
         x.append((cols, v / max(np.sqrt((v * v).sum()), 1e-12)))
     w, b = dual_coordinate_descent(x, y, 1 << BITS)

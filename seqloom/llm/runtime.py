@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch handed to Python; keeps a worker's memory bounded for texts of some 10 kB.
-ARROW_ROWS = 1000
+ARROW_ROWS = 500
 #: Bytes of a table up to which it is broadcast; beyond them the same join shuffles.
 BROADCAST_BYTES = 24_000_000
 
