@@ -1,13 +1,14 @@
-"""The dealt queries: op1 to op10, thin digests over the operators of this subpackage."""
+"""The dealt queries: op1 to op13, thin digests over the operators of this subpackage."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, hmm, licenses, line_dedup, mixing, near_dedup, quality, revisits, vector_dedup, wfst
+from . import ann, hmm, lexical, licenses, line_dedup, mixing, near_dedup, quality, revisits, url_rules, variants, vector_dedup, wfst
 from .runtime import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -148,6 +149,74 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.link(e, "vec_id", "embedding", 0.95).withColumnRenamed("key", "vec_id")
 
 
+#: All documents scored for all items.
+OP11_SQL = r"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+i AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+q AS (SELECT item_id, term, count(*) AS times FROM i GROUP BY ALL), s AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(ts)) AS BIGINT) AS total FROM t WHERE len(ts) > 0),
+p AS (SELECT r, doc_id, len(ts) AS n, unnest(ts) AS term FROM t), f AS (SELECT r, doc_id, n, term, count(*) AS tf FROM p WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+d AS (SELECT term, count(*) AS df FROM f GROUP BY term), w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM d, s),
+x AS (SELECT item_id, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // total)))) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN f USING (term), s GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS "rank", doc_id, score FROM x WHERE score > 0 QUALIFY "rank" <= 20"""
+
+
+def op11_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best ``documents`` of every ``benchmark`` item; see :mod:`.lexical`."""
+    d, q = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return lexical.search(d, "doc_id", "text", q, "item_id", "text").select(F.col("query_key").alias("item_id"), "rank", F.col("key").alias("doc_id"), "score")
+
+
+def _rules_sql() -> str:
+    """SQL: every rule as (rank, site, text, verdict, regex), written for an engine that tries them all."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = []
+    for p in url_rules.PATTERNS:
+        body, verdict = (p[2:], "allow") if p.startswith("@@") else (p, "block")
+        head = r"^[a-z][a-z0-9+.-]*://([^/?#]*\.)?" if body.startswith("||") else ""
+        end = r"\z" if body.endswith("|") else ""
+        out = "".join({"*": ".*", "^": r"([^a-z0-9_.%-]|\z)"}.get(c, re.escape(c)) for c in body.strip("|"))
+        rows.append(((verdict == "allow", 0), p, verdict, False, f"(?s){head}{out}{end}"))
+    for verdict, text in url_rules.SITES:
+        rows.append(((2, len(text)), text, verdict, True, r"(?s)^([^/]*\.)?" + re.escape(text)))
+    rows.sort(key=lambda r: (r[0], [-ord(c) for c in r[1]] + [1]))
+    return ", ".join(f"({i}, {site}, {quote(t)}, '{v}', {quote(x)})" for i, (_, t, v, site, x) in enumerate(rows, 1))
+
+
+OP12_SQL = f"""WITH r(k, site, txt, verdict, regex) AS (VALUES {_rules_sql()}),
+u AS (SELECT row_number() OVER () AS n, page_id, coalesce(url, '') AS url FROM pages),
+p AS (SELECT n, page_id, translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM u),
+b AS (SELECT n, max(k) AS k FROM p JOIN r ON regexp_matches(CASE WHEN site THEN host || path ELSE low END, regex) GROUP BY n)
+SELECT page_id, host, path, CASE WHEN site THEN txt END AS rule, CASE WHEN NOT site THEN txt END AS pattern, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN b USING (n) LEFT JOIN r ON r.k = b.k"""
+
+
+def op12_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path and verdict of every url of ``pages``; see :mod:`.url_rules`."""
+    d = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_rules.judge(d, "url", url_rules.rule_table(spark, url_rules.SITES, url_rules.PATTERNS)).drop("url")
+
+
+#: crc32 by its table, made by rule; then words joined on (deletion, its place) or on a deletion that is the word.
+OP13_SQL = r"""WITH RECURSIVE g0 AS (SELECT i, i AS c, 0 AS k FROM (SELECT unnest(range(256)) AS i) UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END, k + 1 FROM g0 WHERE k < 8),
+tb AS (SELECT list(c ORDER BY i) AS tab FROM g0 WHERE k = 8),
+o AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
+u AS (SELECT d, run, count(*) AS m FROM o WHERE length(run) >= 7 GROUP BY ALL),
+y AS (SELECT d, run, m, flatten(list_transform(string_split(d || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [CAST(192 + unicode(c) // 64 AS BIGINT), CAST(128 + unicode(c) % 64 AS BIGINT)] END)) AS bs FROM u),
+h AS (SELECT run, m, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bs), lambda c, b: xor(c // 256, tab[CAST(xor(c % 256, b) + 1 AS INTEGER)]))) AS h FROM y, tb),
+v AS (SELECT CASE WHEN h % 31 = 0 THEN substring(run, 1, CAST(h % length(run) AS BIGINT)) || substring(run, CAST(h % length(run) + 2 AS BIGINT)) ELSE run END AS word, m FROM h),
+w AS MATERIALIZED (SELECT word, CAST(sum(m) AS BIGINT) AS n FROM v WHERE length(word) >= 7 GROUP BY word HAVING sum(m) >= 2),
+k AS MATERIALIZED (SELECT word, n, i, substring(word, 1, CAST(i - 1 AS BIGINT)) || substring(word, CAST(i + 1 AS BIGINT)) AS s FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+pr AS (SELECT a.word AS a, a.n AS an, b.word AS b, b.n AS bn FROM k a JOIN k b ON a.s = b.s AND a.i = b.i AND a.word <> b.word
+ UNION SELECT k.word, k.n, w.word, w.n FROM k JOIN w ON k.s = w.word UNION SELECT w.word, w.n, k.word, k.n FROM k JOIN w ON k.s = w.word),
+nr AS (SELECT a, count(*) AS n_near, max(bn) AS top FROM pr GROUP BY a), fm AS (SELECT pr.a, any_value(n_near) AS n_near, min(b) AS b, any_value(bn) AS bn, any_value(an) AS an FROM pr JOIN nr ON pr.a = nr.a AND bn = top GROUP BY pr.a),
+fo AS MATERIALIZED (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN bn >= 10 * an THEN b END AS form, CASE WHEN bn >= 10 * an THEN bn END AS form_n FROM w LEFT JOIN fm ON w.word = fm.a),
+rt AS (SELECT word, word AS at, 0 AS k FROM fo UNION ALL SELECT rt.word, fo.form, k + 1 FROM rt JOIN fo ON rt.at = fo.word WHERE fo.form IS NOT NULL)
+SELECT fo.word, fo.n, fo.n_near, fo.form, fo.form_n, (SELECT arg_max(rt.at, rt.k) FROM rt WHERE rt.word = fo.word) AS root FROM fo"""
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, form and root of every word of ``documents``; see :mod:`.variants`."""
+    return variants.group(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
 _QUERIES: dict[str, Query] = {
     "op1_resolve_revisits": op1_resolve_revisits,
     "op2_hmm_lm": op2_hmm_lm,
@@ -159,8 +228,11 @@ _QUERIES: dict[str, Query] = {
     "op8_ann_projections": op8_ann_projections,
     "op9_sentencepiece_wfst": op9_sentencepiece_wfst,
     "op10_vector_dedup": op10_vector_dedup,
+    "op11_maxscore": op11_maxscore,
+    "op12_url_rules": op12_url_rules,
+    "op13_spelling_variants": op13_spelling_variants,
 }
-_ORACLES: dict[str, str] = {"op1_resolve_revisits": OP1_SQL, "op10_vector_dedup": OP10_SQL}
+_ORACLES: dict[str, str] = {"op1_resolve_revisits": OP1_SQL, "op10_vector_dedup": OP10_SQL, "op11_maxscore": OP11_SQL, "op12_url_rules": OP12_SQL, "op13_spelling_variants": OP13_SQL}
 
 
 def queries() -> dict[str, Query]:
