@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.shared import folder, written
 from ..operators import intervals as I
 from ..operators import signal as S
+from ..sources import bigwig
+from ..sources.fasta_index import fetch as fasta_fetch
+from ..sources.fasta_index import write_indexed
 from .bindings import HOUR, REGIONS, SEQS, SIGNAL, read, regions, seqs, signal
 from .registry import query
 
@@ -87,16 +91,43 @@ def interval_anti_semi(spark, sf_dir):
     return yes.unionByName(I.overlap_join(r, g, 86_400, "left_anti").select("event_id", F.lit(False).alias("touches")))
 
 
-@query("interval_fetch", f"""WITH {SEQS}, q AS (SELECT doc_id, seq, s, s + 20 + doc_id % 300 AS e FROM (SELECT doc_id, seq, (doc_id * 7919 + j * length(seq) // 3) % length(seq) AS s FROM seqs, (SELECT unnest(range(3)) AS j) WHERE length(seq) > 0))
-SELECT doc_id, s AS "start", e AS "end", substring(seq, CAST(s + 1 AS BIGINT), CAST(e - s AS BIGINT)) AS seq FROM q WHERE e <= length(seq)""")
-def interval_fetch(spark, sf_dir):
-    """Intervals, spread over all of each sequence, read out of a chunked reference."""
-    ref = seqs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("chrom"), "seq")
+FETCHED = f"""WITH {SEQS}, q AS (SELECT doc_id, seq, s, s + 20 + doc_id % 300 AS e FROM (SELECT doc_id, seq, (doc_id * 7919 + j * length(seq) // 3) % length(seq) AS s FROM seqs, (SELECT unnest(range(3)) AS j) WHERE length(seq) > 0))
+SELECT doc_id, s AS "start", e AS "end", substring(seq, CAST(s + 1 AS BIGINT), CAST(e - s AS BIGINT)) AS seq FROM q WHERE e <= length(seq)"""
+
+
+def _spread(spark, sf_dir):
+    """Three intervals of each sequence, spread over all of it; some reach beyond its end."""
     n = F.length("seq").cast("long")
     at = seqs(spark, sf_dir).filter(n > 0).select("doc_id", n.alias("n"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("j"))
     s = (F.col("doc_id") * 7919 + F.floor(F.col("j") * F.col("n") / 3)) % F.col("n")
-    iv = at.select("doc_id", F.col("doc_id").cast("string").alias("chrom"), s.alias("start"), (s + 20 + F.col("doc_id") % 300).alias("end"))
-    return I.fetch(iv, I.chunked(ref, 128), 128, ["doc_id"]).select("doc_id", "start", "end", "seq")
+    return at.select("doc_id", F.col("doc_id").cast("string").alias("chrom"), s.alias("start"), (s + 20 + F.col("doc_id") % 300).alias("end"))
+
+
+#: Letters of a chunk of the reference that intervals are joined to.
+CHUNK = 4096
+
+
+@query("interval_fetch", FETCHED)
+def interval_fetch(spark, sf_dir):
+    """Intervals, spread over all of each sequence, read out of a chunked reference."""
+    ref = seqs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("chrom"), "seq")
+    return I.fetch(_spread(spark, sf_dir), I.chunked(ref, CHUNK), CHUNK, ["doc_id"]).select("doc_id", "start", "end", "seq")
+
+
+@query("fasta_index_fetch", FETCHED)
+def fasta_index_fetch(spark, sf_dir):
+    """The same intervals by offset arithmetic from indexed FASTA files of all sequences; only the bytes they touch are read."""
+    path = folder(spark, "fasta")
+    index = written(write_indexed(seqs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("name"), "seq"), path), "fai")
+    return fasta_fetch(_spread(spark, sf_dir), index).filter("reason IS NULL").select("doc_id", "start", "end", "seq")
+
+
+@query("bigwig_scan", f"""WITH {SIGNAL} SELECT chrom, s AS "start", s + 1 AS "end", round(CAST(CAST(avg(score) AS FLOAT) AS DOUBLE), 4) AS score FROM signal GROUP BY chrom, s""")
+def bigwig_scan(spark, sf_dir):
+    """All tracks, a value a second, written as bigWig files and read back through their indexes."""
+    path = folder(spark, "bigwig")
+    bigwig.write(signal(spark, sf_dir).groupBy("chrom", "start", "end").agg(F.avg("score").alias("score")), path)
+    return bigwig.scan(spark, path).withColumn("score", F.round("score", 4))
 
 
 _IV = """iv AS (SELECT o_orderkey, concat('chr', CASE WHEN o_orderkey % 7 = 0 THEN '0' ELSE '' END, o_custkey % 26) AS chrom, o_orderkey % 100 - 10 AS s, o_orderkey % 100 - 10 + o_custkey % 9 - 1 AS e FROM orders)"""

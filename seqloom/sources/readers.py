@@ -21,11 +21,6 @@ def _fields(spark: SparkSession, path: str) -> DataFrame:
     return d.withColumns({c: F.expr(f"try_cast({c}_text AS {t})") for c, t in (("start", "bigint"), ("end", "bigint"), ("score", "double"))})
 
 
-def bigwig(spark: SparkSession, path: str, chrom: str | None = None) -> DataFrame:
-    """bigWig files are a binary index that Spark can't split; they are read as the bedGraph text of the same track."""
-    raise ValueError(f"{path}: convert the bigWig file to bedGraph and read it with bedgraph()")
-
-
 def bedgraph(spark: SparkSession, path: str, strict: bool = False, chrom: str | None = None) -> DataFrame:
     """One file or a glob of them; malformed rows are dropped, or fail the read if ``strict``."""
     if strict:

@@ -93,11 +93,6 @@ def test_fasta_once(spark, tmp_path):
     assert sorted((r.header, r.seq) for r in R.fasta(spark, str(tmp_path / "f")).collect()) == [("a 1", "ACG"), ("b", "T")]
 
 
-def test_bigwig_is_refused(spark):
-    with pytest.raises(ValueError, match="bedGraph"):
-        R.bigwig(spark, "a.bw")
-
-
 def test_stream_equals_batch(spark, sf, tmp_path):
     src = str(tmp_path / "events")
     spark.read.parquet(f"{sf}/events.parquet").write.parquet(src)
