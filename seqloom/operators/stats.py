@@ -237,6 +237,25 @@ def shuffled(df: DataFrame, key: str, seq: str, k: int, seed: int = 0) -> DataFr
     return df.select(F.col(key).cast("string").alias("key"), F.col(seq).alias("seq")).mapInArrow(run, "rep int, key string, seq string")
 
 
+#: Letters that are shuffled at a time; a longer row is taken by itself.
+SHUFFLE_LETTERS = 1 << 19
+
+
+def _shuffled_codes(code: np.ndarray, ends: np.ndarray, seed: int, reps: int, keys: list[str]) -> Iterator[np.ndarray]:
+    """The letter codes of some rows in the orders of :func:`_orders`: packed behind row and hash, so that one sort moves them."""
+    size, u = np.diff(ends), np.uint64
+    row = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(code)) - np.repeat(ends[:-1] - ends[0], size)
+    fixed = row.astype(u) << u(34) | code.astype(u)
+    for rep in range(reps):
+        a, b = _factors(seed, rep, keys)
+        x = (place + a[row]).astype(u) % u(PRIME)
+        x = x * x % u(PRIME) * x % u(PRIME) * b.astype(u)[row] % u(PRIME)
+        x = fixed | x << u(3)
+        x.sort()
+        yield (x & u(7)).astype(np.uint8)
+
+
 def shuffled_counts(df: DataFrame, key: str, seq: str, k: int, reps: int, seed: int = 0) -> DataFrame:
     """(rep, token, cnt) of the k-mers of :func:`shuffled` copies of sequences over A, C, G and T; no shuffled text leaves a worker."""
 
@@ -244,10 +263,13 @@ def shuffled_counts(df: DataFrame, key: str, seq: str, k: int, reps: int, seed:
         n = np.zeros((reps, 4**k), np.int64)
         for b in batches:
             data, ends = _letters(b.column(1))
-            code = _CODE[data]
-            for rep, order in enumerate(_orders(ends, seed, reps, b.column(0).to_pylist())):
-                x, ok = _windows(code[order], ends, k)
-                n[rep] += np.bincount(x[ok], minlength=4**k)
+            code, keys, lo = _CODE[data], b.column(0).to_pylist(), 0
+            while lo < len(keys):
+                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + SHUFFLE_LETTERS, side="right")) - 1)
+                for rep, own in enumerate(_shuffled_codes(code[ends[lo] : ends[hi]], ends[lo : hi + 1], seed, reps, keys[lo:hi])):
+                    x, ok = _windows(own, ends[lo : hi + 1] - ends[lo], k)
+                    n[rep] += np.bincount(x[ok], minlength=4**k)
+                lo = hi
         rep, token = np.nonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(rep.astype(np.int32)), pa.array(np.array(_spelled(k), dtype=object)[token], pa.string()), pa.array(n[rep, token])], ["rep", "token", "cnt"])
 

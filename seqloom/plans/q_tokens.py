@@ -364,13 +364,14 @@ def mean_log2fc_matrix(spark, sf_dir):
 
 
 #: Shuffled replicates of each sequence.
-SHUFFLES = 10
+SHUFFLES = 59
 
 
-@query("shuffle_importance", f"""WITH {SEQS}, {TOKENS}, rs AS (SELECT doc_id, seq, CAST('0x' || substring(h, 1, 7) AS BIGINT) AS a, CAST('0x' || substring(h, 8, 7) AS BIGINT) + 1 AS b, rep FROM (SELECT doc_id, seq, rep, md5(concat('1:', rep, ':', doc_id)) AS h FROM seqs, (SELECT unnest(range({SHUFFLES})) AS rep))),
-sl AS (SELECT rep, doc_id, seq, a, b, unnest(range(length(seq))) AS i FROM rs), sx AS (SELECT rep, doc_id, i, substring(seq, CAST(i + 1 AS BIGINT), 1) AS c, (i + a) % {S.PRIME} AS x, b FROM sl),
-sw AS (SELECT rep, c || lead(c, 1) OVER w || lead(c, 2) OVER w || lead(c, 3) OVER w AS token FROM sx WINDOW w AS (PARTITION BY rep, doc_id ORDER BY x * x % {S.PRIME} * x % {S.PRIME} * b % {S.PRIME}, i)),
-rt AS (SELECT rep, token, count(*) AS cnt FROM sw WHERE token IS NOT NULL GROUP BY ALL),
+@query("shuffle_importance", f"""WITH {SEQS}, {TOKENS}, rs AS (SELECT rep, CAST('0x' || substring(h, 1, 7) AS BIGINT) AS a, CAST('0x' || substring(h, 8, 7) AS BIGINT) + 1 AS b, ch FROM (SELECT doc_id, list_transform(string_split(seq, ''), lambda c: strpos('ACGT', c) - 1) AS ch, rep, md5(concat('1:', rep, ':', doc_id)) AS h FROM seqs, (SELECT unnest(range({SHUFFLES})) AS rep) WHERE length(seq) >= 4)),
+sl AS (SELECT rep, ch, list_sort(list_transform(list_transform(range(len(ch)), lambda i: (i + a) % {S.PRIME}), lambda x, j: (x * x % {S.PRIME} * x % {S.PRIME} * b % {S.PRIME}) * 2147483648 + j - 1)) AS o FROM rs),
+sx AS (SELECT rep, list_transform(o, lambda v: ch[v % 2147483648 + 1]) AS l FROM sl),
+sw AS (SELECT rep, unnest(list_transform(range(1, len(l) - 2), lambda i: 64 * l[i] + 16 * l[i + 1] + 4 * l[i + 2] + l[i + 3])) AS t FROM sx),
+rt AS (SELECT rep, concat('ACGT'[t // 64 + 1], 'ACGT'[t // 16 % 4 + 1], 'ACGT'[t // 4 % 4 + 1], 'ACGT'[t % 4 + 1]) AS token, cnt FROM (SELECT rep, t, count(*) AS cnt FROM sw GROUP BY ALL)),
 ob AS (SELECT token, sum(cnt) AS n FROM tc GROUP BY token), tt AS (SELECT sum(n) AS t FROM ob), tr AS (SELECT rep, sum(cnt) AS tr FROM rt GROUP BY rep), tb AS (SELECT sum(tr) / {SHUFFLES}.0 AS tb FROM tr),
 every AS (SELECT token FROM ob UNION SELECT token FROM rt), al AS (SELECT e.token, coalesce(n, 0) AS n, coalesce(n, 0) / t AS f, tr.rep, coalesce(cnt, 0) AS c, coalesce(cnt, 0) / tr.tr AS fr FROM every e LEFT JOIN ob ON ob.token = e.token, tt, tr LEFT JOIN rt ON rt.rep = tr.rep AND rt.token = e.token),
 st AS (SELECT token, max(n) AS n, max(f) AS f, avg(c) AS cm, coalesce(stddev_samp(c), 0) AS cs, avg(fr) AS fm, coalesce(stddev_samp(fr), 0) AS fs, count(*) FILTER (fr >= f) AS ge FROM al GROUP BY token),
@@ -379,7 +380,7 @@ sq AS (SELECT *, least(1.0, min(p * m / k) OVER (ORDER BY k DESC ROWS UNBOUNDED
 SELECT token, CAST(n AS BIGINT) AS count_observed, round(cm, 6) AS count_bg_mean, round(cs, 4) AS count_bg_sd, round(f, 9) AS freq_observed, round(fm, 9) AS freq_bg_mean, round(lfc, 6) AS log2_enrichment, round(p, 6) AS p_ge, round(q, 6) AS fdr_bh,
 CASE WHEN lfc > 0 AND q <= 0.05 THEN 1 ELSE 0 END AS important FROM sq ORDER BY q, -lfc, token""")
 def shuffle_importance(spark, sf_dir):
-    """Tokens against ten shuffled replicates, by false-discovery rate."""
+    """Tokens against 59 shuffled replicates (q <= 0.05 needs 19 at least), by false-discovery rate."""
     rep = S.shuffled_counts(seqs(spark, sf_dir), "doc_id", "seq", 4, SHUFFLES, 1)
     d = S.importance(token_counts(spark, sf_dir), rep, SHUFFLES).orderBy("fdr_bh", F.desc("log2_enrichment"), "token")
     r = lambda c, n: F.round(c, n).alias(c)
