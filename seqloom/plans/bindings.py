@@ -7,6 +7,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 HOUR = 3600
+#: Bytes of a file for each core from which its own splits keep all cores busy.
+FULL_SPLIT = 32 << 20
+
+
+def spread(df: DataFrame, path: str) -> DataFrame:
+    """Rows of a table that is small for the cluster, dealt out to all cores: its files may be a single row group, that is one task.
+
+    A table of more than ``FULL_SPLIT`` bytes a core is left as it is read.
+    """
+    spark = df.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(4 * cores) if size < cores * FULL_SPLIT else df
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,14 +53,18 @@ SEQS = f"""seqs AS (SELECT doc_id, regexp_replace(translate(lower(text), '{LETTE
 SEQS_N = f"""seqs_n AS (SELECT doc_id, regexp_replace(regexp_replace(translate(lower(text), '{LETTERS}', '{BASES}'), '[ \\n]', 'N', 'g'), '[^ACGTN]', '', 'g') AS seq, lang, source FROM documents)"""
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), f"{sf_dir}/documents.parquet")
+
+
 def seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.regexp_replace(F.translate(F.lower("text"), LETTERS, BASES), "[^ACGT]", "")
-    return read(spark, sf_dir, "documents").select("doc_id", s.alias("seq"), "lang", "source")
+    return _texts(spark, sf_dir).select("doc_id", s.alias("seq"), "lang", "source")
 
 
 def seqs_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.regexp_replace(F.regexp_replace(F.translate(F.lower("text"), LETTERS, BASES), "[ \n]", "N"), "[^ACGTN]", "")
-    return read(spark, sf_dir, "documents").select("doc_id", s.alias("seq"), "lang", "source")
+    return _texts(spark, sf_dir).select("doc_id", s.alias("seq"), "lang", "source")
 
 
 # --- peaks(coord, labels)
