@@ -13,6 +13,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,11 +124,12 @@ def motif_tokens(text: str, motifs: set[str], triples: set[str], choose: Callabl
 
 
 # --- many sequences at once
-_B = np.uint64(0x9E3779B97F4A7C15)
 #: Letters that are decoded side by side; sequences below which a single one is decoded by itself.
 LETTERS, SIDE_BY_SIDE = 400_000, 16
-#: Merges up to which each is one pass over all sequences.
-PASSES = 256
+#: Letters of a stretch that an automaton reads side by side with others.
+STRETCH = 256
+#: A prime below 2**31 that is not 1 modulo 3, so that cubes modulo it are all different (a fixed value).
+PRIME = 2_147_483_579
 
 
 class Letters:
@@ -135,66 +137,94 @@ class Letters:
 
     def __init__(self, texts: list[str]) -> None:
         self.text = "".join(texts)
-        self.codes = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        self.codes = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         self.end = np.cumsum(size)
         self.start = self.end - size
         self.row = np.repeat(np.arange(len(texts)), size)
-        self.sums = np.zeros(len(self.codes) + 1, np.uint64)  # of code * B ** place
-        self.power = np.ones(len(self.codes) + 1, np.uint64)
-        if len(self.codes):
-            self.power[1:] = np.multiply.accumulate(np.full(len(self.codes), _B))
-            np.cumsum((self.codes + np.uint64(1)) * self.power[:-1], out=self.sums[1:])
-
-    def found(self, words: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarray:
-        """For each place the number of the word of ``k`` letters that begins there within its sequence, or -1."""
-        out = np.full(len(self.codes), -1, np.int64)
-        n = len(self.codes) - k + 1
-        if n <= 0 or k not in words:
-            return out
-        keys, numbers = words[k]
-        at = np.flatnonzero(np.arange(n) + k <= self.end[self.row[:n]])
-        h = self.sums[at + k] - self.sums[at]
-        # keys are of words at place 0; a word at a place has its key times B ** place
-        want = h * _inverse(self.power[at])
-        i = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-        hit = keys[i] == want
-        out[at[hit]] = numbers[i[hit]]
-        return out
 
 
-def _inverse(x: np.ndarray) -> np.ndarray:
-    """Of odd numbers modulo 2**64, by Newton's steps."""
-    y = x.copy()
-    for _ in range(5):
-        y = y * (np.uint64(2) - x * y)
-    return y
+class Automaton:
+    """The words that end at each letter, found in one pass (Aho and Corasick 1975), as packed tables that are sent out once.
 
+    ``go`` (state, letter) -> state, column 0 for letters in no word; ``ends`` (state, k - 1) -> number of the word of k
+    letters that ends there, or -1.
+    """
 
-def hashed_words(words: list[str]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By length: sorted hashes of the words and the words' numbers."""
-    out = {}
-    for k in {len(w) for w in words if w}:
-        own = [i for i, w in enumerate(words) if len(w) == k]
-        c = np.array([[ord(x) + 1 for x in words[i]] for i in own], np.uint64)
-        h = (c * np.array([pow(int(_B), j, 2**64) for j in range(k)], np.uint64)).sum(1, dtype=np.uint64)
-        order = np.argsort(h)
-        out[k] = (h[order], np.array(own)[order])
-    return out
+    def __init__(self, words: list[str]) -> None:
+        self.letters = np.array(sorted({ord(c) for w in words for c in w}), np.uint32)
+        self.longest = max(map(len, words), default=1) or 1
+        column = {chr(c): i + 1 for i, c in enumerate(self.letters.tolist())}
+        child: list[dict[int, int]] = [{}]
+        own = {}
+        for i, w in enumerate(words):
+            at = 0
+            for c in w:
+                if column[c] not in child[at]:
+                    child[at][column[c]] = len(child)
+                    child.append({})
+                at = child[at][column[c]]
+            if w:
+                own[at] = (len(w), i)
+        self.go = np.zeros((len(child), len(column) + 1), np.int32)
+        self.ends = np.full((len(child), self.longest), -1, np.int32)
+        fall, level = np.zeros(len(child), np.int64), [0]
+        while level:  # by depth, so that what a state falls back to is ready
+            below = []
+            for at in level:
+                if at:
+                    self.go[at] = self.go[fall[at]]
+                    self.ends[at] = self.ends[fall[at]]
+                if at in own:
+                    k, i = own[at]
+                    self.ends[at, k - 1] = i
+                for c, to in child[at].items():
+                    fall[to] = self.go[at, c] if at else 0
+                    self.go[at, c] = to
+                    below.append(to)
+            level = below
+
+    def columns(self, codes: np.ndarray) -> np.ndarray:
+        if not len(self.letters):
+            return np.zeros(len(codes), np.int64)
+        i = np.minimum(np.searchsorted(self.letters, codes), len(self.letters) - 1)
+        return np.where(self.letters[i] == codes, i + 1, 0)
+
+    def states(self, t: Letters) -> np.ndarray:
+        """The state behind each letter. Long sequences are cut into stretches: a state hangs on the last ``longest`` letters only."""
+        out = np.zeros(len(t.codes), np.int32)
+        if not len(out):
+            return out
+        col = self.columns(t.codes)
+        size = t.end - t.start
+        many = -(-size // STRETCH)
+        first = np.repeat(t.start, many) + STRETCH * (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
+        stop = np.minimum(first + STRETCH, np.repeat(t.end, many))
+        at = np.maximum(first - self.longest + 1, np.repeat(t.start, many))
+        state = np.zeros(len(at), np.int32)
+        while len(at):
+            state = self.go[state, col[at]]
+            on = at >= first
+            out[at[on]] = state[on]
+            at = at + 1
+            left = at < stop
+            if not left.all():
+                at, state, first, stop = at[left], state[left], first[left], stop[left]
+        return out
 
 
-def viterbi_all(t: Letters, words: dict, scores: np.ndarray, longest: int, unk: float | None) -> tuple[np.ndarray, np.ndarray]:
+def viterbi_all(t: Letters, words: Automaton, scores: np.ndarray, unk: float | None) -> tuple[np.ndarray, np.ndarray]:
     """:func:`viterbi` of many sequences, a place of all of them at a time: (first letter of each token, whether it is known)."""
-    n = len(t.codes)
+    n, longest = len(t.codes), words.longest
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, bool)
-    gain = np.full((longest + 1, n), -np.inf)  # by last letter; the longest first, an unknown letter last
+    gain = np.full((longest + 1, len(words.ends)), -np.inf)  # by state; the longest word first, an unknown letter last
     for k in range(1, longest + 1):
-        w = t.found(words, k)
-        on = np.flatnonzero(w >= 0)
-        gain[longest - k, on + k - 1] = scores[w[on]]
+        w = words.ends[:, k - 1]
+        gain[longest - k, w >= 0] = scores[w[w >= 0]]
     if unk is not None:
         gain[longest, ~np.isfinite(gain[longest - 1])] = unk
+    state = words.states(t)
     back = np.array([*range(longest, 0, -1), 1])
     size = t.end - t.start
     order = np.argsort(-size, kind="stable")
@@ -205,7 +235,7 @@ def viterbi_all(t: Letters, words: dict, scores: np.ndarray, longest: int, unk:
     best[slot] = 0.0
     for i in range(1, int(size.max()) + 1):
         at = slot[: live[i - 1]] + i
-        total = best[at - back[:, None]] + gain[:, t.start[order[: len(at)]] + i - 1]
+        total = best[at - back[:, None]] + gain[:, state[t.start[order[: len(at)]] + i - 1]]
         arm = total.argmax(0)
         best[at], arc[at] = total[arm, np.arange(len(at))], arm
     ends = t.end + np.arange(len(size))
@@ -228,79 +258,166 @@ def viterbi_all(t: Letters, words: dict, scores: np.ndarray, longest: int, unk:
     return start[~again], known[~again]
 
 
-def bpe_all(t: Letters, merges: list[tuple[str, str]]) -> np.ndarray:
-    """:func:`bpe` of many sequences, a pass for each merge: first letter of each token.
-
-    Exact where no merge makes a token that an earlier merge takes (:func:`in_order`).
+class Merges:
+    """Ranked merges over numbered tokens: 0 for letters that no merge takes."""
+
+    def __init__(self, merges: list[tuple[str, str]]) -> None:
+        ranks = {m: i for i, m in enumerate(merges)}  # of equal merges the last
+        number: dict[str, int] = {}
+        for a, b in ranks:
+            for x in (a, b, a + b):
+                number.setdefault(x, len(number) + 1)
+        self.size = len(number) + 1
+        one = sorted((ord(x), i) for x, i in number.items() if len(x) == 1)
+        self.points, self.numbers = np.array([c for c, _ in one], np.uint32), np.array([i for _, i in one], np.int32)
+        n = len(merges)
+        self.left, self.right, self.made = (np.zeros(n, np.int32) for _ in range(3))
+        for (a, b), r in ranks.items():
+            self.left[r], self.right[r], self.made[r] = number[a], number[b], number[a + b]
+        pairs = sorted((number[a] * self.size + number[b], r) for (a, b), r in ranks.items())
+        self.keys, self.ranks = np.array([k for k, _ in pairs], np.int64), np.array([r for _, r in pairs], np.int64)
+        takes: dict[int, int] = {}  # token -> the least rank of a merge that takes it
+        for (a, b), r in ranks.items():
+            for x in (number[a], number[b]):
+                takes[x] = min(r, takes.get(x, r))
+        #: Merges whose token an earlier merge takes.
+        self.back = np.array([takes.get(int(m), n) < r for r, m in enumerate(self.made)], bool)
+
+    def letters(self, codes: np.ndarray) -> np.ndarray:
+        if not len(self.points):
+            return np.zeros(len(codes), np.int32)
+        i = np.minimum(np.searchsorted(self.points, codes), len(self.points) - 1)
+        return np.where(self.points[i] == codes, self.numbers[i], 0).astype(np.int32)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of tokens; -1 for those that aren't merged."""
+        if not len(self.keys):
+            return np.full(len(a), -1)
+        k = a.astype(np.int64) * self.size + b
+        i = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
+        return np.where(self.keys[i] == k, self.ranks[i], -1)
+
+
+def bpe_all(t: Letters, merges: Merges) -> np.ndarray:
+    """:func:`bpe` of many sequences: first letter of each token.
+
+    Places wait under the rank of the pair that begins there; the least rank of all comes next and is done at all its places
+    at once, and only the pairs beside them are looked up anew. So a letter is touched as often as it is merged, whatever the
+    number of merges. Where a merge's token is taken by an earlier merge, one place of each sequence is done at a time,
+    since the next least rank may then be lower.
     """
-    number: dict[str, int] = {c: i + 1 for i, c in enumerate(sorted(set(t.text)))}
-    for a, b in merges:
-        number.setdefault(a + b, len(number) + 1)
-    letters = np.array(sorted(ord(c) for c in set(t.text)), np.uint64)
-    ids = np.insert((np.searchsorted(letters, t.codes) + 1).astype(np.int32), t.end, 0)  # 0 ends a sequence
-    start = np.insert(np.arange(len(t.codes)), t.end, -1)
-    for a, b in merges:
-        x, y = number.get(a), number.get(b)
-        if x is None or y is None:
-            continue
-        at = np.flatnonzero((ids[:-1] == x) & (ids[1:] == y))
+    n = len(t.codes)
+    token = merges.letters(t.codes)
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    own = t.end > t.start
+    after[t.end[own] - 1], before[t.start[own]] = -1, -1
+    waiting: dict[int, list[np.ndarray]] = {}
+    queue: list[int] = []
+
+    def enter(at: np.ndarray) -> None:
+        r = merges.rank(token[at], token[after[at]])
+        at, r = at[r >= 0], r[r >= 0]
+        if not len(at):
+            return
+        order = np.argsort(r, kind="stable")
+        at, r = at[order], r[order]
+        cuts = np.flatnonzero(np.diff(r, prepend=-1))
+        for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(r)], strict=True):
+            rank = int(r[lo])
+            if rank not in waiting:
+                waiting[rank] = []
+                heapq.heappush(queue, rank)
+            waiting[rank].append(at[lo:hi])
+
+    enter(np.flatnonzero(after >= 0))
+    while queue:
+        r = heapq.heappop(queue)
+        parts = waiting.pop(r)
+        at = parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+        at = at[(token[at] == merges.left[r]) & (after[at] >= 0)]
+        at = at[token[after[at]] == merges.right[r]]
         if not len(at):
             continue
-        if x == y:  # every other place of a run
-            head = np.flatnonzero(np.concatenate([[True], np.diff(at) != 1]))
-            at = at[(at - np.repeat(at[head], np.diff(np.append(head, len(at))))) % 2 == 0]
-        ids[at] = number[a + b]
-        keep = np.ones(len(ids), bool)
-        keep[at + 1] = False
-        ids, start = ids[keep], start[keep]
-    return start[start >= 0]
-
-
-def in_order(merges: list[tuple[str, str]]) -> bool:
-    """Whether each merge's token is taken by later merges only."""
-    made = {}
-    for i, (a, b) in enumerate(merges):
-        made[a + b] = i
-    return all(made.get(x, -1) < i for i, m in enumerate(merges) for x in m)
-
-
-def motif_starts(t: Letters, words: list[str], hashed: dict, triples: dict, seed: int) -> np.ndarray:
-    """:func:`motif_tokens` of many sequences, of several words the one of least md5 of (seed, place, word): first letter of each token."""
+        if merges.left[r] == merges.right[r]:  # every other place of a run
+            head = np.concatenate([[True], after[at[:-1]] != at[1:]])
+            first = np.flatnonzero(head)
+            at = at[(np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))) % 2 == 0]
+        if merges.back[r]:
+            one = np.concatenate([[True], np.diff(t.row[at]) != 0])
+            if not one.all():
+                waiting[r] = [at[~one]]
+                heapq.heappush(queue, r)
+                at = at[one]
+        gone = after[at]
+        behind = after[gone]
+        token[at], token[gone], after[at] = merges.made[r], -1, behind
+        inner = behind >= 0
+        before[behind[inner]] = at[inner]
+        left = before[at]
+        enter(np.unique(np.concatenate([left[left >= 0], at[inner]])))
+    return np.flatnonzero(token >= 0)
+
+
+def word_factors(words: list[str], seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers below 2**28 for each word, from md5 of seed and word."""
+    h = [hashlib.md5(f"{seed}:{w}".encode()).hexdigest() for w in words]
+    return np.array([int(x[:7], 16) for x in h], np.int64), np.array([int(x[7:14], 16) + 1 for x in h], np.int64)
+
+
+def drawn(place: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A word's lot at a place: the cube of place plus a, times b, modulo ``PRIME``."""
+    x = (place + a) % PRIME
+    return x * x % PRIME * x % PRIME * b % PRIME
+
+
+def motif_starts(t: Letters, words: Automaton, triples: Automaton, factors: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """:func:`motif_tokens` of many sequences, of several words the one of the least lot (the shorter on ties): first letter of each token."""
     n = len(t.codes)
-    pick = np.where(t.found(triples, 3) >= 0, 3, 1) if triples else np.ones(n, np.int64)
-    many = np.zeros(n, np.int64)
-    by = {}
-    for k in sorted(hashed):
-        by[k] = t.found(hashed, k)
-        hit = by[k] >= 0
-        pick[hit] = k
-        many += hit
+    if not n:
+        return np.zeros(0, np.int64)
+    pick, least = np.ones(n, np.int64), np.full(n, PRIME)
+    if triples.longest == 3:
+        at = np.flatnonzero(triples.ends[triples.states(t), 2] >= 0) - 2
+        pick[at] = 3
+    state = words.states(t)
     place = np.arange(n) - t.start[t.row]
-    for i in np.flatnonzero(many > 1).tolist():
-        found = [words[by[k][i]] for k in by if by[k][i] >= 0]
-        pick[i] = len(min(found, key=lambda w: hashlib.md5(f"{seed}:{place[i]}:{w}".encode()).hexdigest()))
-    size = pick.tolist()
-    out = []
-    for i, end in zip(t.start.tolist(), t.end.tolist(), strict=True):
-        while i < end:
-            w, at = size[i], i
-            if w > 1:
-                if i + 1 < end and size[i + 1] > w:
-                    w, at = size[i + 1], i + 1
-                if i + 2 < end and size[i + 2] > w:
-                    w, at = size[i + 2], i + 2
-                out.extend(range(i, at))
-            out.append(at)
-            i = at + w
-    return np.array(out, np.int64)
-
-
-def _arrays(t: Letters, start: np.ndarray, offsets: bool) -> tuple[pa.Array, np.ndarray]:
+    for k in range(1, words.longest + 1):
+        w = words.ends[state, k - 1]
+        at = np.flatnonzero(w >= 0)
+        w = w[at]
+        at = at - k + 1
+        lot = drawn(place[at], factors[0][w], factors[1][w])
+        on = lot < least[at]
+        pick[at[on]], least[at[on]] = k, lot[on]
+    end = t.end[t.row]
+    padded = np.append(pick, [0, 0])
+    one = np.where(np.arange(n) + 1 < end, padded[1 : n + 1], 0)
+    two = np.where(np.arange(n) + 2 < end, padded[2 : n + 2], 0)
+    skip = ((pick > 1) & (one > pick)).astype(np.int64)
+    size = np.where(skip == 1, one, pick)
+    skip[(pick > 1) & (two > size)] = 2
+    size = np.where(skip == 2, two, size)
+    to = np.arange(n) + skip + size
+    jump = np.append(np.where(to < end, to, n), n)  # n: behind the last token
+    met = np.zeros(n + 1, bool)
+    met[t.start[t.end > t.start]] = True
+    reach, most = 1, int((t.end - t.start).max())
+    while reach <= most:  # the places met so far, and as many tokens on: twice as many each round
+        met[jump[np.flatnonzero(met)]] = True
+        jump = jump[jump]
+        reach *= 2
+    at = np.flatnonzero(met[:n])
+    return np.unique(np.concatenate([at, at[skip[at] > 0] + 1, at[skip[at] > 1] + 2]))
+
+
+def _arrays(t: Letters, start: np.ndarray, unknown: np.ndarray | None, offsets: bool) -> tuple[pa.Array, np.ndarray]:
     """Tokens that begin at ``start`` and go on to the next, as strings (or structs with their offsets), and their number in each sequence."""
     c = t.codes
     at = np.concatenate([[0], np.cumsum(1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000))])
     ends = np.append(start, len(c)).astype(np.int64)
     names_ = pa.StringArray.from_buffers(len(start), pa.py_buffer(at[ends].astype(np.int32)), pa.py_buffer(t.text.encode("utf-8", "surrogatepass")))
+    if unknown is not None and unknown.any():
+        names_ = pc.if_else(pa.array(unknown), UNK, names_)
     row = t.row[start] if len(start) else np.zeros(0, np.int64)
     many = np.bincount(row, minlength=len(t.start))
     if not offsets:
@@ -309,7 +426,7 @@ def _arrays(t: Letters, start: np.ndarray, offsets: bool) -> tuple[pa.Array, np.
     return pa.StructArray.from_arrays([names_, pa.array((start - first).astype(np.int32)), pa.array((ends[1:] - first).astype(np.int32))], ["token", "start", "end"]), many
 
 
-def _udf(spark: SparkSession, state: object, f: Callable[[Letters, object], np.ndarray], offsets: bool) -> Callable[[Column], Column]:
+def _udf(spark: SparkSession, state: object, f: Callable[[Letters, object], tuple[np.ndarray, np.ndarray | None]], offsets: bool) -> Callable[[Column], Column]:
     sent = spark.sparkContext.broadcast(state)
 
     def run(col: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -323,7 +440,7 @@ def _udf(spark: SparkSession, state: object, f: Callable[[Letters, object], np.n
                     total += len(texts[to])
                     to += 1
                 t = Letters(texts[at:to])
-                part, n = _arrays(t, f(t, state), offsets)
+                part, n = _arrays(t, *f(t, state), offsets)
                 parts.append(part)
                 many.append(n)
                 at = to
@@ -342,42 +459,36 @@ def unigram_decoder(spark: SparkSession, scores: dict[str, float], unk: float |
         raise ValueError("vocabulary too large to send out")
     longest = max(map(len, scores), default=1)
 
-    def f(t: Letters, s: tuple) -> np.ndarray:
+    def f(t: Letters, s: tuple) -> tuple[np.ndarray, None]:
         words, values, plain = s
         if len(t.start) >= SIDE_BY_SIDE:
-            return viterbi_all(t, words, values, longest, unk)[0]
-        return np.array([a + int(x) for a, b in zip(t.start, t.end, strict=True) for _, x, _ in viterbi(t.text[a:b], plain, longest, unk)], np.int64)
+            return viterbi_all(t, words, values, unk)[0], None
+        return np.array([a + int(x) for a, b in zip(t.start, t.end, strict=True) for _, x, _ in viterbi(t.text[a:b], plain, longest, unk)], np.int64), None
 
-    return _udf(spark, (hashed_words(list(scores)), np.array(list(scores.values()), float), scores), f, offsets)
+    return _udf(spark, (Automaton(list(scores)), np.array(list(scores.values()), float), scores), f, offsets)
 
 
 def bpe_encoder(spark: SparkSession, merges: list[tuple[str, str]], vocab: set[str] | None = None, offsets: bool = True) -> Callable[[Column], Column]:
-    """Column function: sequence -> tokens with offsets, or as strings; letters outside ``vocab`` are [UNK]."""
+    """Column function: sequence -> tokens with offsets, or as strings; tokens outside ``vocab`` are [UNK]."""
     if len(merges) > MAX_VOCAB:
         raise ValueError("too many merges to send out")
-    ranks = {m: i for i, m in enumerate(merges)}
-    passes = len(merges) <= PASSES and len(ranks) == len(merges) and in_order(merges)
 
-    def f(t: Letters, s: tuple) -> np.ndarray:
-        if passes:
-            return bpe_all(t, s[0])
-        return np.array([a + x for a, b in zip(t.start.tolist(), t.end.tolist(), strict=True) for _, x, _ in bpe(t.text[a:b], s[1])], np.int64)
+    def f(t: Letters, s: tuple) -> tuple[np.ndarray, np.ndarray | None]:
+        start = bpe_all(t, s[0])
+        if s[1] is None:
+            return start, None
+        ends = np.append(start[1:], len(t.codes))
+        return start, np.fromiter((t.text[a:b] not in s[1] for a, b in zip(start.tolist(), ends.tolist(), strict=True)), bool, len(start))
 
-    own = _udf(spark, (merges, ranks), f, offsets)
-    if vocab is None:
-        return own
-    known = F.array(*(F.lit(v) for v in sorted(vocab)))
-    name = lambda x: F.when(F.array_contains(known, x), x).otherwise(UNK)
-    if offsets:
-        return lambda c: F.transform(own(c), lambda x: F.struct(name(x["token"]).alias("token"), x["start"].alias("start"), x["end"].alias("end")))
-    return lambda c: F.transform(own(c), name)
+    return _udf(spark, (Merges(merges), vocab), f, offsets)
 
 
 def motif_tokenizer(spark: SparkSession, motifs: set[str], seed: int = 0, triples: set[str] | None = None, offsets: bool = True) -> Callable[[Column], Column]:
-    """Of several words the one of least md5 of (seed, place, word): equal texts tokenise alike in any partitioning."""
+    """Of several words the one whose lot, drawn from seed, word and place, is least: equal texts tokenise alike in any partitioning."""
     known = {a + b + c for a in "ATCG" for b in "ATCG" for c in "ATCG"} if triples is None else triples
     words = sorted(w for w in motifs if 4 <= len(w) <= 12)
-    return _udf(spark, (words, hashed_words(words), hashed_words(sorted(known))), lambda t, s: motif_starts(t, *s, seed), offsets)
+    state = (Automaton(words), Automaton(sorted(known)), word_factors(words, seed))
+    return _udf(spark, state, lambda t, s: (motif_starts(t, *s), None), offsets)
 
 
 class Tokenizer(Protocol):

@@ -170,8 +170,7 @@ def vocab_scores(spark, sf_dir):
     return part(m, "merge", "len2").unionByName(part(m, "no_length", "length")).unionByName(part(r, "no_priority", "len2")).unionByName(part(n, "no_partition", "len2", CAP + 205))
 
 
-#: A fixed additive vocabulary for the decoding queries.
-STATIC = ["A", "C", "G", "T", "AC", "CA", "GT", "TG", "ACG", "CGT", "GTA", "TAC", "ACGT", "GATC", "CAGTC"]
+#: Merges whose encoding SQL can follow, one pass a merge.
 MERGES = [("A", "C"), ("G", "T"), ("AC", "GT"), ("T", "A"), ("C", "A"), ("G", "A"), ("TA", "C"), ("CA", "GT")]
 
 
@@ -185,26 +184,40 @@ def _pieces(spark, sf_dir, tokenize):
     return d.select("doc_id", "piece", F.array_join("tokens", " ").alias("tokens"))
 
 
-def _best(words, scores):
-    """SQL: of s0..s4, the best sums 1 to 5 letters back, the greatest sum that a word ending at place i gives, and the word's length; the longer on ties."""
-    ends = lambda k: f"substring(p, i - {k - 2}, {k}) IN ({', '.join(repr(w) for w in words if len(w) == k)})"
-    arms = [(k, f"CASE WHEN i >= {k - 1} AND {ends(k)} THEN s{k - 1} + {scores(k)} ELSE -1e9 END") for k in range(1, 6)]
-    best = f"greatest({', '.join(e for _, e in arms)})"
-    return best, "CASE " + " ".join(f"WHEN {e} >= {best} THEN {k}" for k, e in reversed(arms)) + " END"
+#: Words of the decoding queries, the smallest of the reference's sizes, and their letters at most.
+WORDS, LONGEST = 2048, 6
+
+
+def learned(spark, sf_dir, size: int = WORDS) -> list[str]:
+    """The commonest 1- to 6-mers of all sequences."""
+    c = S.kmer_counts(seqs(spark, sf_dir), [], "seq", list(range(1, LONGEST + 1)))
+    return [r[0] for r in c.orderBy(F.desc("cnt"), "token").limit(size).collect()]  # the vocabulary
 
 
-_SUM, _BACK = _best(STATIC, lambda k: float(k * k))
+LEARNED = f"""km AS (SELECT unnest(flatten([[substring(seq, CAST(i AS BIGINT), k) FOR i IN range(1, length(seq) - k + 2)] FOR k IN range(1, {LONGEST + 1})])) AS token FROM seqs),
+wd AS MATERIALIZED (SELECT token, length(token) AS k, row_number() OVER (ORDER BY count(*) DESC, token) AS id FROM km WHERE token <> '' GROUP BY token QUALIFY id <= {WORDS})"""
 
 
-@query("unigram_decode", f"""WITH RECURSIVE {PIECES},
-f AS (SELECT id, 0 AS i, CAST(0 AS DOUBLE) AS s0, CAST(-1e9 AS DOUBLE) AS s1, CAST(-1e9 AS DOUBLE) AS s2, CAST(-1e9 AS DOUBLE) AS s3, CAST(-1e9 AS DOUBLE) AS s4, 0 AS b FROM pc
-  UNION ALL SELECT f.id, i + 1, CAST({_SUM} AS DOUBLE), s0, s1, s2, s3, CAST({_BACK} AS INTEGER) FROM f JOIN pc ON f.id = pc.id WHERE i < length(p)),
+def _decoded(masks: str, score: str) -> str:
+    """SQL: pieces (id, p) decoded by the words of ``masks`` (id, ms: for each place the lengths of the words that end there, as bits), as g (id, i, bs)."""
+    arms = [(k, f"CASE WHEN (ms[i + 1] >> {k - 1}) & 1 = 1 THEN s{k - 1} + {score.format(k=k)} ELSE -1e9 END") for k in range(1, LONGEST + 1)]
+    best = f"greatest({', '.join(e for _, e in arms)})"
+    back = "CASE " + " ".join(f"WHEN {e} >= {best} THEN {k}" for k, e in reversed(arms)) + " END"
+    old = range(1, LONGEST)
+    return f"""f AS (SELECT id, 0 AS i, CAST(0 AS DOUBLE) AS s0, {', '.join(f'CAST(-1e9 AS DOUBLE) AS s{k}' for k in old)}, 0 AS b FROM {masks}
+  UNION ALL SELECT f.id, i + 1, CAST({best} AS DOUBLE), {', '.join(f's{k - 1}' for k in old)}, CAST({back} AS INTEGER) FROM f JOIN {masks} m ON f.id = m.id WHERE i < len(ms)),
 l AS (SELECT id, list(b ORDER BY i) AS bs FROM f WHERE i > 0 GROUP BY id),
-g AS (SELECT id, length(p) AS i FROM pc UNION ALL SELECT g.id, i - bs[i] FROM g JOIN l ON g.id = l.id WHERE i > 0)
+g AS (SELECT id, len(ms) AS i FROM {masks} UNION ALL SELECT g.id, i - bs[i] FROM g JOIN l ON g.id = l.id WHERE i > 0)"""
+
+
+@query("unigram_decode", f"""WITH RECURSIVE {PIECES}, {LEARNED},
+hit AS (SELECT id, i, k, substring(p, CAST(i - k + 1 AS BIGINT), k) AS w FROM (SELECT id, p, unnest(range(1, length(p) + 1)) AS i FROM pc), (SELECT unnest(range(1, {LONGEST + 1})) AS k) WHERE i >= k),
+ms AS MATERIALIZED (SELECT id, list(m ORDER BY i) AS ms FROM (SELECT hit.id, i, CAST(sum(1 << (hit.k - 1)) AS INTEGER) AS m FROM hit JOIN wd ON hit.w = wd.token GROUP BY hit.id, i) GROUP BY id),
+{_decoded("ms", "{k} * {k}")}
 SELECT doc_id, piece, string_agg(substring(p, i - bs[i] + 1, bs[i]), ' ' ORDER BY i) AS tokens FROM g JOIN l ON g.id = l.id JOIN pc ON pc.id = g.id WHERE i > 0 GROUP BY doc_id, piece""")
 def unigram_decode(spark, sf_dir):
-    """Additive-score decoding of whole sequences, piece by piece."""
-    return _pieces(spark, sf_dir, T.unigram_decoder(spark, {t: float(len(t) ** 2) for t in STATIC}, unk=-100.0, offsets=False))
+    """Additive-score decoding of whole sequences, piece by piece, with 2,048 words learned from them."""
+    return _pieces(spark, sf_dir, T.unigram_decoder(spark, {t: float(len(t) ** 2) for t in learned(spark, sf_dir)}, unk=-100.0, offsets=False))
 
 
 def _merged(expr):
@@ -243,10 +256,31 @@ def bpe_train(spark, sf_dir):
     return spark.createDataFrame(rows, "id int, token string, l string, r string")
 
 
-MOTIF_WORDS = ["ACGT", "GATTACA", "CCGG", "TTTA", "CAGTCA", "GGCC", "ACGTAC", "TACG", "TACGGA", "AAAAA", "GTACGT"]
+@query("bpe_encode_learned")
+def bpe_encode_learned(spark, sf_dir):
+    """All sequences encoded by the merges that the trainer learned from them, and whether [UNK] is met (no oracle: iterative)."""
+    v, m = B.train(seqs(spark, sf_dir).select(F.explode(C.chunks("seq", 1000)).alias("seq")), "seq", BPE_SIZE, 100)
+    d = seqs(spark, sf_dir).select("doc_id", T.bpe_encoder(spark, m, set(v), offsets=False)(F.col("seq")).alias("tokens"))
+    return d.select("doc_id", F.array_join("tokens", " ").alias("tokens"), F.size("tokens").alias("n_tokens"), F.array_contains("tokens", T.UNK).alias("unknown"))
+
+
+#: Lengths of the dictionary words of the motif tokenizer, and how many of each.
+MOTIF_LENGTHS, MOTIF_EACH = [4, 5, 6, 8], 100
 #: Known 3-mers; other places fall to one letter.
 TRIPLES = ["ACG", "CAT", "GGA", "TTC", "AAT", "TGA"]
-_WORDS = f"(SELECT unnest({MOTIF_WORDS}) AS w)"
+
+
+def motif_dictionary(spark, sf_dir) -> list[str]:
+    """The commonest k-mers of some lengths, of all sequences."""
+    c = S.kmer_counts(seqs(spark, sf_dir), [], "seq", MOTIF_LENGTHS).withColumn("k", F.length("token"))
+    w = Window.partitionBy("k").orderBy(F.desc("cnt"), "token")  # counted k-mers: 4**8 at most
+    return [r[0] for r in c.withColumn("id", F.row_number().over(w)).filter(F.col("id") <= MOTIF_EACH).select("token").collect()]
+
+
+#: (w, a, b): the words and the two numbers of each by which it draws its lot at a place.
+MOTIF_DICTIONARY = f"""mk AS (SELECT unnest(flatten([[substring(seq, CAST(i AS BIGINT), k) FOR i IN range(1, length(seq) - k + 2)] FOR k IN {MOTIF_LENGTHS}])) AS w FROM seqs),
+mw AS MATERIALIZED (SELECT w, CAST('0x' || substring(md5('7:' || w), 1, 7) AS BIGINT) AS a, CAST('0x' || substring(md5('7:' || w), 8, 7) AS BIGINT) + 1 AS b FROM (SELECT w, row_number() OVER (PARTITION BY length(w) ORDER BY count(*) DESC, w) AS id FROM mk WHERE w <> '' GROUP BY w) WHERE id <= {MOTIF_EACH})"""
+_LOT = f"((i + a) % {T.PRIME}) * ((i + a) % {T.PRIME}) % {T.PRIME} * ((i + a) % {T.PRIME}) % {T.PRIME} * b % {T.PRIME}"
 
 
 def _reached(steps, rounds):
@@ -258,8 +292,8 @@ def _reached(steps, rounds):
     return ",\n".join(out)
 
 
-@query("motif_tokenizer", f"""WITH {PIECES}, ix AS (SELECT id, p, unnest(range(length(p))) AS i FROM pc),
-hit AS (SELECT id, i, arg_min(length(w), md5(concat('7:', i, ':', w))) AS n FROM ix, {_WORDS} WHERE substring(p, CAST(i + 1 AS BIGINT), length(w)) = w GROUP BY id, i),
+@query("motif_tokenizer", f"""WITH {PIECES}, {MOTIF_DICTIONARY}, ix AS (SELECT id, p, unnest(range(length(p))) AS i FROM pc),
+hit AS (SELECT id, i, CAST(arg_min(length(w), ({_LOT}, length(w))) AS INTEGER) AS n FROM (SELECT id, i, substring(p, CAST(i + 1 AS BIGINT), k) AS w FROM ix, (SELECT unnest({MOTIF_LENGTHS}) AS k) WHERE i + k <= length(p)) JOIN mw USING (w) GROUP BY id, i),
 pick AS (SELECT ix.id, ix.i, coalesce(n, CASE WHEN substring(p, CAST(ix.i + 1 AS BIGINT), 3) IN ({', '.join(map(repr, TRIPLES))}) THEN 3 ELSE 1 END) AS n FROM ix LEFT JOIN hit ON ix.id = hit.id AND ix.i = hit.i),
 three AS (SELECT id, i, n, coalesce(lead(n, 1) OVER w, 0) AS n1, coalesce(lead(n, 2) OVER w, 0) AS n2 FROM pick WINDOW w AS (PARTITION BY id ORDER BY i)),
 st AS MATERIALIZED (SELECT id, i, skip, CASE skip WHEN 0 THEN n WHEN 1 THEN n1 ELSE n2 END AS n, i + skip + CASE skip WHEN 0 THEN n WHEN 1 THEN n1 ELSE n2 END AS nxt FROM (SELECT *, CASE WHEN n = 1 THEN 0 WHEN n2 > greatest(n, n1) THEN 2 WHEN n1 > n THEN 1 ELSE 0 END AS skip FROM three)),
@@ -267,8 +301,8 @@ st AS MATERIALIZED (SELECT id, i, skip, CASE skip WHEN 0 THEN n WHEN 1 THEN n1 E
 SELECT doc_id, piece, string_agg(concat(CASE WHEN skip > 0 THEN substring(p, CAST(i + 1 AS BIGINT), 1) || ' ' ELSE '' END, CASE WHEN skip > 1 THEN substring(p, CAST(i + 2 AS BIGINT), 1) || ' ' ELSE '' END, substring(p, CAST(i + skip + 1 AS BIGINT), n)), ' ' ORDER BY i) AS tokens
 FROM r9 JOIN st USING (id, i) JOIN pc USING (id) GROUP BY doc_id, piece""")
 def motif_tokenizer(spark, sf_dir):
-    """Dictionary words with look-ahead; of several at a place the one of least seeded md5."""
-    return _pieces(spark, sf_dir, T.motif_tokenizer(spark, set(MOTIF_WORDS), 7, set(TRIPLES), offsets=False))
+    """400 dictionary words learned from the sequences, with look-ahead; of several at a place the one that draws the least seeded lot."""
+    return _pieces(spark, sf_dir, T.motif_tokenizer(spark, set(motif_dictionary(spark, sf_dir)), 7, set(TRIPLES), offsets=False))
 
 
 ENR = f"""{SEQS}, {TOKENS}, en AS (SELECT token, coalesce(sum(cnt) FILTER (lang = 'en'), 0) AS na, coalesce(sum(cnt) FILTER (lang = 'de'), 0) AS nb FROM tc WHERE lang IN ('en', 'de') GROUP BY token),

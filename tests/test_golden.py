@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -449,7 +450,7 @@ def test_viterbi_refuses_unknown_letters(spark):
 def test_merges_side_by_side(spark):
     sound = [("A", "A"), ("C", "G"), ("AA", "CG"), ("T", "T"), ("TT", "TT"), ("AA", "A"), ("é", "A")]
     tangled = [("B", "C"), ("A", "BC"), ("ABC", "D"), ("A", "B"), ("AB", "C")]
-    assert T.in_order(sound) and not T.in_order(tangled)
+    assert not T.Merges(sound).back.any() and T.Merges(tangled).back.any()
     for merges, letters in ((sound, "ACGTé"), (tangled, "ABCD")):
         ranks = {m: i for i, m in enumerate(merges)}
         texts = _texts(2, 300, letters)
@@ -461,12 +462,11 @@ def test_merges_side_by_side(spark):
 
 
 def test_motifs_side_by_side(spark):
-    import hashlib
-
     words, triples = {"ACGT", "ACGTA", "GTAC", "GTACGT", "TTTTT", "CGTTTT"}, {"ACG", "TTT"}
     texts = _texts(4, 300, "ACGTN")
+    lot = lambda i, w: int(T.drawn(np.array([i]), *T.word_factors([w], 5))[0])
     for t, x in zip(texts, _tokens(spark, T.motif_tokenizer(spark, words, 5, triples, offsets=False), texts), strict=True):
-        assert x == T.motif_tokens(t, words, triples, lambda i, found: min(found, key=lambda w: hashlib.md5(f"5:{i}:{w}".encode()).hexdigest()))
+        assert x == T.motif_tokens(t, words, triples, lambda i, found: min(found, key=lambda w: (lot(i, w), len(w))))
 
 
 def test_span_moments(spark):
@@ -483,3 +483,54 @@ def test_loaded_tokenizers_cover_motifs(spark):
     assert sorted((r.tokenizer, r.variant, r.n_tokens, r.perfect, r.in_vocab) for r in rows) == [
         ("b", "AC", 1, 1, 1), ("b", "ACA", 2, 0, 0), ("b", "AXC", 3, 0, 0), ("u", "AC", 1, 1, 1), ("u", "ACA", 2, 0, 0), ("u", "AXC", 3, 0, 0),
     ]
+
+
+# --- large vocabularies
+def test_learned_merges_of_any_order():
+    """Thousands of merges, some of whose tokens earlier merges take, against one merge after the other."""
+    rng = random.Random(8)
+    tokens, merges = list("ACGTé"), []
+    while len(merges) < 1500:
+        a, b = rng.choices(tokens[:400], k=2)
+        if len(a + b) < 9 and (a, b) not in merges:
+            merges.append((a, b))
+            tokens.append(a + b)
+    shuffled = merges[:]
+    rng.shuffle(shuffled)
+    for m in (merges, shuffled, merges[:1] * 2 + merges[1:300]):
+        ranks = {x: i for i, x in enumerate(m)}
+        texts = ["".join(rng.choices("ACGTéX", [9, 9, 9, 9, 3, 1], k=rng.randrange(0, 200))) for _ in range(150)] + ["A" * 333, ""]
+        t = T.Letters(texts)
+        start = T.bpe_all(t, T.Merges(m))
+        want = [int(a) + x for a, text in zip(t.start, texts, strict=True) for _, x, _ in T.bpe(text, ranks)]
+        assert start.tolist() == want
+
+
+def test_automaton_finds_all_words():
+    rng = random.Random(9)
+    words = list({"".join(rng.choices("ACGT", k=rng.randrange(1, 9))) for _ in range(900)} | {"é☃", "☃"})
+    texts = ["".join(rng.choices("ACGT☃éZ", [9, 9, 9, 9, 1, 1, 1], k=rng.choice([0, 3, 50, 2000]))) for _ in range(60)]
+    m, t = T.Automaton(words), T.Letters(texts)
+    ends = m.ends[m.states(t)]
+    for row, text in enumerate(texts):
+        for i in range(len(text)):
+            got = {words[w] for w in ends[t.start[row] + i] if w >= 0}
+            assert got == {w for w in words if text[: i + 1].endswith(w)}
+    empty = T.Automaton([])
+    assert (empty.ends[empty.states(t)] == -1).all()
+
+
+def test_motifs_of_long_sequences():
+    rng = random.Random(10)
+    words = sorted({"".join(rng.choices("ACGT", k=rng.randrange(4, 10))) for _ in range(300)})
+    texts = ["".join(rng.choices("ACGT", k=20_000)), "", "ACG", "".join(rng.choices("AC", k=700))]
+    t, f = T.Letters(texts), T.word_factors(words, 3)
+    start = T.motif_starts(t, T.Automaton(words), T.Automaton(["ACG", "TTT"]), f)
+    number = {w: i for i, w in enumerate(words)}
+    lot = lambda i, w: (int(T.drawn(np.array([i]), f[0][number[w] : number[w] + 1], f[1][number[w] : number[w] + 1])[0]), len(w))
+    want = []
+    for a, text in zip(t.start.tolist(), texts, strict=True):
+        for w in T.motif_tokens(text, set(words), {"ACG", "TTT"}, lambda i, found: min(found, key=lambda x: lot(i, x))):
+            want.append(a)
+            a += len(w)
+    assert start.tolist() == want
