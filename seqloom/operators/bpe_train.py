@@ -1,27 +1,35 @@
 """BPE training: distributed pair counts, merges chosen on the driver.
 
-Equal sequences are counted once and kept as symbol arrays in blocks. A pass over the blocks applies a run of merges and
-gives back only by how much pair counts changed; the driver holds the pair counts (of the vocabulary squared at most).
-A run is as many of the next merges as provably don't meet: no merge of it changes the count of a later one or makes a
-pair that could come before it, so the result is that of one merge after the other.
+Equal sequences are counted once and kept as symbol arrays in blocks. A round applies a run of merges to the blocks and
+gives back by how much pair counts changed, and, for the pairs that may come next, what stands to their left and right.
+
+From these the driver knows what a merge does without looking at the blocks: (x, a) loses as many as (x, a, b) had, and no
+new pair is more frequent than such a triple. So a run goes on, pair by pair in the order of a greedy trainer, as long as
+the next pair's count is known exactly and is above all that new pairs can have; then the blocks are asked again. The
+result is that of one merge after the other. The driver holds the pair counts (of the vocabulary squared at most).
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+import heapq
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shared import discard, written
 from .vocab import SPECIALS
 
 #: Symbols of a block.
 BLOCK = 1 << 19
-BLOCKS = "ids binary, cnt binary, k long, n long"
+#: A block, or a count: of a pair (kind 0), or of what stands left (1) or right (2) of a pair that was asked for.
+BLOCKS = "ids binary, cnt binary, kind int, k long, n long"
+#: Pairs that are asked for their neighbours, and pairs that a run is chosen from.
+ASKED, CHOICE = 256, 4096
+#: Merges that each round does again before the blocks are written anew.
+PENDING = 40
 
 def as_words(seqs: DataFrame, seq: str) -> DataFrame:
     """(parts, cnt): equal sequences counted once, letters apart."""
@@ -38,9 +46,12 @@ def pair_counts(words: DataFrame) -> DataFrame:
 
 
 def _sum(k: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(k, return_inverse=True)
-    out = np.zeros(len(keys), np.int64)
-    np.add.at(out, at, n)
+    if not len(k):
+        return k, n
+    order = np.argsort(k)
+    k = k[order]
+    first = np.flatnonzero(np.diff(k, prepend=k[0] - 1))
+    keys, out = k[first], np.add.reduceat(n[order], first)
     return keys[out != 0], out[out != 0]
 
 
@@ -48,42 +59,75 @@ def _pairs(ids: np.ndarray, cnt: np.ndarray, at: np.ndarray, size: int) -> tuple
     """Keys and counts of the pairs that start ``at``; symbol 0 ends a word."""
     at = at[(at >= 0) & (at < len(ids) - 1)]
     at = at[(ids[at] != 0) & (ids[at + 1] != 0)]
-    w = np.ones(len(at), np.int64) if (cnt == 1).all() else cnt[np.searchsorted(np.flatnonzero(ids == 0), at)]
-    return _sum(ids[at].astype(np.int64) * size + ids[at + 1], w)
+    k = ids[at].astype(np.int64) * size + ids[at + 1]
+    if (cnt == 1).all():
+        return np.unique(k, return_counts=True)
+    return _sum(k, cnt[np.searchsorted(np.flatnonzero(ids == 0), at)])
 
 
-def _merge(ids: np.ndarray, cnt: np.ndarray, keys: np.ndarray, made: np.ndarray, size: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Joins each pair of ``keys`` (sorted, none overlapping another) from the left on: new symbols, changed pair counts."""
-    left = np.zeros(size, bool)
-    left[keys // size] = True
-    at = np.flatnonzero(left[ids[:-1]])
-    k = ids[at].astype(np.int64) * size + ids[at + 1]
-    j = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-    hit = keys[j] == k
-    at, to = at[hit], made[j[hit]]
-    if len(at) and len(keys) == 1 and keys[0] // size == keys[0] % size:  # a symbol with itself: every other place of a run
+def _merge(ids: np.ndarray, a: int, b: int, made: int, told: Callable[[np.ndarray, np.ndarray, int], None] | None = None) -> np.ndarray:
+    """Joins a and b from the left on; ``told`` gets the places whose pairs change, before (-1) and after (1)."""
+    at = np.flatnonzero(ids[:-1] == a)
+    at = at[ids[at + 1] == b]
+    if len(at) and a == b:  # a symbol with itself: every other place of a run
         first = np.flatnonzero(np.concatenate([[True], np.diff(at) != 1]))
-        odd = (at - np.repeat(at[first], np.diff(np.append(first, len(at))))) % 2
-        at, to = at[odd == 0], to[odd == 0]
+        at = at[(at - np.repeat(at[first], np.diff(np.append(first, len(at))))) % 2 == 0]
     if not len(at):
-        return ids, []
-    k, n = _pairs(ids, cnt, np.unique(np.concatenate([at - 1, at, at + 1])), size)
+        return ids
+    if told:
+        told(ids, np.unique(np.concatenate([at - 1, at, at + 1])), -1)
     keep = np.ones(len(ids), bool)
     keep[at + 1] = False
-    ids = ids.copy()
-    ids[at] = to
     ids, at = ids[keep], at - np.arange(len(at))
-    return ids, [(k, -n), _pairs(ids, cnt, np.unique(np.concatenate([at - 1, at])), size)]
+    ids[at] = made
+    if told:
+        told(ids, np.unique(np.concatenate([at - 1, at])), 1)
+    return ids
+
+
+def _beside(ids: np.ndarray, cnt: np.ndarray, asked: np.ndarray, size: int, sides: np.ndarray) -> None:
+    """Adds to ``sides`` (side, place in asked * size + symbol) what stands left and right of each pair of ``asked`` (sorted)."""
+    if not len(asked) or len(ids) < 2:
+        return
+    lefts, rights = np.zeros(size, bool), np.zeros(size, bool)
+    lefts[asked // size], rights[asked % size] = True, True
+    at = np.flatnonzero(lefts[ids[:-1]] & rights[ids[1:]])
+    k = ids[at].astype(np.int64) * size + ids[at + 1]
+    j = np.minimum(np.searchsorted(asked, k), len(asked) - 1)
+    hit = asked[j] == k
+    at, j = at[hit], j[hit]
+    w = None if (cnt == 1).all() else cnt[np.searchsorted(np.flatnonzero(ids == 0), at)]
+    for side, beside in enumerate((at - 1, at + 2)):
+        ok = (beside >= 0) & (beside < len(ids))
+        n = np.bincount(j[ok] * size + ids[beside[ok]], None if w is None else w[ok], sides.shape[1])
+        sides[side] += n if w is None else np.rint(n).astype(np.int64)
+
+
+_NAMES = [c.split()[0] for c in BLOCKS.split(", ")]
 
 
 def _rows(blocks: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     m = len(blocks)
-    return pa.RecordBatch.from_arrays([pa.array([b.tobytes() for b, _ in blocks], pa.binary()), pa.array([c.tobytes() for _, c in blocks], pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], ["ids", "cnt", "k", "n"])
+    return pa.RecordBatch.from_arrays([pa.array([b.tobytes() for b, _ in blocks], pa.binary()), pa.array([c.tobytes() for _, c in blocks], pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], _NAMES)
 
 
-def _counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    k, n = _sum(*map(np.concatenate, zip(*parts, strict=True))) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    return pa.RecordBatch.from_arrays([pa.nulls(len(k), pa.binary()), pa.nulls(len(k), pa.binary()), pa.array(k), pa.array(n)], ["ids", "cnt", "k", "n"])
+class _Counts:
+    """Counts by kind that a task adds up."""
+
+    def __init__(self) -> None:
+        self.parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {0: [], 1: [], 2: []}
+
+    def add(self, kind: int, k: np.ndarray, n: np.ndarray) -> None:
+        p = self.parts[kind]
+        p.append((k, n))
+        if len(p) > 64:
+            self.parts[kind] = [_sum(*map(np.concatenate, zip(*p, strict=True)))]
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        for kind, p in self.parts.items():
+            if p:
+                k, n = _sum(*map(np.concatenate, zip(*p, strict=True)))
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(k), pa.binary()), pa.nulls(len(k), pa.binary()), pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(n)], _NAMES)
 
 
 def encode(words: DataFrame, letters: list[str], first: int, size: int) -> DataFrame:
@@ -93,7 +137,7 @@ def encode(words: DataFrame, letters: list[str], first: int, size: int) -> DataF
     kind = np.uint16 if size < 1 << 16 else np.uint32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = []
+        got = _Counts()
         for b in batches:
             w, cnt, at = b.column("w").to_pylist(), b.column("cnt").to_numpy(), 0
             while at < len(w):
@@ -105,77 +149,130 @@ def encode(words: DataFrame, letters: list[str], first: int, size: int) -> DataF
                 ends = np.cumsum([len(x) for x in w[at:to]])
                 ids = np.insert((order[np.searchsorted(points, codes, sorter=order)] + first).astype(kind), ends, 0)
                 c = cnt[at:to].astype(np.int64)
-                got = [_sum(*map(np.concatenate, zip(*got, _pairs(ids, c, np.arange(len(ids) - 1), size), strict=True)))]
+                got.add(0, *_pairs(ids, c, np.arange(len(ids) - 1), size))
                 yield _rows([(ids, c)])
                 at = to
-        yield _counts(got)
+        yield from got.batches()
 
     return words.mapInArrow(run, BLOCKS)
 
 
 def apply(blocks: DataFrame, run: list[tuple[int, int, int]], size: int) -> DataFrame:
-    """Blocks after the merges (left, right, made) of a run, and by how much pair counts changed."""
-    apart = sorted((a * size + b, t) for a, b, t in run if a != b)
-    rounds = [r for r in (apart, [(a * size + b, t) for a, b, t in run if a == b]) if r]
+    """Blocks after the merges (left, right, made) of a run, one after the other."""
     kind = np.uint16 if size < 1 << 16 else np.uint32
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = []
         for b in batches:
             for i, c in zip(b.column("ids").to_pylist(), b.column("cnt").to_pylist(), strict=True):
-                ids, cnt = np.frombuffer(i, kind), np.frombuffer(c, np.int64)
-                for r in rounds:
-                    ids, more = _merge(ids, cnt, np.array([k for k, _ in r]), np.array([t for _, t in r]).astype(kind), size)
-                    got += more
-                if len(got) > 64:
-                    got = [_sum(*map(np.concatenate, zip(*got, strict=True)))]
-                yield _rows([(ids, cnt)])
-        yield _counts(got)
+                ids = np.frombuffer(i, kind)
+                for merge in run:
+                    ids = _merge(ids, *merge)
+                yield _rows([(ids, np.frombuffer(c, np.int64))])
 
     return blocks.filter("ids IS NOT NULL").mapInArrow(go, BLOCKS)
 
 
-def written(df: DataFrame) -> tuple[DataFrame, str]:
-    """Cuts lineage: ``df`` written to the folder that all executors share and read back, and its path."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="seqloom-")
-    path = f"{root.rstrip('/')}/seqloom-bpe-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+def changes(blocks: DataFrame, done: list[tuple[int, int, int]], run: list[tuple[int, int, int]], asked: np.ndarray, size: int) -> DataFrame:
+    """After the merges that are ``done``: by how much those of ``run`` change pair counts, and then the neighbours of ``asked``; as (kind, k, n)."""
+    kind = np.uint16 if size < 1 << 16 else np.uint32
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, sides = _Counts(), np.zeros((2, len(asked) * size), np.int64)
+        for b in batches:
+            for i, c in zip(b.column("ids").to_pylist(), b.column("cnt").to_pylist(), strict=True):
+                ids, cnt = np.frombuffer(i, kind), np.frombuffer(c, np.int64)
+
+                def told(ids: np.ndarray, at: np.ndarray, sign: int, cnt: np.ndarray = cnt) -> None:
+                    k, n = _pairs(ids, cnt, at, size)
+                    got.add(0, k, sign * n)
 
+                for merge in done:
+                    ids = _merge(ids, *merge)
+                for merge in run:
+                    ids = _merge(ids, *merge, told)
+                _beside(ids, cnt, asked, size, sides)
+        for side in (0, 1):
+            sides[side, ::size] = 0  # the symbol 0 ends a sequence
+            k = np.flatnonzero(sides[side])
+            got.add(side + 1, k, sides[side, k])
+        yield from got.batches()
 
-def removed(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return summed(blocks.filter("ids IS NOT NULL").mapInArrow(go, BLOCKS))
 
 
-def next_run(keys: np.ndarray, n: np.ndarray, size: int, tokens: list[str], ids: dict[str, int], room: int, min_frequency: int) -> list[tuple[int, int]]:
-    """The next merges that can be done in one pass, by count, left id and right id.
+def summed(counts: DataFrame) -> DataFrame:
+    return counts.filter("k IS NOT NULL").groupBy("kind", "k").agg(F.sum("n").alias("n"))
 
-    A merge (a, b) only lowers the counts of pairs that end in a or begin with b, and the pairs it makes are at most as
-    frequent as those. So a run ends before a pair that meets one of its own, and before a pair that isn't more
-    frequent than all pairs ending in such an a or beginning with such a b. A symbol with itself, or a token that was there, ends it.
+
+class Chooser:
+    """The next merges, from exact pair counts at the start of a round and what stands beside the pairs that were asked for.
+
+    ``now`` holds each pair's count, or a bound above it for pairs in ``unsure``; ``bound`` is above the counts of all pairs
+    that the run makes or adds to. A pair is known as long as it loses on one side only: what it loses to two merges on the
+    same side are different places, but a place may be lost to a merge on its left and again to one on its right.
     """
-    at = np.flatnonzero(n >= min_frequency)
-    if len(at) > 4096:
-        at = at[n[at] >= np.partition(n[at], -4096)[-4096]]
-    at = at[np.lexsort((keys[at], -n[at]))]
-    run, lefts, rights, new, bound = [], set(), set(), set(), 0
-    l, r = keys // size, keys % size
-    for k, c in zip(keys[at].tolist(), n[at].tolist(), strict=True):
-        a, b = divmod(k, size)
-        if run and (b in lefts or a in rights or c <= bound):
-            break
-        run.append((a, b))
-        token = tokens[a] + tokens[b]
-        if a == b or token in ids or token in new or len(new) + 1 >= room:
-            break
-        new.add(token)
-        lefts.add(a)
-        rights.add(b)
-        near = ((r == a) | (l == b)) & (keys != k)
-        bound = max(bound, int(n[near].max(initial=0)))
-    return run
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, beside: dict[int, tuple[list, list]], size: int, least: int) -> None:
+        at = np.flatnonzero(n >= least)
+        if len(at) > CHOICE:
+            at = at[n[at] >= np.partition(n[at], -CHOICE)[-CHOICE]]
+        self.now = dict(zip(keys[at].tolist(), n[at].tolist(), strict=True))
+        self.all = (keys, n)
+        self.beside, self.size, self.least = beside, size, least
+        self.queue = [(-c, k) for k, c in self.now.items()]
+        heapq.heapify(self.queue)
+        self.side: dict[int, int] = {}
+        self.unsure: set[int] = set()
+        self.bound, self.made = 0, {}  # bounds of pairs that were made or added to
+
+    def next(self, first: bool) -> tuple[int, int] | None:
+        """The most frequent pair (ties: the smaller left, then right symbol), or None where only the blocks can tell."""
+        while self.queue:
+            c, k = -self.queue[0][0], self.queue[0][1]
+            if c == self.now[k]:
+                break
+            heapq.heappop(self.queue)
+            if self.now[k] >= self.least:
+                heapq.heappush(self.queue, (-self.now[k], k))
+        if not self.queue or not first and (c <= self.bound or k in self.unsure or k not in self.beside):
+            return None
+        return divmod(k, self.size)
+
+    def merge(self, a: int, b: int, made: int, new: bool) -> None:
+        """What the merge does to the counts."""
+        k, z = a * self.size + b, self.size
+        heapq.heappop(self.queue)
+        self.now[k] = 0
+        if k not in self.beside:  # the first of a run, which was not foreseen: nothing is known behind it
+            self.bound = 1 << 62
+            return
+        for side, rows in enumerate(self.beside[k]):
+            for x, m in rows:
+                pair = x * z + a if side == 0 else b * z + x
+                made_pair = x * z + made if side == 0 else made * z + x
+                self.made[made_pair] = self.made.get(made_pair, 0) + m
+                self.bound = max(self.bound, self.made[made_pair] if new else self.made[made_pair] + self._before(made_pair))
+                if not new and made_pair in self.now:
+                    self.unsure.add(made_pair)
+                if pair == k or pair not in self.now or not self.now[pair]:
+                    continue
+                if k in self.side or self.side.get(pair, side) != side or a == b and side == 1:
+                    self.unsure.add(pair)
+                else:
+                    self.now[pair] -= m
+                    self.side[pair] = side
+
+    def _before(self, k: int) -> int:
+        if k in self.now:
+            return self.now[k]
+        keys, n = self.all
+        i = int(np.searchsorted(keys, k))
+        return int(n[i]) if i < len(keys) and keys[i] == k else 0
+
+    def likely(self) -> np.ndarray:
+        """The pairs that may come next, by what is known of their counts."""
+        top = heapq.nlargest(ASKED, [(c, k) for k, c in self.now.items() if c] + [(c, k) for k, c in self.made.items() if k not in self.now])
+        return np.array(sorted({k for _, k in top}), np.int64)
 
 
 def train(seqs: DataFrame, seq: str, vocab_size: int, min_frequency: int = 100, alphabet: str = "ACGTN") -> tuple[list[str], list[tuple[str, str]]]:
@@ -197,22 +294,34 @@ def train(seqs: DataFrame, seq: str, vocab_size: int, min_frequency: int = 100,
     vocab = [*SPECIALS, *letters]
     ids, merges = {t: i for i, t in enumerate(vocab)}, []
     size = max(vocab_size, len(vocab)) + 1  # symbols are ids + 1
-    blocks, path = written(encode(words, letters, len(SPECIALS) + 1, size))
-    keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    blocks, done = written(encode(words, letters, len(SPECIALS) + 1, size), "bpe"), []
+    keys, n, asked, news = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), summed(blocks)
     while len(vocab) < vocab_size:
-        d = blocks.filter("k IS NOT NULL").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # the vocabulary squared at most
-        keys, n = _sum(np.concatenate([keys, d["k"].to_numpy()]), np.concatenate([n, d["n"].to_numpy()]))
-        run = []
-        for a, b in next_run(keys, n, size, [None, *vocab], ids, vocab_size - len(vocab), min_frequency):
+        d = news.toArrow()  # the vocabulary squared at most
+        kind, k, c = (d[x].to_numpy() for x in ("kind", "k", "n"))
+        keys, n = _sum(np.concatenate([keys, k[kind == 0]]), np.concatenate([n, c[kind == 0]]))
+        beside = {int(x): ([], []) for x in asked}
+        for side in (1, 2):
+            for x, m in zip(k[kind == side].tolist(), c[kind == side].tolist(), strict=True):
+                beside[int(asked[x // size])][side - 1].append((x % size, m))
+        run, pairs = [], Chooser(keys, n, beside, size, min_frequency)
+        while len(vocab) < vocab_size and (found := pairs.next(not run)):
+            a, b = found
             token = vocab[a - 1] + vocab[b - 1]
             merges.append((vocab[a - 1], vocab[b - 1]))
-            if token not in ids:
+            new = token not in ids
+            if new:
                 ids[token] = len(vocab)
                 vocab.append(token)
             run.append((a, b, ids[token] + 1))
+            pairs.merge(a, b, ids[token] + 1, new)
         if not run or len(vocab) >= vocab_size:
             break
-        before, (blocks, path) = path, written(apply(blocks, run, size))
-        removed(seqs.sparkSession, before)
-    removed(seqs.sparkSession, path)
+        asked = pairs.likely()
+        if len(done) > PENDING:
+            before, blocks, done = blocks, written(apply(blocks, done, size), "bpe"), []
+            discard(before)
+        news = changes(blocks, done, run, asked, size)
+        done = done + run
+    discard(blocks)
     return vocab, merges

@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions.columns import chunks
 
@@ -213,8 +214,11 @@ class Automaton:
         return out
 
 
-def viterbi_all(t: Letters, words: Automaton, scores: np.ndarray, unk: float | None) -> tuple[np.ndarray, np.ndarray]:
-    """:func:`viterbi` of many sequences, a place of all of them at a time: (first letter of each token, whether it is known)."""
+def viterbi_all(t: Letters, words: Automaton, scores: np.ndarray, unk: float | None, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`viterbi` of many sequences, a place of all of them at a time: (first letter of each token, whether it is known).
+
+    A word of score -inf is none; ``state`` is what the automaton gives for ``t``, if it is known already.
+    """
     n, longest = len(t.codes), words.longest
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, bool)
@@ -224,7 +228,7 @@ def viterbi_all(t: Letters, words: Automaton, scores: np.ndarray, unk: float | N
         gain[longest - k, w >= 0] = scores[w[w >= 0]]
     if unk is not None:
         gain[longest, ~np.isfinite(gain[longest - 1])] = unk
-    state = words.states(t)
+    state = words.states(t) if state is None else state
     back = np.array([*range(longest, 0, -1), 1])
     size = t.end - t.start
     order = np.argsort(-size, kind="stable")
@@ -491,6 +495,65 @@ def motif_tokenizer(spark: SparkSession, motifs: set[str], seed: int = 0, triple
     return _udf(spark, state, lambda t, s: (motif_starts(t, *s), None), offsets)
 
 
+#: Counts that a worker of a sweep holds before it sends them on.
+HELD = 1 << 22
+
+
+def sweep_counts(df: DataFrame, seq: str, by: list[str], models: dict[str, dict[str, float]], unk: float) -> DataFrame:
+    """(model, by..., token, cnt): each sequence decoded by several additive vocabularies in one pass; unknown runs count as [UNK].
+
+    One automaton holds the words of all models, so a letter is looked up once; a model is a vector of scores over them.
+    """
+    if sum(map(len, models.values())) > MAX_VOCAB:
+        raise ValueError("vocabularies too large to send out")
+    words = sorted({w for m in models.values() for w in m if w})
+    scores = {name: np.array([m.get(w, -np.inf) for w in words]) for name, m in models.items()}
+    sent = df.sparkSession.sparkContext.broadcast((Automaton(words), words, scores))
+    kinds = [df.schema[c] for c in by]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, words, scores = sent.value
+        names = np.array([*words, UNK], dtype=object)
+        held: dict[tuple, np.ndarray] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for (model, *key), n in held.items():
+                on = np.flatnonzero(n)
+                cols = [pa.array([model] * len(on), pa.string()), *(pa.array([v] * len(on), x) for v, x in zip(key, types, strict=True))]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(names[on], pa.string()), pa.array(n[on])], ["model", *by, "token", "cnt"])
+            held.clear()
+
+        for b in batches:
+            types = [b.column(i).type for i in range(len(by))]
+            keys = list(zip(*(b.column(i).to_pylist() for i in range(len(by))), strict=True)) if by else [()] * len(b)
+            texts, at = b.column(len(by)).fill_null("").to_pylist(), 0
+            while at < len(texts):
+                to, total = at, 0
+                while to < len(texts) and (total < LETTERS or to == at):
+                    total += len(texts[to])
+                    to += 1
+                t, number = Letters(texts[at:to]), {}
+                group = np.array([number.setdefault(k, len(number)) for k in keys[at:to]], np.int64)
+                at = to
+                if not len(t.codes):
+                    continue
+                state = automaton.states(t)
+                for model, s in scores.items():
+                    start, known = viterbi_all(t, automaton, s, unk, state)
+                    ends = np.append(start[1:], len(t.codes))
+                    w = np.where(known, automaton.ends[state[ends - 1], np.minimum(ends - start, automaton.longest) - 1], len(words))
+                    n = np.bincount(group[t.row[start]] * len(names) + w, minlength=len(number) * len(names)).reshape(-1, len(names))
+                    for key, g in number.items():
+                        held[model, *key] = held.get((model, *key), 0) + n[g]
+                if len(held) * len(names) > HELD:
+                    yield from out()
+        if held:
+            yield from out()
+
+    schema = StructType([StructField("model", StringType()), *kinds, StructField("token", StringType()), StructField("cnt", LongType())])
+    return df.select(*by, seq).mapInArrow(run, schema).groupBy("model", *by, "token").agg(F.sum("cnt").alias("cnt"))
+
+
 class Tokenizer(Protocol):
     """Anything that turns a sequence column into a column of tokens (with offsets) and knows its vocabulary."""
 

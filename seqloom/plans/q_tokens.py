@@ -446,6 +446,27 @@ def vocab_sweep(spark, sf_dir):
     return V.sweep(config, ranked, c.withColumnRenamed("pool", "region")).withColumn("share", F.round("share", 6))
 
 
+#: Pools whose vocabulary of ``WORDS`` words decodes all regions.
+SWEPT = ["c", "n"]
+
+
+@query("tokenizer_sweep", f"""WITH RECURSIVE {PIECES}, {VOCABS}, wd AS MATERIALIZED (SELECT pool, token, row_number() OVER (PARTITION BY pool ORDER BY cnt DESC, token) AS r FROM vc WHERE pool IN ({', '.join(map(repr, SWEPT))}) QUALIFY r <= {WORDS}),
+hit AS (SELECT id, i, k, substring(p, CAST(i - k + 1 AS BIGINT), k) AS w FROM (SELECT id, p, unnest(range(1, length(p) + 1)) AS i FROM pc), (SELECT unnest(range(1, {LONGEST + 1})) AS k) WHERE i >= k),
+ms AS MATERIALIZED (SELECT id, list(m ORDER BY i) AS ms FROM (SELECT pool || ':' || hit.id AS id, i, CAST(sum(1 << (k - 1)) AS INTEGER) AS m FROM hit JOIN wd ON hit.w = wd.token GROUP BY pool, hit.id, i) GROUP BY id),
+{_decoded("ms", "{k} * {k}")},
+tk AS (SELECT split_part(g.id, ':', 1) AS model, pc.doc_id, substring(p, i - bs[i] + 1, bs[i]) AS token FROM g JOIN l ON g.id = l.id JOIN pc ON pc.id = CAST(split_part(g.id, ':', 2) AS BIGINT) WHERE i > 0),
+ct AS (SELECT model, lang AS region, token, count(*) AS cnt FROM tk JOIN seqs USING (doc_id) GROUP BY ALL)
+SELECT model, region, CAST(sum(cnt) AS BIGINT) AS n_tokens, count(*) AS n_distinct, round(sum(cnt * length(token)) / sum(cnt), 6) AS mean_length, arg_max(token, (cnt, token)) AS top_token FROM ct GROUP BY model, region""")
+def tokenizer_sweep(spark, sf_dir):
+    """All regions tokenised by several vocabularies of 2,048 words in one pass, summed up per (model, region)."""
+    v = vocab(spark, sf_dir, WORDS).filter(F.col("pool").isin(*SWEPT)).select("pool", "token").collect()  # the vocabularies
+    models = {m: {r.token: float(len(r.token) ** 2) for r in v if r.pool == m} for m in SWEPT}
+    d = seqs(spark, sf_dir).select(F.col("lang").alias("region"), F.explode(C.chunks("seq", PIECE)).alias("seq"))
+    c = T.sweep_counts(d, "seq", ["region"], models, -100.0)
+    g = c.groupBy("model", "region").agg(F.sum("cnt").alias("n_tokens"), F.count("*").alias("n_distinct"), F.round(F.sum(F.col("cnt") * F.length("token")) / F.sum("cnt"), 6).alias("mean_length"), F.max_by("token", F.struct("cnt", "token")).alias("top_token"))
+    return g
+
+
 def _occurrences(spark, sf_dir):
     """Pieces of four letters of sequences of 100 or more, with mean and variance of the scores under them."""
     d = seqs(spark, sf_dir).filter(F.length("seq") >= 100).select("doc_id", "lang", F.posexplode(C.chunks("seq", 4)).alias("i", "token"))

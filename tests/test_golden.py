@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -534,3 +535,61 @@ def test_motifs_of_long_sequences():
             want.append(a)
             a += len(w)
     assert start.tolist() == want
+
+
+def _greedy(words, size, least):
+    """One merge after the other, all pairs counted anew each time."""
+    counts = Counter(words)
+    vocab = [*B.SPECIALS, *sorted(set("ACGTN") | set("".join(words)))]
+    ids, merges = {t: i for i, t in enumerate(vocab)}, []
+    rows = [(list(w), c) for w, c in counts.items()]
+    while len(vocab) < size:
+        pairs = Counter()
+        for w, c in rows:
+            for p in zip(w, w[1:], strict=False):
+                pairs[p] += c
+        best = min(pairs.items(), key=lambda x: (-x[1], ids[x[0][0]], ids[x[0][1]]), default=(None, 0))
+        if best[1] < least:
+            break
+        a, b = best[0]
+        merges.append((a, b))
+        if a + b not in ids:
+            ids[a + b] = len(vocab)
+            vocab.append(a + b)
+        for w, _ in rows:
+            i = 0
+            while i < len(w) - 1:
+                if w[i] == a and w[i + 1] == b:
+                    w[i : i + 2] = [a + b]
+                i += 1
+    return vocab, merges
+
+
+@pytest.mark.parametrize("letters,length,size", [("ACGT", 12, 150), ("AAAAC", 24, 90), ("ACGTN", 10, 200)])
+def test_long_runs_give_the_greedy_merges(spark, monkeypatch, letters, length, size):
+    """Ties, runs of one letter, tokens made twice; far fewer rounds than merges."""
+    rounds, real = [], B.changes
+    monkeypatch.setattr(B, "changes", lambda *a: rounds.append(len(a[2])) or real(*a))
+    monkeypatch.setattr(B, "PENDING", 30)
+    rng = random.Random(length)
+    base = ["".join(rng.choices(letters, k=rng.randrange(1, 9))) for _ in range(40)]
+    words = ["".join(rng.choices(base, k=length)) for _ in range(300)]
+    words += words[:40]
+    got = B.train(spark.createDataFrame([(w,) for w in words], "w string"), "w", size, 20)
+    assert got == _greedy(words, size, 20)
+    assert len(rounds) < len(got[1]) / 2
+
+
+def test_many_models_in_one_pass(spark):
+    rng = random.Random(11)
+    models = {m: {w: float(rng.randrange(1, 30)) for w in ["A", "C", "G"] + ["T"] * (m == "x") + ["".join(rng.choices("ACGT", k=rng.randrange(2, 6))) for _ in range(60)]} for m in "xyz"}
+    texts = [("r%d" % (i % 3), "".join(rng.choices("ACGTN", [9, 9, 9, 9, 1], k=rng.randrange(0, 90)))) for i in range(200)] + [("r0", None), (None, "ACGT")]
+    d = T.sweep_counts(spark.createDataFrame(texts, "region string, seq string").repartition(3), "seq", ["region"], models, -5.0)
+    got = {(r["model"], r["region"], r["token"]): r["cnt"] for r in d.collect()}
+    want = Counter()
+    for m, scores in models.items():
+        for region, text in texts:
+            for w, _, _ in T.viterbi(text or "", scores, max(map(len, scores)), -5.0):
+                want[m, region, w if w in scores else T.UNK] += 1
+    assert got == dict(want)
+    assert T.sweep_counts(spark.createDataFrame([], "region string, seq string"), "seq", ["region"], models, -5.0).collect() == []
