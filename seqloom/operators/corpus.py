@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import salted
+from ..functions.shared import fresh, written
 
 
 def count_windows(tokens: Column, size: int) -> Column:
@@ -35,14 +36,14 @@ def pack(df: DataFrame, order: str, tokens: str, size: int, batch: int = 1000) -
 
 
 def numbered(df: DataFrame, *order: str | Column, name: str = "rank") -> DataFrame:
-    """Global row numbers from 1 in an order, by range partitions and their offsets (a row a partition)."""
+    """Global row numbers from 1 in an order, by range partitions and their offsets (a row a partition); columns of any name are kept."""
     cols = [F.col(o) if isinstance(o, str) else o for o in order]
-    r = df.withColumns({f"__o{i}": c for i, c in enumerate(cols)})
-    keys = [f"__o{i}" for i in range(len(cols))]
-    r = r.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__part", F.spark_partition_id()).persist()
-    offs = r.groupBy("__part").agg(F.count("*").alias("n")).withColumn("off", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__part", "off")
-    w = Window.partitionBy("__part").orderBy(*keys)
-    return r.join(F.broadcast(offs), "__part").withColumn(name, F.row_number().over(w) + F.col("off")).drop("__part", "off", *keys)
+    part, n, off, *keys = fresh([*df.columns, name], "part", "n", "off", *(f"o{i}" for i in range(len(cols))))
+    r = df.withColumns(dict(zip(keys, cols, strict=True)))
+    r = written(r.repartitionByRange(*keys).withColumn(part, F.spark_partition_id()), "numbered")
+    offs = r.groupBy(part).agg(F.count("*").alias(n)).select(part, F.coalesce(F.sum(n).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(off))
+    w = Window.partitionBy(part).orderBy(*keys)
+    return r.join(F.broadcast(offs), part).withColumn(name, F.row_number().over(w) + F.col(off)).drop(part, off, *keys)
 
 
 def split(df: DataFrame, key: str, train: float, val: float, salt: str = "42") -> DataFrame:

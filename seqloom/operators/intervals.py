@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import canonical_chrom
+from ..functions.shared import fresh, written
 
 
 #: Positions of a tile in which intervals are ordered.
@@ -33,24 +34,48 @@ def merge_bed(iv: DataFrame, by: tuple[str, ...] = ("chrom",), tile: int = TILE)
     return d.groupBy(*by, "block").agg(F.max("end").alias("end"), F.count("*").alias("n")).withColumnRenamed("block", "start").select(*by, "start", "end", "n")
 
 
-def _bucketed(iv: DataFrame, size: int) -> DataFrame:
-    last = F.greatest(F.col("start"), F.col("end") - 1)
-    return iv.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / size).cast("long"), F.floor(last / size).cast("long"))))
+#: Slices of a chrom for an overlap join, and rows of one side in a slice from which it is split, in multiples of the mean.
+SLICES, DENSE = 128, 2
 
 
-def overlap_join(a: DataFrame, b: DataFrame, bucket: int, how: str = "inner") -> DataFrame:
+def overlap_join(a: DataFrame, b: DataFrame, how: str = "inner", slices: int = SLICES) -> DataFrame:
     """Pairs of overlapping intervals of the same chrom, with the clipped overlap (o_start, o_end).
 
-    An equi-join on (chrom, bucket): each interval stands in every bucket it touches, and a pair is kept in the bucket
-    where its overlap begins. Columns of b get the prefix b_. ``left_semi`` and ``left_anti`` keep rows of a.
+    Each chrom is cut where equal shares of all starts lie, so a crowded place is many slices and an empty one none. An
+    interval stands in every slice it touches (``slices`` at most), and a pair is kept in the slice where its overlap begins,
+    which is the later of the two first slices. A slice that holds more than ``DENSE`` times the mean of a's rows all the same
+    (equal starts, or many that reach across) is dealt: its rows of a to several parts, those of b to each of them.
+
+    Columns of b get the prefix b_. ``left_semi`` and ``left_anti`` keep rows of a. Columns of a may have any name; a null
+    start or end overlaps nothing. Rows are dealt by a hash of all their columns, so rows that agree in all of them stay together.
     """
     if how in ("left_semi", "left_anti"):
         place = ["chrom", "start", "end"]  # all that an overlap hangs on
-        return a.join(overlap_join(a.select(*place).distinct(), b, bucket).select(*place).distinct(), place, how).select(*a.columns)
-    right = _bucketed(b, bucket).select(*(F.col(c).alias(c if c in ("chrom", "bucket") else f"b_{c}") for c in [*b.columns, "bucket"]))
-    j = _bucketed(a, bucket).join(right, ["chrom", "bucket"])
+        return a.join(overlap_join(a.select(*place).distinct(), b, slices=slices).select(*place).distinct(), place, how).select(*a.columns)
+    made = ["o_start", "o_end"]
+    key, cuts, at, low, low_b, parts, deal, n, many = fresh([*a.columns, *(f"b_{c}" for c in b.columns), *made], "key", "cuts", "slice", "low", "low_b", "parts", "deal", "n", "many")
+    starts = a.select("chrom", "start").unionByName(b.select("chrom", "start"))
+    slices = max(2, slices)
+    every = F.array(*(F.lit(i / slices) for i in range(1, slices)))
+    edges = written(starts.groupBy("chrom").agg(F.array_distinct(F.percentile_approx("start", every, 10 * slices)).alias(cuts)), "cuts").withColumnRenamed("chrom", key)  # a row a chrom
+
+    def dealt(iv: DataFrame, first: str) -> DataFrame:
+        place = lambda x: F.size(F.filter(cuts, lambda c: c <= x))
+        last = F.greatest(F.col("start"), F.col("end") - 1)
+        d = iv.filter("start IS NOT NULL AND `end` IS NOT NULL").join(F.broadcast(edges), F.col("chrom") == F.col(key)).drop(key).withColumn(first, place(F.col("start")))
+        return d.withColumn(at, F.explode(F.sequence(F.col(first), F.greatest(F.col(first), place(last))))).drop(cuts)
+
+    left, right = dealt(a, low), dealt(b, low_b)
+    load = written(left.groupBy("chrom", at).agg(F.count("*").alias(n)), "load")  # a row a slice
+    mean = load.agg(F.avg(n)).first()[0] or 1.0
+    load = F.broadcast(load.select("chrom", at, F.greatest(F.lit(1), F.ceil(F.col(n) / (DENSE * mean))).cast("int").alias(many)))
+    left = left.join(load, ["chrom", at]).withColumn(deal, F.pmod(F.xxhash64(*a.columns), F.col(many)).cast("int")).drop(many)
+    right = right.join(load, ["chrom", at]).withColumn(deal, F.explode(F.sequence(F.lit(0), F.col(many) - 1))).drop(many)
+    right = right.select(*(F.col(c).alias(f"b_{c}") for c in b.columns if c != "chrom"), F.col("chrom").alias(key), F.col(at).alias(parts), F.col(deal).alias(n), low_b)
+    j = left.join(right, (F.col("chrom") == F.col(key)) & (F.col(at) == F.col(parts)) & (F.col(deal) == F.col(n)))
     lo, hi = F.greatest("start", "b_start"), F.least("end", "b_end")
-    return j.filter((lo < hi) & (F.col("bucket") == F.floor(lo / bucket).cast("long"))).withColumn("o_start", lo).withColumn("o_end", hi).drop("bucket")
+    j = j.filter((lo < hi) & (F.col(at) == F.greatest(low, low_b))).withColumn("o_start", lo).withColumn("o_end", hi)
+    return j.select(*a.columns, *(f"b_{c}" for c in b.columns if c != "chrom"), *made)
 
 
 def validate(iv: DataFrame) -> DataFrame:

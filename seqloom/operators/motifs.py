@@ -42,7 +42,7 @@ def coverage(variants: DataFrame, tokenize: dict[str, Callable[[Column], Column]
         known = F.col("variant").isin(*sorted(vocab[name])) if vocab[name] else F.lit(False)
         n = F.size("tokens")
         d = variants.withColumn("tokens", names(f(F.col("variant")))).select(
-            F.lit(name).alias("tokenizer"), "motif", "variant", n.alias("n_tokens"), (n == 1).cast("int").alias("perfect"), known.cast("int").alias("in_vocab"), (1 / n).cast("double").alias("mean_token_share")
+            F.lit(name).alias("tokenizer"), "motif", "variant", n.alias("n_tokens"), (n == 1).cast("int").alias("perfect"), known.cast("int").alias("in_vocab"), F.when(n > 0, 1 / n).cast("double").alias("mean_token_share")
         )
         out = d if out is None else out.unionByName(d)
     return out

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import not_nan, z_cutoff
+from .selection import beside, medians
 
 #: Bins of a tile in which runs are merged before a track's tiles are joined.
 TILE_BINS = 4096
@@ -106,7 +107,8 @@ def _with_previous(g: DataFrame, tile: int | None = None) -> DataFrame:
 
 def adjacent_change(g: DataFrame) -> DataFrame:
     """Median absolute difference of neighbouring windows; a missing window breaks the pair."""
-    return _with_previous(g).withColumn("d", F.abs(F.col("mean") - F.col("prev"))).groupBy("chrom", "window").agg(F.count("d").alias("n_pairs"), F.median("d").alias("median_abs_change"))
+    d = _with_previous(g).withColumn("d", F.abs(F.col("mean") - F.col("prev")))
+    return beside(d.groupBy("chrom", "window").agg(F.count("d").alias("n_pairs")), medians(d, ["chrom", "window"], {"median_abs_change": F.col("d")}), ["chrom", "window"])
 
 
 def lag1_autocorrelation(g: DataFrame) -> DataFrame:
@@ -147,13 +149,18 @@ def heterogeneity(track: DataFrame, size: int, z: float = 1.645) -> DataFrame:
     b = track.withColumn("bin", F.floor(F.col("start") / size).cast("long")).groupBy("chrom", "bin").agg(
         F.avg(s).alias("binned_score"), F.stddev_pop(s).alias("sd_in"), F.avg((s > 0).cast("double")).alias("pos"), F.avg((s < 0).cast("double")).alias("neg")
     ).withColumn("mixed", ((F.col("pos") > 0) & (F.col("neg") > 0)).cast("double"))
-    return classify(b, z=z, ddof=0).groupBy("chrom", "category").agg(
-        F.count("*").alias("n_bins"), F.avg("sd_in").alias("mean_sd"), F.median("sd_in").alias("median_sd"), F.avg("pos").alias("mean_frac_pos"), F.avg("neg").alias("mean_frac_neg"), F.avg("mixed").alias("frac_mixed")
+    c = classify(b, z=z, ddof=0)
+    g = c.groupBy("chrom", "category").agg(
+        F.count("*").alias("n_bins"), F.avg("sd_in").alias("mean_sd"), F.avg("pos").alias("mean_frac_pos"), F.avg("neg").alias("mean_frac_neg"), F.avg("mixed").alias("frac_mixed")
     )
+    return beside(g, medians(c, ["chrom", "category"], {"median_sd": F.col("sd_in")}), ["chrom", "category"])
 
 
-def boundary_probability(spark, bins_: list[int], lengths: list[int]) -> DataFrame:
-    """Chance that a motif of length L crosses, or lies within, a bin of size B."""
-    d = spark.createDataFrame([(b,) for b in bins_], "bin_size int").crossJoin(spark.createDataFrame([(x,) for x in lengths], "motif_length int"))  # two literal lists
+def boundary_probability(sizes: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Chance that a motif of ``motif_length`` crosses, or lies within, a bin of ``bin_size``, for each distinct pair of them.
+
+    Both are dimensions of a few values (bin widths, lengths up to the longest motif), whatever the rows they are taken from.
+    """
+    d = sizes.select("bin_size").distinct().crossJoin(F.broadcast(lengths.select("motif_length").distinct()))
     b, n = F.col("bin_size"), F.col("motif_length")
     return d.select("bin_size", "motif_length", F.round(F.when(n > b, 1.0).otherwise((n - 1) / b), 4).alias("p_cross"), F.round(F.when(n > b, 0.0).otherwise((b - n + 1) / b), 4).alias("p_contain"))

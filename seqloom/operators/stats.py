@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.columns import normal_p, not_nan
+from ..functions.shared import fresh, written
+from .selection import beside, medians
 
 
 def token_counts(tokens: DataFrame, by: list[str], token: str = "token") -> DataFrame:
@@ -128,17 +130,21 @@ def bh(df: DataFrame, p: str, key: str, by: list[str] | None = None) -> DataFram
 
 
 def bh_large(df: DataFrame, p: str, key: str) -> DataFrame:
-    """W5 for tables that no task should sort alone: ranks from range partitions, the running minimum carried between them."""
-    r = df.repartitionByRange(p, key).sortWithinPartitions(p, key).withColumn("__part", F.spark_partition_id()).persist()
-    sizes = r.groupBy("__part").agg(F.count("*").alias("n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
-    offs = sizes.withColumn("off", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("total", F.sum("n").over(Window.partitionBy()))
-    w = Window.partitionBy("__part").orderBy(p, key)
-    d = r.join(F.broadcast(offs), "__part").withColumn("__rank", F.row_number().over(w) + F.col("off")).withColumn("__raw", F.col(p) * F.col("total") / F.col("__rank"))
-    lows = d.groupBy("__part").agg(F.min("__raw").alias("low")).withColumn("later", F.min("low").over(Window.orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)))
-    down = Window.partitionBy("__part").orderBy(F.desc("__rank")).rowsBetween(Window.unboundedPreceding, 0)
-    q = F.least(F.lit(1.0), F.min("__raw").over(down), F.col("later"))
-    return d.join(F.broadcast(lows.select("__part", "later")), "__part").withColumn("q", q).drop("__part", "__rank", "__raw", "n", "off", "total", "later")
+    """W5 for tables that no task should sort alone: ranks from range partitions, the running minimum carried between them.
+
+    All columns are kept, whatever their names; ``q`` is added.
+    """
+    part, n, off, total, rank, raw, low, later = fresh([*df.columns, "q"], "part", "n", "off", "total", "rank", "raw", "low", "later")
+    r = written(df.repartitionByRange(p, key).withColumn(part, F.spark_partition_id()), "ranks")
+    sizes = r.groupBy(part).agg(F.count("*").alias(n))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    offs = sizes.select(part, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(off), F.sum(n).over(Window.partitionBy()).alias(total))
+    w = Window.partitionBy(part).orderBy(p, key)
+    d = r.join(F.broadcast(offs), part).withColumn(rank, F.row_number().over(w) + F.col(off)).withColumn(raw, F.col(p) * F.col(total) / F.col(rank))
+    lows = d.groupBy(part).agg(F.min(raw).alias(low)).select(part, F.min(low).over(Window.orderBy(F.desc(part)).rowsBetween(Window.unboundedPreceding, -1)).alias(later))
+    down = Window.partitionBy(part).orderBy(F.desc(rank)).rowsBetween(Window.unboundedPreceding, 0)
+    q = F.least(F.lit(1.0), F.min(raw).over(down), F.col(later))
+    return d.join(F.broadcast(lows), part).withColumn("q", q).select(*(c for c in df.columns if c != "q"), "q")
 
 
 def enriched(counts: DataFrame, key: str, a: str, b: str) -> DataFrame:
@@ -340,16 +346,18 @@ def span_moments(occ: DataFrame, span: str) -> DataFrame:
 def score_profile(occ: DataFrame, by: list[str]) -> DataFrame:
     """Per token mean and median of the occurrences' mean and variance; NaN is skipped there, not in the count."""
     m, v = not_nan("mean_score"), not_nan("var_score")
-    return occ.groupBy(*by, "token").agg(F.avg(m).alias("mean_mean"), F.avg(v).alias("mean_var"), F.median(m).alias("median_mean"), F.median(v).alias("median_var"), F.count("*").alias("count"))
+    g = occ.groupBy(*by, "token").agg(F.avg(m).alias("mean_mean"), F.avg(v).alias("mean_var"), F.count("*").alias("count"))
+    return beside(g, medians(occ, [*by, "token"], {"median_mean": m, "median_var": v}), [*by, "token"]).select(*by, "token", "mean_mean", "mean_var", "median_mean", "median_var", "count")
 
 
 def tokenizer_summary(profile: DataFrame, by: list[str]) -> DataFrame:
     """Unweighted over tokens."""
     pct = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double")) * 100
-    return profile.groupBy(*by).agg(
-        F.count("*").alias("num_tokens"), F.avg("mean_mean").alias("mean_of_mean"), F.median("mean_mean").alias("median_of_mean"), F.avg("mean_var").alias("mean_of_var"), F.median("mean_var").alias("median_of_var"),
-        pct(F.col("mean_mean") > 0).alias("pct_mean_pos"), pct(F.col("mean_var") < 0.1).alias("pct_var_low"), F.avg("count").alias("mean_count"), F.median("count").alias("median_count"),
+    g = profile.groupBy(*by).agg(
+        F.count("*").alias("num_tokens"), F.avg("mean_mean").alias("mean_of_mean"), F.avg("mean_var").alias("mean_of_var"),
+        pct(F.col("mean_mean") > 0).alias("pct_mean_pos"), pct(F.col("mean_var") < 0.1).alias("pct_var_low"), F.avg("count").alias("mean_count"),
     )
+    return beside(g, medians(profile, by, {"median_of_mean": F.col("mean_mean"), "median_of_var": F.col("mean_var"), "median_count": F.col("count")}), by)
 
 
 def best_tokens(stats: DataFrame, by: list[str]) -> DataFrame:

@@ -55,7 +55,8 @@ def bed_merge(spark, sf_dir):
 
 
 def _segments(spark, sf_dir):
-    return S.segments(signal(spark, sf_dir), HOUR).select("chrom", F.col("genomic_start").alias("start"), F.col("genomic_end").alias("end"), "category")
+    d = S.segments(signal(spark, sf_dir), HOUR).select("chrom", F.col("genomic_start").alias("start"), F.col("genomic_end").alias("end"), "category")
+    return written(d, "segments")  # the join reads them three times: their starts, their number in each slice, themselves
 
 
 OVER = "ov AS (SELECT r.event_id, r.chrom, r.kind, g.category, greatest(r.s, g.genomic_start) AS o_start, least(r.e, g.genomic_end) AS o_end FROM regions r JOIN segments g ON r.chrom = g.chrom AND r.s < g.genomic_end AND g.genomic_start < r.e)"
@@ -64,7 +65,7 @@ OVER = "ov AS (SELECT r.event_id, r.chrom, r.kind, g.category, greatest(r.s, g.g
 @query("interval_overlap", f"WITH {SEGMENTS}, {REGIONS}, {OVER} SELECT * FROM ov")
 def interval_overlap(spark, sf_dir):
     """Clipped overlaps of regions and segments."""
-    j = I.overlap_join(regions(spark, sf_dir), _segments(spark, sf_dir), 86_400)
+    j = I.overlap_join(regions(spark, sf_dir), _segments(spark, sf_dir))
     return j.select("event_id", "chrom", "kind", F.col("b_category").alias("category"), "o_start", "o_end")
 
 
@@ -77,7 +78,7 @@ mm AS (SELECT kind, category, chrom, block, max(e) - min(s) AS len FROM mb GROUP
 SELECT kind, CAST(coalesce(sum(len) FILTER (category = 'conserved'), 0) AS BIGINT) AS conserved, CAST(coalesce(sum(len) FILTER (category = 'neutral'), 0) AS BIGINT) AS neutral, CAST(coalesce(sum(len) FILTER (category = 'accelerated'), 0) AS BIGINT) AS accelerated FROM mm GROUP BY kind""")
 def region_conservation_grid(spark, sf_dir):
     """Bases of each region kind within each category, overlaps merged, as a matrix."""
-    j = I.overlap_join(regions(spark, sf_dir), _segments(spark, sf_dir), 86_400)
+    j = I.overlap_join(regions(spark, sf_dir), _segments(spark, sf_dir))
     m = I.merge_bed(j.select("kind", F.col("b_category").alias("category"), "chrom", F.col("o_start").alias("start"), F.col("o_end").alias("end")), ("kind", "category", "chrom"))
     p = m.groupBy("kind").pivot("category", [S.CONSERVED, S.NEUTRAL, S.ACCELERATED]).agg(F.sum(F.col("end") - F.col("start")))
     return p.na.fill(0)
@@ -87,8 +88,8 @@ def region_conservation_grid(spark, sf_dir):
 def interval_anti_semi(spark, sf_dir):
     """Regions with and without an important segment."""
     r, g = regions(spark, sf_dir), _segments(spark, sf_dir).filter(F.col("category") != S.NEUTRAL)
-    yes = I.overlap_join(r, g, 86_400, "left_semi").select("event_id", F.lit(True).alias("touches"))
-    return yes.unionByName(I.overlap_join(r, g, 86_400, "left_anti").select("event_id", F.lit(False).alias("touches")))
+    yes = I.overlap_join(r, g, "left_semi").select("event_id", F.lit(True).alias("touches"))
+    return yes.unionByName(I.overlap_join(r, g, "left_anti").select("event_id", F.lit(False).alias("touches")))
 
 
 FETCHED = f"""WITH {SEQS}, q AS (SELECT doc_id, seq, s, s + 20 + doc_id % 300 AS e FROM (SELECT doc_id, seq, (doc_id * 7919 + j * length(seq) // 3) % length(seq) AS s FROM seqs, (SELECT unnest(range(3)) AS j) WHERE length(seq) > 0))
@@ -213,11 +214,12 @@ def within_bin_heterogeneity(spark, sf_dir):
     return _rounded(S.heterogeneity(t, 21_600), "mean_sd", "median_sd", "mean_frac_pos", "mean_frac_neg", "frac_mixed")
 
 
-@query("boundary_probability", """SELECT CAST(b AS INTEGER) AS bin_size, CAST(l AS INTEGER) AS motif_length, round(CASE WHEN l > b THEN 1.0 ELSE CAST(l - 1 AS DOUBLE) / b END, 4) AS p_cross, round(CASE WHEN l > b THEN 0.0 ELSE CAST(b - l + 1 AS DOUBLE) / b END, 4) AS p_contain
-FROM (SELECT unnest([10, 25, 50, 100, 200, 500]) AS b), (SELECT unnest([6, 8, 12]) AS l)""")
+@query("boundary_probability", f"""WITH {SIGNAL}, w AS (SELECT DISTINCT {HOUR} * (1 + user_id % 5) AS b FROM signal), m AS (SELECT DISTINCT length(p_name) * 60 AS l FROM part)
+SELECT b AS bin_size, l AS motif_length, round(CASE WHEN l > b THEN 1.0 ELSE CAST(l - 1 AS DOUBLE) / b END, 4) AS p_cross, round(CASE WHEN l > b THEN 0.0 ELSE CAST(b - l + 1 AS DOUBLE) / b END, 4) AS p_contain FROM w, m""")
 def boundary_probability(spark, sf_dir):
-    """Closed form for motifs at bin borders."""
-    return S.boundary_probability(spark, [10, 25, 50, 100, 200, 500], [6, 8, 12])
+    """Closed form for the motif lengths (of ``part`` names, a minute a letter) at the borders of the tracks' bin widths."""
+    sizes = signal(spark, sf_dir).select((HOUR * (1 + F.col("user_id") % 5)).alias("bin_size"))
+    return S.boundary_probability(sizes, read(spark, sf_dir, "part").select((F.length("p_name") * 60).cast("long").alias("motif_length")))
 
 
 @query("nearest_impute", f"""WITH {SIGNAL}, p AS (SELECT chrom, s // 3600 AS pos, avg(score) AS v FROM signal GROUP BY ALL), t AS (SELECT chrom, pos, CASE WHEN pos % 3 = 0 THEN v END AS value FROM p),

@@ -55,7 +55,7 @@ def test_intersect(spark):
     a = spark.createDataFrame([("c", 0, 100)], "chrom string, start long, end long")
     b = spark.createDataFrame([("c", 50, 60), ("c", 90, 120)], "chrom string, start long, end long")
     for bucket in (7, 50, 1000):
-        assert sorted((r.o_start, r.o_end) for r in I.overlap_join(a, b, bucket).collect()) == [(50, 60), (90, 100)]
+        assert sorted((r.o_start, r.o_end) for r in I.overlap_join(a, b, slices=bucket).collect()) == [(50, 60), (90, 100)]
 
 
 def test_bucketed_join_equals_nested_loop(spark):
@@ -65,7 +65,7 @@ def test_bucketed_join_equals_nested_loop(spark):
     want = sorted((x[0], max(x[1], y[1]), min(x[2], y[2])) for x in a for y in b if x[0] == y[0] and x[1] < y[2] and y[1] < x[2])
     s = "chrom string, start long, end long"
     for n in (1, 3, 8):
-        j = I.overlap_join(spark.createDataFrame(a, s).repartition(n), spark.createDataFrame(b, s), 25)
+        j = I.overlap_join(spark.createDataFrame(a, s).repartition(n), spark.createDataFrame(b, s), slices=25)
         assert sorted((x.chrom, x.o_start, x.o_end) for x in j.collect()) == want
 
 
@@ -275,7 +275,7 @@ def test_kappa(spark):
 
 
 def test_boundaries(spark):
-    r = {x.bin_size: x for x in S.boundary_probability(spark, [100, 10], [12]).collect()}
+    r = {x.bin_size: x for x in S.boundary_probability(spark.createDataFrame([(100,), (10,), (10,)], "bin_size int"), spark.createDataFrame([(12,)], "motif_length int")).collect()}
     assert (r[100].p_cross, r[100].p_contain, r[10].p_cross, r[10].p_contain) == (0.11, 0.89, 1.0, 0.0)
 
 
@@ -418,7 +418,7 @@ def test_imputation_across_tiles(spark, tile):
 def test_semi_and_anti_overlap_split_the_rows(spark):
     a = spark.createDataFrame([("c", 0, 5, 1), ("c", 0, 5, 1), ("c", 9, 10, 2), ("d", 0, 5, 3), (None, 0, 5, 4)], "chrom string, start long, end long, k int")
     b = spark.createDataFrame([("c", 4, 6)], "chrom string, start long, end long")
-    assert sorted(x.k for x in I.overlap_join(a, b, 4, "left_semi").collect()) == [1, 1] and sorted(x.k for x in I.overlap_join(a, b, 4, "left_anti").collect()) == [2, 3, 4]
+    assert sorted(x.k for x in I.overlap_join(a, b, "left_semi", 4).collect()) == [1, 1] and sorted(x.k for x in I.overlap_join(a, b, "left_anti", 4).collect()) == [2, 3, 4]
 
 
 # --- many sequences at once
