@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import fnmatch
+import json
 import posixpath
+import re
 import tempfile
 import uuid
 
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,6 +66,14 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as a table of the plan itself, without a job that reads them."""
+    names = [c.strip().split()[0] for c in re.split(r",\s+(?![^<]*>)", schema)]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    fields = ",".join(c.strip().replace(" ", ":", 1) for c in re.split(r",\s+(?![^<]*>)", schema))
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{fields}>>")))
+
+
 # --- files by URI, for tasks that read ranges of bytes
 def located(path: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a URI; without a scheme, or with ``file:``, the local one."""

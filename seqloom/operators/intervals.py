@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import canonical_chrom
-from ..functions.shared import fresh, written
+from ..functions.shared import fresh, literal
 
 
 #: Positions of a tile in which intervals are ordered.
@@ -34,15 +36,15 @@ def merge_bed(iv: DataFrame, by: tuple[str, ...] = ("chrom",), tile: int = TILE)
     return d.groupBy(*by, "block").agg(F.max("end").alias("end"), F.count("*").alias("n")).withColumnRenamed("block", "start").select(*by, "start", "end", "n")
 
 
-#: Slices of a chrom for an overlap join, and rows of one side in a slice from which it is split, in multiples of the mean.
-SLICES, DENSE = 128, 2
+#: Rows of one side in a slice of an overlap join from which it is split, in multiples of the mean.
+DENSE = 2
 
 
-def overlap_join(a: DataFrame, b: DataFrame, how: str = "inner", slices: int = SLICES) -> DataFrame:
+def overlap_join(a: DataFrame, b: DataFrame, how: str = "inner", slices: int | None = None) -> DataFrame:
     """Pairs of overlapping intervals of the same chrom, with the clipped overlap (o_start, o_end).
 
     Each chrom is cut where equal shares of all starts lie, so a crowded place is many slices and an empty one none. An
-    interval stands in every slice it touches (``slices`` at most), and a pair is kept in the slice where its overlap begins,
+    interval stands in every slice it touches (``slices`` at most, by default as many as shuffle partitions), and a pair is kept in the slice where its overlap begins,
     which is the later of the two first slices. A slice that holds more than ``DENSE`` times the mean of a's rows all the same
     (equal starts, or many that reach across) is dealt: its rows of a to several parts, those of b to each of them.
 
@@ -53,26 +55,32 @@ def overlap_join(a: DataFrame, b: DataFrame, how: str = "inner", slices: int = S
         place = ["chrom", "start", "end"]  # all that an overlap hangs on
         return a.join(overlap_join(a.select(*place).distinct(), b, slices=slices).select(*place).distinct(), place, how).select(*a.columns)
     made = ["o_start", "o_end"]
-    key, cuts, at, low, low_b, parts, deal, n, many = fresh([*a.columns, *(f"b_{c}" for c in b.columns), *made], "key", "cuts", "slice", "low", "low_b", "parts", "deal", "n", "many")
-    starts = a.select("chrom", "start").unionByName(b.select("chrom", "start"))
-    slices = max(2, slices)
+    key, cuts, at, low, low_b, at_b, deal, deal_b, n, many = fresh([*a.columns, *(f"b_{c}" for c in b.columns), *made], "key", "cuts", "slice", "low", "low_b", "slice_b", "deal", "deal_b", "n", "many")
+    spark = a.sparkSession
+    slices = max(2, slices or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    starts = a.select("chrom", "start", F.lit(1).alias(n)).unionByName(b.select("chrom", "start", F.lit(0).alias(n))).filter("chrom IS NOT NULL AND start IS NOT NULL")
     every = F.array(*(F.lit(i / slices) for i in range(1, slices)))
-    edges = written(starts.groupBy("chrom").agg(F.array_distinct(F.percentile_approx("start", every, 10 * slices)).alias(cuts)), "cuts").withColumnRenamed("chrom", key)  # a row a chrom
+    edges = starts.groupBy("chrom").agg(F.array_distinct(F.percentile_approx("start", every, 10 * slices)).alias(cuts), F.sum(n).alias(n)).collect()  # a row a chrom
+    rows, mean = [(r["chrom"], r[cuts]) for r in edges], sum(r[n] for r in edges) / max(1, sum(len(r[cuts]) + 1 for r in edges))
+    edges = F.broadcast(literal(spark, rows, f"{key} {a.schema['chrom'].dataType.simpleString()}, {cuts} array<bigint>"))
 
     def dealt(iv: DataFrame, first: str) -> DataFrame:
         place = lambda x: F.size(F.filter(cuts, lambda c: c <= x))
         last = F.greatest(F.col("start"), F.col("end") - 1)
-        d = iv.filter("start IS NOT NULL AND `end` IS NOT NULL").join(F.broadcast(edges), F.col("chrom") == F.col(key)).drop(key).withColumn(first, place(F.col("start")))
+        d = iv.filter("start IS NOT NULL AND `end` IS NOT NULL").join(edges, F.col("chrom") == F.col(key)).drop(key).withColumn(first, place(F.col("start")))
         return d.withColumn(at, F.explode(F.sequence(F.col(first), F.greatest(F.col(first), place(last))))).drop(cuts)
 
     left, right = dealt(a, low), dealt(b, low_b)
-    load = written(left.groupBy("chrom", at).agg(F.count("*").alias(n)), "load")  # a row a slice
-    mean = load.agg(F.avg(n)).first()[0] or 1.0
-    load = F.broadcast(load.select("chrom", at, F.greatest(F.lit(1), F.ceil(F.col(n) / (DENSE * mean))).cast("int").alias(many)))
-    left = left.join(load, ["chrom", at]).withColumn(deal, F.pmod(F.xxhash64(*a.columns), F.col(many)).cast("int")).drop(many)
-    right = right.join(load, ["chrom", at]).withColumn(deal, F.explode(F.sequence(F.lit(0), F.col(many) - 1))).drop(many)
-    right = right.select(*(F.col(c).alias(f"b_{c}") for c in b.columns if c != "chrom"), F.col("chrom").alias(key), F.col(at).alias(parts), F.col(deal).alias(n), low_b)
-    j = left.join(right, (F.col("chrom") == F.col(key)) & (F.col(at) == F.col(parts)) & (F.col(deal) == F.col(n)))
+    full = left.groupBy("chrom", at).agg(F.count("*").alias(n)).filter(F.col(n) > DENSE * max(1.0, mean)).collect()  # 1/DENSE of the slices, and those that many reach across
+    parts = [(r["chrom"], r[at], math.ceil(r[n] / (DENSE * max(1.0, mean)))) for r in full]
+    if parts:
+        load = F.broadcast(literal(spark, parts, f"chrom {a.schema['chrom'].dataType.simpleString()}, {at} int, {many} int"))
+        left = left.join(load, ["chrom", at], "left").withColumn(deal, F.coalesce(F.pmod(F.xxhash64(*a.columns), F.col(many)), F.lit(0)).cast("int")).drop(many)
+        right = right.join(load, ["chrom", at], "left").withColumn(deal, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(many), F.lit(1)) - 1))).drop(many)
+    else:
+        left, right = left.withColumn(deal, F.lit(0)), right.withColumn(deal, F.lit(0))
+    right = right.select(*(F.col(c).alias(f"b_{c}") for c in b.columns if c != "chrom"), F.col("chrom").alias(key), F.col(at).alias(at_b), F.col(deal).alias(deal_b), low_b)
+    j = left.join(right, (F.col("chrom") == F.col(key)) & (F.col(at) == F.col(at_b)) & (F.col(deal) == F.col(deal_b)))
     lo, hi = F.greatest("start", "b_start"), F.least("end", "b_end")
     j = j.filter((lo < hi) & (F.col(at) == F.greatest(low, low_b))).withColumn("o_start", lo).withColumn("o_end", hi)
     return j.select(*a.columns, *(f"b_{c}" for c in b.columns if c != "chrom"), *made)

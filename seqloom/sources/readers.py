@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import canonical_chrom
+from ..functions.shared import folder
 
 BEDGRAPH = "chrom string, start bigint, end bigint, score double"
 SEGMENT_COLUMNS = ["chrom", "genomic_start", "genomic_end", "category"]
@@ -16,8 +17,8 @@ _MALFORMED = "n <> 4 OR (start IS NULL AND start_text <> '') OR (end IS NULL AND
 
 def _fields(spark: SparkSession, path: str) -> DataFrame:
     """Lines that are not blank: their number of fields, and the four typed columns beside their texts; a field that is no number is null."""
-    d = spark.read.text(path).filter("trim(value) <> ''").withColumn("p", F.split("value", "\t"))
-    d = d.select(F.size("p").alias("n"), F.nullif(F.get("p", F.lit(0)), F.lit("")).alias("chrom"), *(F.trim(F.coalesce(F.get("p", F.lit(i)), F.lit(""))).alias(f"{c}_text") for i, c in ((1, "start"), (2, "end"), (3, "score"))))
+    d = spark.read.text(path).filter("trim(value) <> ''").withColumn("p", F.split("value", "\t")).withColumn("file", F.col("_metadata.file_path"))
+    d = d.select("file", F.col("value").alias("line"), F.size("p").alias("n"), F.nullif(F.get("p", F.lit(0)), F.lit("")).alias("chrom"), *(F.trim(F.coalesce(F.get("p", F.lit(i)), F.lit(""))).alias(f"{c}_text") for i, c in ((1, "start"), (2, "end"), (3, "score"))))
     return d.withColumns({c: F.expr(f"try_cast({c}_text AS {t})") for c, t in (("start", "bigint"), ("end", "bigint"), ("score", "double"))})
 
 
@@ -36,6 +37,21 @@ def skipped(spark: SparkSession, path: str) -> int:
     return _fields(spark, path).filter(_MALFORMED).count()
 
 
+def bedgraph_checked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """The good rows, the malformed lines (file, line) and how many there are of each, from one reading of the files.
+
+    One job writes both kinds side by side under the shared folder and counts them on the way; the two tables are read from there.
+    """
+    seen = Observation("bedgraph")
+    d = _fields(spark, path).withColumn("bad", F.expr(_MALFORMED) | F.col("chrom").isNull())
+    d = d.observe(seen, F.count_if(~F.col("bad")).alias("good"), F.count_if("bad").alias("malformed"))
+    out = folder(spark, "bedgraph")
+    kept = F.struct("chrom", "start", "end", "score")
+    d.select(F.when(~F.col("bad"), kept).alias("row"), F.when(F.col("bad"), F.struct("file", "line")).alias("skipped"), "bad").write.partitionBy("bad").parquet(out)
+    both = spark.read.schema(f"row struct<{BEDGRAPH.replace(' ', ':').replace(',:', ',')}>, skipped struct<file:string,line:string>, bad boolean").parquet(out)
+    return both.filter("NOT bad").select("row.*"), both.filter("bad").select("skipped.*"), dict(seen.get)
+
+
 def parse_fasta(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """(header, seq) of FASTA text in a column; lines are joined, blanks go, text before the first header is dropped."""
     recs = F.filter(F.split(text, ">", -1), lambda x: x != "")

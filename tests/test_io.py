@@ -107,3 +107,30 @@ def test_stream_equals_batch(spark, sf, tmp_path):
 
     want = {(r.chrom, r.genomic_start): round(r.binned_score, 9) for r in bins(signal(spark, sf), 3600).collect()}
     assert got == want
+
+
+def test_bedgraph_keeps_its_malformed_lines(spark, tmp_path):
+    (tmp_path / "a.bedgraph").write_text("chr1\t0\t5\t1.5\n\nchr1\tx\t5\t1\nchr2\t5\t9\t-2\textra\nchr2\t5\t9\t-2\n")
+    (tmp_path / "b.bedgraph").write_text("chr3\t1\t2\t0.25\n\t1\t2\t3\nshort\n")
+    good, bad, n = R.bedgraph_checked(spark, str(tmp_path / "*.bedgraph"))
+    assert sorted(map(tuple, good.collect())) == [("chr1", 0, 5, 1.5), ("chr2", 5, 9, -2.0), ("chr3", 1, 2, 0.25)] == sorted(map(tuple, R.bedgraph(spark, str(tmp_path / "*.bedgraph")).collect()))
+    assert sorted((r["file"].rsplit("/", 1)[1], r["line"]) for r in bad.collect()) == [("a.bedgraph", "chr1\tx\t5\t1"), ("a.bedgraph", "chr2\t5\t9\t-2\textra"), ("b.bedgraph", "\t1\t2\t3"), ("b.bedgraph", "short")]
+    assert n == {"good": 3, "malformed": 4}
+
+
+def test_entry_tells_absence_from_faults(monkeypatch):
+    import importlib
+
+    import __spark_entry__ as e
+
+    def missing(name):
+        def load(_):
+            raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+
+        return load
+
+    monkeypatch.setattr(importlib, "import_module", missing("seqloom.llm"))
+    assert e._modules() == []
+    monkeypatch.setattr(importlib, "import_module", missing("xxhash"))
+    with pytest.raises(ModuleNotFoundError):
+        e._modules()
