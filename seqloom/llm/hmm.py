@@ -5,12 +5,13 @@
 share of 0.5 is for words never seen. States emit symbols, so the model is one distribution over all texts while its
 tables stay bounded.
 
-*Training.* Word counts come from all training texts, which are then written once as symbols. Each of ``PASSES`` passes
-runs forward and backward over every training text and sums the expected counts over all partitions; the driver gets the
-summed tables, whose size is fixed. The first pass starts from seeded noise. Long texts are worked off in pieces of
-``PIECE`` tokens that also read ``CONTEXT`` tokens before and behind them, over which the messages at their borders are
-made: every token, and every transition into it, counts once, in its own piece, and texts of up to ``PIECE`` tokens are
-whole. Counts are summed as integers, so sums don't depend on their order.
+*Training.* Word counts come from all training texts, which are then written once as symbols. Each pass runs forward and
+backward over every training text and sums the expected counts over all partitions; the driver gets the summed tables,
+whose size is fixed. The first pass starts from seeded noise. Passes go on until one raises the training texts' log10
+likelihood by less than ``TOLERANCE`` a token, at least ``LEAST_PASSES`` and at most ``MOST_PASSES``. Texts of more than
+``PIECE`` tokens are counted in pieces whose messages at the borders are those of the whole text: vectors are carried
+through the matrices of the pieces, so the counts are exact in bounded memory. Counts are summed as integers, so sums
+don't depend on the order of partitions.
 
 *Scores.* The forward recursion runs over whole texts, however long. Words outside the head need their counts, of
 which there are as many as distinct words: they are joined by word, as narrow rows (a hash of the word, the text's
@@ -33,10 +34,10 @@ from .bytewords import Lookup, buffer_of, words
 from .runtime import discard, lean, written
 
 HEAD, CLASSES, STATES = 65_536, 64, 8
-PASSES, PIECE, CONTEXT = 4, 256, 32
+LEAST_PASSES, MOST_PASSES, TOLERANCE, PIECE = 12, 24, 0.002, 2048
+TOKENS_AT_ONCE = 500_000
 #: Least weight of the unigram in a state's emissions, in tokens.
 PRIOR = 100.0
-PIECES_AT_ONCE = 512
 _U = np.uint64
 _UNIT = 2.0**16
 END_KEY = -1  # as a signed word key; no word has it
@@ -128,9 +129,9 @@ class Model:
         self.base = np.log10(np.concatenate([head_c + 0.5, [end_c + 0.5]]) / self.norm)
         self.end_known = end_c > 0
         self.unigram = c / c.sum()
+        self.passes = 0
         self.a = np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
         self.pi = np.full(states, 1 / states)
-        self.share = np.full(states, 1 / states)  # of the states among all tokens: what a piece starts from within a text
         noise = np.exp(np.random.default_rng(2).normal(scale=0.5, size=(len(c), states)))
         b = self.unigram[:, None] * noise
         self.b = b / b.sum(0)
@@ -144,57 +145,97 @@ class Model:
         return out
 
     def expected(self, sym: np.ndarray, n: np.ndarray, into: list[np.ndarray]) -> None:
-        """Adds expected counts of texts (symbols in a row, lengths n, none empty) to [start, transitions, emissions]."""
+        """Adds expected counts of texts (symbols in a row, lengths n, none empty) to [start, transitions, emissions, log likelihood]."""
         pieces = -(-n // PIECE)
-        opens = np.repeat(np.cumsum(n) - n, pieces)
-        ends = np.repeat(np.cumsum(n), pieces)
-        core = opens + (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * PIECE
-        core_end = np.minimum(core + PIECE, ends)
-        first, stop = np.maximum(core - CONTEXT, opens), np.minimum(core_end + CONTEXT, ends)
-        b = np.vstack([self.b, np.ones(self.b.shape[1])])  # the last row is padding
-        k = self.b.shape[1]
-        for at in range(0, len(first), PIECES_AT_ONCE):
-            own = slice(at, at + PIECES_AT_ONCE)
-            f, s, whole = first[own], stop[own], first[own] == opens[own]
-            pos = f + np.arange(int((s - f).max()))[:, None]
-            x = np.where(pos < s, sym[np.minimum(pos, len(sym) - 1)], len(b) - 1)
-            counts = (pos >= core[own]) & (pos < core_end[own])
-            e = b[x]
-            alpha, scale = np.empty_like(e), np.empty(x.shape)
-            cur = np.where(whole[:, None], self.pi, self.share) * e[0]
-            for t in range(len(x)):
-                if t:
-                    cur = (cur @ self.a) * e[t]
-                scale[t] = cur.sum(1)
-                cur = cur / scale[t][:, None]
-                alpha[t] = cur
-            beta = np.ones(alpha.shape[1:])
-            for t in range(len(x) - 1, 0, -1):
-                eb = e[t] * beta / scale[t][:, None]
-                alpha[t] *= beta  # from here on the posterior of t
-                into[1] += self.a * (alpha[t - 1].T @ (eb * counts[t][:, None]))
-                beta = eb @ self.a.T
-            alpha[0] *= beta
-            into[0] += alpha[0][whole & counts[0]].sum(0)
-            on = counts.ravel()
-            flat, post = x.ravel()[on], alpha.reshape(-1, k)[on]
-            for i in range(k):
-                into[2][:, i] += np.bincount(flat, post[:, i], len(b))[:-1]
+        p = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)  # a piece's place in its text
+        first = np.repeat(np.cumsum(n) - n, pieces) + p * PIECE
+        size = np.minimum(np.repeat(np.cumsum(n), pieces) - first, PIECE)
+        k = len(self.pi)
+        before, behind = np.zeros((len(p), k)), np.ones((len(p), k))
+        if len(long := np.flatnonzero(np.repeat(pieces, pieces) > 1)):
+            before[long], behind[long] = self._borders(sym, first[long], size[long], p[long])
+        order = np.argsort(-size, kind="stable")
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(np.cumsum(size[order]) // TOKENS_AT_ONCE)) + 1, [len(order)]])
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            own = order[lo:hi]
+            self._count(sym, first[own], size[own], p[own] == 0, before[own], behind[own], into)
+
+    def _borders(self, sym: np.ndarray, first: np.ndarray, size: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For the pieces of long texts, in order: the states' distribution at the token before, and the weights of all that follows, by state.
+
+        Every piece's matrix (from the state before its emission at its first token to that at its last) is made for all pieces side by side;
+        then vectors go through the matrices from piece to piece. Both are exact but for a factor a piece.
+        """
+        k = len(self.pi)
+        m = np.broadcast_to(np.eye(k), (len(p), k, k)).copy()
+        for t in range(int(size.max())):
+            on = np.flatnonzero(size > t)
+            x = m[on] if t == 0 else (m[on].reshape(-1, k) @ self.a).reshape(-1, k, k)
+            x *= self.b[sym[first[on] + t]][:, None, :]
+            m[on] = x / x.max((1, 2), keepdims=True) if t % 8 == 7 else x
+        before, behind = np.zeros((len(p), k)), np.ones((len(p), k))
+        at = [np.flatnonzero(p == i) for i in range(int(p.max()) + 1)]
+        for i, own in enumerate(at):
+            v = np.broadcast_to(self.pi, (len(own), k)) if i == 0 else before[own] @ self.a
+            v = np.einsum("pi,pij->pj", v, m[own])
+            on = (own + 1 < len(p)) & (p[np.minimum(own + 1, len(p) - 1)] == i + 1)
+            before[own[on] + 1] = v[on] / v[on].sum(1, keepdims=True)
+        for own in reversed(at[1:]):
+            w = np.einsum("pij,pj->pi", m[own], behind[own]) @ self.a.T
+            behind[own - 1] = w / w.max(1, keepdims=True)
+        return before, behind
+
+    def _count(self, sym: np.ndarray, first: np.ndarray, size: np.ndarray, opens: np.ndarray, before: np.ndarray, behind: np.ndarray, into: list[np.ndarray]) -> None:
+        """Forward and backward over pieces, the longest first, all at once token by token; rows are ordered by (token, piece)."""
+        k, longest = len(self.pi), int(size[0])
+        live = np.searchsorted(-size, -np.arange(1, longest + 1), side="right")  # pieces of at least t tokens
+        off = np.concatenate([[0], np.cumsum(live)])
+        t_of = np.repeat(np.arange(longest), live)
+        piece = np.arange(off[-1]) - off[t_of]
+        x = sym[first[piece] + t_of]
+        e = self.b.take(x, axis=0)
+        alpha, scale, ones = np.empty_like(e), np.empty(len(e)), np.ones(k)
+        cur = np.where(opens[:, None], self.pi, before @ self.a)
+        for t in range(longest):
+            own = slice(off[t], off[t + 1])
+            if t:
+                cur = cur[: live[t]] @ self.a
+            now = np.multiply(cur, e[own], out=alpha[own])
+            scale[own] = s = now @ ones
+            now /= s[:, None]
+            cur = now
+        into[3] += np.log(scale).sum()
+        last = alpha[off[size - 1] + np.arange(len(size))]
+        end = behind / (last * behind).sum(1, keepdims=True)
+        e /= scale[:, None]
+        met, back, beta = np.zeros((k, k)), self.a.T.copy(), end[: live[-1]]
+        for t in range(longest - 1, -1, -1):
+            own = slice(off[t], off[t + 1])
+            alpha[own] *= beta  # from here on the posterior of t
+            e[own] *= beta
+            if t:
+                met += alpha[off[t - 1] : off[t - 1] + live[t]].T @ e[own]
+                beta = e[own] @ back
+                if live[t - 1] > live[t]:
+                    beta = np.concatenate([beta, end[live[t] : live[t - 1]]])
+        into[0] += alpha[: live[0]][opens].sum(0)
+        into[1] += self.a * (met + before[~opens].T @ e[: live[0]][~opens])
+        for i in range(k):
+            into[2][:, i] += np.bincount(x, alpha[:, i], len(self.b))
 
     def update(self, got: list[np.ndarray]) -> None:
-        start, trans, emit = got
+        start, trans, emit, _ = got
         self.pi = (start + 1) / (start + 1).sum()
         self.a = (trans + 1) / (trans + 1).sum(1, keepdims=True)
         # Witten-Bell: a state's share for the unigram follows its number of different symbols; unmet symbols keep the unigram's
         met = emit.sum(1) > 0
         n, kinds = emit.sum(0), PRIOR + (emit > 0.5).sum(0)
-        self.share = (n + 1) / (n + 1).sum()
         u = np.where(met, self.unigram, 0.0)
         self.b = np.where(met[:, None], u.sum() * (emit + kinds * (u / u.sum())[:, None]) / (n + kinds), self.unigram[:, None])
 
     def empty(self) -> list[np.ndarray]:
         k = self.b.shape[1]
-        return [np.zeros(k), np.zeros((k, k)), np.zeros_like(self.b)]
+        return [np.zeros(k), np.zeros((k, k)), np.zeros_like(self.b), np.zeros(1)]
 
     def forward(self, sym: np.ndarray, n: np.ndarray) -> np.ndarray:
         """log10 likelihood of each text: the scaled forward recursion over all its symbols."""
@@ -262,8 +303,14 @@ def train(docs: DataFrame, text: str, learn: Column) -> tuple[Model, DataFrame]:
             yield pa.RecordBatch.from_arrays([pa.array(n), blobs.cast(pa.binary())], ["n", "s"])
 
     coded = written(d.select("text").mapInArrow(lean(encode), "n long, s binary"), "symbols")
-    for _ in range(PASSES):
-        model.update(_pass(coded, model))
+    before = -np.inf
+    for done in range(1, MOST_PASSES + 1):
+        got = _pass(coded, model)
+        model.update(got)
+        gain, before = (got[3][0] - before) / total / np.log(10), got[3][0]
+        if done >= LEAST_PASSES and gain < TOLERANCE:
+            break
+    model.passes = done
     discard(coded)
     return model, counts
 
@@ -280,16 +327,16 @@ def _pass(coded: DataFrame, model: Model) -> list[np.ndarray]:
         for held in _batched(batches, 3_000_000):
             t = pa.Table.from_batches(held)
             m.expected(np.frombuffer(b"".join(t["s"].to_pylist()), np.int32).astype(np.int64), t["n"].to_numpy(), got)
-        rows = np.vstack([got[2], got[1], got[0][None]])
+        rows = np.vstack([got[2], got[1], got[0][None], np.concatenate([got[3], np.zeros(k - 1)])[None]])
         some = np.flatnonzero(rows.any(1))
         units = np.rint(rows[some] * _UNIT).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(np.ascontiguousarray(units[:, i])) for i in range(k))], ["row", *names])
 
     summed = coded.mapInArrow(lean(run), "row int, " + ", ".join(f"{x} long" for x in names)).groupBy("row").agg(*(F.sum(x).alias(x) for x in names)).toArrow()
     sent.unpersist()
-    table = np.zeros((n_sym + k + 1, k))
+    table = np.zeros((n_sym + k + 2, k))
     table[summed["row"].to_numpy()] = np.stack([summed[x].to_numpy() for x in names], 1) / _UNIT
-    return [table[n_sym + k], table[n_sym : n_sym + k], table[:n_sym]]
+    return [table[n_sym + k], table[n_sym : n_sym + k], table[:n_sym], table[n_sym + k + 1, :1]]
 
 
 SCORED = "rid long, doc_key long, mark boolean, word long, whole boolean, n_tokens long, n_known long, base double, score double"

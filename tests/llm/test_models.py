@@ -66,23 +66,43 @@ def test_expected_counts_are_sums_over_paths():
     texts = [[0, 1, 2, 1, 0, 2], [2], [1, 1, 0]]
     got = m.empty()
     m.expected(np.array(sum(texts, [])), np.array(list(map(len, texts))), got)
-    want = [sum(x) for x in zip(*(posteriors(m, t) for t in texts), strict=True)]
-    assert all(a == pytest.approx(b) for a, b in zip(got, want, strict=True))
+    want = [sum(x) for x in zip(*(posteriors(m, t)[:3] for t in texts), strict=True)]
+    assert all(a == pytest.approx(b) for a, b in zip(got[:3], want, strict=True))
 
 
-def test_pieces_count_as_whole_texts(monkeypatch):
-    """Every token and transition once; messages made over the context are those of the whole text, but for what it has forgotten."""
+@pytest.mark.parametrize("piece, at_once", [(16, 500_000), (1, 50), (33, 64)])
+def test_pieces_count_as_whole_texts(monkeypatch, piece, at_once):
+    """Every token and transition once; pieces whose borders carry the whole text's messages count as the text does."""
     m = toy()
     r = np.random.default_rng(1)
     n = np.array([3, 400, 64, 1, 129, 33])
     sym = r.integers(0, 3, n.sum())
-    monkeypatch.setattr(hmm, "PIECE", 1000)
     whole, cut = m.empty(), m.empty()
     m.expected(sym, n, whole)
-    monkeypatch.setattr(hmm, "PIECE", 16)
+    monkeypatch.setattr(hmm, "PIECE", piece)
+    monkeypatch.setattr(hmm, "TOKENS_AT_ONCE", at_once)
     m.expected(sym, n, cut)
     assert cut[2].sum() == pytest.approx(n.sum()) and cut[1].sum() == pytest.approx((n - 1).sum()) and cut[0].sum() == pytest.approx(len(n))
-    assert all(a == pytest.approx(b, abs=1e-4) for a, b in zip(cut, whole, strict=True))
+    assert all(a == pytest.approx(b, rel=1e-9, abs=1e-9) for a, b in zip(cut, whole, strict=True))
+    assert whole[3][0] / np.log(10) == pytest.approx(m.forward(sym, n).sum())
+
+
+def test_training_goes_on_until_it_settles(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    held = fold("doc_id", 5) == 1
+    model, _ = hmm.train(d, "text", ~held)
+    assert hmm.LEAST_PASSES <= model.passes <= hmm.MOST_PASSES
+
+    def symbols(keep):
+        code, n = hmm.tokens(d.filter(keep).select(F.coalesce("text", F.lit("")).alias("t")).toArrow()["t"].combine_chunks(), model.head)
+        return model.symbols(code, n), n + 1
+
+    learn, test = symbols(~held), symbols(held)
+    was = model.forward(*test).sum()
+    got = model.empty()
+    model.expected(*learn, got)
+    model.update(got)
+    assert abs(model.forward(*test).sum() - was) / test[1].sum() < hmm.TOLERANCE
 
 
 def test_passes_raise_the_likelihood():
