@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
 def folder(spark: SparkSession, label: str) -> str:
     """A new path under :func:`shared_dir`, removed when the driver ends."""
     path = f"{shared_dir(spark).rstrip('/')}/seqloom-{label}-{uuid.uuid4().hex}"
-    fs, p = _hadoop(spark, path)
+    fs, p = hadoop_path(spark, path)
     fs.deleteOnExit(p)
     return path
 
@@ -46,11 +46,12 @@ def written(df: DataFrame, label: str = "part") -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Removes the files of :func:`written` tables that nothing reads any more."""
     for t in tables:
-        fs, p = _hadoop(t.sparkSession, t._seqloom_folder)
+        fs, p = hadoop_path(t.sparkSession, t._seqloom_folder)
         fs.delete(p, True)
 
 
-def _hadoop(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 

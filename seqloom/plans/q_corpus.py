@@ -46,7 +46,7 @@ cov AS (SELECT *, CAST(n_tokens = 1 AS INTEGER) AS perfect, CAST(CASE tokenizer
 
 @query("motif_coverage", f"WITH {COV} SELECT tokenizer, motif, variant, n_tokens, perfect, in_vocab, round(mean_token_share, 9) AS mean_token_share FROM cov")
 def motif_coverage(spark, sf_dir):
-    """Tokens, perfect cover and membership of each variant."""
+    """Tokens, perfect cover and membership of each variant."""
     return _coverage(spark, sf_dir).withColumn("mean_token_share", F.round("mean_token_share", 9))
 
 

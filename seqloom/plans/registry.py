@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-_MODULES: tuple[str, ...] = ("q_signal", "q_tokens", "q_corpus")
+_MODULES: tuple[str, ...] = ("q_signal", "q_tokens", "q_corpus", "q_surface")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def segments(df: DataFrame, path: str, mode: str = "error") -> None:
-    """K1: CSV with header, a folder for each chrom, sorted by start."""
-    df.repartition("chrom").sortWithinPartitions("chrom", "genomic_start").withColumn("c", F.col("chrom")).write.mode(mode).partitionBy("c").option("header", True).csv(path)
+    """K1: CSV with header, a folder for each chrom, sorted by start; a long chrom is several files, which its starts are dealt to by range."""
+    df.repartitionByRange("chrom", "genomic_start").sortWithinPartitions("chrom", "genomic_start").withColumn("c", F.col("chrom")).write.mode(mode).partitionBy("c").option("header", True).csv(path)
 
 
 def bed(df: DataFrame, path: str, by: str | None = None, mode: str = "error") -> None:
