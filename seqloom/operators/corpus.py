@@ -24,15 +24,24 @@ def n_share(window: Column) -> Column:
 def pack(df: DataFrame, order: str, tokens: str, size: int, batch: int = 1000) -> DataFrame:
     """Tokens of each run of ``batch`` rows joined in order and cut into blocks of ``size``; a run's rest is dropped.
 
-    Rows are numbered by range partitions, so no task sorts the table.
+    Rows are numbered by range partitions, so no task sorts the table; each row is cut where its blocks end, so a block gathers a few slices.
+    Empty and null rows count among the rows of a run, and give no token.
     """
-    r = numbered(df.select(order, F.col(tokens).alias("__t")), order)
-    g = r.withColumn("batch", F.floor((F.col("rank") - 1) / batch).cast("long"))
+    r = numbered(df.select(F.col(order).alias("__o"), F.col(tokens).alias("t")), "__o")
+    g = r.withColumn("batch", F.floor((F.col("rank") - 1) / batch).cast("long")).withColumn("n", F.when(F.col("t").isNull(), 0).otherwise(F.size("t")).cast("long"))
     w = Window.partitionBy("batch").orderBy("rank")
-    g = g.withColumn("__n", F.size("__t")).withColumn("__off", F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n"))
-    e = g.select("batch", "__off", F.posexplode("__t").alias("i", "token")).withColumn("at", F.col("__off") + F.col("i"))
-    b = e.groupBy("batch", F.floor(F.col("at") / size).cast("long").alias("block")).agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("x"))
-    return b.filter(F.size("x") == size).select("batch", "block", F.transform("x", lambda s: s["token"]).alias("tokens"))
+    g = g.withColumn("off", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).filter("n > 0")
+    off, n = F.col("off"), F.col("n")
+
+    def part(b: Column) -> Column:
+        lo, hi = F.greatest(b * size - off, F.lit(0)), F.least((b + 1) * size - off, n)
+        return F.struct(b.alias("block"), (off + lo).alias("at"), F.slice("t", (lo + 1).cast("int"), (hi - lo).cast("int")).alias("part"))
+
+    first, last = F.floor(off / size).cast("long"), F.floor((off + n - 1) / size).cast("long")
+    e = g.select("batch", F.inline(F.transform(F.sequence(first, last), part)))
+    b = e.groupBy("batch", "block").agg(F.array_sort(F.collect_list(F.struct("at", "part"))).alias("x"))
+    b = b.select("batch", "block", F.flatten(F.transform("x", lambda s: s["part"])).alias("tokens"))
+    return b.filter(F.size("tokens") == size)
 
 
 def numbered(df: DataFrame, *order: str | Column, name: str = "rank") -> DataFrame:

@@ -105,3 +105,17 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
     assert sorted(got.collect(), key=lambda r: r.id) == sorted(want.collect(), key=lambda r: r.id)
     assert got.columns == ["id", "tokens"] and got.count() == 4
     assert token_stream.drained(stream(), out, mark).count() == 4
+
+
+# --- packing
+def test_packing_cuts_rows_at_block_borders(spark):
+    from seqloom.operators import corpus as K
+
+    n = [3, 0, 1, 17, None, 4, 5, 40, 2, 8]
+    rows = [(i, None if k is None else [f"{i}.{j}" for j in range(k)]) for i, k in enumerate(n)]
+    d = spark.createDataFrame(rows, "rank long, batch array<string>")
+    want = []
+    for b in range(0, len(rows), 4):
+        flat = [x for _, t in rows[b : b + 4] for x in t or []]
+        want += [(b // 4, i // 6, flat[i : i + 6]) for i in range(0, len(flat) - 5, 6)]
+    assert sorted(map(tuple, K.pack(d, "rank", "batch", 6, 4).collect())) == want
