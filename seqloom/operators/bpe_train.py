@@ -28,6 +28,8 @@ BLOCK = 1 << 19
 BLOCKS = "ids binary, cnt binary, kind int, k long, n long"
 #: Pairs that are asked for their neighbours, and pairs that a run is chosen from.
 ASKED, CHOICE = 256, 4096
+#: Pairs of which it is told how much a merge of an asked pair takes from them.
+WANTED = 2048
 #: Merges that each round does again before the blocks are written anew.
 PENDING = 40
 
@@ -65,42 +67,76 @@ def _pairs(ids: np.ndarray, cnt: np.ndarray, at: np.ndarray, size: int) -> tuple
     return _sum(k, cnt[np.searchsorted(np.flatnonzero(ids == 0), at)])
 
 
-def _merge(ids: np.ndarray, a: int, b: int, made: int, told: Callable[[np.ndarray, np.ndarray, int], None] | None = None) -> np.ndarray:
-    """Joins a and b from the left on; ``told`` gets the places whose pairs change, before (-1) and after (1)."""
-    at = np.flatnonzero(ids[:-1] == a)
-    at = at[ids[at + 1] == b]
-    if len(at) and a == b:  # a symbol with itself: every other place of a run
+def levels(run: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
+    """The merges (left, right, made) of a run in groups: those of a group neither overlap nor use what another of it makes, so they are done at once."""
+    out: list[list[tuple[int, int, int]]] = []
+    for a, b, made in run:
+        at = max((i + 1 for i, group in enumerate(out) if any(b == x or a == y or (a, b) == (x, y) or m in (a, b) or made in (x, y) for x, y, m in group)), default=0)
+        if at == len(out):
+            out.append([])
+        out[at].append((a, b, made))
+    return out
+
+
+def _found(ids: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Places of a with b behind it; of a symbol with itself, every other place of a run."""
+    hit, n = np.zeros(-(-len(ids) // 8) * 8, bool), len(ids) - 1
+    if n < 1:
+        return np.zeros(0, np.int64)
+    np.equal(ids[:-1], a, out=hit[:n])
+    hit[:n] &= ids[1:] == b
+    some = np.flatnonzero(hit.view(np.uint64))  # eight places in one: most have none
+    row, col = np.nonzero(hit.reshape(-1, 8)[some])
+    at = some[row] * 8 + col
+    if len(at) and a == b:
         first = np.flatnonzero(np.concatenate([[True], np.diff(at) != 1]))
         at = at[(at - np.repeat(at[first], np.diff(np.append(first, len(at))))) % 2 == 0]
+    return at
+
+
+def _merge(ids: np.ndarray, group: list[tuple[int, int, int]], told: Callable[[np.ndarray, np.ndarray, int], None] | None = None) -> np.ndarray:
+    """Does the merges of one of the :func:`levels`; ``told`` gets the places whose pairs change, before (-1) and after (1)."""
+    found = [_found(ids, a, b) for a, b, _ in group]
+    at = np.concatenate(found)
     if not len(at):
         return ids
+    new = np.repeat(np.array([made for _, _, made in group], ids.dtype), [len(x) for x in found])
+    if len(group) > 1:
+        order = np.argsort(at)
+        at, new = at[order], new[order]
     if told:
         told(ids, np.unique(np.concatenate([at - 1, at, at + 1])), -1)
     keep = np.ones(len(ids), bool)
     keep[at + 1] = False
     ids, at = ids[keep], at - np.arange(len(at))
-    ids[at] = made
+    ids[at] = new
     if told:
         told(ids, np.unique(np.concatenate([at - 1, at])), 1)
     return ids
 
 
-def _beside(ids: np.ndarray, cnt: np.ndarray, asked: np.ndarray, size: int, sides: np.ndarray) -> None:
-    """Adds to ``sides`` (side, place in asked * size + symbol) what stands left and right of each pair of ``asked`` (sorted)."""
-    if not len(asked) or len(ids) < 2:
-        return
-    lefts, rights = np.zeros(size, bool), np.zeros(size, bool)
-    lefts[asked // size], rights[asked % size] = True, True
-    at = np.flatnonzero(lefts[ids[:-1]] & rights[ids[1:]])
-    k = ids[at].astype(np.int64) * size + ids[at + 1]
-    j = np.minimum(np.searchsorted(asked, k), len(asked) - 1)
-    hit = asked[j] == k
-    at, j = at[hit], j[hit]
-    w = None if (cnt == 1).all() else cnt[np.searchsorted(np.flatnonzero(ids == 0), at)]
-    for side, beside in enumerate((at - 1, at + 2)):
-        ok = (beside >= 0) & (beside < len(ids))
-        n = np.bincount(j[ok] * size + ids[beside[ok]], None if w is None else w[ok], sides.shape[1])
-        sides[side] += n if w is None else np.rint(n).astype(np.int64)
+class _Beside:
+    """What stands left and right of each pair of ``asked`` (sorted): ``sides`` (side, place in asked * size + symbol)."""
+
+    def __init__(self, asked: np.ndarray, size: int) -> None:
+        self.size, self.sides = size, np.zeros((2, len(asked) * size), np.int64)
+        a, b = np.unique(asked // size), np.unique(asked % size)
+        self.left, self.right = np.zeros(size, np.int32), np.zeros(size, np.int32)
+        self.left[a], self.right[b] = np.arange(1, len(a) + 1) * (len(b) + 1), np.arange(1, len(b) + 1)
+        self.place = np.full((len(a) + 1) * (len(b) + 1), -1, np.int32)
+        self.place[self.left[asked // size] + self.right[asked % size]] = np.arange(len(asked))
+
+    def add(self, ids: np.ndarray, cnt: np.ndarray) -> None:
+        if not self.sides.size or len(ids) < 2:
+            return
+        j = self.place[self.left[ids[:-1]] + self.right[ids[1:]]]
+        at = np.flatnonzero(j >= 0)
+        j = j[at].astype(np.int64) * self.size
+        w = None if (cnt == 1).all() else cnt[np.searchsorted(np.flatnonzero(ids == 0), at)]
+        for side, beside in enumerate((at - 1, at + 2)):
+            ok = slice(int(len(at) and at[0] == 0), None) if side == 0 else slice(0, len(at) - int(len(at) and beside[-1] == len(ids)))
+            n = np.bincount(j[ok] + ids[beside[ok]], None if w is None else w[ok], self.sides.shape[1])
+            self.sides[side] += n if w is None else np.rint(n).astype(np.int64)
 
 
 _NAMES = [c.split()[0] for c in BLOCKS.split(", ")]
@@ -158,26 +194,26 @@ def encode(words: DataFrame, letters: list[str], first: int, size: int) -> DataF
 
 
 def apply(blocks: DataFrame, run: list[tuple[int, int, int]], size: int) -> DataFrame:
-    """Blocks after the merges (left, right, made) of a run, one after the other."""
-    kind = np.uint16 if size < 1 << 16 else np.uint32
+    """Blocks after the merges (left, right, made) of a run."""
+    kind, groups = np.uint16 if size < 1 << 16 else np.uint32, levels(run)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, c in zip(b.column("ids").to_pylist(), b.column("cnt").to_pylist(), strict=True):
                 ids = np.frombuffer(i, kind)
-                for merge in run:
-                    ids = _merge(ids, *merge)
+                for group in groups:
+                    ids = _merge(ids, group)
                 yield _rows([(ids, np.frombuffer(c, np.int64))])
 
     return blocks.filter("ids IS NOT NULL").mapInArrow(go, BLOCKS)
 
 
-def changes(blocks: DataFrame, done: list[tuple[int, int, int]], run: list[tuple[int, int, int]], asked: np.ndarray, size: int) -> DataFrame:
-    """After the merges that are ``done``: by how much those of ``run`` change pair counts, and then the neighbours of ``asked``; as (kind, k, n)."""
-    kind = np.uint16 if size < 1 << 16 else np.uint32
+def changes(blocks: DataFrame, done: list[tuple[int, int, int]], run: list[tuple[int, int, int]], asked: np.ndarray, wanted: list[np.ndarray], size: int) -> DataFrame:
+    """After the merges that are ``done``: by how much those of ``run`` change pair counts, and then the ``wanted`` neighbours of ``asked``; as (kind, k, n)."""
+    kind, before, now = np.uint16 if size < 1 << 16 else np.uint32, levels(done), levels(run)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got, sides = _Counts(), np.zeros((2, len(asked) * size), np.int64)
+        got, beside = _Counts(), _Beside(asked, size)
         for b in batches:
             for i, c in zip(b.column("ids").to_pylist(), b.column("cnt").to_pylist(), strict=True):
                 ids, cnt = np.frombuffer(i, kind), np.frombuffer(c, np.int64)
@@ -186,15 +222,14 @@ def changes(blocks: DataFrame, done: list[tuple[int, int, int]], run: list[tuple
                     k, n = _pairs(ids, cnt, at, size)
                     got.add(0, k, sign * n)
 
-                for merge in done:
-                    ids = _merge(ids, *merge)
-                for merge in run:
-                    ids = _merge(ids, *merge, told)
-                _beside(ids, cnt, asked, size, sides)
+                for group in before:
+                    ids = _merge(ids, group)
+                for group in now:
+                    ids = _merge(ids, group, told)
+                beside.add(ids, cnt)
         for side in (0, 1):
-            sides[side, ::size] = 0  # the symbol 0 ends a sequence
-            k = np.flatnonzero(sides[side])
-            got.add(side + 1, k, sides[side, k])
+            k = wanted[side]
+            got.add(side + 1, k, beside.sides[side, k])
         yield from got.batches()
 
     return summed(blocks.filter("ids IS NOT NULL").mapInArrow(go, BLOCKS))
@@ -208,14 +243,16 @@ class Chooser:
     """The next merges, from exact pair counts at the start of a round and what stands beside the pairs that were asked for.
 
     ``now`` holds each pair's count, or a bound above it for pairs in ``unsure``; ``bound`` is above the counts of all pairs
-    that the run makes or adds to. A pair is known as long as it loses on one side only: what it loses to two merges on the
+    that the run makes or adds to. Neighbours are known only where they make a pair of more than ``floor`` with the nearer
+    symbol; others make no pair above it, and the run ends there. A pair is known as long as it loses on one side only: what it loses to two merges on the
     same side are different places, but a place may be lost to a merge on its left and again to one on its right.
     """
 
-    def __init__(self, keys: np.ndarray, n: np.ndarray, beside: dict[int, tuple[list, list]], size: int, least: int) -> None:
-        at = np.flatnonzero(n >= least)
+    def __init__(self, keys: np.ndarray, n: np.ndarray, beside: dict[int, tuple[list, list]], size: int, least: int, floor: int = 0) -> None:
+        at, self.rest = np.flatnonzero(n >= least), least - 1  # at most so often do the pairs occur that are left out
         if len(at) > CHOICE:
-            at = at[n[at] >= np.partition(n[at], -CHOICE)[-CHOICE]]
+            self.rest = int(np.partition(n[at], -CHOICE)[-CHOICE])
+            at = at[n[at] >= self.rest]
         self.now = dict(zip(keys[at].tolist(), n[at].tolist(), strict=True))
         self.all = (keys, n)
         self.beside, self.size, self.least = beside, size, least
@@ -223,7 +260,8 @@ class Chooser:
         heapq.heapify(self.queue)
         self.side: dict[int, int] = {}
         self.unsure: set[int] = set()
-        self.bound, self.made = 0, {}  # bounds of pairs that were made or added to
+        self.bound, self.made = floor, {}  # bounds of pairs that were made or added to
+        self.unforeseen: list[int] = []
 
     def next(self, first: bool) -> tuple[int, int] | None:
         """The most frequent pair (ties: the smaller left, then right symbol), or None where only the blocks can tell."""
@@ -245,6 +283,7 @@ class Chooser:
         self.now[k] = 0
         if k not in self.beside:  # the first of a run, which was not foreseen: nothing is known behind it
             self.bound = 1 << 62
+            self.unforeseen.append(made)
             return
         for side, rows in enumerate(self.beside[k]):
             for x, m in rows:
@@ -269,10 +308,20 @@ class Chooser:
         i = int(np.searchsorted(keys, k))
         return int(n[i]) if i < len(keys) and keys[i] == k else 0
 
-    def likely(self) -> np.ndarray:
-        """The pairs that may come next, by what is known of their counts."""
+    def likely(self) -> tuple[np.ndarray, list[np.ndarray], int]:
+        """The pairs that may come next, by what is known of their counts; for each side the neighbours of them that are wanted, as (place * size + symbol); and the floor of these."""
+        most = dict(self.now)
+        for k, c in self.made.items():
+            most[k] = most.get(k, 0 if k in self.now else self._before(k)) + c
         top = heapq.nlargest(ASKED, [(c, k) for k, c in self.now.items() if c] + [(c, k) for k, c in self.made.items() if k not in self.now])
-        return np.array(sorted({k for _, k in top}), np.int64)
+        asked = np.array(sorted({k for _, k in top}), np.int64)
+        keys, c = np.array(list(most), np.int64), np.array(list(most.values()), np.int64)
+        floor = max(self.rest, int(np.partition(c, -WANTED)[-WANTED]) if len(c) > WANTED else 0)
+        every = np.arange(1, self.size)
+        keys = np.unique(np.concatenate([keys[c > floor], *(x for made in self.unforeseen for x in (every * self.size + made, made * self.size + every))]))
+        a, b = keys // self.size, keys % self.size
+        # (x, left) and (right, x) for each pair
+        return asked, [np.concatenate([np.zeros(0, np.int64), *(np.sort(near[own == s]) + i * self.size for i, s in enumerate(ends.tolist()))]) for near, own, ends in ((a, b, asked // self.size), (b, a, asked % self.size))], floor
 
 
 def train(seqs: DataFrame, seq: str, vocab_size: int, min_frequency: int = 100, alphabet: str = "ACGTN") -> tuple[list[str], list[tuple[str, str]]]:
@@ -289,13 +338,15 @@ def train(seqs: DataFrame, seq: str, vocab_size: int, min_frequency: int = 100,
                 met |= set(w or "")
         yield pa.RecordBatch.from_arrays([pa.array(sorted(met), pa.string())], ["c"])
 
-    seen = [r[0] for r in seqs.select(seq).mapInArrow(chars, "c string").distinct().collect()]  # letters
+    words = written(words, "words")
+    seen = [r[0] for r in words.select("w").mapInArrow(chars, "c string").distinct().collect()]  # letters
     letters = sorted(set(alphabet) | set(seen))
     vocab = [*SPECIALS, *letters]
     ids, merges = {t: i for i, t in enumerate(vocab)}, []
     size = max(vocab_size, len(vocab)) + 1  # symbols are ids + 1
     blocks, done = written(encode(words, letters, len(SPECIALS) + 1, size), "bpe"), []
-    keys, n, asked, news = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), summed(blocks)
+    discard(words)
+    keys, n, asked, floor, news = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), 0, summed(blocks)
     while len(vocab) < vocab_size:
         d = news.toArrow()  # the vocabulary squared at most
         kind, k, c = (d[x].to_numpy() for x in ("kind", "k", "n"))
@@ -304,7 +355,7 @@ def train(seqs: DataFrame, seq: str, vocab_size: int, min_frequency: int = 100,
         for side in (1, 2):
             for x, m in zip(k[kind == side].tolist(), c[kind == side].tolist(), strict=True):
                 beside[int(asked[x // size])][side - 1].append((x % size, m))
-        run, pairs = [], Chooser(keys, n, beside, size, min_frequency)
+        run, pairs = [], Chooser(keys, n, beside, size, min_frequency, floor)
         while len(vocab) < vocab_size and (found := pairs.next(not run)):
             a, b = found
             token = vocab[a - 1] + vocab[b - 1]
@@ -317,11 +368,11 @@ def train(seqs: DataFrame, seq: str, vocab_size: int, min_frequency: int = 100,
             pairs.merge(a, b, ids[token] + 1, new)
         if not run or len(vocab) >= vocab_size:
             break
-        asked = pairs.likely()
+        asked, wanted, floor = pairs.likely()
         if len(done) > PENDING:
             before, blocks, done = blocks, written(apply(blocks, done, size), "bpe"), []
             discard(before)
-        news = changes(blocks, done, run, asked, size)
+        news = changes(blocks, done, run, asked, wanted, size)
         done = done + run
     discard(blocks)
     return vocab, merges

@@ -166,6 +166,50 @@ def test_bpe_training_on_ties_runs_and_copies(spark):
     assert B.train(spark.createDataFrame([(s,) for s in seqs], "seq string"), "seq", 60, 2) == (vocab, merges)
 
 
+def test_bpe_merges_side_by_side_equal_one_after_the_other():
+    """Merges of a group are done at once; equal, overlapping and chained pairs, and tokens made twice."""
+    r = random.Random(11)
+    for _ in range(200):
+        ids = np.array([r.choice([0, 1, 2, 3, 3, 4]) for _ in range(r.randint(1, 80))] + [0], np.uint16)
+        run = [(r.randint(1, 4 + i), r.randint(1, 4 + i), r.choice([5 + i, 5 + i, 5])) for i in range(r.randint(1, 9))]
+        want = ids.tolist()
+        for a, b, made in run:
+            out, i = [], 0
+            while i < len(want):
+                hit = want[i : i + 2] == [a, b]
+                out.append(made if hit else want[i])
+                i += 1 + hit
+            want = out
+        got, told = ids, []
+        for group in B.levels(run):
+            got = B._merge(got, group, lambda x, at, sign: told.extend((p, sign) for p in zip(x[at[(at >= 0) & (at < len(x) - 1)]].tolist(), x[at[(at >= 0) & (at < len(x) - 1)] + 1].tolist(), strict=True)))
+        assert got.tolist() == want
+        n = Counter(zip(ids.tolist(), ids.tolist()[1:], strict=False))
+        for p, sign in told:
+            n[p] += sign
+        assert +n == Counter(zip(want, want[1:], strict=False))
+    assert len(B.levels([(1, 2, 9), (3, 4, 10), (1, 4, 11), (2, 3, 12)])) == 2
+
+
+def test_bpe_round_sends_only_neighbours_that_can_matter(spark, monkeypatch):
+    """Rows about neighbours follow the pairs that may come next, not the vocabulary; floors cut rows, never a result."""
+    r = random.Random(7)
+    seqs = spark.createDataFrame([("".join(r.choices("ACGT", [4, 3, 2, 1], k=300)),) for _ in range(40)], "seq string").localCheckpoint()
+    sent, whole = [], B.changes
+
+    def changes(blocks, done, run, asked, wanted, size):
+        d = whole(blocks, done, run, asked, wanted, size)
+        sent.append((d.filter("kind > 0").count(), len(asked)))
+        return d
+
+    full = B.train(seqs, "seq", 120, 2)
+    monkeypatch.setattr(B, "changes", changes)
+    monkeypatch.setattr(B, "WANTED", 40)
+    assert B.train(seqs, "seq", 120, 2) == full
+    last = sent[-1]
+    assert last[1] > 200 and last[0] < 10 * last[1]  # each pair has some hundred neighbours
+
+
 def test_unk_check(spark):
     f = T.unigram_decoder(spark, {"A": 1.0, "C": 1.0, "G": 1.0, "T": 1.0})
     assert value(one(spark, s="TCCTGCCTCAGCCAAAA"), T.has_unknown(f(F.col("s")))) is False
