@@ -243,39 +243,84 @@ def shuffled(df: DataFrame, key: str, seq: str, k: int, seed: int = 0) -> DataFr
     return df.select(F.col(key).cast("string").alias("key"), F.col(seq).alias("seq")).mapInArrow(run, "rep int, key string, seq string")
 
 
-#: Letters that are shuffled at a time; a longer row is taken by itself.
-SHUFFLE_LETTERS = 1 << 19
+#: Letters, of all replicates together, that are shuffled at a time: they stay in a core's cache. A longer row is taken a replicate at a time.
+SHUFFLE_LETTERS = 1 << 15
 
 
-def _shuffled_codes(code: np.ndarray, ends: np.ndarray, seed: int, reps: int, keys: list[str]) -> Iterator[np.ndarray]:
-    """The letter codes of some rows in the orders of :func:`_orders`: packed behind row and hash, so that one sort moves them."""
-    size, u = np.diff(ends), np.uint64
-    row = np.repeat(np.arange(len(size)), size)
-    place = np.arange(len(code)) - np.repeat(ends[:-1] - ends[0], size)
-    fixed = row.astype(u) << u(34) | code.astype(u)
-    for rep in range(reps):
-        a, b = _factors(seed, rep, keys)
-        x = (place + a[row]).astype(u) % u(PRIME)
-        x = x * x % u(PRIME) * x % u(PRIME) * b.astype(u)[row] % u(PRIME)
-        x = fixed | x << u(3)
-        x.sort()
-        yield (x & u(7)).astype(np.uint8)
+class _Shuffles:
+    """K-mers of rows in the orders of :func:`_orders`, counted by replicate.
+
+    The cube of place plus a, times b, is a polynomial of the place: its powers are the same for all rows and replicates, so
+    a letter costs three products and one remainder. Letters are packed behind it, so that one sort moves them.
+    """
+
+    def __init__(self, k: int, reps: int, seed: int) -> None:
+        self.k, self.seed, self.n = k, seed, np.zeros((reps, 4**k), np.int64)
+        self.powers = np.zeros((3, 0), np.uint64)
+
+    def _powers(self, size: int) -> np.ndarray:
+        if self.powers.shape[1] < size:
+            i = np.arange(max(size, SHUFFLE_LETTERS), dtype=np.uint64) % np.uint64(PRIME)
+            square = i * i % np.uint64(PRIME)
+            made = np.stack([i, square, square * i % np.uint64(PRIME)])
+            if size > 1 << 20:  # not kept
+                return made
+            self.powers = made
+        return self.powers[:, :size]
+
+    def add(self, code: np.ndarray, key: str) -> None:
+        u, reps, size = np.uint64, len(self.n), len(code)
+        if size < self.k:
+            return
+        p = u(PRIME)
+        i, square, cube = self._powers(size)
+        h = [hashlib.md5(f"{self.seed}:{rep}:{key}".encode()).hexdigest() for rep in range(reps)]  # as in _factors
+        a, b = np.array([int(x[:7], 16) for x in h], u)[:, None], np.array([int(x[7:14], 16) + 1 for x in h], u)[:, None]
+        c0, c1, c2 = a * a % p * a % p * b % p, u(3) * a * a % p * b % p, u(3) * a * b % p
+        other, code, each = bool((code > 3).any()), code.astype(u), max(1, SHUFFLE_LETTERS // size)
+        spare = np.empty((min(each, reps), size), u)
+        for lo in range(0, reps, each):
+            own = slice(lo, min(lo + each, reps))
+            t = spare[: own.stop - lo]
+            x = b[own] * cube
+            x += np.multiply(c2[own], square, out=t)
+            x += np.multiply(c1[own], i, out=t)
+            x += c0[own]  # below 2**64: 2**28 and twice 2**31 times 2**31
+            np.floor_divide(x, p, out=t)
+            t *= p
+            x -= t
+            x <<= u(3)
+            x |= code
+            x.sort(axis=1)
+            self._count(x, lo, other)
+
+    def _count(self, x: np.ndarray, lo: int, other: bool) -> None:
+        m, size = x.shape
+        kind = np.uint8 if self.k <= 4 else np.uint16 if self.k <= 8 else np.uint32
+        c = x.ravel().astype(kind)
+        token, ok = c & kind(3), c & kind(4)
+        code = token.copy()
+        for j in range(1, self.k):  # windows over the end of a row are left out below
+            token <<= kind(2)
+            token[:-j] |= code[j:]
+            if other:
+                ok[:-j] |= c[j:] & kind(4)
+        at = token.reshape(m, size)[:, : size - self.k + 1] + (np.arange(m) * 4**self.k)[:, None]
+        at = at[ok.reshape(m, size)[:, : size - self.k + 1] == 0] if other else at.ravel()
+        self.n[lo : lo + m] += np.bincount(at, minlength=m * 4**self.k).reshape(m, -1)
 
 
 def shuffled_counts(df: DataFrame, key: str, seq: str, k: int, reps: int, seed: int = 0) -> DataFrame:
     """(rep, token, cnt) of the k-mers of :func:`shuffled` copies of sequences over A, C, G and T; no shuffled text leaves a worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((reps, 4**k), np.int64)
+        got = _Shuffles(k, reps, seed)
         for b in batches:
             data, ends = _letters(b.column(1))
-            code, keys, lo = _CODE[data], b.column(0).to_pylist(), 0
-            while lo < len(keys):
-                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + SHUFFLE_LETTERS, side="right")) - 1)
-                for rep, own in enumerate(_shuffled_codes(code[ends[lo] : ends[hi]], ends[lo : hi + 1], seed, reps, keys[lo:hi])):
-                    x, ok = _windows(own, ends[lo : hi + 1] - ends[lo], k)
-                    n[rep] += np.bincount(x[ok], minlength=4**k)
-                lo = hi
+            code = _CODE[data]
+            for i, key in enumerate(b.column(0).to_pylist()):
+                got.add(code[ends[i] : ends[i + 1]], key)
+        n = got.n
         rep, token = np.nonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(rep.astype(np.int32)), pa.array(np.array(_spelled(k), dtype=object)[token], pa.string()), pa.array(n[rep, token])], ["rep", "token", "cnt"])
 

@@ -412,6 +412,23 @@ def test_shuffles_keep_letters_and_counts_agree(spark):
     assert {(r.rep, r.token): r.cnt for r in A.shuffled_counts(d, "id", "s", 3, 4, 9).collect()} == dict(want)
 
 
+def test_shuffled_kmers_of_short_long_and_odd_rows_follow_the_orders(monkeypatch):
+    """The packed counter against the orders themselves: rows below k, at and over the letters taken at once, other letters."""
+    r = random.Random(2)
+    texts = ["", "AC", "ACG", "ACGNNTACGTRRRACGT", "N" * 9] + ["".join(r.choices("ACGT", k=n)) for n in (4, 63, 64, 65, 700)] + ["".join(r.choices("ACGTN", k=300))]
+    monkeypatch.setattr(A, "SHUFFLE_LETTERS", 64 * 3)
+    for k in (1, 4, 5):
+        got, want = A._Shuffles(k, 7, 3), Counter()
+        for key, t in enumerate(texts):
+            code = A._CODE[np.frombuffer(t.encode(), np.uint8)]
+            got.add(code, str(key))
+            for rep, order in enumerate(A._orders(np.array([0, len(t)]), 3, 7, [str(key)])):
+                s = "".join(t[i] for i in order)
+                want += Counter((rep, s[i : i + k]) for i in range(len(s) - k + 1) if not set(s[i : i + k]) - set("ACGT"))
+        rep, token = np.nonzero(got.n)
+        assert {(int(x), A._spelled(k)[y]): int(got.n[x, y]) for x, y in zip(rep, token, strict=True)} == dict(want)
+
+
 def test_normal_p_is_the_exact_one(spark):
     z = [0.0, 0.3, -0.7, 1.96, 5.5, -9.0, 30.0, float("nan"), None]
     got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(z)], "i int, z double").orderBy("i").select(C.normal_p("z")).collect()]
