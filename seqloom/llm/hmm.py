@@ -167,12 +167,18 @@ class Model:
         then vectors go through the matrices from piece to piece. Both are exact but for a factor a piece.
         """
         k = len(self.pi)
-        m = np.broadcast_to(np.eye(k), (len(p), k, k)).copy()
-        for t in range(int(size.max())):
-            on = np.flatnonzero(size > t)
-            x = m[on] if t == 0 else (m[on].reshape(-1, k) @ self.a).reshape(-1, k, k)
-            x *= self.b[sym[first[on] + t]][:, None, :]
-            m[on] = x / x.max((1, 2), keepdims=True) if t % 8 == 7 else x
+        m, step = np.empty((len(p), k, k)), np.ascontiguousarray(self.a.T)
+        order = np.argsort(-size, kind="stable")  # the longest first: those at work are a prefix
+        begins, live = first[order], np.searchsorted(-size[order], -np.arange(1, int(size.max()) + 2), side="right")
+        x = np.repeat(np.eye(k)[:, :, None], len(p), axis=2)  # (state at the end, state before, piece)
+        for t in range(len(live) - 1):
+            e = np.ascontiguousarray(self.b[sym[begins[: live[t]] + t]].T)
+            x = (x if t == 0 else (step @ x.reshape(k, -1)).reshape(x.shape)) * e[:, None]
+            if t % 8 == 7:
+                x /= x.max((0, 1))
+            if live[t + 1] < live[t]:
+                m[order[live[t + 1] : live[t]]] = x[:, :, live[t + 1] :].transpose(2, 1, 0)
+                x = np.ascontiguousarray(x[:, :, : live[t + 1]])
         before, behind = np.zeros((len(p), k)), np.ones((len(p), k))
         at = [np.flatnonzero(p == i) for i in range(int(p.max()) + 1)]
         for i, own in enumerate(at):
@@ -186,42 +192,44 @@ class Model:
         return before, behind
 
     def _count(self, sym: np.ndarray, first: np.ndarray, size: np.ndarray, opens: np.ndarray, before: np.ndarray, behind: np.ndarray, into: list[np.ndarray]) -> None:
-        """Forward and backward over pieces, the longest first, all at once token by token; rows are ordered by (token, piece)."""
+        """Forward and backward over pieces, the longest first, all at once token by token; columns are ordered by (token, piece), rows are states."""
         k, longest = len(self.pi), int(size[0])
         live = np.searchsorted(-size, -np.arange(1, longest + 1), side="right")  # pieces of at least t tokens
         off = np.concatenate([[0], np.cumsum(live)])
         t_of = np.repeat(np.arange(longest), live)
         piece = np.arange(off[-1]) - off[t_of]
         x = sym[first[piece] + t_of]
-        e = self.b.take(x, axis=0)
-        alpha, scale, ones = np.empty_like(e), np.empty(len(e)), np.ones(k)
-        cur = np.where(opens[:, None], self.pi, before @ self.a)
+        e = np.empty((k, len(x)))
+        for i in range(k):
+            np.take(np.ascontiguousarray(self.b[:, i]), x, out=e[i], mode="clip")
+        alpha, scale, ones, step = np.empty_like(e), np.empty(len(x)), np.ones(k), np.ascontiguousarray(self.a.T)
+        cur = np.where(opens, self.pi[:, None], (before @ self.a).T)
         for t in range(longest):
             own = slice(off[t], off[t + 1])
             if t:
-                cur = cur[: live[t]] @ self.a
-            now = np.multiply(cur, e[own], out=alpha[own])
-            scale[own] = s = now @ ones
-            now /= s[:, None]
-            cur = now
-        into[3] += np.log(scale).sum()
-        last = alpha[off[size - 1] + np.arange(len(size))]
-        end = behind / (last * behind).sum(1, keepdims=True)
-        e /= scale[:, None]
-        met, back, beta = np.zeros((k, k)), self.a.T.copy(), end[: live[-1]]
+                cur = step @ cur[:, : live[t]]
+            cur = np.multiply(cur, e[:, own], out=alpha[:, own])
+            scale[own] = share = 1 / (ones @ cur)
+            cur *= share
+            e[:, own] *= share
+        into[3] -= np.log(scale).sum()
+        last, behind = alpha[:, off[size - 1] + np.arange(len(size))], behind.T
+        end = behind / (last * behind).sum(0)
+        met, beta = np.zeros((k, k)), end[:, : live[-1]]
         for t in range(longest - 1, -1, -1):
             own = slice(off[t], off[t + 1])
-            alpha[own] *= beta  # from here on the posterior of t
-            e[own] *= beta
+            alpha[:, own] *= beta  # from here on the posterior of t
+            now = e[:, own]
+            now *= beta
             if t:
-                met += alpha[off[t - 1] : off[t - 1] + live[t]].T @ e[own]
-                beta = e[own] @ back
+                met += alpha[:, off[t - 1] : off[t - 1] + live[t]] @ now.T
+                beta = self.a @ now
                 if live[t - 1] > live[t]:
-                    beta = np.concatenate([beta, end[live[t] : live[t - 1]]])
-        into[0] += alpha[: live[0]][opens].sum(0)
-        into[1] += self.a * (met + before[~opens].T @ e[: live[0]][~opens])
+                    beta = np.concatenate([beta, end[:, live[t] : live[t - 1]]], axis=1)
+        into[0] += alpha[:, : live[0]][:, opens].sum(1)
+        into[1] += self.a * (met + before[~opens].T @ e[:, : live[0]][:, ~opens].T)
         for i in range(k):
-            into[2][:, i] += np.bincount(x, alpha[:, i], len(self.b))
+            into[2][:, i] += np.bincount(x, alpha[i], len(self.b))
 
     def update(self, got: list[np.ndarray]) -> None:
         start, trans, emit, _ = got

@@ -61,6 +61,40 @@ def posteriors(m, sym):
     return got
 
 
+def test_border_matrices_work_on_the_pieces_that_still_run(monkeypatch):
+    """Pieces are at work as a prefix, the longest first: each token's matrix is made once, and borders equal a plain forward and backward."""
+    m = hmm.Model(np.array([10, 20]), np.array([5.0, 3.0]), 4, np.full(hmm.CLASSES, 0.5), 12, 3, states=3)
+    rng = np.random.default_rng(4)
+    n = np.array([23, 9, 17])
+    sym = rng.integers(0, len(m.b), n.sum())
+    monkeypatch.setattr(hmm, "PIECE", 8)
+    size = np.array([8, 8, 7, 8, 1, 8, 8, 1])
+    first, p = np.array([0, 8, 16, 23, 31, 32, 40, 48]), np.array([0, 1, 2, 0, 1, 0, 1, 2])
+    met = []
+
+    class Table(np.ndarray):
+        def __getitem__(self, at):
+            met.append(np.size(at))
+            return np.asarray(self)[at]
+
+    m.b = m.b.view(Table)
+    before, behind = m._borders(sym, first, size, p)
+    assert sum(met) == n.sum() and len(met) == 8
+    b = np.asarray(m.b)
+    for i in range(len(p)):
+        lo = first[i] - 8 * p[i]
+        hi = lo + n[np.searchsorted(np.cumsum(n), lo, side="right")]
+        if p[i]:
+            v = m.pi * b[sym[lo]]
+            for x in sym[lo + 1 : first[i]]:
+                v = v @ m.a * b[x]
+            assert np.allclose(before[i], v / v.sum(), rtol=1e-12)
+        w = np.ones(3)
+        for x in sym[first[i] + size[i] : hi][::-1]:
+            w = m.a @ (b[x] * w)
+        assert np.allclose(behind[i] / behind[i].max(), w / w.max(), rtol=1e-12)
+
+
 def test_expected_counts_are_sums_over_paths():
     m = toy()
     texts = [[0, 1, 2, 1, 0, 2], [2], [1, 1, 0]]
