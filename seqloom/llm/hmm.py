@@ -36,6 +36,10 @@ from .runtime import discard, lean, written
 HEAD, CLASSES, STATES = 65_536, 64, 8
 LEAST_PASSES, MOST_PASSES, TOLERANCE, PIECE = 12, 24, 0.002, 2048
 TOKENS_AT_ONCE = 500_000
+#: Forward sums are scaled each so many tokens: far fewer than would take a product of probabilities out of a double's range.
+SCALED = 8
+#: Bytes of symbols that a pass counts together: the more texts, the wider the steps from token to token.
+SYMBOLS_AT_ONCE = 12_000_000
 #: Least weight of the unigram in a state's emissions, in tokens.
 PRIOR = 100.0
 _U = np.uint64
@@ -155,81 +159,97 @@ class Model:
         if len(long := np.flatnonzero(np.repeat(pieces, pieces) > 1)):
             before[long], behind[long] = self._borders(sym, first[long], size[long], p[long])
         order = np.argsort(-size, kind="stable")
-        cut = np.concatenate([[0], np.flatnonzero(np.diff(np.cumsum(size[order]) // TOKENS_AT_ONCE)) + 1, [len(order)]])
+        ends = np.cumsum(size[order])
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(ends // TOKENS_AT_ONCE)) + 1, [len(order)]])
+        most = int(np.diff(np.concatenate([[0], ends])[cut]).max())
+        room = np.empty(most * k), np.empty(most * k)  # touched once, for all parts
         for lo, hi in zip(cut[:-1], cut[1:], strict=True):
             own = order[lo:hi]
-            self._count(sym, first[own], size[own], p[own] == 0, before[own], behind[own], into)
+            self._count(sym, first[own], size[own], p[own] == 0, before[own], behind[own], into, room)
 
     def _borders(self, sym: np.ndarray, first: np.ndarray, size: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For the pieces of long texts, in order: the states' distribution at the token before, and the weights of all that follows, by state.
 
-        Every piece's matrix (from the state before its emission at its first token to that at its last) is made for all pieces side by side;
-        then vectors go through the matrices from piece to piece. Both are exact but for a factor a piece.
+        A text's first piece takes a vector forward, its last piece one backward, from its end; only pieces between them need their matrix
+        (from the state before the emission at the first token to that at the last). All pieces go side by side, a token of each at a time;
+        then vectors go through the matrices from piece to piece. All are exact but for a factor a piece.
         """
         k = len(self.pi)
-        m, step = np.empty((len(p), k, k)), np.ascontiguousarray(self.a.T)
-        order = np.argsort(-size, kind="stable")  # the longest first: those at work are a prefix
-        begins, live = first[order], np.searchsorted(-size[order], -np.arange(1, int(size.max()) + 2), side="right")
-        x = np.repeat(np.eye(k)[:, :, None], len(p), axis=2)  # (state at the end, state before, piece)
-        for t in range(len(live) - 1):
-            e = np.ascontiguousarray(self.b[sym[begins[: live[t]] + t]].T)
-            x = (x if t == 0 else (step @ x.reshape(k, -1)).reshape(x.shape)) * e[:, None]
-            if t % 8 == 7:
+        ends = np.append(p[1:] == 0, True)
+        opens, mid, last = np.flatnonzero((p == 0) & ~ends), np.flatnonzero((p > 0) & ~ends), np.flatnonzero((p > 0) & ends)
+        last = last[np.argsort(-size[last], kind="stable")]  # the longest first: those at work are a prefix; all others are of one size
+        begins, stops, n = first[np.concatenate([opens, mid])], first[last] + size[last] - 1, len(opens)
+        live = np.searchsorted(-size[last], -np.arange(1, int(size.max()) + 1), side="right")
+        back = np.ascontiguousarray(self.a.T)
+        v, w, x = np.empty((n, k)), np.empty((len(last), k)), np.repeat(np.eye(k)[:, :, None], len(mid), axis=2)  # (state at the end, state before, piece)
+        for t, m in enumerate(live):
+            e = self.b[sym[np.concatenate([begins + t, stops[:m] - t])]]
+            f, g = e[: len(begins)], e[len(begins) :]
+            v = (v @ self.a if t else self.pi) * f[:n]
+            w[:m] = w[:m] @ back * g if t else g
+            if len(mid):
+                x = (x if t == 0 else (back @ x.reshape(k, -1)).reshape(x.shape)) * np.ascontiguousarray(f[n:].T)[:, None]
+            if t % SCALED == SCALED - 1:
+                v /= v.max(1, keepdims=True)
+                w[:m] /= w[:m].max(1, keepdims=True)
                 x /= x.max((0, 1))
-            if live[t + 1] < live[t]:
-                m[order[live[t + 1] : live[t]]] = x[:, :, live[t + 1] :].transpose(2, 1, 0)
-                x = np.ascontiguousarray(x[:, :, : live[t + 1]])
         before, behind = np.zeros((len(p), k)), np.ones((len(p), k))
-        at = [np.flatnonzero(p == i) for i in range(int(p.max()) + 1)]
-        for i, own in enumerate(at):
-            v = np.broadcast_to(self.pi, (len(own), k)) if i == 0 else before[own] @ self.a
-            v = np.einsum("pi,pij->pj", v, m[own])
-            on = (own + 1 < len(p)) & (p[np.minimum(own + 1, len(p) - 1)] == i + 1)
-            before[own[on] + 1] = v[on] / v[on].sum(1, keepdims=True)
-        for own in reversed(at[1:]):
-            w = np.einsum("pij,pj->pi", m[own], behind[own]) @ self.a.T
-            behind[own - 1] = w / w.max(1, keepdims=True)
+        before[opens + 1] = v / v.sum(1, keepdims=True)
+        w = w @ back
+        behind[last - 1] = w / w.max(1, keepdims=True)
+        x = x.transpose(2, 1, 0)
+        at = [np.flatnonzero(p[mid] == i) for i in range(1, int(p.max()))]
+        for own in at:
+            v = np.einsum("pi,pij->pj", before[mid[own]] @ self.a, x[own])
+            before[mid[own] + 1] = v / v.sum(1, keepdims=True)
+        for own in reversed(at):
+            w = np.einsum("pij,pj->pi", x[own], behind[mid[own]]) @ back
+            behind[mid[own] - 1] = w / w.max(1, keepdims=True)
         return before, behind
 
-    def _count(self, sym: np.ndarray, first: np.ndarray, size: np.ndarray, opens: np.ndarray, before: np.ndarray, behind: np.ndarray, into: list[np.ndarray]) -> None:
-        """Forward and backward over pieces, the longest first, all at once token by token; columns are ordered by (token, piece), rows are states."""
+    def _count(self, sym: np.ndarray, first: np.ndarray, size: np.ndarray, opens: np.ndarray, before: np.ndarray, behind: np.ndarray, into: list[np.ndarray], room: tuple[np.ndarray, np.ndarray]) -> None:
+        """Forward and backward over pieces, the longest first, all at once token by token; rows are ordered by (token, piece)."""
         k, longest = len(self.pi), int(size[0])
         live = np.searchsorted(-size, -np.arange(1, longest + 1), side="right")  # pieces of at least t tokens
         off = np.concatenate([[0], np.cumsum(live)])
-        t_of = np.repeat(np.arange(longest), live)
-        piece = np.arange(off[-1]) - off[t_of]
-        x = sym[first[piece] + t_of]
-        e = np.empty((k, len(x)))
-        for i in range(k):
-            np.take(np.ascontiguousarray(self.b[:, i]), x, out=e[i], mode="clip")
-        alpha, scale, ones, step = np.empty_like(e), np.empty(len(x)), np.ones(k), np.ascontiguousarray(self.a.T)
-        cur = np.where(opens, self.pi[:, None], (before @ self.a).T)
+        x = np.empty(off[-1], np.int64)
+        for t in range(longest):
+            np.add(first[: live[t]], t, out=x[off[t] : off[t + 1]])
+        x = sym[x].astype(np.int64, copy=False)
+        e, alpha = (r[: len(x) * k].reshape(-1, k) for r in room)
+        np.take(self.b, x, axis=0, out=e, mode="clip")
+        ones, back = np.ones(k), np.ascontiguousarray(self.a.T)
+        alpha[: live[0]] = np.where(opens[:, None], self.pi, before @ self.a)
         for t in range(longest):
             own = slice(off[t], off[t + 1])
+            cur = alpha[own]
             if t:
-                cur = step @ cur[:, : live[t]]
-            cur = np.multiply(cur, e[:, own], out=alpha[:, own])
-            scale[own] = share = 1 / (ones @ cur)
-            cur *= share
-            e[:, own] *= share
-        into[3] -= np.log(scale).sum()
-        last, behind = alpha[:, off[size - 1] + np.arange(len(size))], behind.T
-        end = behind / (last * behind).sum(0)
-        met, beta = np.zeros((k, k)), end[:, : live[-1]]
+                np.matmul(alpha[off[t - 1] : off[t - 1] + live[t]], self.a, out=cur)
+            cur *= e[own]
+            if t % SCALED == SCALED - 1:
+                share = 1 / (cur @ ones)
+                into[3] -= np.log(share).sum()
+                cur *= share[:, None]
+                e[own] *= share[:, None]
+        last = alpha[off[size - 1] + np.arange(len(size))]
+        into[3] += np.log(last @ ones).sum()
+        beta = behind / (last * behind).sum(1, keepdims=True)  # of each piece's last token; alpha times beta sums to 1 at each token
+        met = np.zeros((k, k))
         for t in range(longest - 1, -1, -1):
             own = slice(off[t], off[t + 1])
-            alpha[:, own] *= beta  # from here on the posterior of t
-            now = e[:, own]
-            now *= beta
+            alpha[own] *= beta[: live[t]]  # from here on the posterior of t
+            now = e[own]
+            now *= beta[: live[t]]
             if t:
-                met += alpha[:, off[t - 1] : off[t - 1] + live[t]] @ now.T
-                beta = self.a @ now
-                if live[t - 1] > live[t]:
-                    beta = np.concatenate([beta, end[:, live[t] : live[t - 1]]], axis=1)
-        into[0] += alpha[:, : live[0]][:, opens].sum(1)
-        into[1] += self.a * (met + before[~opens].T @ e[:, : live[0]][:, ~opens].T)
+                met += alpha[off[t - 1] : off[t - 1] + live[t]].T @ now
+                np.matmul(now, back, out=beta[: live[t]])
+        into[0] += alpha[: live[0]][opens].sum(0)
+        into[1] += self.a * (met + before[~opens].T @ e[: live[0]][~opens])
+        state = room[0][: len(x) * k].reshape(k, -1)  # e is done with: the posteriors by state
+        for i in range(0, len(x), 256):
+            state[:, i : i + 256] = alpha[i : i + 256].T
         for i in range(k):
-            into[2][:, i] += np.bincount(x, alpha[i], len(self.b))
+            into[2][:, i] += np.bincount(x, state[i], len(self.b))
 
     def update(self, got: list[np.ndarray]) -> None:
         start, trans, emit, _ = got
@@ -253,18 +273,17 @@ class Model:
         if not len(n):
             return out
         live = np.searchsorted(-length, -np.arange(1, length[0] + 1), side="right")  # texts of at least t symbols
-        cur = self.pi * self.b[sym[first]]
-        s = cur.sum(1)
-        log = np.log(s)
-        cur /= s[:, None]
-        ones = np.ones(self.b.shape[1])
+        cur, log, ones = self.pi * self.b[sym[first]], np.zeros(len(n)), np.ones(self.b.shape[1])
         for t in range(1, int(length[0])):
             m = live[t]
-            cur = cur[:m] @ self.a
-            cur *= self.b.take(sym[first[:m] + t], axis=0)
-            s = cur @ ones
-            cur /= s[:, None]
-            log[:m] += np.log(s)
+            now = cur[:m]  # texts that have ended stay as they are
+            now[:] = now @ self.a
+            now *= self.b.take(sym[first[:m] + t], axis=0)
+            if t % SCALED == SCALED - 1:
+                s = now @ ones
+                now /= s[:, None]
+                log[:m] += np.log(s)
+        log += np.log(cur @ ones)
         out[order] = log / np.log(10)
         return out
 
@@ -332,9 +351,9 @@ def _pass(coded: DataFrame, model: Model) -> list[np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         got = m.empty()
-        for held in _batched(batches, 3_000_000):
+        for held in _batched(batches, SYMBOLS_AT_ONCE):
             t = pa.Table.from_batches(held)
-            m.expected(np.frombuffer(b"".join(t["s"].to_pylist()), np.int32).astype(np.int64), t["n"].to_numpy(), got)
+            m.expected(np.frombuffer(b"".join(t["s"].to_pylist()), np.int32), t["n"].to_numpy(), got)
         rows = np.vstack([got[2], got[1], got[0][None], np.concatenate([got[3], np.zeros(k - 1)])[None]])
         some = np.flatnonzero(rows.any(1))
         units = np.rint(rows[some] * _UNIT).astype(np.int64)

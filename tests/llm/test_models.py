@@ -121,6 +121,35 @@ def test_pieces_count_as_whole_texts(monkeypatch, piece, at_once):
     assert whole[3][0] / np.log(10) == pytest.approx(m.forward(sym, n).sum())
 
 
+def test_a_pass_scales_now_and_then_and_in_room_that_its_parts_share(monkeypatch):
+    """Of n tokens every eighth is scaled, and each text's end; parts of a batch use the same memory; ever smaller probabilities stay exact."""
+    m = toy()
+    m.b = np.full_like(m.b, 1e-30) * [1.0, 0.5]
+    n, logged, rooms = np.array([40, 8, 7, 1, 300, 33]), [], []
+    sym = np.random.default_rng(1).integers(0, 3, n.sum())
+    log, count = np.log, hmm.Model._count
+    monkeypatch.setattr(hmm.np, "log", lambda x: (logged.append(np.size(x)), log(x))[1])
+    monkeypatch.setattr(hmm.Model, "_count", lambda *a: (rooms.append([id(r) for r in a[8]]), count(*a))[1])
+    monkeypatch.setattr(hmm, "TOKENS_AT_ONCE", 50)
+    got = m.empty()
+    m.expected(sym, n, got)
+    assert sum(logged) <= n.sum() // 8 + len(n)
+    assert len(rooms) > 1 and all(r == rooms[0] for r in rooms)
+    logged.clear()
+    each = m.forward(sym, n)
+    assert sum(logged) <= n.sum() // 8 + len(n) + 1
+    monkeypatch.undo()
+    assert got[3][0] / np.log(10) == pytest.approx(each.sum())
+    for i, size in enumerate(n):
+        v, want = m.pi * 1, 0.0
+        for t in range(size):
+            v = (v @ m.a if t else v) * [1.0, 0.5]
+            want += math.log10(v.sum()) - 30
+            v /= v.sum()
+        assert each[i] == pytest.approx(want)
+    assert got[2].sum() == pytest.approx(n.sum()) and got[1].sum() == pytest.approx((n - 1).sum())
+
+
 def test_training_goes_on_until_it_settles(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     held = fold("doc_id", 5) == 1
