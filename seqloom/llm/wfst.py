@@ -38,7 +38,7 @@ from .runtime import lean
 
 META = "▁"
 #: Bounds of a task's memory of runs and of neighbouring pieces, some 40 MB together (what is beyond is worked out again); bytes of texts that are encoded together, and characters of runs that are searched together.
-RUNS, PAIRS, TEXTS_AT_ONCE, CHARACTERS_AT_ONCE = 100_000, 50_000, 1_500_000, 150_000
+RUNS, PAIRS, TEXTS_AT_ONCE, CHARACTERS_AT_ONCE = 100_000, 50_000, 750_000, 150_000
 SCHEMA = "key long, ids array<int>, n_tokens int, round_trip boolean"
 
 UNIGRAM, BPE = 1, 2
@@ -366,17 +366,21 @@ class Machine:
             h = _hashed(h, c[at + k - 1])
             v = self.table.get(h)
             hit = v >= 0
-            found.append((at[hit], np.full(int(hit.sum()), k), v[hit]))
+            found.append((at[hit].astype(np.int32), v[hit]))
             at, h = at[v > -2], h[v > -2]
-        place, length, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        many, single = np.zeros(len(c), np.int64), np.zeros(len(c), bool)
+        for place, _ in found:
+            many[place] += 1
+        single[found[0][0]] = True
+        last = np.cumsum(many)
+        length, piece, free = np.empty(last[-1], np.int16), np.empty(last[-1], np.int32), last - many
+        for k in range(len(found), 0, -1):
+            place, v = found.pop()
+            length[free[place]], piece[free[place]] = k, v
+            free[place] += 1
         fits = np.zeros(len(runs), bool)
         fits[size < 256] = True
-        single = np.zeros(len(c), bool)
-        single[place[length == 1]] = True
         fits[run[~single]] = False  # a fallback arc
-        order = np.argsort(place * 64 - length)
-        length, piece = length[order], piece[order].astype(np.int64)
-        last = np.cumsum(np.bincount(place, minlength=len(c)))
         # a run has a place more than characters; it waits at a place, with the piece before it and the arcs tried there
         own, stop = np.arange(len(c)) + run, ends + np.arange(len(runs))
         arc, no_arc = np.zeros(len(c) + len(runs), np.int64), np.zeros(len(c) + len(runs), np.int64)
@@ -485,8 +489,12 @@ def encode(docs: DataFrame, key: str, text: str, model: bytes, decoded: bool = F
                 part = b.slice(at, end - at)
                 texts = part.column(1).to_pylist()
                 ids = m.encode_all(texts)
-                back = [m.decode(i) for i in ids]
-                same = [d == (t or "") for d, t in zip(back, texts, strict=True)]
+                back, same = [], []
+                for i, t in zip(ids, texts, strict=True):
+                    d = m.decode(i)
+                    same.append(d == (t or ""))
+                    if decoded:
+                        back.append(d)
                 n = np.array([len(i) for i in ids], np.int32)
                 flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(ids) if ids else np.array([], np.int32)))
                 more = {"decoded": pa.array(back, pa.string())} if decoded else {}

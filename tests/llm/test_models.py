@@ -380,3 +380,21 @@ def test_score_takes_a_free_name(spark):
     name = fresh(d.columns, "quality_score")[0]
     r = quality.score(d, "doc_id", "text", None, "QUALITY_SCORE", name=name).first()
     assert r["QUALITY_SCORE"] == 9 and r[name] == 0.5
+
+
+def test_runs_are_searched_in_little_memory():
+    """Arcs are held as narrow numbers at their places, not sorted: under 190 bytes a character where pieces are dense."""
+    import tracemalloc
+
+    m = wfst.Machine(queries.read_model())
+    r = np.random.default_rng(5)
+    common = sorted((p for p in m.ids if p.isascii() and p.isalpha()), key=lambda p: m.ids[p])[:3000]
+    runs = ["▁" + "".join(common[i] for i in r.integers(0, len(common), 2)) for _ in range(9000)]
+    runs = list(dict.fromkeys(runs))
+    want = m._side_by_side(runs)  # neighbours are weighed
+    tracemalloc.start()
+    got = m._side_by_side(runs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == want and got[:300] == [np.array(m.path(x), np.int32).tobytes() for x in runs[:300]]
+    assert peak < 190 * sum(map(len, runs))
