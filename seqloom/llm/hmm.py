@@ -38,6 +38,8 @@ LEAST_PASSES, MOST_PASSES, TOLERANCE, PIECE = 12, 24, 0.002, 2048
 TOKENS_AT_ONCE = 500_000
 #: Forward sums are scaled each so many tokens: far fewer than would take a product of probabilities out of a double's range.
 SCALED = 8
+#: Rows of the tables that go as one row from a pass's tasks to those that add them up.
+BLOCK = 128
 #: Bytes of symbols that a pass counts together: the more texts, the wider the steps from token to token.
 SYMBOLS_AT_ONCE = 12_000_000
 #: Least weight of the unigram in a state's emissions, in tokens.
@@ -346,7 +348,6 @@ def _pass(coded: DataFrame, model: Model) -> list[np.ndarray]:
     """Expected counts over all texts, summed over partitions."""
     k, n_sym = model.b.shape[1], len(model.b)
     sent = coded.sparkSession.sparkContext.broadcast(model)  # HEAD + CLASSES + 1 rows of STATES doubles
-    names = [f"s{i}" for i in range(k)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -355,17 +356,33 @@ def _pass(coded: DataFrame, model: Model) -> list[np.ndarray]:
             t = pa.Table.from_batches(held)
             m.expected(np.frombuffer(b"".join(t["s"].to_pylist()), np.int32), t["n"].to_numpy(), got)
         rows = np.vstack([got[2], got[1], got[0][None], np.concatenate([got[3], np.zeros(k - 1)])[None]])
-        some = np.flatnonzero(rows.any(1))
-        units = np.rint(rows[some] * _UNIT).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(np.ascontiguousarray(units[:, i])) for i in range(k))], ["row", *names])
+        units = np.zeros((-(-len(rows) // BLOCK), BLOCK * k), np.int64)
+        units.reshape(-1, k)[: len(rows)] = np.rint(rows * _UNIT)
+        yield _blocks({i: units[i] for i in np.flatnonzero(units.any(1)).tolist()})
 
-    summed = coded.mapInArrow(lean(run), "row int, " + ", ".join(f"{x} long" for x in names)).groupBy("row").agg(*(F.sum(x).alias(x) for x in names)).toArrow()
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, u in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                u = np.frombuffer(u, np.int64)
+                total[i] = total[i] + u if i in total else u
+        if total:
+            yield _blocks(total)
+
+    kind = "block int, units binary"
+    summed = coded.mapInArrow(lean(run), kind).repartition("block").mapInArrow(lean(add), kind).toArrow()
     sent.unpersist()
-    table = np.zeros((n_sym + k + 2, k))
-    table[summed["row"].to_numpy()] = np.stack([summed[x].to_numpy() for x in names], 1) / _UNIT
+    table = np.zeros((-(-(n_sym + k + 2) // BLOCK), BLOCK * k))
+    for i, u in zip(summed["block"].to_pylist(), summed["units"].to_pylist(), strict=True):
+        table[i] = np.frombuffer(u, np.int64) / _UNIT
+    table = table.reshape(-1, k)
     return [table[n_sym + k], table[n_sym : n_sym + k], table[:n_sym], table[n_sym + k + 1, :1]]
 
 
+def _blocks(units: dict[int, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(units), pa.int32()), pa.array([u.tobytes() for u in units.values()], pa.binary())], ["block", "units"])
+
+
 SCORED = "rid long, doc_key long, mark boolean, word long, whole boolean, n_tokens long, n_known long, base double, score double"
 
 

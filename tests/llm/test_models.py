@@ -150,6 +150,20 @@ def test_a_pass_scales_now_and_then_and_in_room_that_its_parts_share(monkeypatch
     assert got[2].sum() == pytest.approx(n.sum()) and got[1].sum() == pytest.approx((n - 1).sum())
 
 
+def test_a_pass_sends_few_rows_and_sums_all_partitions(spark, monkeypatch):
+    m = toy()
+    r = np.random.default_rng(1)
+    texts = [r.integers(0, 3, n).astype(np.int32) for n in (3, 40, 1, 9, 200, 64)]
+    coded = spark.createDataFrame([(len(t), t.tobytes()) for t in texts], "n int, s binary").repartition(3).localCheckpoint()
+    sent, add = [], type(coded).mapInArrow
+    monkeypatch.setattr(type(coded), "mapInArrow", lambda d, *a: (sent.append(add(d, *a)), sent[-1])[1])
+    got, want = hmm._pass(coded, m), m.empty()
+    monkeypatch.undo()
+    m.expected(np.concatenate(texts), np.array(list(map(len, texts))), want)
+    assert sum(x.sum() for x in want[:3]) > 600 and all(a == pytest.approx(b, abs=1e-3) for a, b in zip(got, want, strict=True))
+    assert len(sent) == 2 and sent[0].count() <= 3  # of 71 rows of tables, by partition
+
+
 def test_training_goes_on_until_it_settles(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     held = fold("doc_id", 5) == 1
