@@ -35,13 +35,19 @@ from .runtime import discard, lean, written
 
 HEAD, CLASSES, STATES = 65_536, 64, 8
 LEAST_PASSES, MOST_PASSES, TOLERANCE, PIECE = 12, 24, 0.002, 2048
-TOKENS_AT_ONCE = 500_000
+TOKENS_AT_ONCE = 1_000_000
 #: Forward sums are scaled each so many tokens: far fewer than would take a product of probabilities out of a double's range.
 SCALED = 8
+#: Tokens whose emissions are looked up at once.
+ROWS = 16_384
+#: A border's message is taken from up to so many tokens beside it once nothing further away can change any of its numbers by more than this share.
+WINDOW, ALIKE = 512, 1e-12
+#: Words beyond the head whose counts are sent to all; the counts of all others are joined.
+KNOWN = 500_000
 #: Rows of the tables that go as one row from a pass's tasks to those that add them up.
 BLOCK = 128
-#: Bytes of symbols that a pass counts together: the more texts, the wider the steps from token to token.
-SYMBOLS_AT_ONCE = 12_000_000
+#: Bytes of symbols that are counted or scored together: the more texts, the wider the steps from token to token.
+SYMBOLS_AT_ONCE = 24_000_000
 #: Least weight of the unigram in a state's emissions, in tokens.
 PRIOR = 100.0
 _U = np.uint64
@@ -51,13 +57,18 @@ END_KEY = -1  # as a signed word key; no word has it
 
 def spelling(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Class of each word below 64: its last character, and the first that isn't ASCII (its code point)."""
-    last = data[end - 1]
-    kind = np.where(last == 0x2E, 1, np.where(last == 0x2C, 2, np.where((last < 0x80) & ~_ALNUM[last], 3, 0))) * 16
+    kind = _ENDING[data[end - 1]]
     lead = np.flatnonzero(data >= 0xC0)
-    at = np.searchsorted(lead, start)
-    on = np.flatnonzero(at < np.searchsorted(lead, end))
+    if len(lead) < len(start):  # each is looked for among the words, else each word among them
+        at = np.searchsorted(start, lead, side="right") - 1
+        one = np.flatnonzero(np.diff(at, prepend=-1))
+        on, at = at[one], one
+    else:
+        at = np.searchsorted(lead, start)
+        on = np.flatnonzero(at < np.searchsorted(lead, end))
+        at = at[on]
     if len(on):
-        p = lead[at[on]]
+        p = lead[at]
         b = np.stack([data[np.minimum(p + j, len(data) - 1)] for j in range(4)]).astype(np.int64)
         low = b & 63
         point = np.where(b[0] < 0xE0, (b[0] & 31) << 6 | low[1], np.where(b[0] < 0xF0, (b[0] & 15) << 12 | low[1] << 6 | low[2], (b[0] & 7) << 18 | low[1] << 12 | low[2] << 6 | low[3]))
@@ -67,6 +78,8 @@ def spelling(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
 
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_ENDING = np.where(_ALNUM | (np.arange(256) >= 0x80), 0, 48)
+_ENDING[[0x2E, 0x2C]] = 16, 32
 
 
 def tokens(col: pa.Array, head: Lookup | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +89,7 @@ def tokens(col: pa.Array, head: Lookup | None = None) -> tuple[np.ndarray, np.nd
     """
     data, offsets = buffer_of(col)
     start, end, h = words(data, offsets)
-    n = np.bincount(np.searchsorted(offsets, start, side="right") - 1, minlength=len(offsets) - 1)
+    n = np.diff(np.searchsorted(start, offsets))
     key = _U(1 << 63) | (h >> _U(7) << _U(6)) & _U(2**63 - 1) | spelling(data, start, end).astype(_U)
     key -= (key == _U(2**64 - 1)).astype(_U) << _U(6)
     if head is not None:
@@ -130,6 +143,7 @@ class Model:
         self.n_head, self.end = len(head), len(head)
         self.total, self.distinct = total, distinct
         self.norm = total + 0.5 * (distinct + 1)
+        self.least = int(head_c.min()) if len(head_c) else 0  # count of a head word
         self.mass = mass  # of each class: counts and halves of its words, and one half
         c = np.concatenate([head_c + 0.5, [end_c + 0.5], mass])
         self.base = np.log10(np.concatenate([head_c + 0.5, [end_c + 0.5]]) / self.norm)
@@ -144,10 +158,10 @@ class Model:
 
     def symbols(self, code: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Symbols of texts in a row, each with its end."""
-        raw = code >= np.uint64(1 << 63)
-        sym = np.where(raw, (code & np.uint64(63)).astype(np.int64) + self.end + 1, (code & np.uint64(2**63 - 1)).astype(np.int64))
-        out = np.full(len(code) + len(n), self.end, np.int64)
-        out[np.arange(len(code)) + np.repeat(np.arange(len(n)), n)] = sym
+        code = code.view(np.int64)  # a word's key is negative
+        out, word = np.full(len(code) + len(n), self.end, np.int64), np.ones(len(code) + len(n), bool)
+        word[np.cumsum(n + 1) - 1] = False
+        out[word] = np.where(code < 0, (code & 63) + self.end + 1, code)
         return out
 
     def expected(self, sym: np.ndarray, n: np.ndarray, into: list[np.ndarray]) -> None:
@@ -159,7 +173,7 @@ class Model:
         k = len(self.pi)
         before, behind = np.zeros((len(p), k)), np.ones((len(p), k))
         if len(long := np.flatnonzero(np.repeat(pieces, pieces) > 1)):
-            before[long], behind[long] = self._borders(sym, first[long], size[long], p[long])
+            before[long], behind[long] = self._messages(sym, first[long], size[long], p[long])
         order = np.argsort(-size, kind="stable")
         ends = np.cumsum(size[order])
         cut = np.concatenate([[0], np.flatnonzero(np.diff(ends // TOKENS_AT_ONCE)) + 1, [len(order)]])
@@ -169,6 +183,52 @@ class Model:
             own = order[lo:hi]
             self._count(sym, first[own], size[own], p[own] == 0, before[own], behind[own], into, room)
 
+    def _messages(self, sym: np.ndarray, first: np.ndarray, size: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What :meth:`_borders` returns: by windows beside the borders, and through the pieces' matrices for texts where a window doesn't do."""
+        k = len(self.pi)
+        before, behind = np.zeros((len(p), k)), np.ones((len(p), k))
+        text, own = np.cumsum(p == 0) - 1, np.flatnonzero(p)
+        stop = (first + size)[np.append(p[1:] == 0, True)][text]
+        v, told = self._windows(sym, first[own] - 1, p[own] * PIECE, True)
+        w, foretold = self._windows(sym, first[own], (stop - first)[own], False)
+        before[own], behind[own - 1] = v, w
+        rest = np.isin(text, text[own[~(told & foretold)]])
+        if rest.any():
+            before[rest], behind[rest] = self._borders(sym, first[rest], size[rest], p[rest])
+        return before, behind
+
+    def _windows(self, sym: np.ndarray, at: np.ndarray, tokens: np.ndarray, forward: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Messages over borders by the tokens on one side (``at`` is the nearest, the text has so many there), and which of them are found.
+
+        A window's matrix, state at its far end by state at the border, grows token by token. Once its rows are alike to ``ALIKE`` of each number,
+        so is their weighted mean, whatever the weights: the message doesn't depend on what lies beyond. At the text's edge it is known anyway.
+        """
+        k, step = len(self.pi), -1 if forward else 1
+        out, found = np.ones((len(at), k)), np.zeros(len(at), bool)
+        back, run = np.ascontiguousarray(self.a.T), np.arange(len(at))
+        x = np.repeat(np.eye(k)[:, :, None], len(at), axis=2)
+        for d in range(WINDOW):
+            if not len(run):
+                break
+            e = np.ascontiguousarray(self.b.take(sym.take(at[run] + step * d, mode="clip"), axis=0).T)[:, None]
+            x = x * e if forward else (back @ x.reshape(k, -1)).reshape(x.shape) * e
+            if len(edge := np.flatnonzero(tokens[run] == d + 1)):
+                out[run[edge]] = np.einsum("i,ijp->pj", self.pi if forward else np.ones(k), x[:, :, edge])
+                found[run[edge]] = True
+            if forward:
+                x = (self.a @ x.reshape(k, -1)).reshape(x.shape)
+            if d % SCALED == SCALED - 1:
+                x /= x.max((0, 1))
+            if d % 32 == 31:
+                r = x / x.sum(1, keepdims=True)
+                low = r.min(0)
+                alike = (r.max(0) - low <= ALIKE * low).all(0) & ~found[run]
+                out[run[alike]] = r[:, :, alike].mean(0).T
+                found[run[alike]] = True
+                go = ~found[run]
+                run, x = run[go], x[:, :, go]
+        return out / (out.sum(1, keepdims=True) if forward else out.max(1, keepdims=True)), found
+
     def _borders(self, sym: np.ndarray, first: np.ndarray, size: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For the pieces of long texts, in order: the states' distribution at the token before, and the weights of all that follows, by state.
 
@@ -210,46 +270,62 @@ class Model:
         return before, behind
 
     def _count(self, sym: np.ndarray, first: np.ndarray, size: np.ndarray, opens: np.ndarray, before: np.ndarray, behind: np.ndarray, into: list[np.ndarray], room: tuple[np.ndarray, np.ndarray]) -> None:
-        """Forward and backward over pieces, the longest first, all at once token by token; rows are ordered by (token, piece)."""
+        """Forward and backward over pieces, the longest first, all at once token by token; rows are ordered by (token, piece).
+
+        Emissions are looked up for some tokens at a time, forward and again backward, and used while they are in cache.
+        """
         k, longest = len(self.pi), int(size[0])
         live = np.searchsorted(-size, -np.arange(1, longest + 1), side="right")  # pieces of at least t tokens
         off = np.concatenate([[0], np.cumsum(live)])
         x = np.empty(off[-1], np.int64)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(off[:-1] // ROWS)) + 1, [longest]]).tolist()
+        groups = list(zip(cuts[:-1], cuts[1:], strict=True))
+        live, off = live.tolist(), off.tolist()
         for t in range(longest):
             np.add(first[: live[t]], t, out=x[off[t] : off[t + 1]])
         x = sym[x].astype(np.int64, copy=False)
-        e, alpha = (r[: len(x) * k].reshape(-1, k) for r in room)
-        np.take(self.b, x, axis=0, out=e, mode="clip")
-        ones, back = np.ones(k), np.ascontiguousarray(self.a.T)
+        alpha, state = room[0][: len(x) * k].reshape(-1, k), room[1][: len(x) * k].reshape(k, -1)
+        e, post = np.empty((2, max(off[hi] - off[lo] for lo, hi in groups), k))
+        ones, back, shares = np.ones(k), np.ascontiguousarray(self.a.T), {}
         alpha[: live[0]] = np.where(opens[:, None], self.pi, before @ self.a)
-        for t in range(longest):
-            own = slice(off[t], off[t + 1])
-            cur = alpha[own]
-            if t:
-                np.matmul(alpha[off[t - 1] : off[t - 1] + live[t]], self.a, out=cur)
-            cur *= e[own]
-            if t % SCALED == SCALED - 1:
-                share = 1 / (cur @ ones)
-                into[3] -= np.log(share).sum()
-                cur *= share[:, None]
-                e[own] *= share[:, None]
-        last = alpha[off[size - 1] + np.arange(len(size))]
+        for lo, hi in groups:
+            o = off[lo]
+            np.take(self.b, x[o : off[hi]], axis=0, out=e[: off[hi] - o], mode="clip")
+            for t in range(lo, hi):
+                cur = alpha[off[t] : off[t + 1]]
+                if t:
+                    np.dot(alpha[off[t - 1] : off[t - 1] + live[t]], self.a, out=cur)
+                cur *= e[off[t] - o : off[t + 1] - o]
+                if t % SCALED == SCALED - 1:
+                    shares[t] = share = 1 / (cur @ ones)
+                    into[3] -= np.log(share).sum()
+                    cur *= share[:, None]
+        last = alpha[np.array(off)[size - 1] + np.arange(len(size))]
         into[3] += np.log(last @ ones).sum()
         beta = behind / (last * behind).sum(1, keepdims=True)  # of each piece's last token; alpha times beta sums to 1 at each token
         met = np.zeros((k, k))
-        for t in range(longest - 1, -1, -1):
-            own = slice(off[t], off[t + 1])
-            alpha[own] *= beta[: live[t]]  # from here on the posterior of t
-            now = e[own]
-            now *= beta[: live[t]]
-            if t:
-                met += alpha[off[t - 1] : off[t - 1] + live[t]].T @ now
-                np.matmul(now, back, out=beta[: live[t]])
-        into[0] += alpha[: live[0]][opens].sum(0)
+        for lo, hi in reversed(groups):
+            o, n = off[lo], off[hi] - off[lo]
+            np.take(self.b, x[o : o + n], axis=0, out=e[:n], mode="clip")
+            for t in range(hi - 1, lo - 1, -1):
+                own = slice(off[t] - o, off[t + 1] - o)
+                now, follow = e[own], beta[: live[t]]
+                np.multiply(alpha[off[t] : off[t + 1]], follow, out=post[own])
+                now *= follow
+                if t in shares:
+                    now *= shares[t][:, None]
+                if t:
+                    np.dot(now, back, out=follow)
+            for i in range(0, n, 256):
+                state[:, o + i : o + min(i + 256, n)] = post[i : min(i + 256, n)].T
+            at = max(lo, 1)
+            if at < hi and live[at - 1] == live[hi - 1]:  # no piece ends: each row's token before is one step of rows away
+                met += alpha[off[at - 1] : off[hi - 1]].T @ e[off[at] - o : n]
+            else:
+                for t in range(at, hi):
+                    met += alpha[off[t - 1] : off[t - 1] + live[t]].T @ e[off[t] - o : off[t + 1] - o]
+        into[0] += state[:, : live[0]][:, opens].sum(1)
         into[1] += self.a * (met + before[~opens].T @ e[: live[0]][~opens])
-        state = room[0][: len(x) * k].reshape(k, -1)  # e is done with: the posteriors by state
-        for i in range(0, len(x), 256):
-            state[:, i : i + 256] = alpha[i : i + 256].T
         for i in range(k):
             into[2][:, i] += np.bincount(x, state[i], len(self.b))
 
@@ -354,7 +430,7 @@ def _pass(coded: DataFrame, model: Model) -> list[np.ndarray]:
         got = m.empty()
         for held in _batched(batches, SYMBOLS_AT_ONCE):
             t = pa.Table.from_batches(held)
-            m.expected(np.frombuffer(b"".join(t["s"].to_pylist()), np.int32), t["n"].to_numpy(), got)
+            m.expected(buffer_of(t["s"].combine_chunks())[0].view(np.int32), t["n"].to_numpy(), got)
         rows = np.vstack([got[2], got[1], got[0][None], np.concatenate([got[3], np.zeros(k - 1)])[None]])
         units = np.zeros((-(-len(rows) // BLOCK), BLOCK * k), np.int64)
         units.reshape(-1, k)[: len(rows)] = np.rint(rows * _UNIT)
@@ -364,23 +440,42 @@ def _pass(coded: DataFrame, model: Model) -> list[np.ndarray]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for i, u in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                u = np.frombuffer(u, np.int64)
+                u = _units(u, k)
                 total[i] = total[i] + u if i in total else u
         if total:
             yield _blocks(total)
 
     kind = "block int, units binary"
-    summed = coded.mapInArrow(lean(run), kind).repartition("block").mapInArrow(lean(add), kind).toArrow()
+    # a pass leaves its memory to the next one; the stages around the passes give it back
+    summed = coded.mapInArrow(run, kind).repartition("block").mapInArrow(lean(add), kind).toArrow()
     sent.unpersist()
     table = np.zeros((-(-(n_sym + k + 2) // BLOCK), BLOCK * k))
     for i, u in zip(summed["block"].to_pylist(), summed["units"].to_pylist(), strict=True):
-        table[i] = np.frombuffer(u, np.int64) / _UNIT
+        table[i] = _units(u, k) / _UNIT
     table = table.reshape(-1, k)
     return [table[n_sym + k], table[n_sym : n_sym + k], table[:n_sym], table[n_sym + k + 1, :1]]
 
 
 def _blocks(units: dict[int, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(units), pa.int32()), pa.array([u.tobytes() for u in units.values()], pa.binary())], ["block", "units"])
+    """A block goes as 32-bit numbers where all fit, else as 64-bit ones."""
+    blobs = [(u.astype(np.int32) if np.abs(u).max() < 2**31 else u).tobytes() for u in units.values()]
+    return pa.RecordBatch.from_arrays([pa.array(list(units), pa.int32()), pa.array(blobs, pa.binary())], ["block", "units"])
+
+
+def _units(blob: bytes, k: int) -> np.ndarray:
+    return np.frombuffer(blob, np.int32 if len(blob) == 4 * BLOCK * k else np.int64).astype(np.int64)
+
+
+def common(counts: DataFrame, model: Model) -> Lookup:
+    """Counts of the commonest words beyond the head, ``KNOWN`` at most: all from the least count that keeps them so few."""
+    below = counts.filter((F.col("key") != END_KEY) & (F.col("c") <= model.least))
+    c = below.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).limit(KNOWN + 1).toArrow()
+    c, n = c["c"].to_numpy(), c["n"].to_numpy()
+    fit = c[np.cumsum(n) <= KNOWN]
+    got = below.filter(F.col("c") >= int(fit[-1])).toArrow() if len(fit) else pa.table({"key": np.zeros(0, np.int64), "c": np.zeros(0, np.int64)})
+    key, c = got["key"].to_numpy(), got["c"].to_numpy()
+    fits = c < 2**31
+    return Lookup(key[fits].view(np.uint64), c[fits])
 
 
 SCORED = "rid long, doc_key long, mark boolean, word long, whole boolean, n_tokens long, n_known long, base double, score double"
@@ -388,27 +483,44 @@ SCORED = "rid long, doc_key long, mark boolean, word long, whole boolean, n_toke
 
 def score(docs: DataFrame, key: str, text: str, mark: Column, model: Model, counts: DataFrame) -> DataFrame:
     """Per row: key, mark, n_tokens, n_known, base_score, score."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast((model, common(counts, model)))
     d = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).cast("long").alias("doc_key"), mark.alias("mark"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        for held in _batched(batches):
-            t = pa.Table.from_batches(held)
+        m, known = sent.value
+        held, size = [], 0
+
+        def whole() -> pa.RecordBatch:
+            rid, doc, mark, n, met, base, score, sym = (np.concatenate(x) if isinstance(x[0], np.ndarray) else pa.concat_arrays(x) for x in zip(*held, strict=True))
+            score += m.forward(sym, n)
+            return pa.RecordBatch.from_arrays([pa.array(rid), doc, mark, pa.array(rid * 64 % 2**62), pa.array(np.ones(len(n), bool)), pa.array(n), pa.array(met), pa.array(base), pa.array(score)], _NAMES)
+
+        for some in _batched(batches):
+            t = pa.Table.from_batches(some)
             rid = t["rid"].to_numpy()
             code, n = tokens(t["text"].combine_chunks(), m.head)
-            row = np.repeat(np.arange(len(n)), n)
-            raw = code >= np.uint64(1 << 63)
-            fwd = m.forward(m.symbols(code, n), n + 1)
-            base = np.bincount(row[~raw], m.base[code[~raw].astype(np.int64)], len(n)) + m.base[m.end]
-            known = np.bincount(row[~raw], minlength=len(n)) + int(m.end_known)
-            full = len(n)
-            yield pa.RecordBatch.from_arrays([pa.array(rid), t["doc_key"].combine_chunks(), t["mark"].combine_chunks(), pa.array(rid * 64 % 2**62), pa.array(np.ones(full, bool)), pa.array(n + 1), pa.array(known), pa.array(base), pa.array(fwd)], _NAMES)
+            row, raw = np.repeat(np.arange(len(n)), n), np.flatnonzero(code >= np.uint64(1 << 63))
+            c = known.get(code[raw])
+            told, raw, c = raw[c >= 0], raw[c < 0], c[c >= 0] + 0.5
+            head = np.flatnonzero(code < np.uint64(1 << 63))
+            log = np.zeros(len(code))
+            log[head], log[told] = m.base[code[head].astype(np.int64)], np.log10(c / m.norm)
+            base = np.bincount(row, log, len(n)) + m.base[m.end]
+            met = np.bincount(row[head], minlength=len(n)) + np.bincount(row[told], minlength=len(n)) + int(m.end_known)
+            share = np.log10(c / m.mass[(code[told] & _U(63)).astype(np.int64)])
+            sym = m.symbols(code, n).astype(np.int32)
+            held.append((rid, t["doc_key"].combine_chunks(), t["mark"].combine_chunks(), n + 1, met, base, np.bincount(row[told], share, len(n)).astype(float), sym))
+            size += sym.nbytes
+            if size >= SYMBOLS_AT_ONCE:
+                yield whole()
+                held, size = [], 0
             tail, at = code[raw].view(np.int64), rid[row[raw]]
             for lo in range(0, len(tail), 200_000):
                 w, r = tail[lo : lo + 200_000], at[lo : lo + 200_000]
                 null = [pa.nulls(len(w), x) for x in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
                 yield pa.RecordBatch.from_arrays([pa.array(r), null[0], null[1], pa.array(w), pa.array(np.zeros(len(w), bool)), *null[2:]], _NAMES)
+        if held:
+            yield whole()
 
     e = d.mapInArrow(lean(run), SCORED)
     c = F.coalesce("c", F.lit(0)) + 0.5

@@ -95,6 +95,56 @@ def test_border_matrices_work_on_the_pieces_that_still_run(monkeypatch):
         assert np.allclose(behind[i] / behind[i].max(), w / w.max(), rtol=1e-12)
 
 
+def test_borders_come_from_windows_where_these_forget(monkeypatch):
+    """A window does once all beyond it can't matter; texts of a model that doesn't forget go through their pieces' matrices. Both are exact."""
+    m = hmm.Model(np.array([10, 20]), np.array([5.0, 3.0]), 4, np.full(hmm.CLASSES, 0.5), 12, 3, states=3)
+    n = np.array([700, 300, 513])
+    sym = np.random.default_rng(4).integers(0, len(m.b), n.sum())
+    monkeypatch.setattr(hmm, "PIECE", 256)
+    p = np.array([0, 1, 2, 0, 1, 0, 1, 2])
+    first = np.array([0, 256, 512, 700, 956, 1000, 1256, 1512])
+    size = np.diff(np.append(first, n.sum()))
+    called, borders = [], hmm.Model._borders
+    monkeypatch.setattr(hmm.Model, "_borders", lambda self, s, f, *a: (called.append(f.tolist()), borders(self, s, f, *a))[1])
+    for sticky, matrices in ((0.5, []), (1 - 1e-6, [first[[*range(3), 3, 4]].tolist()])):
+        m.a = np.full((3, 3), (1 - sticky) / 2) + (1.5 * sticky - 0.5) * np.eye(3)
+        if matrices:
+            m.b = np.full_like(m.b, 1 / len(m.b)) * [1, 1 + 1e-6, 1 - 1e-6]  # hardly tells states apart
+            monkeypatch.setattr(hmm, "WINDOW", 64)
+        called.clear()
+        got = m._messages(sym, first, size, p)
+        assert len(called) == bool(matrices)
+        want = borders(m, sym, first, size, p)
+        assert np.allclose(got[0], want[0], rtol=1e-11, atol=0)
+        assert np.allclose(got[1] / got[1].max(1, keepdims=True), want[1] / want[1].max(1, keepdims=True), rtol=1e-11, atol=0)
+
+
+def test_blocks_are_as_wide_as_their_numbers():
+    small, large = np.arange(hmm.BLOCK * 8), np.arange(hmm.BLOCK * 8) - 2**40
+    got = hmm._blocks({3: small, 5: large}).to_pydict()["units"]
+    assert list(map(len, got)) == [4 * len(small), 8 * len(large)]
+    assert (hmm._units(got[0], 8) == small).all() and (hmm._units(got[1], 8) == large).all()
+
+
+@pytest.mark.parametrize("known, at_once", [(0, 24_000_000), (40, 2_000)])
+def test_counts_that_are_sent_equal_those_that_are_joined(spark, sf, monkeypatch, known, at_once):
+    d = spark.read.parquet(f"{sf}/documents.parquet").limit(200).localCheckpoint()
+    monkeypatch.setattr(hmm, "HEAD", 100)
+    monkeypatch.setattr(hmm, "LEAST_PASSES", 1)
+    monkeypatch.setattr(hmm, "TOLERANCE", 1e9)
+    model, counts = hmm.train(d, "text", F.lit(True))
+    every = hmm.common(counts, model)
+    want = hmm.score(d, "doc_id", "text", F.lit(False), model, counts).orderBy("key").collect()
+    monkeypatch.setattr(hmm, "KNOWN", known)
+    monkeypatch.setattr(hmm, "SYMBOLS_AT_ONCE", at_once)
+    few = hmm.common(counts, model)
+    assert (few.values >= 0).sum() <= known < (every.values >= 0).sum()
+    got = hmm.score(d, "doc_id", "text", F.lit(False), model, counts).orderBy("key").collect()
+    assert len(got) == 200 and [r[:4] for r in got] == [r[:4] for r in want] and all(r.n_known == r.n_tokens for r in got)
+    for a, b in zip(got, want, strict=True):
+        assert (a.base_score, a.score) == pytest.approx((b.base_score, b.score), rel=1e-12)
+
+
 def test_expected_counts_are_sums_over_paths():
     m = toy()
     texts = [[0, 1, 2, 1, 0, 2], [2], [1, 1, 0]]
