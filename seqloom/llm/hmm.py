@@ -178,7 +178,7 @@ class Model:
         ends = np.cumsum(size[order])
         cut = np.concatenate([[0], np.flatnonzero(np.diff(ends // TOKENS_AT_ONCE)) + 1, [len(order)]])
         most = int(np.diff(np.concatenate([[0], ends])[cut]).max())
-        room = np.empty(most * k), np.empty(most * k)  # touched once, for all parts
+        room = _room(most * k)
         for lo, hi in zip(cut[:-1], cut[1:], strict=True):
             own = order[lo:hi]
             self._count(sym, first[own], size[own], p[own] == 0, before[own], behind[own], into, room)
@@ -269,7 +269,7 @@ class Model:
             behind[mid[own] - 1] = w / w.max(1, keepdims=True)
         return before, behind
 
-    def _count(self, sym: np.ndarray, first: np.ndarray, size: np.ndarray, opens: np.ndarray, before: np.ndarray, behind: np.ndarray, into: list[np.ndarray], room: tuple[np.ndarray, np.ndarray]) -> None:
+    def _count(self, sym: np.ndarray, first: np.ndarray, size: np.ndarray, opens: np.ndarray, before: np.ndarray, behind: np.ndarray, into: list[np.ndarray], room: list[np.ndarray]) -> None:
         """Forward and backward over pieces, the longest first, all at once token by token; rows are ordered by (token, piece).
 
         Emissions are looked up for some tokens at a time, forward and again backward, and used while they are in cache.
@@ -366,6 +366,21 @@ class Model:
         return out
 
 
+#: Two arrays of a worker, which a pass leaves to the next one: fresh memory costs about as much as its use.
+_ROOM: list[np.ndarray] = []
+
+
+def _room(n: int) -> list[np.ndarray]:
+    if not _ROOM or len(_ROOM[0]) < n:
+        _ROOM.clear()
+        _ROOM.extend((np.empty(n), np.empty(n)))
+    return list(_ROOM)
+
+
+def _free() -> None:
+    _ROOM.clear()
+
+
 def _batched(batches: Iterator[pa.RecordBatch], bytes_at_once: int = 4_000_000) -> Iterator[list[pa.RecordBatch]]:
     held, size = [], 0
     for b in batches:
@@ -466,16 +481,17 @@ def _units(blob: bytes, k: int) -> np.ndarray:
     return np.frombuffer(blob, np.int32 if len(blob) == 4 * BLOCK * k else np.int64).astype(np.int64)
 
 
-def common(counts: DataFrame, model: Model) -> Lookup:
-    """Counts of the commonest words beyond the head, ``KNOWN`` at most: all from the least count that keeps them so few."""
+def common(counts: DataFrame, model: Model) -> tuple[Lookup, DataFrame]:
+    """Counts of the commonest words beyond the head, ``KNOWN`` at most: all from the least count that keeps them so few; and the counts of the rest."""
     below = counts.filter((F.col("key") != END_KEY) & (F.col("c") <= model.least))
     c = below.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).limit(KNOWN + 1).toArrow()
     c, n = c["c"].to_numpy(), c["n"].to_numpy()
     fit = c[np.cumsum(n) <= KNOWN]
-    got = below.filter(F.col("c") >= int(fit[-1])).toArrow() if len(fit) else pa.table({"key": np.zeros(0, np.int64), "c": np.zeros(0, np.int64)})
-    key, c = got["key"].to_numpy(), got["c"].to_numpy()
-    fits = c < 2**31
-    return Lookup(key[fits].view(np.uint64), c[fits])
+    if not len(fit):
+        return Lookup(np.zeros(0, np.uint64), np.zeros(0)), below
+    sent = F.col("c").between(int(fit[-1]), 2**31 - 1)
+    got = below.filter(sent).toArrow()
+    return Lookup(got["key"].to_numpy().view(np.uint64), got["c"].to_numpy()), below.filter(~sent)
 
 
 SCORED = "rid long, doc_key long, mark boolean, word long, whole boolean, n_tokens long, n_known long, base double, score double"
@@ -483,10 +499,12 @@ SCORED = "rid long, doc_key long, mark boolean, word long, whole boolean, n_toke
 
 def score(docs: DataFrame, key: str, text: str, mark: Column, model: Model, counts: DataFrame) -> DataFrame:
     """Per row: key, mark, n_tokens, n_known, base_score, score."""
-    sent = docs.sparkSession.sparkContext.broadcast((model, common(counts, model)))
+    known, rest = common(counts, model)
+    sent = docs.sparkSession.sparkContext.broadcast((model, known))
     d = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).cast("long").alias("doc_key"), mark.alias("mark"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _free()
         m, known = sent.value
         held, size = [], 0
 
@@ -526,7 +544,7 @@ def score(docs: DataFrame, key: str, text: str, mark: Column, model: Model, coun
     c = F.coalesce("c", F.lit(0)) + 0.5
     mass = F.element_at(F.array(*(F.lit(float(x)) for x in model.mass)), F.col("word").bitwiseAND(F.lit(63)).cast("int") + 1)
     # a whole text's row has a key of its own that stands for no word
-    j = e.join(counts.select(F.col("key").alias("word"), "c"), "word", "left")
+    j = e.join(rest.select(F.col("key").alias("word"), "c"), "word", "left")
     tail = ~F.col("whole")
     j = j.select(
         "rid", "doc_key", "mark", "n_tokens",

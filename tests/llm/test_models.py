@@ -119,6 +119,17 @@ def test_borders_come_from_windows_where_these_forget(monkeypatch):
         assert np.allclose(got[1] / got[1].max(1, keepdims=True), want[1] / want[1].max(1, keepdims=True), rtol=1e-11, atol=0)
 
 
+def test_passes_leave_their_room_to_the_next():
+    m = toy()
+    hmm._free()
+    m.expected(np.array([0, 1, 2, 0]), np.array([3, 1]), m.empty())
+    was = list(map(id, hmm._ROOM))
+    m.expected(np.array([0, 2]), np.array([2]), m.empty())
+    assert len(was) == 2 and list(map(id, hmm._ROOM)) == was
+    hmm._free()
+    assert not hmm._ROOM
+
+
 def test_blocks_are_as_wide_as_their_numbers():
     small, large = np.arange(hmm.BLOCK * 8), np.arange(hmm.BLOCK * 8) - 2**40
     got = hmm._blocks({3: small, 5: large}).to_pydict()["units"]
@@ -133,12 +144,12 @@ def test_counts_that_are_sent_equal_those_that_are_joined(spark, sf, monkeypatch
     monkeypatch.setattr(hmm, "LEAST_PASSES", 1)
     monkeypatch.setattr(hmm, "TOLERANCE", 1e9)
     model, counts = hmm.train(d, "text", F.lit(True))
-    every = hmm.common(counts, model)
+    every, rest = hmm.common(counts, model)
     want = hmm.score(d, "doc_id", "text", F.lit(False), model, counts).orderBy("key").collect()
     monkeypatch.setattr(hmm, "KNOWN", known)
     monkeypatch.setattr(hmm, "SYMBOLS_AT_ONCE", at_once)
-    few = hmm.common(counts, model)
-    assert (few.values >= 0).sum() <= known < (every.values >= 0).sum()
+    few, more = hmm.common(counts, model)
+    assert rest.count() < more.count() and (few.values >= 0).sum() <= known < (every.values >= 0).sum()
     got = hmm.score(d, "doc_id", "text", F.lit(False), model, counts).orderBy("key").collect()
     assert len(got) == 200 and [r[:4] for r in got] == [r[:4] for r in want] and all(r.n_known == r.n_tokens for r in got)
     for a, b in zip(got, want, strict=True):
