@@ -9,13 +9,13 @@ tables stay bounded.
 backward over every training text and sums the expected counts over all partitions; the driver gets the summed tables,
 whose size is fixed. The first pass starts from seeded noise. Passes go on until one raises the training texts' log10
 likelihood by less than ``TOLERANCE`` a token, at least ``LEAST_PASSES`` and at most ``MOST_PASSES``. Texts of more than
-``PIECE`` tokens are counted in pieces whose messages at the borders are those of the whole text: vectors are carried
-through the matrices of the pieces, so the counts are exact in bounded memory. Counts are summed as integers, so sums
-don't depend on the order of partitions.
+``PIECE`` tokens are counted in pieces whose messages at the borders are those of the whole text: of a window beside the
+border where nothing beyond it can change them by more than ``ALIKE``, else carried through the matrices of the pieces, so
+the counts are exact in bounded memory. Counts are summed as integers, so sums don't depend on the order of partitions.
 
 *Scores.* The forward recursion runs over whole texts, however long. Words outside the head need their counts, of
-which there are as many as distinct words: they are joined by word, as narrow rows (a hash of the word, the text's
-number), and summed per text. Head words, the hot keys of such a join, never enter it.
+which there are as many as distinct words: the commonest ``KNOWN`` are sent to all, the others are joined by word, as narrow
+rows (a hash of the word, the text's number), and summed per text. Head words, the hot keys of such a join, never enter it.
 
 Defined results: a null or empty text is its end alone; a null key is training data; without training texts every word
 has the share of unseen words; repeated rows are scored and counted each. Words are told apart by 57 bits of hash and class.
