@@ -291,6 +291,22 @@ def test_importance(spark):
     assert got["A"].count_bg_mean == 10 and got["A"].count_bg_sd == 0 and got["C"].count_bg_mean == 0 and not any(x.important for x in got.values())
 
 
+def test_importance_of_counts_whose_squares_leave_64_bits(spark):
+    """A few gigabytes of letters: the commonest tokens occur 1e8 times in each of 59 replicates."""
+    import statistics
+
+    rng = random.Random(2)
+    n = {t: [m + rng.randrange(-3 * 10**4, 3 * 10**4) for _ in range(59)] for t, m in (("AAAA", 4 * 10**8), ("AAAC", 16 * 10**7), ("CGCG", 10**6))}
+    n["GGGG"] = [0] * 58 + [5 * 10**9]
+    o = spark.createDataFrame([("AAAA", 6 * 10**8), ("CGCG", 10**5)], "token string, cnt long")
+    r = spark.createDataFrame([(i, t, c) for t, counts in n.items() for i, c in enumerate(counts) if c], "rep int, token string, cnt long")
+    got = {x.token: x for x in A.importance(o, r, 59).collect()}
+    assert got.keys() == n.keys()
+    for t, counts in n.items():
+        assert got[t].count_bg_mean == pytest.approx(statistics.fmean(counts), rel=1e-14)
+        assert got[t].count_bg_sd == pytest.approx(statistics.stdev(counts), rel=1e-12)
+
+
 def test_mean_log2fc(spark):
     c = spark.createDataFrame([("x", "A", 3), ("x", "AC", 1)], "k string, token string, cnt long")
     b = spark.createDataFrame([("A", 1), ("G", 4)], "token string, cnt long")
