@@ -7,6 +7,12 @@ From these the driver knows what a merge does without looking at the blocks: (x,
 new pair is more frequent than such a triple. So a run goes on, pair by pair in the order of a greedy trainer, as long as
 the next pair's count is known exactly and is above all that new pairs can have; then the blocks are asked again. The
 result is that of one merge after the other. The driver holds the pair counts (of the vocabulary squared at most).
+
+A larger corpus is trained in phases. A phase makes the merges of pairs down to a count that few pairs reach. A pair rarer
+than that when the phase begins is never part of such a merge, whatever is merged beside it: what grows out of its places are
+at most as many pairs. So the words are cut there, and the pieces, short and much the same everywhere, are counted once each.
+They give exactly the phase's merges, in one task or, if they are many, by the rounds above; the whole words are read twice a
+phase. A token that is made a second time joins places that were counted apart: a phase ends there.
 """
 
 from __future__ import annotations
@@ -16,6 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +39,13 @@ ASKED, CHOICE = 256, 4096
 WANTED = 2048
 #: Merges that each round does again before the blocks are written anew.
 PENDING = 40
+#: Letters from which a corpus is trained in phases, and symbols of a phase's pieces that one task takes.
+PHASED, PIECES = 1 << 20, 1 << 22
+#: Most of the pairs in the text, by their places, that a phase may merge: while symbols are few (up to 64), and later.
+SHARES = 0.4, 0.2
+#: Cells of a table of pairs that is held densely, and keys that are added up at a time.
+DENSE, KEYS = 1 << 26, 1 << 22
+
 
 def as_words(seqs: DataFrame, seq: str) -> DataFrame:
     """(parts, cnt): equal sequences counted once, letters apart."""
@@ -166,14 +180,243 @@ class _Counts:
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(k), pa.binary()), pa.nulls(len(k), pa.binary()), pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(n)], _NAMES)
 
 
+class _Pairs:
+    """Counts of all pairs of symbols below ``known`` that a task adds up."""
+
+    def __init__(self, known: int, size: int) -> None:
+        self.known, self.size, self.held, self.many = known, size, [], 0
+        self.n, self.got = np.zeros(known * known if known * known <= DENSE else 0, np.int64), _Counts()
+
+    def add(self, ids: np.ndarray, cnt: np.ndarray) -> None:
+        if not len(self.n):
+            self.got.add(0, *_pairs(ids, cnt, np.arange(len(ids) - 1), self.size))
+        elif (cnt == 1).all():
+            self.held.append(_keys(ids, self.known))
+            self.many += len(ids)
+            if self.many > KEYS:
+                self._flush()
+        else:
+            own = np.repeat(cnt, np.diff(np.flatnonzero(ids == 0), prepend=-1))
+            self.n += np.rint(np.bincount(_keys(ids, self.known), own[:-1], len(self.n))).astype(np.int64)
+
+    def _flush(self) -> None:
+        if self.held:
+            self.n += np.bincount(np.concatenate(self.held), minlength=len(self.n))
+        self.held, self.many = [], 0
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        if len(self.n):
+            self._flush()
+            n = self.n.reshape(self.known, self.known)
+            n[0], n[:, 0] = 0, 0  # ends of words
+            a, b = np.nonzero(n)
+            self.got.add(0, a * self.size + b, n[a, b])
+        yield from self.got.batches()
+
+
+def _keys(ids: np.ndarray, known: int) -> np.ndarray:
+    k = ids[:-1].astype(np.int32 if known * known < 1 << 31 else np.int64)
+    k *= known
+    k += ids[1:]
+    return k
+
+
+class Cut:
+    """Cuts blocks everywhere but inside the pairs ``kept`` (left * size + right, sorted), into pieces that are told apart."""
+
+    def __init__(self, kept: np.ndarray, known: int, size: int) -> None:
+        a, b = kept // size, kept % size
+        self.known, self.size, self.kept, self.table = known, size, a * known + b, None
+        if known * known <= DENSE:
+            self.table = np.zeros(known * known, bool)
+            self.table[self.kept] = True
+
+    def pieces(self, ids: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
+        """The pieces of two and more symbols in order, the places of their symbols, and where among these each begins."""
+        inside = np.zeros(len(ids) + 1, bool)  # whether a place is in one piece with the place before
+        if len(ids) > 1:
+            k = _keys(ids, self.known)
+            inside[1:-1] = self.table[k] if self.table is not None else np.isin(k, self.kept)
+        at = np.flatnonzero(inside[:-1] | inside[1:])
+        first = np.flatnonzero(~inside[at])
+        ends = (np.append(first, len(at)) * ids.itemsize).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(ids[at])]).dictionary_encode(), at, first
+
+    def merge(self, ids: np.ndarray, run: list[tuple[int, int, int]]) -> np.ndarray:
+        """The symbols after merges that lie within pieces and whose tokens are all new, done once for each different piece."""
+        d, at, first = self.pieces(ids)
+        if not len(at) or not run:
+            return ids
+        flat, many = _ranked(*_flat(d.dictionary, ids.dtype), run, self.size)
+        code, ends, size = d.indices.to_numpy(), np.cumsum(many), np.diff(np.append(first, len(at)))
+        come = np.arange(len(at)) + np.repeat((ends - many)[code] - first, size)
+        stays = come < np.repeat(ends[code], size)
+        out, keep = ids.copy(), np.ones(len(ids), bool)
+        out[at[stays]], keep[at[~stays]] = flat[come[stays]], False
+        return out[keep]
+
+
+def _flat(words: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of binary words one after the other, and each word's length."""
+    size = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64) // np.dtype(kind).itemsize
+    at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    return np.frombuffer(words.buffers()[2], np.uint8)[at[0] : at[-1]].view(kind), size
+
+
+def cut(blocks: DataFrame, kept: np.ndarray, known: int, size: int) -> DataFrame:
+    """The pieces (w, n) of two and more symbols that :class:`Cut` leaves, and how often they occur."""
+    kind = np.uint16 if size < 1 << 16 else np.uint32
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by, parts, held = Cut(kept, known, size), [], 0
+
+        def once() -> tuple[pa.Array, np.ndarray]:
+            d = pa.concat_arrays([w for w, _ in parts]).dictionary_encode()
+            return d.dictionary, np.rint(np.bincount(d.indices.to_numpy(), np.concatenate([n for _, n in parts]), len(d.dictionary))).astype(np.int64)
+
+        for b in batches:
+            for i, c in zip(b.column("ids"), b.column("cnt"), strict=True):
+                ids, cnt = np.frombuffer(i.as_buffer(), kind), np.frombuffer(c.as_buffer(), np.int64)
+                d, at, first = by.pieces(ids)
+                own = None if (cnt == 1).all() else cnt[np.searchsorted(np.flatnonzero(ids == 0), at[first])]
+                n = np.rint(np.bincount(d.indices.to_numpy(), own, len(d.dictionary))).astype(np.int64)
+                parts.append((d.dictionary, n))
+                held += len(n)
+            if held > PIECES // 4:
+                parts = [once()]
+                if len(parts[0][0]) > PIECES // 8:
+                    yield pa.RecordBatch.from_arrays([parts[0][0], pa.array(parts[0][1])], ["w", "n"])
+                    parts = []
+                held = sum(len(w) for w, _ in parts)
+        if parts:
+            w, n = once()
+            for at in range(0, len(w), 1 << 16):
+                yield pa.RecordBatch.from_arrays([w[at : at + (1 << 16)], pa.array(n[at : at + (1 << 16)])], ["w", "n"])
+
+    return blocks.filter("ids IS NOT NULL").select("ids", "cnt").mapInArrow(go, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
+
+
+def pack(words: DataFrame, size: int) -> DataFrame:
+    """Blocks of the words (w, n), and the counts of their pairs."""
+    kind = np.uint16 if size < 1 << 16 else np.uint32
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = _Counts()
+        for b in batches:
+            if not len(b):
+                continue
+            ids, many = _flat(b.column("w"), kind)
+            ids, cnt = np.insert(ids, np.cumsum(many), 0), b.column("n").to_numpy().astype(np.int64)
+            got.add(0, *_pairs(ids, cnt, np.arange(len(ids) - 1), size))
+            yield _rows([(ids, cnt)])
+        yield from got.batches()
+
+    return words.mapInArrow(go, BLOCKS)
+
+
+def small(words: DataFrame, vocab: list[str], vocab_size: int, least: int, size: int) -> DataFrame:
+    """The merges (i, l, r) that the words (w, n) give in one task, down to a count of ``least`` or to a token that is made again; a row of -1 if there are too many words."""
+    kind = np.uint16 if size < 1 << 16 else np.uint32
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, total, out = [], 0, []
+        for b in batches:
+            if len(b) and total <= PIECES:
+                ids, many = _flat(b.column("w"), kind)
+                parts.append((np.insert(ids, np.cumsum(many), 0), b.column("n").to_numpy().astype(np.int64)))
+                total += len(ids)
+        if total > PIECES:
+            out = [(-1, -1)]
+        elif parts:
+            ids, cnt = (np.concatenate(x) for x in zip(*parts, strict=True))
+            tokens, known = list(vocab), set(vocab)
+            now = dict(zip(*(x.tolist() for x in _pairs(ids, cnt, np.arange(len(ids) - 1), size)), strict=True))
+            queue = [(-c, k) for k, c in now.items() if c >= least]
+            heapq.heapify(queue)
+
+            def told(ids: np.ndarray, at: np.ndarray, sign: int) -> None:
+                for k, n in zip(*(x.tolist() for x in _pairs(ids, cnt, at, size)), strict=True):
+                    now[k] = now.get(k, 0) + sign * n
+                    if sign > 0 and now[k] >= least:
+                        heapq.heappush(queue, (-now[k], k))
+
+            while len(tokens) < vocab_size and queue:
+                c, k = heapq.heappop(queue)
+                if now[k] != -c:
+                    if least <= now[k] < -c:
+                        heapq.heappush(queue, (-now[k], k))
+                    continue
+                a, b = divmod(k, size)
+                token = tokens[a - 1] + tokens[b - 1]
+                out.append((a, b))
+                if token in known:
+                    break
+                tokens.append(token)
+                known.add(token)
+                ids = _merge(ids, [(a, b, len(tokens))], told)
+        a, b = ([x[i] for x in out] for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(out)), pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["i", "l", "r"])
+
+    return words.repartition(1).mapInArrow(go, "i int, l long, r long")
+
+
+def _ranked(ids: np.ndarray, many: np.ndarray, run: list[tuple[int, int, int]], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words (symbols one after the other, lengths) after the merges of a run whose tokens are all new: each word's earliest merge first, all words at once."""
+    if not run or not len(ids):
+        return ids, many
+    keys = np.array([a * size + b for a, b, _ in run], np.int64)
+    order = np.argsort(keys)
+    keys, made = keys[order], np.array([m for _, _, m in run], ids.dtype)
+    word, done, none = np.repeat(np.arange(len(many)), many), [], len(run)
+    while len(ids):
+        k = ids[:-1].astype(np.int64) * size + ids[1:]
+        i = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+        rank = np.append(np.where((keys[i] == k) & (word[:-1] == word[1:]), order[i], none), none)
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        least = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(ids))))
+        over = least == none
+        done.append((ids[over], word[over]))
+        ids, word, rank, least = ids[~over], word[~over], rank[~over], least[~over]
+        at = np.flatnonzero(rank == least)
+        if not len(at):
+            break
+        head = np.flatnonzero(np.concatenate([[True], np.diff(at) != 1]))  # of a symbol with itself, every other place of a run
+        at = at[(np.arange(len(at)) - np.repeat(head, np.diff(np.append(head, len(at))))) % 2 == 0]
+        ids, keep = ids.copy(), np.ones(len(ids), bool)
+        ids[at], keep[at + 1] = made[rank[at]], False
+        ids, word = ids[keep], word[keep]
+    ids, word = (np.concatenate(x) for x in zip(*done, strict=True))
+    return ids[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(many))
+
+
+def phase(blocks: DataFrame, kept: np.ndarray, run: list[tuple[int, int, int]], again: bool, known: int, size: int) -> DataFrame:
+    """Blocks after a phase's merges, done once for each piece of a block, and the counts of their pairs. ``again``: the last one's token is not new."""
+    kind = np.uint16 if size < 1 << 16 else np.uint32
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by, got = Cut(kept, known, size), _Pairs(max(known, *(made + 1 for _, _, made in run)), size)
+        for b in batches:
+            for i, c in zip(b.column("ids"), b.column("cnt"), strict=True):
+                ids, cnt = np.frombuffer(i.as_buffer(), kind), np.frombuffer(c.as_buffer(), np.int64)
+                ids = by.merge(ids, run[:-1] if again else run)
+                if again:
+                    ids = _merge(ids, run[-1:])
+                got.add(ids, cnt)
+                yield _rows([(ids, cnt)])
+        yield from got.batches()
+
+    return blocks.filter("ids IS NOT NULL").select("ids", "cnt").mapInArrow(go, BLOCKS)
+
+
 def encode(words: DataFrame, letters: list[str], first: int, size: int) -> DataFrame:
     """Blocks of the words (w, cnt), letters as symbols from ``first`` on, and the counts of their pairs."""
     points = np.array([ord(c) for c in letters], np.uint32)
-    order = np.argsort(points)
     kind = np.uint16 if size < 1 << 16 else np.uint32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = _Counts()
+        got = _Pairs(first + len(letters), size)
+        number = np.zeros(int(points.max()) + 1, kind)
+        number[points] = np.arange(len(points)) + first
         for b in batches:
             w, cnt, at = b.column("w").to_pylist(), b.column("cnt").to_numpy(), 0
             while at < len(w):
@@ -183,9 +426,9 @@ def encode(words: DataFrame, letters: list[str], first: int, size: int) -> DataF
                     to += 1
                 codes = np.frombuffer("".join(w[at:to]).encode("utf-32-le", "surrogatepass"), np.uint32)
                 ends = np.cumsum([len(x) for x in w[at:to]])
-                ids = np.insert((order[np.searchsorted(points, codes, sorter=order)] + first).astype(kind), ends, 0)
+                ids = np.insert(number[codes], ends, 0)
                 c = cnt[at:to].astype(np.int64)
-                got.add(0, *_pairs(ids, c, np.arange(len(ids) - 1), size))
+                got.add(ids, c)
                 yield _rows([(ids, c)])
                 at = to
         yield from got.batches()
@@ -324,30 +567,31 @@ class Chooser:
         return asked, [np.concatenate([np.zeros(0, np.int64), *(np.sort(near[own == s]) + i * self.size for i, s in enumerate(ends.tolist()))]) for near, own, ends in ((a, b, asked // self.size), (b, a, asked % self.size))], floor
 
 
-def train(seqs: DataFrame, seq: str, vocab_size: int, min_frequency: int = 100, alphabet: str = "ACGTN") -> tuple[list[str], list[tuple[str, str]]]:
-    """Vocabulary in order (specials, sorted letters, merges) and the merges.
+class _Made:
+    """The vocabulary so far and its merges, as tokens and as symbols (left, right, made)."""
 
-    Stops at the size or when the best pair is rarer than ``min_frequency``; ties go to the smaller left id, then right id.
-    """
-    words = seqs.filter(F.length(seq) > 0).groupBy(F.col(seq).alias("w")).agg(F.count("*").alias("cnt"))
+    def __init__(self, vocab: list[str], vocab_size: int) -> None:
+        self.vocab, self.vocab_size, self.ids = vocab, vocab_size, {t: i for i, t in enumerate(vocab)}
+        self.merges: list[tuple[str, str]] = []
+        self.symbols: list[tuple[int, int, int]] = []
+        self.again = False  # the last merge's token was there before
 
-    def chars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met = set()
-        for b in batches:
-            for w in b.column(0).to_pylist():
-                met |= set(w or "")
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(met), pa.string())], ["c"])
+    def add(self, a: int, b: int) -> int:
+        left, right = self.vocab[a - 1], self.vocab[b - 1]
+        self.merges.append((left, right))
+        self.again = left + right in self.ids
+        if not self.again:
+            self.ids[left + right] = len(self.vocab)
+            self.vocab.append(left + right)
+        self.symbols.append((a, b, self.ids[left + right] + 1))
+        return self.symbols[-1][2]
 
-    words = written(words, "words")
-    seen = [r[0] for r in words.select("w").mapInArrow(chars, "c string").distinct().collect()]  # letters
-    letters = sorted(set(alphabet) | set(seen))
-    vocab = [*SPECIALS, *letters]
-    ids, merges = {t: i for i, t in enumerate(vocab)}, []
-    size = max(vocab_size, len(vocab)) + 1  # symbols are ids + 1
-    blocks, done = written(encode(words, letters, len(SPECIALS) + 1, size), "bpe"), []
-    discard(words)
+
+def _rounds(blocks: DataFrame, made: _Made, least: int, size: int, phased: bool = False) -> DataFrame:
+    """Merges down to a count of ``least``, or in a phase to a token that is made again; gives the last blocks."""
+    done: list[tuple[int, int, int]] = []
     keys, n, asked, floor, news = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), 0, summed(blocks)
-    while len(vocab) < vocab_size:
+    while len(made.vocab) < made.vocab_size:
         d = news.toArrow()  # the vocabulary squared at most
         kind, k, c = (d[x].to_numpy() for x in ("kind", "k", "n"))
         keys, n = _sum(np.concatenate([keys, k[kind == 0]]), np.concatenate([n, c[kind == 0]]))
@@ -355,18 +599,14 @@ def train(seqs: DataFrame, seq: str, vocab_size: int, min_frequency: int = 100,
         for side in (1, 2):
             for x, m in zip(k[kind == side].tolist(), c[kind == side].tolist(), strict=True):
                 beside[int(asked[x // size])][side - 1].append((x % size, m))
-        run, pairs = [], Chooser(keys, n, beside, size, min_frequency, floor)
-        while len(vocab) < vocab_size and (found := pairs.next(not run)):
+        run, pairs, over = [], Chooser(keys, n, beside, size, least, floor), False
+        while not over and len(made.vocab) < made.vocab_size and (found := pairs.next(not run)):
             a, b = found
-            token = vocab[a - 1] + vocab[b - 1]
-            merges.append((vocab[a - 1], vocab[b - 1]))
-            new = token not in ids
-            if new:
-                ids[token] = len(vocab)
-                vocab.append(token)
-            run.append((a, b, ids[token] + 1))
-            pairs.merge(a, b, ids[token] + 1, new)
-        if not run or len(vocab) >= vocab_size:
+            token = made.add(a, b)
+            over = phased and made.again
+            run.append((a, b, token))
+            pairs.merge(a, b, token, not made.again)
+        if not run or over or len(made.vocab) >= made.vocab_size:
             break
         asked, wanted, floor = pairs.likely()
         if len(done) > PENDING:
@@ -374,5 +614,57 @@ def train(seqs: DataFrame, seq: str, vocab_size: int, min_frequency: int = 100,
             discard(before)
         news = changes(blocks, done, run, asked, wanted, size)
         done = done + run
+    return blocks
+
+
+def train(seqs: DataFrame, seq: str, vocab_size: int, min_frequency: int = 100, alphabet: str = "ACGTN") -> tuple[list[str], list[tuple[str, str]]]:
+    """Vocabulary in order (specials, sorted letters, merges) and the merges.
+
+    Stops at the size or when the best pair is rarer than ``min_frequency``; ties go to the smaller left id, then right id.
+    """
+    words = seqs.filter(F.length(seq) > 0).groupBy(F.col(seq).alias("w")).agg(F.count("*").alias("cnt"))
+
+    def chars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = set()
+        for b in batches:
+            data = np.frombuffer(b.column(0).cast(pa.large_binary()).buffers()[2] or b"", np.uint8)
+            if not len(data) or data.max() < 0x80:
+                met |= set(map(chr, np.flatnonzero(np.bincount(data)).tolist()))
+                continue
+            for w in b.column(0).to_pylist():
+                met |= set(w or "")
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(met), pa.string())], ["c"])
+
+    words = written(words, "words")
+    seen = [r[0] for r in words.select("w").mapInArrow(chars, "c string").distinct().collect()]  # letters
+    letters = sorted(set(alphabet) | set(seen))
+    size = max(vocab_size, len(SPECIALS) + len(letters)) + 1  # symbols are ids + 1
+    made = _Made([*SPECIALS, *letters], vocab_size)
+    blocks = written(encode(words, letters, len(SPECIALS) + 1, size), "bpe")
+    discard(words)
+    total = blocks.filter("ids IS NOT NULL").agg(F.sum(F.length("ids"))).first()[0] or 0
+    if total // (2 if size < 1 << 16 else 4) < PHASED:
+        discard(_rounds(blocks, made, min_frequency, size))
+        return made.vocab, made.merges
+    while len(made.vocab) < vocab_size:
+        d = summed(blocks).toArrow()  # the vocabulary squared at most
+        keys, n = _sum(d["k"].to_numpy(), d["n"].to_numpy())
+        if not len(n) or n.max() < min_frequency:
+            break
+        known, before, most = len(made.vocab) + 1, len(made.merges), np.sort(n)[::-1]
+        share = np.searchsorted(np.cumsum(most), SHARES[known > 64] * n.sum(), "right")
+        least = max(min_frequency, int(most[max(0, share - 1)]))
+        kept = keys[n >= least]
+        pieces = cut(blocks, kept, known, size)
+        found = sorted(small(pieces, made.vocab, vocab_size, least, size).collect())  # the merges
+        if found[0].l >= 0:
+            for _, a, b in found:
+                made.add(a, b)
+        else:  # too many for one task
+            discard(_rounds(written(pack(pieces, size), "bpe"), made, least, size, True))
+        if len(made.vocab) >= vocab_size:
+            break
+        old, blocks = blocks, written(phase(blocks, kept, made.symbols[before:], made.again, known, size), "bpe")
+        discard(old)
     discard(blocks)
-    return vocab, merges
+    return made.vocab, made.merges

@@ -657,6 +657,44 @@ def test_long_runs_give_the_greedy_merges(spark, monkeypatch, letters, length, s
     assert len(rounds) < len(got[1]) / 2
 
 
+@pytest.mark.parametrize("pieces", [1 << 22, 0])
+@pytest.mark.parametrize("letters,length,size", [("ACGT", 12, 150), ("AAAAC", 24, 90), ("ACGTN", 10, 200)])
+def test_phases_give_the_greedy_merges(spark, monkeypatch, letters, length, size, pieces):
+    """Whole words are read twice a phase, pieces train in one task or in rounds; ties, runs of one letter, tokens made twice, copies."""
+    reads, real, again = [], B.phase, []
+    monkeypatch.setattr(B, "phase", lambda *a: reads.append(len(a[2])) or again.append(a[3]) or real(*a))
+    monkeypatch.setattr(B, "PHASED", 0)
+    monkeypatch.setattr(B, "PIECES", pieces)
+    monkeypatch.setattr(B, "BLOCK", 1000)
+    rng = random.Random(length)
+    base = ["".join(rng.choices(letters, k=rng.randrange(1, 9))) for _ in range(40)]
+    words = ["".join(rng.choices(base, k=length)) for _ in range(300)]
+    words += words[:40]
+    if pieces:
+        monkeypatch.setattr(B, "changes", None)  # no rounds
+    got = B.train(spark.createDataFrame([(w,) for w in words], "w string"), "w", size, 20)
+    assert got == _greedy(words, size, 20)
+    made = [a + b for a, b in got[1]]
+    assert sum(again) == len(made) - len(set(made)) or len(got[0]) == size
+    assert len(reads) < 10 + sum(again)
+
+
+def test_merges_of_many_words_at_once():
+    rng = random.Random(4)
+    for _ in range(100):
+        words = [[rng.randint(1, 4) for _ in range(rng.randint(1, 12))] for _ in range(9)]
+        pairs = dict.fromkeys((rng.randint(1, 4 + i), rng.randint(1, 4 + i)) for i in range(rng.randint(1, 8)))
+        run = [(a, b, 5 + i) for i, (a, b) in enumerate(pairs) if max(a, b) < 5 + i]
+        ids, many = B._ranked(np.array([x for w in words for x in w], np.uint16), np.array([len(w) for w in words]), run, 20)
+        want = []
+        for w in words:
+            x = np.array([*w, 0], np.uint16)
+            for step in run:
+                x = B._merge(x, [step])
+            want.append(x[:-1].tolist())
+        assert ids.tolist() == [x for w in want for x in w] and many.tolist() == [len(w) for w in want]
+
+
 def test_many_models_in_one_pass(spark):
     rng = random.Random(11)
     models = {m: {w: float(rng.randrange(1, 30)) for w in ["A", "C", "G"] + ["T"] * (m == "x") + ["".join(rng.choices("ACGT", k=rng.randrange(2, 6))) for _ in range(60)]} for m in "xyz"}
