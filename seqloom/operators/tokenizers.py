@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions.columns import chunks
+from .bpe_train import Cut
 
 MAX_VOCAB = 1_000_000
 TOKENS = "array<struct<token:string,start:int,end:int>>"
@@ -286,6 +287,32 @@ class Merges:
                 takes[x] = min(r, takes.get(x, r))
         #: Merges whose token an earlier merge takes.
         self.back = np.array([takes.get(int(m), n) < r for r, m in enumerate(self.made)], bool)
+        self.lengths = np.array([0, 1, *map(len, number)])  # of numbers one higher: 0 ends a sequence, 1 is a letter that no merge takes
+        self.names = [None, None, *number]
+        once = len(ranks) == n and all(a and b for a, b in ranks) and len(set(self.made.tolist())) == n and not self.back.any()
+        self.phases = self._phases() if once else []
+
+    def _phases(self) -> list[tuple[Cut, list[tuple[int, int, int]]]]:
+        """Runs of merges, each twice as long as all before, and where they may be cut: a merge joins two tokens of the run's beginning, whatever was merged beside them."""
+        out, lo = [], 0
+        while lo < len(self.made):
+            hi, first, last, kept = max(4, 2 * lo), {}, {}, set()
+            run = [(int(a) + 1, int(b) + 1, int(m) + 1) for a, b, m in zip(self.left[lo:hi], self.right[lo:hi], self.made[lo:hi], strict=True)]
+            for a, b, m in run:
+                kept.add((last.get(a, a), first.get(b, b)))
+                first[m], last[m] = first.get(a, a), last.get(b, b)
+            known = 1 + int(max(self.numbers.max(initial=0) + 1, self.made[:lo].max(initial=0) + 1, *(max(x) for x in kept)))
+            size = self.size + 1
+            out.append((Cut(np.array(sorted(a * size + b for a, b in kept), np.int64), known, size), run))
+            lo = hi
+        return out
+
+    def tokens(self, t: Letters) -> np.ndarray:
+        """The tokens, as numbers one higher; 0 after each sequence. Equal pieces are merged once a phase."""
+        ids = np.insert((self.letters(t.codes) + 1).astype(np.uint16 if self.size < (1 << 16) - 1 else np.uint32), t.end, 0)
+        for cut, run in self.phases:
+            ids = cut.merge(ids, run)
+        return ids
 
     def letters(self, codes: np.ndarray) -> np.ndarray:
         if not len(self.points):
@@ -478,6 +505,16 @@ def bpe_encoder(spark: SparkSession, merges: list[tuple[str, str]], vocab: set[s
         raise ValueError("too many merges to send out")
 
     def f(t: Letters, s: tuple) -> tuple[np.ndarray, np.ndarray | None]:
+        if s[0].phases:
+            ids = s[0].tokens(t)
+            ids, ends = ids[ids > 0], np.cumsum(s[0].lengths[ids])[ids > 0]
+            start = ends - s[0].lengths[ids]
+            if s[1] is None:
+                return start, None
+            unknown = np.array([x not in s[1] for x in s[0].names])[ids]
+            letters = np.flatnonzero(ids == 1)
+            unknown[letters] = [t.text[a] not in s[1] for a in start[letters].tolist()]
+            return start, unknown
         start = bpe_all(t, s[0])
         if s[1] is None:
             return start, None

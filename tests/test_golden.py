@@ -657,6 +657,26 @@ def test_long_runs_give_the_greedy_merges(spark, monkeypatch, letters, length, s
     assert len(rounds) < len(got[1]) / 2
 
 
+def test_encoder_merges_equal_pieces_once(spark):
+    """Merges in the order of a trainer: in phases, equal to one sequence after the other; other merges go the old way."""
+    rng = random.Random(8)
+    merges, made = [], ["A", "C", "G", "\u00e9"]
+    while len(merges) < 90:
+        a, b = rng.choice(made), rng.choice(made)
+        if a + b not in made and len(a + b) < 9:
+            merges.append((a, b))
+            made.append(a + b)
+    texts = ["".join(rng.choices(["A", "C", "G", "T", "\u00e9", "\U0001f600"], [9, 9, 9, 2, 2, 1], k=rng.randrange(0, 300))) for _ in range(60)] + ["", "A" * 41, "T"]
+    ranks = {m: i for i, m in enumerate(merges)}
+    m, t = T.Merges(merges), T.Letters(texts)
+    assert len(m.phases) == 6 and not T.Merges(merges[::-1]).phases and not T.Merges(merges + merges[:1]).phases and not T.Merges(merges + [("A", "AA"), ("AA", "A")]).phases
+    known = set(made[5:]) | {"T"}
+    for chosen in (None, known):
+        for text, got in zip(texts, _tokens(spark, T.bpe_encoder(spark, merges, chosen), texts), strict=True):
+            assert [tuple(x) for x in got] == T.bpe(text, ranks, chosen)
+    assert len(m.tokens(t)) - len(texts) == len(T.bpe_all(t, m))
+
+
 @pytest.mark.parametrize("pieces", [1 << 22, 0])
 @pytest.mark.parametrize("letters,length,size", [("ACGT", 12, 150), ("AAAAC", 24, 90), ("ACGTN", 10, 200)])
 def test_phases_give_the_greedy_merges(spark, monkeypatch, letters, length, size, pieces):
