@@ -43,6 +43,8 @@ PENDING = 40
 PHASED, PIECES = 1 << 20, 1 << 22
 #: Most of the pairs in the text, by their places, that a phase may merge: while symbols are few (up to 64), and later.
 SHARES = 0.4, 0.2
+#: Parts of it that are tried one after the other.
+NARROWER = 1, 0.5, 0.2
 #: Cells of a table of pairs that is held densely, and keys that are added up at a time.
 DENSE, KEYS = 1 << 26, 1 << 22
 
@@ -646,22 +648,29 @@ def train(seqs: DataFrame, seq: str, vocab_size: int, min_frequency: int = 100,
     if total // (2 if size < 1 << 16 else 4) < PHASED:
         discard(_rounds(blocks, made, min_frequency, size))
         return made.vocab, made.merges
+    narrow = 0
     while len(made.vocab) < vocab_size:
         d = summed(blocks).toArrow()  # the vocabulary squared at most
         keys, n = _sum(d["k"].to_numpy(), d["n"].to_numpy())
         if not len(n) or n.max() < min_frequency:
             break
         known, before, most = len(made.vocab) + 1, len(made.merges), np.sort(n)[::-1]
-        share = np.searchsorted(np.cumsum(most), SHARES[known > 64] * n.sum(), "right")
-        least = max(min_frequency, int(most[max(0, share - 1)]))
-        kept = keys[n >= least]
-        pieces = cut(blocks, kept, known, size)
-        found = sorted(small(pieces, made.vocab, vocab_size, least, size).collect())  # the merges
+        wide = None
+        for part in NARROWER[narrow:]:  # fewer pairs, where the pieces are too many for one task
+            share = np.searchsorted(np.cumsum(most), SHARES[known > 64] * part * n.sum(), "right")
+            least = max(min_frequency, int(most[max(0, share - 1)]))
+            kept = keys[n >= least]
+            wide = wide or (least, kept)
+            found = sorted(small(cut(blocks, kept, known, size), made.vocab, vocab_size, least, size).collect())  # the merges
+            if found[0].l >= 0:
+                narrow = NARROWER.index(part)
+                break
         if found[0].l >= 0:
             for _, a, b in found:
                 made.add(a, b)
-        else:  # too many for one task
-            discard(_rounds(written(pack(pieces, size), "bpe"), made, least, size, True))
+        else:  # too many however few pairs
+            least, kept = wide
+            discard(_rounds(written(pack(cut(blocks, kept, known, size), size), "bpe"), made, least, size, True))
         if len(made.vocab) >= vocab_size:
             break
         old, blocks = blocks, written(phase(blocks, kept, made.symbols[before:], made.again, known, size), "bpe")
